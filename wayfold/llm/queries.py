@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules, simhash
+from . import bpe, line_dedup, mixing, quality_rules, simhash
 
-_MODULES = (quality_rules, line_dedup, simhash, mixing)
+_MODULES = (quality_rules, line_dedup, simhash, mixing, bpe)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

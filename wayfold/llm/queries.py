@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, quality_rules, simhash, warc
+from . import bpe, line_dedup, mixing, quality_gam, quality_rules, simhash, warc
 
-_MODULES = (quality_rules, line_dedup, simhash, mixing, bpe, warc)
+_MODULES = (quality_rules, line_dedup, simhash, mixing, bpe, warc, quality_gam)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

@@ -28,7 +28,7 @@ def test_any_text(text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.sampled_from(["a", "aa", "Ab", "the", "ing", "tion", "'s", "'LL", " ", "\n", "\x85", "　", "Σ", "ΑΣ", "İ", "é", "ß", "<|endoftext|>", "<|startoftext|>", "<|", "12", "½", "!!", "?!", "日本", "\U0001f600", "ha", "ll", "\x00", "\x1c"]), max_size=40).map("".join))
+@given(st.lists(st.sampled_from(["a", "aa", "Ab", "the", "ing", "tion", "'s", "'LL", " ", "\n", "\x85", "　", "Σ", "ΑΣ", "İ", "é", "ß", "<|endoftext|>", "<|startoftext|>", "<|", "12", "½", "!!", "?!", "日本", "²", "\xb9", "\xb7", "_", "ª", "À", "ÿ", "ŉ", "ſ", "Ⅷ", "\x1f", "\xad", "\U0001f600", "ha", "ll", "\x00", "\x1c"]), max_size=40).map("".join))
 def test_pieces(text):
     check(text)
 

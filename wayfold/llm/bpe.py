@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -14,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import Remembered, table
 
 NEVER = 1 << 60
-#: Words whose ids a worker remembers; when so many are held it begins anew.
+#: Words whose ids a worker remembers at most.
 REMEMBERED = 400_000
 #: Transitions that a worker's table holds at once.
 TABLE = 1_000_000
@@ -96,68 +98,101 @@ class Automaton:
         return known
 
 
+#: The pattern for which text of Latin letters, without other digits than 0-9 and without separator controls, has an equivalent in terms of ranges, which is quicker.
+COMMON_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
+_QUICK = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
+_NOT_QUICK = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+
+
 class Tokenizer:
     """A byte-level BPE tokenizer with word ends, as described by a tokenizers file: NFC, white space, lower case, a splitting pattern, bytes, merges."""
 
     def __init__(self, spec: str):
         j = json.loads(spec)
         model = j["model"]
-        vocab: dict[str, int] = model["vocab"]
+        self.vocab: dict[str, int] = model["vocab"]
+        self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.added = {a["content"]: a["id"] for a in j["added_tokens"]}
         self.end = model["end_of_word_suffix"] or ""
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        self.labels = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
+        pattern = next(p for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self.quick = pattern == COMMON_SPLIT
+        self.split = regex.compile(pattern.replace("\\s", "\\p{White_Space}"), regex.V0)
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.known = Remembered(self.word, REMEMBERED)
+
+    @cached_property
+    def automaton(self) -> Automaton:
+        rules = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in self.merges]
         made = {r[2] for r in rules}
-        self.automaton = Automaton([i for i in vocab.values() if i not in made], rules)
-        self.vocab = vocab
-        self.longest = max(map(len, vocab))
-        self.labels = {i: s for s, i in vocab.items()} | {i: s for s, i in self.added.items()}
-        self.symbols = byte_symbols()
-        split = next(p for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.split = regex.compile(split.replace("\\s", "\\p{White_Space}"), regex.V0)
-        self.space = regex.compile(r"\p{White_Space}+")
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, bytes] = {}
+        return Automaton([i for i in self.vocab.values() if i not in made], rules)
+
+    @cached_property
+    def inner(self) -> dict[str, int]:
+        return {s: i for s, i in self.vocab.items() if not (self.end and s.endswith(self.end))}
+
+    @cached_property
+    def final(self) -> dict[str, int]:
+        return {s[: len(s) - len(self.end)]: i for s, i in self.vocab.items() if s.endswith(self.end)}
+
+    @cached_property
+    def reach(self) -> dict[str, int]:
+        """The length of the longest token that begins with these four symbols."""
+        out: dict[str, int] = {}
+        for s in [*self.inner, *self.final]:
+            if len(s) > 3:
+                out[s[:4]] = max(out.get(s[:4], 4), len(s))
+        return out
+
+    @cached_property
+    def symbols(self) -> list[str]:
+        return byte_symbols()
 
     def word(self, word: str) -> bytes:
-        """Ids, four bytes each, of a word that the pattern has split off. For each end, the last token of the prefix is the one whose predecessor's state has a transition on it; the path is read backwards."""
+        """Ids, four bytes each, of a word that the pattern has split off: the path that the automaton accepts.
+
+        From the state of the last token, the longest next token that has a transition is read first. A place from which no path leads on
+        is dead, and the token before it gives way to a shorter one: a prefix has one path only, so a dead place stays dead.
+        """
         text = "".join(map(self.symbols.__getitem__, word.encode()))
-        n, get, follows = len(text), self.vocab.get, self.automaton.follows
-        last = [-1] * (n + 1)
-        for i in range(1, n + 1):
-            tail = self.end if i == n else ""
-            for j in range(max(0, i - self.longest), i):
-                token = get(text[j:i] + tail)
-                if token is not None and (not j or last[j] >= 0 and follows(last[j], token)):
-                    last[i] = token
-                    break
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i -= len(self.labels[last[i]]) - (len(self.end) if i == n else 0)
-        return np.array(out[::-1], "<u4").tobytes()
+        n, inner, final, follows = len(text), self.inner.get, self.final.get, self.automaton.follows
+        dead, out, sizes = bytearray(n + 1), [], []
+        reach = self.reach.get
+        at, size = 0, min(reach(text[:4], 3), n)
+        while at < n:
+            while size:
+                stop = at + size
+                if not dead[stop]:
+                    token = final(text[at:]) if stop == n else inner(text[at:stop])
+                    if token is not None and (not out or follows(out[-1], token)):
+                        break
+                size -= 1
+            if size:
+                out.append(token)
+                sizes.append(size)
+                at = stop
+                size = min(reach(text[at : at + 4], 3), n - at)
+            else:
+                dead[at] = 1
+                out.pop()
+                size = sizes.pop()
+                at -= size
+                size -= 1
+        return np.array(out, "<u4").tobytes()
 
     def words(self, text: str) -> list[str]:
+        """The words of a text; all white space only parts them."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case here is by character, without final forms
-        return self.split.findall(self.space.sub(" ", text).lower())
+        text = text.lower()
+        return (self.split if not self.quick or _NOT_QUICK.search(text) else _QUICK).findall(text)
 
     def encode(self, text: str) -> bytes:
         """The text's ids, four bytes each, lowest first."""
-        out, known = [], self.known
+        out = []
         for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
-            if k % 2:
-                out.append(np.array([self.added[part]], "<u4").tobytes())
-                continue
-            for w in self.words(part):
-                ids = known.get(w)
-                if ids is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    ids = self.word(w)
-                    if len(w) < 100:
-                        known[w] = ids
-                out.append(ids)
+            out.append(np.array([self.added[part]], "<u4").tobytes() if k % 2 else b"".join(map(self.known.__getitem__, self.words(part))))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

@@ -61,3 +61,22 @@ def flushed(rows: Iterator[tuple], schema: pa.Schema, sizes: Callable[[tuple], i
             held, total = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema, strict=True)], schema=schema)
+
+
+class Remembered(dict):
+    """What make gives for words. Those of two generations are kept, `most` words in all; very long words are not."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, word):
+        found = self.before.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) < 100:
+            if len(self) >= self.most // 2:
+                self.before = dict(self)
+                self.clear()
+            self[word] = found
+        return found

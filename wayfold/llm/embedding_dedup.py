@@ -50,6 +50,8 @@ def fit(unit: np.ndarray, dim: int, tables: int, width: int, rounds: int = 30, s
     scale = np.sqrt(np.maximum(((x @ axes) ** 2).mean(axis=0), 1e-12)) if len(unit) else np.ones(dim)
     used = axes[:, scale > 1e-5] if (scale > 1e-5).any() else axes
     v, need, found = x @ used, tables * width, []
+    if not used.shape[1]:
+        return Index(mean, np.zeros((dim, need)), tables, width)
     while sum(f.shape[1] for f in found) < need:
         r = np.linalg.qr(rng.normal(size=(used.shape[1],) * 2))[0]
         for _ in range(rounds if len(v) else 0):

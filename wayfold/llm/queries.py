@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, line_dedup, mixing, quality_gam, quality_rules, simhash, warc
+from . import bpe, embedding_dedup, line_dedup, mixing, perspectives, quality_gam, quality_rules, simhash, token_counts, warc
 
-_MODULES = (quality_rules, line_dedup, simhash, mixing, bpe, warc, quality_gam, embedding_dedup)
+_MODULES = (quality_rules, warc, line_dedup, mixing, token_counts, embedding_dedup, perspectives, bpe, simhash, quality_gam)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

@@ -68,7 +68,7 @@ def pieces(packed: DataFrame, block: int) -> DataFrame:
     return cut_up.withColumn("at", at).withColumn("n", F.least((F.col("block") + 1) * block - first, F.col("size")) - F.col("at"))
 
 
-def draw_slots(plan: DataFrame, seed: int = SEED, slots_per_shard: int = 8192) -> DataFrame:
+def draw_slots(plan: DataFrame, seed: int = SEED, slots_per_shard: int = 8192, slots_per_task: int = 500_000) -> DataFrame:
     """(shard, slot, rank, block): the block of which source fills each slot of the output.
 
     The output has as many slots as the quotas sum to, slots_per_shard to a shard. Each slot draws its source with probability
@@ -77,12 +77,14 @@ def draw_slots(plan: DataFrame, seed: int = SEED, slots_per_shard: int = 8192) -
     seldom, so that every quota is met exactly and no block is taken more often than passes allow. Hashes of the slot number
     are all the randomness: reruns agree.
     """
+    spark = plan.sparkSession
+    n_slots = plan.agg(F.sum("quota")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_slots // slots_per_task))
     recipe = plan.where("quota > 0").agg(F.sort_array(F.collect_list(F.struct("rank", "quota", "n_blocks"))).alias("sources"))
     total = F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + s.quota)
     upto = F.transform("sources", lambda _, k: F.aggregate(F.slice("sources", F.lit(1), k + 1), F.lit(0).cast("long"), lambda a, s: a + s.quota))
-    recipe = recipe.where(F.size("sources") > 0).select("sources", total.alias("slots"), upto.alias("upto"))
-    shards = recipe.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / slots_per_shard)))).repartition("shard")
-    slots = shards.withColumn("slot", F.explode(F.sequence(F.col("shard") * slots_per_shard, F.least((F.col("shard") + 1) * slots_per_shard, F.col("slots")) - 1)))
+    recipe = recipe.select("sources", total.alias("slots"), upto.alias("upto"))
+    slots = spark.range(0, n_slots, 1, tasks).select(F.expr(f"id div {slots_per_shard}").alias("shard"), F.col("id").alias("slot")).join(F.broadcast(recipe))  # one row
     drawn = let(F.pmod(F.xxhash64(F.lit(seed), "slot"), F.col("slots")), lambda u: F.get("sources", F.size(F.filter("upto", lambda c: c <= u))))
     drawn = slots.select("shard", "slot", drawn.alias("s")).select("shard", "slot", "s.rank", "s.quota", F.lit(1).cast("long").alias("one"))
     numbered = cut(running_before(drawn, "rank", "shard", ["slot"], "one", "j").select("shard", "slot", "rank", "j", F.col("j") >= F.col("quota"), "one").toDF("shard", "slot", "rank", "j", "over", "one"))
@@ -92,7 +94,7 @@ def draw_slots(plan: DataFrame, seed: int = SEED, slots_per_shard: int = 8192) -
     short = counts.withColumn("lack", lack).withColumn("before", F.coalesce(F.sum("lack").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where("lack > 0")
     short = short.select("rank", "got", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lack") - 1)).alias("x"))
     refilled = over.join(short.select("rank", (F.col("before") + F.col("x")).alias("o"), (F.coalesce("got", F.lit(0)) + F.col("x")).alias("j")), "o").select("shard", "slot", "rank", "j")
-    filled = numbered.where("not over").select("shard", "slot", "rank", "j").unionByName(refilled).join(plan.select("rank", "n_blocks"), "rank")
+    filled = numbered.where("not over").select("shard", "slot", "rank", "j").unionByName(refilled).join(plan.select("rank", "n_blocks"), "rank").repartition(tasks, "slot")
     turn = F.expr("j div n_blocks")
     return filled.select("shard", "slot", "rank", permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("rank"), turn).alias("block"))
 

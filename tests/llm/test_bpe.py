@@ -67,3 +67,5 @@ def test_query(spark):
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(THEIRS.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert B.digests(docs.limit(0)).count() == 0
+    apart = B.decode(B.encode(docs, PATH), PATH).collect()
+    assert sorted(map(tuple, apart), key=str) == sorted(map(tuple, B.encode(docs, PATH, decoded=True).collect()), key=str)

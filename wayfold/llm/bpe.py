@@ -20,9 +20,9 @@ from .common import Remembered, table
 
 NEVER = 1 << 60
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Transitions that a worker's table holds at once.
-TABLE = 1_000_000
+TABLE = 250_000
 
 
 def byte_symbols() -> list[str]:
@@ -63,7 +63,7 @@ class Automaton:
             else:
                 self.entry[s] = at = at + 1
                 walk += [(s, True), *((c, False) for c in children[s])]
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
 
     def _tails(self, token: int) -> list[int]:
         out = [token]
@@ -82,7 +82,7 @@ class Automaton:
 
     def follows(self, last: int, token: int) -> bool:
         """Whether the state that `last` leads to has a transition on token: no ancestor of it lacks the token, or lacked what the token begins with when that was taken up."""
-        known = self.table.get((last, token))
+        known = self.table.get(last << 32 | token)
         if known is None:
             state = self.leads[last]
             tails = self._tails(last)
@@ -94,7 +94,7 @@ class Automaton:
                         known = False
             if len(self.table) >= TABLE:
                 self.table.clear()
-            self.table[last, token] = known
+            self.table[last << 32 | token] = known
         return known
 
 
@@ -210,11 +210,11 @@ def _loaded(spec: str) -> Tokenizer:
     return _LOADED[spec]
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: str, spec: str, run_one) -> DataFrame:
-    """df with column replaced by out, of that type, batches bounded in bytes."""
+def _mapped(df: DataFrame, column: str, outs: dict[str, str], spec: str, run_one) -> DataFrame:
+    """df with column replaced by what run_one gives for it, of those names and types; batches are bounded in bytes."""
     spec_ = df.sparkSession.sparkContext.broadcast(spec)
     rest = [c for c in df.columns if c != column]
-    schema = df.select(*rest, F.lit(None).cast(kind).alias(out)).schema
+    schema = df.select(*rest, *(F.lit(None).cast(kind).alias(out) for out, kind in outs.items())).schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,30 +223,37 @@ def _mapped(df: DataFrame, column: str, out: str, kind: str, spec: str, run_one)
             begin, made, size = 0, [], 0
             for k, x in enumerate(b.column(len(rest))):
                 made.append(run_one(t, x.as_py()))
-                size += len(made[-1])
+                size += sum(map(len, made[-1]))
                 if size > 8 << 20 or k + 1 == b.num_rows:
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(begin, len(made)) for c in range(len(rest))), pa.array(made, arrow.field(len(rest)).type)], schema=arrow)
+                    kept = (b.column(c).slice(begin, len(made)) for c in range(len(rest)))
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, arrow.field(len(rest) + i).type) for i, c in enumerate(zip(*made, strict=True)))], schema=arrow)
                     begin, made, size = k + 1, [], 0
 
     return df.select(*rest, column).mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids) for each row of docs; ids are unsigned 32-bit integers, lowest byte first, end to end.
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, n_tokens, ids) for each row of docs; ids are unsigned 32-bit integers, lowest byte first, end to end. decoded: and the text that the ids decode to, made in the same pass over the row.
 
     tokenizer is the path of a tokenizers file, read on the driver; workers get its text (bounded by the vocabulary) and compile it once.
     Null texts are empty and have no ids; whole texts are encoded; repeated rows are encoded each; an empty table gives no rows.
     Other columns are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = _mapped(base, "text", "ids", "binary", Path(tokenizer).read_text(), lambda t, x: t.encode(x))
-    return out.select("id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    outs = {"ids": "binary", "decoded": "string"} if decoded else {"ids": "binary"}
+
+    def one(t: Tokenizer, text: str) -> tuple:
+        ids = t.encode(text)
+        return (ids, t.decode(ids)) if decoded else (ids,)
+
+    out = _mapped(base, "text", outs, Path(tokenizer).read_text(), one)
+    return out.select("id", (F.length("ids") / 4).cast("long").alias("n_tokens"), *outs)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """encoded (id, n_tokens, ids) with the text that its ids decode to."""
     both = encoded.select("id", "n_tokens", "ids", F.col("ids").alias("coded"))
-    return _mapped(both, "coded", "decoded", "string", Path(tokenizer).read_text(), lambda t, x: t.decode(x))
+    return _mapped(both, "coded", {"decoded": "string"}, Path(tokenizer).read_text(), lambda t, x: (t.decode(x),))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -259,7 +266,7 @@ def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    out = decode(encode(docs, tokenizer), tokenizer)
+    out = encode(docs, tokenizer, decoded=True)
     return out.select("id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -39,11 +39,17 @@ def radius_join(frames: DataFrame, buildings: DataFrame, radius_m: float = Match
     return near.withColumn("dist_m", haversine_m(lat, lon, F.col("b_lat"), F.col("b_lon"))).where(F.col("dist_m") <= radius_m)
 
 
+def _described(pairs: DataFrame) -> DataFrame:
+    """pairs with dist_m, bearing_deg and angle_off_deg."""
+    at = [F.col(c) for c in ("lat", "lon", "b_lat", "b_lon")]
+    p = pairs if "dist_m" in pairs.columns else pairs.withColumn("dist_m", haversine_m(*at))
+    return p.withColumn("bearing_deg", bearing_deg(*at)).withColumn("angle_off_deg", angle_diff_deg(F.col("bearing_deg"), F.col("heading")))
+
+
 def cone_candidates(frames: DataFrame, buildings: DataFrame, m: Matching = Matching()) -> DataFrame:
     """Pairs of the radius join whose bearing is within the cone around the heading, with bearing_deg and angle_off_deg."""
     b = buildings.where(F.coalesce("confidence", F.lit(0.0)) >= m.min_confidence) if m.min_confidence > 0 else buildings
-    found = radius_join(frames, b, m.radius_m).withColumn("bearing_deg", bearing_deg(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")))
-    return found.withColumn("angle_off_deg", angle_diff_deg(F.col("bearing_deg"), F.col("heading"))).where(F.col("angle_off_deg") <= m.cone_deg)
+    return _described(radius_join(frames, b, m.radius_m)).where(F.col("angle_off_deg") <= m.cone_deg)
 
 
 def scored_candidates(frames: DataFrame, buildings: DataFrame, m: Matching = Matching()) -> DataFrame:
@@ -52,9 +58,20 @@ def scored_candidates(frames: DataFrame, buildings: DataFrame, m: Matching = Mat
     frames: frame_id, lat, lon, heading, depth, frac (share of the image's width that the building takes); buildings: building_id, b_lat, b_lon,
     confidence, footprint_w_m. Other columns are carried.
     """
-    c = cone_candidates(frames, buildings, m)
-    c = c.withColumn("_t", match_terms(F.col("angle_off_deg"), F.col("dist_m"), F.col("footprint_w_m"), F.col("frac"), F.col("depth"), m))
-    c = c.withColumn("score", F.round(F.col("_t.angle") + F.col("_t.prox") + F.col("_t.width") + F.col("_t.depth"), 2))
+    return _with_scores(cone_candidates(frames, buildings, m), m)
+
+
+def _total(m: Matching) -> Column:
+    t = _terms(m)
+    return F.round(t.angle + t.prox + t.width + t.depth, 2)
+
+
+def _terms(m: Matching) -> Column:
+    return match_terms(F.col("angle_off_deg"), F.col("dist_m"), F.col("footprint_w_m"), F.col("frac"), F.col("depth"), m)
+
+
+def _with_scores(c: DataFrame, m: Matching) -> DataFrame:
+    c = c.withColumn("_t", _terms(m)).withColumn("score", _total(m))
     for k in ("angle", "prox", "width", "depth"):
         c = c.withColumn(f"score_{k}", F.round(F.col(f"_t.{k}"), 2))
     return c.drop("_t").withColumn("angle_off_deg", F.round("angle_off_deg", 2)).withColumn("dist_m", F.round("dist_m", 2)).withColumn("bearing_deg", F.round("bearing_deg", 2))
@@ -67,11 +84,18 @@ def ranked(candidates: DataFrame, k: int | None = None, key: str = "frame_id") -
 
 
 def best_matches(frames: DataFrame, buildings: DataFrame, m: Matching = Matching()) -> DataFrame:
-    """The best candidate of each frame that has one, and how many it had. One pass: the best row is a maximum, which is taken in part before the exchange."""
-    c = scored_candidates(frames, buildings, m)
-    kept = [x for x in c.columns if x != "frame_id"]
-    best = c.groupBy("frame_id").agg(F.max_by(F.struct(*kept), F.struct(F.col("score"), -F.col("building_id"))).alias("_b"), F.count("*").alias("n_candidates"))
-    return best.select("frame_id", *(F.col(f"_b.{x}").alias(x) for x in kept), "n_candidates")
+    """The best candidate of each frame that has one, and how many it had; ties go to the smallest building_id.
+
+    Candidates are scored and thrown away: score and id make one number, whose maximum names the winner, so fixed-width values are
+    aggregated in a hash table, in part before the exchange, and nothing is sorted. Only winners come back by key to be described.
+    """
+    slim = lambda df, *c: df.select(*(x for x in c if x in df.columns))
+    f = slim(frames, "frame_id", "lat", "lon", "heading", "depth", "frac")
+    b = slim(buildings, "building_id", "b_lat", "b_lon", "confidence", "footprint_w_m")
+    key = F.expr("CAST(CAST(round(score * 100) AS DECIMAL(10,0)) * 100000000000000000000BD - CAST(building_id AS DECIMAL(20,0)) AS DECIMAL(38,0))")
+    c = cone_candidates(f, b, m).select("frame_id", "building_id", _total(m).alias("score"))
+    best = c.groupBy("frame_id").agg(F.max_by("building_id", key).alias("building_id"), F.count("*").alias("n_candidates"))
+    return _with_scores(_described(frames.join(best, "frame_id").join(buildings, "building_id")), m)
 
 
 def frame_status(frames: DataFrame, detected: DataFrame, matched: DataFrame) -> DataFrame:

@@ -75,6 +75,21 @@ def test_mixed_documents_have_the_taken_words(spark):
     assert got == taken
 
 
+def test_mixed_documents_with_shared_ids(spark):
+    text = lambda k, n: " ".join(f"t{k}x{j}" for j in range(n))
+    rows = [(1, text(0, 64), "a"), (1, text(1, 64), "a"), (None, text(2, 64), "a"), (None, text(3, 64), None), (2, text(4, 64), "b"), (2, text(4, 64), "b"), (2, text(4, 64), "a"), (3, None, "b"), (4, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_key", F.lit(1)).withColumn("_TURN", F.lit(2))
+    out = M.mixed_documents(docs)
+    assert out.columns == docs.columns
+    got, held = Counter(), Counter()
+    for r in out.collect():
+        got[r.doc_id, r.source, r.text.split("x")[0]] += len(r.text.split())
+    for i, t, s in rows:
+        held[i, s, (t or "").split("x")[0]] += len((t or "").split())
+    assert all(n <= 2 * held[k] for k, n in got.items()) and abs(sum(got.values()) - 1.5 * sum(held.values())) <= 3 * 64
+    assert M.mixed_documents(docs.limit(0)).count() == 0
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 64, 1000):
         df = spark.range(n).select(M.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(n)).alias("p"))

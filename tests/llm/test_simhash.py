@@ -2,6 +2,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from wayfold.llm import simhash as S
 from wayfold.llm.components import connected_components
@@ -72,3 +73,13 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(S, "PAIRWISE", pairwise)
         assert sorted(map(tuple, S.near_duplicates(docs).collect()), key=str) == expected
     assert S.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_with_shared_ids_and_clashing_names(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(5, own(1), "a"), (7, own(1), "b"), (5, own(2), "c"), (9, own(2), "d"), (None, own(3), "e"), (None, own(4), "f"), (None, own(4), "f"), (3, own(4), "g"), (8, own(5), "h"), (8, own(5), "h"), (10, None, "i"), (11, "", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("wanted", F.lit(1)).withColumn("root", F.lit(2))
+    got = S.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.key, r.doc_id) for r in got.collect()) == [("a", 5), ("c", 5), ("e", None), ("g", 3), ("h", 8), ("i", 10)]
+    assert S.one_of_each(docs.limit(0)).count() == 0

@@ -44,6 +44,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def rekeyed(key: Column) -> Column:
     """The same whole number, but a key that Spark doesn't take for the one it has grouped by. A join on it exchanges both sides, and adaptive execution can only split the skewed partitions of a join whose sides were both exchanged for it."""
     return key.bitwiseXOR(F.lit(0).cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, let, table
+from .common import cut, let, table, unused
 from .quality_rules import words
 
 WEIGHTS = (3, 1, 2)
@@ -54,10 +54,10 @@ def permuted(i: Column, n: Column, *key: Column, rounds: int = 16) -> Column:
 
 
 def pack(rows: DataFrame, block: int, rows_per_bucket: int = 4096) -> DataFrame:
-    """rows (id, rank, size > 0) with start: the place of a document's first word in its source's sequence of words. The sequence is cut every `block` words."""
+    """rows (id, rank, size > 0, apart if there) with start: the place of a document's first word in its source's sequence of words. The sequence is cut every `block` words."""
     buckets = max(1, -(-rows.count() // rows_per_bucket))
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    return running_before(dealt, "rank", "bucket", ["id", "size"], "size", "start").drop("bucket")
+    return running_before(dealt, "rank", "bucket", ["id", *(c for c in ("size", "apart") if c in dealt.columns)], "size", "start").drop("bucket")
 
 
 def pieces(packed: DataFrame, block: int) -> DataFrame:
@@ -99,24 +99,26 @@ def draw_slots(plan: DataFrame, seed: int = SEED, slots_per_shard: int = 8192, s
     return filled.select("shard", "slot", "rank", permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("rank"), turn).alias("block"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 64, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 64, seed: int = SEED, apart: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, parts, slots) of the mix of docs.
 
     rows: id, source, size (words of the text), rank, source_size, target. parts: id, rank, start, size, block, at, n, times: the parts
     of documents with words, and how many slots take each. slots: shard, slot, rank, block. Joining parts and slots by rank and block gives the output blocks.
 
     Null and empty texts have size 0 and no parts; sources without words get no slots; a null source is the last source; null and
-    repeated ids are rows as any other (their order in a source's sequence is by id and size; equal rows are interchangeable); an
+    repeated ids are rows as any other (their order in a source's sequence is by id and size; equal rows are interchangeable; apart
+    names a column that tells rows of one id apart, which rows and parts then have as `apart`); an
     empty table gives no rows. Other columns are not read. One row per source goes through a single task, as do the shard
     sums of a source, one for each 8192 slots; nothing else does.
     """
-    base = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.size(words(F.col(text_col))), F.lit(0)).cast("long").alias("size")).withColumn("size", F.greatest("size", F.lit(0).cast("long"))))
+    more = [] if apart is None else [F.col(apart).alias("apart")]
+    base = cut(docs.select(F.col(id_col).alias("id"), *more, F.col(source_col).cast("string").alias("source"), F.coalesce(F.size(words(F.col(text_col))), F.lit(0)).cast("long").alias("size")).withColumn("size", F.greatest("size", F.lit(0).cast("long"))))
     plan = cut(source_plan(base, weights, share, most, block))
     named = plan.select(F.col("source").alias("s"), "rank", "source_size", "target")
     rows = base.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     slots = cut(draw_slots(plan, seed))
     takes = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
-    parts = pieces(pack(rows.where("size > 0").select("id", "rank", "size"), block), block)
+    parts = pieces(pack(rows.where("size > 0").select("id", *(["apart"] if more else []), "rank", "size"), block), block)
     return rows, parts.join(takes, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0))), slots
 
 
@@ -128,16 +130,22 @@ def taken_words(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as documents with all columns of docs: a row for the first taking of a document's parts and one for the second, with the text of those parts, each word with the white space before it; whole where all parts are taken."""
-    _, parts, _ = mix(docs, id_col, text_col, source_col)
+    """The mix as documents with all columns of docs: a row for the first taking of a document's parts and one for the second, with the text of those parts, each word with the white space before it; whole where all parts are taken.
+
+    Rows are told apart by id, source and text (by hash), so rows that only share an id are mixed each by its own text; rows equal in the
+    three are each taken as the slots say, with the other columns of any one of them. Texts without words are not taken.
+    """
+    key, t_key, turn = (unused(docs, n) for n in ("_key", "_of", "_turn"))
+    parts_of_key = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, source_col))
+    keyed = docs.withColumn(key, F.concat_ws(":", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).cast("string"), F.col(id_col).isNull().cast("int").cast("string"), F.col(source_col).isNull().cast("int").cast("string"), *parts_of_key))
+    _, parts, _ = mix(keyed, id_col, text_col, source_col, apart=key)
     passes = parts.where("times > 0").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    got = passes.groupBy("id", "rank", "start", "size", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("got"), F.sum("n").alias("n"))
-    got = got.groupBy("id", "size").agg(F.collect_list(F.struct("n", "got")).alias("turns"))
+    got = passes.groupBy("apart", "rank", "start", "size", "turn").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("got"), F.sum("n").alias("n"))
+    got = got.select(F.col("apart").alias(t_key), F.struct("size", "n", "got").alias(turn))
+    joined = keyed.dropDuplicates([key]).join(got, F.col(key) == F.col(t_key))
     ws = F.regexp_extract_all(text_col, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
-    d = docs.withColumn("_size", F.size(words(F.col(text_col))).cast("long"))
-    joined = d.join(got.select(F.col("id").alias("_id"), F.col("size").alias("_of"), F.explode("turns").alias("_turn")), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_of")))
-    text = let(ws, lambda w: F.array_join(F.transform(F.col("_turn.got"), lambda p: F.array_join(F.slice(w, (p["at"] + 1).cast("int"), p["n"].cast("int")), "")), ""))
-    return joined.withColumn(text_col, F.when(F.col("_turn.n") == F.col("_size"), F.col(text_col)).otherwise(text)).select(*docs.columns)
+    text = let(ws, lambda w: F.array_join(F.transform(F.col(turn).got, lambda p: F.array_join(F.slice(w, (p["at"] + 1).cast("int"), p["n"].cast("int")), "")), ""))
+    return joined.withColumn(text_col, F.when(F.col(turn).n == F.col(turn)["size"], F.col(text_col)).otherwise(text)).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

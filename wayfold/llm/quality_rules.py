@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, cut, let, rekeyed, table
+from .common import SPACE, WORD, cut, let, rekeyed, table, unused
 
 WINDOW = 8
 
@@ -91,11 +91,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def apply_quality_rules(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of docs that the verdict keeps, all their columns, their texts without the removed lines."""
-    v = verdict.where("kept").select(F.col("id").alias("_v_id"), F.col("content").alias("_v_content"), F.col("host").alias("_v_host"), F.col("removed_lines").alias("_v_lines")).distinct()
-    d = docs.withColumn("_content", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = d.join(v, F.col(id_col).eqNullSafe(F.col("_v_id")) & (F.col("_content") == F.col("_v_content")) & F.col(host_col).cast("string").eqNullSafe(F.col("_v_host")))
-    kept = F.filter(F.split(text_col, "\n"), lambda x: ~x.rlike(WORD) | ~F.array_contains("_v_lines", _line_key(x)))
-    return joined.withColumn(text_col, F.when(F.size("_v_lines") == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    content, v_id, v_content, v_host, v_lines = (unused(docs, n) for n in ("_content", "_v_id", "_v_content", "_v_host", "_v_lines"))
+    v = verdict.where("kept").select(F.col("id").alias(v_id), F.col("content").alias(v_content), F.col("host").alias(v_host), F.col("removed_lines").alias(v_lines)).distinct()
+    d = docs.withColumn(content, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = d.join(v, F.col(id_col).eqNullSafe(F.col(v_id)) & (F.col(content) == F.col(v_content)) & F.col(host_col).cast("string").eqNullSafe(F.col(v_host)))
+    kept = F.filter(F.split(text_col, "\n"), lambda x: ~x.rlike(WORD) | ~F.array_contains(v_lines, _line_key(x)))
+    return joined.withColumn(text_col, F.when(F.size(v_lines) == 0, F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, flushed, rekeyed, table
+from .common import cut, flushed, rekeyed, table, unused
 from .components import connected_components
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -54,15 +54,19 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long. Whole texts are hashed, in runs of bounded size."""
+    """(id, content, fp): content is Spark's hash of the text (null as empty), fp the fingerprint as a signed long. Whole texts are hashed, in runs of bounded size."""
     kind = docs.schema[id_col].dataType
-    schema = pa.schema([("id", to_arrow_type(kind)), ("fp", pa.int64())])
+    schema = pa.schema([("id", to_arrow_type(kind)), ("content", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i, (f := fingerprint(t, shingle, seed)) - ((f >> 63) << 64)) for b in batches for i, t in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), strict=True))
-        return flushed(rows, schema, lambda r: 16)
+        rows = ((i, c, (f := fingerprint(t, shingle, seed)) - ((f >> 63) << 64)) for b in batches for i, c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (x.as_py() for x in b.column(2)), strict=True))
+        return flushed(rows, schema, lambda r: 24)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind.simpleString()}, fp long")
+    return docs.select(F.col(id_col).alias("id"), _content(text_col).alias("content"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind.simpleString()}, content long, fp long")
+
+
+def _content(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _masks() -> list[int]:
@@ -96,6 +100,17 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, content, fp, component_id, root) for each row of docs; root is the smallest fingerprint of the row's group."""
+    rows = cut(fingerprints(docs, id_col, text_col, shingle))
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
+    labels = connected_components(close_pairs(rows.select("fp").distinct()), "a", "b")
+    nodes = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    groups = nodes.select("fp", "root").join(least.select(rekeyed(F.col("root")).alias("root"), "component_id"), "root").select(rekeyed(F.col("fp")).alias("fp"), "component_id", "root")
+    return rows.join(groups, "fp").select("id", "content", "fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp, component_id) for each row of docs.
 
@@ -104,13 +119,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null and empty texts have the fingerprint zero and are linked as any other; repeated rows are kept; an empty table
     gives no rows; other columns are not read.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
-    labels = connected_components(close_pairs(rows.select("fp").distinct()), "a", "b")
-    nodes = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    groups = nodes.select("fp", "root").join(least.select(rekeyed(F.col("root")).alias("root"), "component_id"), "root").select(rekeyed(F.col("fp")).alias("fp"), "component_id")
-    return rows.join(groups, "fp").select("id", "fp", "component_id")
+    return grouped(docs, id_col, text_col, shingle).select("id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row of docs for each group of near duplicates, with all columns.
+
+    The row with the smallest id stays (null only where a group has no other). Rows that share that id and differ in text: the
+    text whose hash is smallest stays; rows equal in id and text: any one. Groups that share an id each keep a row.
+    """
+    found = grouped(docs, id_col, text_col, shingle)
+    first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id").agg(F.min("content").alias("content"))
+    # one key for the join and for equal rows, so that texts are exchanged once; a null id leaves the hash alone
+    key, wanted = unused(docs, "key"), unused(docs, "wanted")
+    keyed = docs.withColumn(key, F.concat_ws(":", F.col(id_col).cast("string"), _content(text_col).cast("string")))
+    chosen = first.select(F.concat_ws(":", F.col("id").cast("string"), F.col("content").cast("string")).alias(wanted))
+    return keyed.join(chosen, F.col(key) == F.col(wanted), "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

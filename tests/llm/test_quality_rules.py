@@ -52,3 +52,13 @@ def test_line_frequency(spark):
     assert len(out) == 12 + 12 + 4 + 1 + 2
     texts = {r.doc_id: r.text for r in out}
     assert texts[3] == own(3) and texts[300].endswith("host") and texts[500].endswith("host") and texts[203] == own(999) + "\n" + own(998)
+
+
+def test_repeated_rows_lose_a_frequent_line_once(spark):
+    line = "shared line of the host with ten words in it"
+    rows = [(i, f"{own(i, 21)}\n{line}", "h") for i in range(12)] + [(5, f"{own(5, 21)}\n{line}", "h")] * 3 + [(None, f"{own(6, 21)}\n{line}", "h")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    verdict = Q.quality_rules(docs, max_docs=8, max_share=0.1)
+    got = [(r.removed_words, r.kept) for r in verdict.collect()]
+    assert got == [(10, True)] * 17
+    assert sorted(r.text for r in Q.apply_quality_rules(docs, verdict).collect()) == sorted([own(i, 21) for i in range(12)] + [own(5, 21)] * 3 + [own(6, 21)] * 2)

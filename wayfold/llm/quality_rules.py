@@ -66,19 +66,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more than max_docs of them and more than max_share of the host's is removed from all of the host's documents. A document is
     kept if it doesn't fail the base rules and keeps min_words words and min_left of its words.
 
-    Null texts count as empty (they fail: no word); a null host is a host; rows that share an id are judged each by its text; an
-    empty table gives no rows; other columns are not read. Groups are summed in part before each exchange; the lines' join with the
+    Null texts count as empty (they fail: no word); a null host is a host; rows that share an id, and rows that repeat as a
+    whole, are judged each by its text; an empty table gives no rows; other columns are not read. Groups are summed in part before each exchange; the lines' join with the
     frequent lines is one that adaptive execution can split when a host or a line has very many rows.
     """
-    rows = cut(measures(docs, id_col, text_col, host_col))
+    rows = cut(measures(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()))
     held = rows.select("host", "content", F.explode(F.array_distinct("line_keys")).alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
     hosts = rows.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     frequent = held.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > max_share * F.col("host_docs")).select(F.col("host").alias("h"), rekeyed(F.col("key")).alias("k"))
-    lines = rows.select("id", "host", "content", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("id", "host", "content", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("n"))
+    lines = rows.select("row", "host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("row", "host", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("n"))
     gone = lines.join(frequent, (F.col("key") == F.col("k")) & F.col("host").eqNullSafe(F.col("h")))
-    gone = gone.groupBy("id", "host", "content").agg(F.sum("n").alias("removed"), F.collect_set("key").alias("removed_lines"))
-    gone = gone.select(F.col("id").alias("g_id"), F.col("host").alias("g_host"), F.col("content").alias("g_content"), "removed", "removed_lines")
-    out = rows.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("content") == F.col("g_content")) & F.col("host").eqNullSafe(F.col("g_host")), "left")
+    gone = gone.groupBy("row").agg(F.sum("n").alias("removed"), F.collect_set("key").alias("removed_lines"))
+    out = rows.join(gone.select(rekeyed(F.col("row")).alias("g_row"), "removed", "removed_lines"), F.col("row") == F.col("g_row"), "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     out = out.withColumn("removed_words", F.coalesce("removed", F.lit(0)).cast("long"))

@@ -1,0 +1,175 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: MinHash bands propose pairs, the shingle sets decide."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import Remembered, cut, flushed, rekeyed, shared_dir
+from .components import connected_components
+from .simhash import _content, _runs, first_of_each
+
+#: Two sets at a similarity s agree in a band with probability s ** ROWS, in one of all bands with 1 - (1 - s ** ROWS) ** BANDS: 0.9995 at 0.8.
+BANDS, ROWS = 25, 6
+#: Rounds in which a node meets one node of its bucket, before all pairs of a bucket that are not yet in one component meet.
+STARS = 2
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
+_ODD = np.random.default_rng(11).integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+_ADD = np.random.default_rng(12).integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def _words() -> Remembered:
+    return Remembered(lambda w: xxhash.xxh64_intdigest(w, 42), 100_000)
+
+
+def shingle_set(text: bytes | None, shingle: int, known: Remembered) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a UTF-8 text: A-Z lower-cased, words. No word: none; fewer words than a shingle has: one shingle of all of them."""
+    parts, short = [], []
+    for words in _runs((text or b"").lower(), shingle - 1):
+        if len(words) < shingle:
+            short = words
+            continue
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        n = len(h) - shingle + 1
+        x = np.zeros(n, np.uint64)
+        for i in range(shingle):
+            x = _mixed(x * _MIX[2] + h[i : i + n] + np.uint64(1))
+        parts.append(np.unique(x))
+    if not parts:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(short), 43)] if short else [], np.uint64)
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of a set that is not empty."""
+    least = np.full(len(_ODD), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(shingles), 256):
+        x = (shingles[at : at + 256] >> np.uint64(32)).astype(np.uint32)[:, None] * _ODD + _ADD
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(0x45D9F3B)
+        x ^= x >> np.uint32(15)
+        np.minimum(least, x.min(axis=0), out=least)
+    key = np.zeros(BANDS, np.uint64)
+    for column in least.reshape(BANDS, ROWS).T.astype(np.uint64):
+        key = _mixed(key * _MIX[2] + column + np.uint64(1))
+    return key
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, content, node, n, bands) for each row: node is a hash of the text's set of shingles, n the size of the set. A text without a word has node 0 and no bands."""
+    kind = docs.schema[id_col].dataType
+    schema = pa.schema([("id", to_arrow_type(kind)), ("content", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+    def row(i, c, text, known) -> tuple:
+        s = shingle_set(text, shingle, known)
+        return (i, c, int(np.array(xxhash.xxh64_intdigest(s.tobytes(), 42), np.uint64).view(np.int64)), len(s), bands(s).view(np.int64).tolist()) if len(s) else (i, c, 0, 0, [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _words()
+        rows = (row(i, c, t.as_py(), k) for b in batches for i, c, t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), repeat(known)))
+        return flushed(rows, schema, lambda r: 32 + 8 * len(r[4]))
+
+    return docs.select(F.col(id_col).alias("id"), _content(text_col).alias("content"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind.simpleString()}, content long, node long, n long, bands array<long>")
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of (node, text)."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _words()
+        rows = ((n, shingle_set(t.as_py(), shingle, known).view(np.int64)) for b in batches for n, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        return flushed(rows, schema, lambda r: 8 + 8 * len(r[1]))
+
+    return texts.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least so much."""
+    of = lambda end: sets.select(rekeyed(F.col("node")).alias(end), F.col("shingles").alias(f"{end}_set"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("a_set", "b_set")))
+    return met.where(F.col("both") >= F.lit(similarity) * (F.size("a_set") + F.size("b_set") - F.col("both"))).select("a", "b")
+
+
+def _labelled(entries: DataFrame, edges: DataFrame | None) -> DataFrame:
+    if edges is None:
+        return entries.withColumn("comp", F.col("node"))
+    labels = connected_components(edges, "a", "b").select(rekeyed(F.col("node")).alias("node"), "component")
+    return entries.join(labels, "node", "left").select("band", "key", "node", "n", F.coalesce("component", "node").alias("comp"))
+
+
+def similar_edges(nodes: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """Edges (a, b) between nodes (node, n, bands) whose components are those of all pairs that share a band and have the similarity.
+
+    Nodes of a bucket first meet one node of it, drawn anew in each of STARS rounds; a bucket whose nodes are in one component by then
+    needs no other pair. What is left meets pair by pair, but for pairs that are in one component or whose sizes rule the
+    similarity out. Each proposed pair is decided by its sets.
+    """
+    entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    sizes = entries.groupBy("band", "key").agg(F.count("*").alias("met")).where("met > 1").select("band", rekeyed(F.col("key")).alias("key"))
+    entries = cut(entries.join(sizes, ["band", "key"]).select("band", "key", "node", "n"))
+    sets = sets_of(entries.select("node").distinct())
+    low = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
+    at = f"{shared_dir(nodes.sparkSession).rstrip('/')}/edges-{uuid.uuid4().hex}"
+    edges: DataFrame | None = None
+    for k in range(STARS + 1):
+        now = _labelled(entries, edges)
+        spread = now.groupBy("band", "key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "comp")).alias("r")).where("p < q")
+        spread = spread.select("band", rekeyed(F.col("key")).alias("key"), "r")
+        open_ = cut(now.join(spread, ["band", "key"]))
+        if open_.isEmpty():
+            break
+        if k < STARS:
+            pairs = open_.where((F.col("comp") != F.col("r.comp")) & low(F.col("n"), F.col("r.n"))).select(F.col("node").alias("a"), F.col("r.node").alias("b"))
+        else:
+            one, two = (open_.select("band", x, *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp"))) for x, s in ((F.col("key"), "a"), (rekeyed(F.col("key")).alias("key"), "b")))
+            pairs = one.join(two, ["band", "key"]).where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & low(F.col("n_a"), F.col("n_b")))
+            pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # written and read, not checkpointed: a checkpoint keeps the constraints of its plan, and they multiply with each round
+        _similar(pairs, sets, similarity).write.parquet(f"{at}/{k}")
+        found = entries.sparkSession.read.schema("a long, b long").parquet(f"{at}/{k}")
+        edges = found if edges is None else edges.unionByName(found)
+    return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if edges is None else edges
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, content, component_id, root) for each row of docs; root names the row's group, component_id is the smallest id in it.
+
+    Groups are the components over pairs of texts whose sets of shingles have the Jaccard similarity. Equal sets are one node, however many
+    documents have them; texts without a word are one group. Texts are exchanged once, those of one document for each node that shares a bucket.
+    """
+    rows = cut(signatures(docs, id_col, text_col, shingle))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("first_id"), F.min("content").alias("content"), F.min("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(nodes)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        of = nodes.select(rekeyed(F.col("node")).alias("node"), F.col("content").alias("c")).join(wanted, "node")
+        texts = docs.select(F.col(text_col).alias("text"), _content(text_col).alias("content"))
+        return cut(shingle_sets(texts.join(of, F.col("content") == F.col("c")).dropDuplicates(["content", "node"]).select("node", "text"), shingle))
+
+    edges = similar_edges(nodes.select("node", "n", "bands"), sets_of, similarity)
+    labels = connected_components(edges, "a", "b").select(rekeyed(F.col("node")).alias("node"), "component")
+    nodes = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    groups = nodes.select("node", "root").join(least.select(rekeyed(F.col("root")).alias("root"), "component_id"), "root").select(rekeyed(F.col("node")).alias("node"), "component_id", "root")
+    return rows.select("id", "content", "node").join(groups, "node").select("id", "content", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each group, with all columns; which one is as in simhash.one_of_each."""
+    return first_of_each(docs, grouped(docs, id_col, text_col, shingle, similarity), id_col, text_col)

@@ -128,7 +128,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The row with the smallest id stays (null only where a group has no other). Rows that share that id and differ in text: the
     text whose hash is smallest stays; rows equal in id and text: any one. Groups that share an id each keep a row.
     """
-    found = grouped(docs, id_col, text_col, shingle)
+    return first_of_each(docs, grouped(docs, id_col, text_col, shingle), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that one_of_each keeps of the groups found: (id, content, component_id, root) for each row."""
     first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id").agg(F.min("content").alias("content"))
     # one key for the join and for equal rows, so that texts are exchanged once; a null id leaves the hash alone
     key, wanted = unused(docs, "key"), unused(docs, "wanted")

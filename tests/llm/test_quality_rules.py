@@ -62,3 +62,12 @@ def test_repeated_rows_lose_a_frequent_line_once(spark):
     got = [(r.removed_words, r.kept) for r in verdict.collect()]
     assert got == [(10, True)] * 17
     assert sorted(r.text for r in Q.apply_quality_rules(docs, verdict).collect()) == sorted([own(i, 21) for i in range(12)] + [own(5, 21)] * 3 + [own(6, 21)] * 2)
+
+
+def test_lines_of_small_and_of_very_large_hosts(spark):
+    rows = [(i, f"{own(i)}\nline of a small host", "small") for i in range(12)] + [(100 + i, f"{own(100 + i)}\nrare line", "rare") for i in range(10)]
+    rows += [(1000 + i, own(1000 + i) + ("\nline of the large host" if i < 31 else "\nseldom line" if i < 60 else ""), "large") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lost = lambda **limits: {r.id for r in Q.quality_rules(docs, **limits).where("removed_words > 0").collect()}
+    assert lost() == set()
+    assert lost(floor_docs=10, always_docs=30) == {*range(12), *range(1000, 1031)}

@@ -58,7 +58,7 @@ def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 50, max_share: float = 0.05, min_words: int = 20, min_left: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 50, max_share: float = 0.05, min_words: int = 20, min_left: float = 0.5, floor_docs: int | None = None, always_docs: int | None = None) -> DataFrame:
     """One row per row of docs: id, content, the base counts, base_failed, removed_words, removed_lines (keys), kept.
 
     A line with a word is normalised (lower case, runs of ASCII white space as one space) and hashed. Of each host, the distinct
@@ -70,10 +70,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole, are judged each by its text; an empty table gives no rows; other columns are not read. Groups are summed in part before each exchange; the lines' join with the
     frequent lines is one that adaptive execution can split when a host or a line has very many rows.
     """
+    floor = max_docs if floor_docs is None else floor_docs
+    too_many = (F.col("n") > floor) & (F.col("n") > max_share * F.col("host_docs"))
+    too_many = too_many if always_docs is None else too_many | (F.col("n") > always_docs)
     rows = cut(measures(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()))
-    held = rows.select("host", "content", F.explode(F.array_distinct("line_keys")).alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+    held = rows.select("host", "content", F.explode(F.array_distinct("line_keys")).alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > min(floor, floor if always_docs is None else always_docs))
     hosts = rows.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    frequent = held.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > max_share * F.col("host_docs")).select(F.col("host").alias("h"), rekeyed(F.col("key")).alias("k"))
+    frequent = held.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(too_many).select(F.col("host").alias("h"), rekeyed(F.col("key")).alias("k"))
     lines = rows.select("row", "host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("row", "host", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("n"))
     gone = lines.join(frequent, (F.col("key") == F.col("k")) & F.col("host").eqNullSafe(F.col("h")))
     gone = gone.groupBy("row").agg(F.sum("n").alias("removed"), F.collect_set("key").alias("removed_lines"))

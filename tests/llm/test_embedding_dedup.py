@@ -70,3 +70,21 @@ def test_codes_are_balanced_and_close_for_close_vectors():
     at = (x * y).sum(axis=1) >= 0.9
     met = (index.keys(x) == index.keys(y)).any(axis=1)
     assert at.sum() > 500 and met[at].mean() > 0.9
+
+
+@pytest.mark.parametrize("n", [2000, 1_000_000])
+def test_recall_with_a_large_common_mean(n):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 64)) / 8
+    x[:, 0] += 0.75 / np.sqrt(1 - 0.75**2)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = rng.normal(size=x.shape) / 8
+    y = x + z * np.linalg.norm(x - x.mean(axis=0), axis=1)[:, None] * 0.67
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    at = (x * y).sum(axis=1)
+    at = (at >= 0.9) & (at < 0.93)
+    index = E.measured_index(x[:2000], 64, n, 0.9, 0.97)
+    assert at.sum() > 300 and (index.keys(x[at]) == index.keys(y[at])).any(axis=1).mean() > 0.95
+    planned = E.fit(x[:2000], 64, *E.plan_tables(n, 0.9, 0.97))
+    assert (planned.keys(x[at]) == planned.keys(y[at])).any(axis=1).mean() < 0.95
+    print(n, at.sum(), index.tables, index.width, planned.tables, planned.width)

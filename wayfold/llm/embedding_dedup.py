@@ -61,6 +61,41 @@ def fit(unit: np.ndarray, dim: int, tables: int, width: int, rounds: int = 30, s
     return Index(mean, np.hstack(found)[:, :need], tables, width)
 
 
+def sample_pairs(unit: np.ndarray, threshold: float, most: int = 4000, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at the threshold, of two kinds: a vector of the sample turned, about the sample's mean, towards another one of it, and a vector with noise that is equal in all directions."""
+    rng = np.random.default_rng(seed)
+    u = unit[rng.permutation(len(unit))[:most]]
+    mean, z = unit.mean(axis=0), unit[rng.integers(0, len(unit), len(u))]
+    low, high = np.zeros(len(u)), np.full(len(u), math.pi / 2)
+    for _ in range(40):
+        at = (low + high) / 2
+        y = mean + np.cos(at)[:, None] * (u - mean) + np.sin(at)[:, None] * (z - mean)
+        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+        far = (u * y).sum(axis=1) < threshold
+        low, high = np.where(far, low, at), np.where(far, at, high)
+    noise = rng.normal(size=u.shape)
+    noise -= (noise * u).sum(axis=1, keepdims=True) * u
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+    return [(u, y), (u, threshold * u + math.sqrt(max(0.0, 1 - threshold**2)) * noise)]
+
+
+def measured_index(unit: np.ndarray, dim: int, n: int, threshold: float, recall: float) -> Index:
+    """An index with as many tables as find sampled pairs at the threshold with probability `recall`: plan_tables holds for angles seen from the origin, and codes see them from the mean, where they are wider if vectors share a direction. Where that takes far more tables, keys get fewer bits instead, as their larger buckets are compared whole."""
+    tables, width = plan_tables(n, threshold, recall)
+    pairs = sample_pairs(unit, threshold) if len(unit) > 1 else []
+    most = 4 * tables
+    while True:
+        index = fit(unit, dim, tables, width)
+        found = min((float((index.keys(a) == index.keys(b)).any(axis=1).mean()) for a, b in pairs), default=1.0)
+        if found >= recall or width == 1:
+            return index
+        # at a rate of finds a table that stays as measured
+        tables = max(tables + 1, math.ceil(tables * math.log(1 - recall) / math.log(1 - min(max(found, 0.01), recall - 1e-9))))
+        if tables > most:
+            width -= 1
+            tables = max(1, most // 2)
+
+
 def _unit(col: pa.Array) -> np.ndarray:
     """Rows of a list column without nulls as unit vectors of doubles, scaled by the largest component first."""
     x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
@@ -187,8 +222,7 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     nodes = cut(rows.where(ok).groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("w"), F.first("v").alias("v")))
     n = nodes.count()
     got = nodes.orderBy("node").limit(sample).select("v").toArrow() if n else None
-    tables, width = plan_tables(n, threshold, recall)
-    index = fit(_unit(got.column(0).combine_chunks()) if n else np.zeros((0, dim)), dim, tables, width)
+    index = measured_index(_unit(got.column(0).combine_chunks()) if n else np.zeros((0, dim)), dim, n, threshold, recall)
     found = cut(links(nodes, index, threshold))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     label = connected_components(found.select("node", "to"), "node", "to").select("node", "component")

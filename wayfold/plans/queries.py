@@ -347,6 +347,20 @@ def grid_running_best(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.running_best(g, _GRID, stop_early=False).select(F.col("cell").cast("long").alias("cell"), F.round("mean", 3).alias("mean"), "inside", F.col("stopped_at").cast("long").alias("stopped_at"))
 
 
+@query()
+def grid_search_full(spark: SparkSession, d: str) -> DataFrame:
+    """All 3,600 offsets of the reference; grid_search has the 36 of its SQL."""
+    g = calibrate.grid_scores(calibrate.grid_errors(_curated(spark, d)))
+    return g.select(F.col("cell").cast("long").alias("cell"), "along", F.round("cross", 1).alias("cross_m"), F.round("mean", 3).alias("mean"), F.round("median", 3).alias("median"), "inside")
+
+
+@query()
+def grid_running_best_full(spark: SparkSession, d: str) -> DataFrame:
+    """As the reference searches: all 3,600 offsets in order, and its early stop."""
+    g = calibrate.grid_scores(calibrate.grid_errors(_curated(spark, d)))
+    return calibrate.running_best(g).select(F.col("cell").cast("long").alias("cell"), F.round("mean", 3).alias("mean"), "inside", F.col("stopped_at").cast("long").alias("stopped_at"), "met")
+
+
 @query(
     S.chain("shifts") + f", e AS (SELECT frame_id, {S.square_error('t_lat', 't_lon')} AS err FROM shifts WHERE score >= 75), m AS (SELECT median(err) AS med, greatest(2 * median(err), 4.5::DOUBLE) AS thr FROM e) "
     "SELECT frame_id, round(err, 3) AS calibrated_error_m, err <= thr AS is_inlier, err = 0 AS is_polygon_hit, round(thr, 2) AS threshold_m, round(med, 3) AS group_median_m FROM e, m"

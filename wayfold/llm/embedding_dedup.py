@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -14,55 +14,78 @@ from pyspark.sql import functions as F
 from .common import cut, rekeyed, table
 from .components import connected_components
 
-#: Vectors of a bucket that one task compares at a time; larger buckets are split into blocks, and each pair of blocks is a task's work.
-BLOCK = 1024
+#: Rows of a bucket that one task compares at a time; larger buckets are split into blocks, and each pair of blocks is a task's work.
+BLOCK = 4096
+#: A shuffled row costs about as much as so many comparisons of codes.
+ROW_COST = 256
+#: Bits of a code at least; what the tables' substrings don't use serves the Hamming test alone.
+CODE_BITS = 128
+#: Buckets above BLOCK rows that are broadcast at most; more are joined by exchange.
+HOT_BUCKETS = 50_000
+#: Rows of a matrix of comparisons that is held at once.
+STRIP = 256
 
 
 @dataclass
 class Index:
-    """Codes of a vector: the signs of its centred direction in learnt directions. Table t is keyed by `width` bits of the code."""
+    """Codes of a vector: the signs of its centred direction in learnt directions. Table t is keyed by the t-th `width` bits of the code and searched at radius 1, in the direction of the substring's least certain bit. width 0: one bucket for all."""
 
     mean: np.ndarray
-    directions: np.ndarray  # (dim, tables * width)
+    directions: np.ndarray  # (dim, bits), bits a multiple of 64
     tables: int
     width: int
+    radius: int
 
-    def keys(self, unit: np.ndarray) -> np.ndarray:
-        """(n, tables) table keys of unit vectors."""
-        bits = (unit - self.mean) @ self.directions > 0
-        weights = 1 << np.arange(self.width, dtype=np.int64)
-        return bits.reshape(len(unit), self.tables, self.width) @ weights
+    def coded(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes as (n, bits / 64) words, keys (n, tables) and the keys with the least certain bit flipped, of unit vectors."""
+        x = (unit - self.mean) @ self.directions
+        words = np.packbits(x > 0, axis=1, bitorder="little").view(np.uint64)
+        own, flipped = _keys(x[:, : self.tables * self.width], self.tables, self.width)
+        return words, own, flipped
 
 
-def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Tables and bits of a key for n vectors. A bit of two vectors at an angle differs with probability angle / pi; a bucket holds about 16 random vectors; as many tables are used as find a pair at the threshold with probability `recall`."""
-    width = max(4, math.ceil(math.log2(max(n, 2) / 16)))
-    same = (1 - math.acos(threshold) / math.pi) ** width
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - same))), width
+def _keys(x: np.ndarray, tables: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    if not width:
+        return np.zeros((len(x), 0), np.uint32), np.zeros((len(x), 0), np.uint32)
+    parts = x.reshape(len(x), tables, width)
+    own = ((parts > 0) @ (1 << np.arange(width, dtype=np.int64))).astype(np.uint32)
+    return own, own ^ (np.uint32(1) << np.abs(parts).argmin(axis=2).astype(np.uint32))
 
 
-def fit(unit: np.ndarray, dim: int, tables: int, width: int, rounds: int = 30, seed: int = 7) -> Index:
-    """Iterative quantisation. The sample's principal axes are rotated so that the signs of its coordinates lose least: rounding to the nearest corner and the rotation that fits the corners best take turns. Each rotation gives as many bits as there are axes; rotations from different starts are learnt until there are bits for all tables."""
-    rng = np.random.default_rng(seed)
-    mean = unit.mean(axis=0) if len(unit) else np.zeros(dim)
-    x = unit - mean
-    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1] if len(unit) else np.eye(dim)
-    scale = np.sqrt(np.maximum(((x @ axes) ** 2).mean(axis=0), 1e-12)) if len(unit) else np.ones(dim)
-    used = axes[:, scale > 1e-5] if (scale > 1e-5).any() else axes
-    v, need, found = x @ used, tables * width, []
-    if not used.shape[1]:
-        return Index(mean, np.zeros((dim, need)), tables, width)
-    while sum(f.shape[1] for f in found) < need:
-        r = np.linalg.qr(rng.normal(size=(used.shape[1],) * 2))[0]
-        for _ in range(rounds if len(v) else 0):
-            a, _, b = np.linalg.svd(np.sign(v @ r).T @ v)
-            r = (a @ b).T
-        found.append(used @ r[:, rng.permutation(used.shape[1])])
-    return Index(mean, np.hstack(found)[:, :need], tables, width)
-
-
-def sample_pairs(unit: np.ndarray, threshold: float, most: int = 4000, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of unit vectors at the threshold, of two kinds: a vector of the sample turned, about the sample's mean, towards another one of it, and a vector with noise that is equal in all directions."""
+def _retrieved(own_a: np.ndarray, flip_a: np.ndarray, own_b: np.ndarray, flip_b: np.ndarray) -> np.ndarray:
+    """Whether two rows meet, table by table: one's key is the other's, or what the other has with a bit flipped."""
+    return (own_a == own_b) | (own_a == flip_b) | (flip_a == own_b)
+
+
+@dataclass
+class Quantiser:
+    """Iterative quantisation of a sample. Its principal axes are rotated so that the signs of its coordinates lose least: rounding to the nearest corner and the rotation that fits the corners best take turns. Each rotation gives as many bits as there are axes; others, from different starts, are learnt when more bits are asked for."""
+
+    unit: np.ndarray
+    rounds: int = 30
+    rng: np.random.Generator = field(default_factory=lambda: np.random.default_rng(7))
+    found: list[np.ndarray] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.mean = self.unit.mean(axis=0)
+        x = self.unit - self.mean
+        variance, axes = np.linalg.eigh(x.T @ x / len(x))
+        self.axes = axes[:, variance > 1e-12][:, ::-1]
+        self.v = x @ self.axes
+
+    def directions(self, bits: int) -> np.ndarray:
+        k = self.axes.shape[1]
+        while k and sum(f.shape[1] for f in self.found) < bits:
+            r = np.linalg.qr(self.rng.normal(size=(k, k)))[0]
+            for _ in range(self.rounds):
+                a, _, b = np.linalg.svd(np.sign(self.v @ r).T @ self.v)
+                r = (a @ b).T
+            self.found.append(self.axes @ r[:, self.rng.permutation(k)])
+        return np.hstack(self.found)[:, :bits] if k else np.zeros((len(self.mean), bits))
+
+
+def sample_pairs(unit: np.ndarray, threshold: float, most: int = 4096, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors on which recall is measured, of three kinds: those that the sample itself has at the threshold or above (if 20 or more), a vector turned, about the sample's mean, towards another one to just the threshold, and a vector with noise that is equal in all directions, at the threshold too."""
     rng = np.random.default_rng(seed)
     u = unit[rng.permutation(len(unit))[:most]]
     mean, z = unit.mean(axis=0), unit[rng.integers(0, len(unit), len(u))]
@@ -76,161 +99,286 @@ def sample_pairs(unit: np.ndarray, threshold: float, most: int = 4000, seed: int
     noise = rng.normal(size=u.shape)
     noise -= (noise * u).sum(axis=1, keepdims=True) * u
     noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-    return [(u, y), (u, threshold * u + math.sqrt(max(0.0, 1 - threshold**2)) * noise)]
-
-
-def measured_index(unit: np.ndarray, dim: int, n: int, threshold: float, recall: float) -> Index:
-    """An index with as many tables as find sampled pairs at the threshold with probability `recall`: plan_tables holds for angles seen from the origin, and codes see them from the mean, where they are wider if vectors share a direction. Where that takes far more tables, keys get fewer bits instead, as their larger buckets are compared whole."""
-    tables, width = plan_tables(n, threshold, recall)
-    pairs = sample_pairs(unit, threshold) if len(unit) > 1 else []
-    most = 4 * tables
-    while True:
-        index = fit(unit, dim, tables, width)
-        found = min((float((index.keys(a) == index.keys(b)).any(axis=1).mean()) for a, b in pairs), default=1.0)
-        if found >= recall or width == 1:
-            return index
-        # at a rate of finds a table that stays as measured
-        tables = max(tables + 1, math.ceil(tables * math.log(1 - recall) / math.log(1 - min(max(found, 0.01), recall - 1e-9))))
-        if tables > most:
-            width -= 1
-            tables = max(1, most // 2)
-
-
-def _unit(col: pa.Array) -> np.ndarray:
-    """Rows of a list column without nulls as unit vectors of doubles, scaled by the largest component first."""
-    x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+    pairs = [(u, y), (u, threshold * u + math.sqrt(max(0.0, 1 - threshold**2)) * noise)]
+    i, j = np.nonzero(np.triu(u @ u.T >= threshold, 1))
+    if len(i) >= 20:
+        some = rng.permutation(len(i))[:most]
+        pairs.append((u[i[some]], u[j[some]]))
+    return pairs
+
+
+def _least_tables(projected: list[tuple[np.ndarray, np.ndarray]], more, width: int, recall: float, most: int) -> int | None:
+    """As many tables of so many bits as find each kind of pairs at this rate; None if `most` don't, or after eight it is plain that they won't. more(bits) has the projections of all kinds on so many directions."""
+    missed = [np.ones(len(a), bool) for a, _ in projected]
+    for t in range(most):
+        worst = 1.0
+        for k, (a, b) in enumerate(more((t + 1) * width)):
+            s = slice(t * width, (t + 1) * width)
+            missed[k] &= ~_retrieved(*_keys(a[:, s], 1, width), *_keys(b[:, s], 1, width))[:, 0]
+            worst = min(worst, 1 - float(missed[k].mean()))
+        if worst >= recall:
+            return t + 1
+        if t == 7 and 1 - (1 - worst) ** (most / 4) < recall:
+            return None
+    return None
+
+
+def fit(unit: np.ndarray, n: int, threshold: float, recall: float, tables: int = 64) -> Index:
+    """The index for n vectors of which unit is a sample. Width and number of tables are those that cost least among those that find sampled pairs at the threshold with probability `recall`, a little above it for what the Hamming radius loses; the radius lets 99.5 % of them pass. Where no index of `tables` tables would compare fewer pairs than there are, all share one bucket."""
+    dim, q = unit.shape[1], Quantiser(unit)
+    whole = Index(q.mean, np.zeros((dim, 64)), 1, 0, 1 << 30)
+    if not q.axes.shape[1]:
+        return whole
+    pairs = sample_pairs(unit, threshold)
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((len(a), 0)), np.zeros((len(b), 0))) for a, b in pairs]
+
+    def more(bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        have = held[0][0].shape[1]
+        if have < bits:
+            d = q.directions(-(-bits // 64) * 64)[:, have:]
+            held[:] = [(np.hstack([ha, (a - q.mean) @ d]), np.hstack([hb, (b - q.mean) @ d])) for (ha, hb), (a, b) in zip(held, pairs, strict=True)]
+        return held
+
+    best: tuple[float, int, int] | None = None
+    for width in range(min(30, max(4, math.ceil(math.log2(max(n, 2) / 8)))), 3, -1):
+        if best is not None and 1.5 * n / 2**width > best[0]:
+            break
+        t = _least_tables(held, more, width, recall + (1 - recall) / 3, tables)
+        if t is not None:
+            compared = 1.5 * t * n / 2**width
+            cost = 2 * t * ROW_COST + compared
+            if compared < n / 2 and (best is None or cost < best[0]):
+                best = (cost, t, width)
+    if best is None:
+        return whole
+    _, t, width = best
+    bits = max(CODE_BITS, -(-t * width // 64) * 64)
+    far = max(float(np.quantile(((a[:, :bits] > 0) != (b[:, :bits] > 0)).sum(axis=1), 0.995)) for a, b in more(bits))
+    return Index(q.mean, q.directions(bits), t, width, math.ceil(far))
+
+
+@dataclass
+class Indexes:
+    """An index for each length of vectors that the sample has. Vectors of other lengths, which are few, share one bucket for each length."""
+
+    of: dict[int, tuple[int, Index]]
+
+    def slot(self, dim: int) -> int:
+        return self.of[dim][0] if dim in self.of else 1 << 24 | dim
+
+    def radius(self, bucket: int) -> int:
+        return next((i.radius for s, i in self.of.values() if s == bucket >> 38), 1 << 30)
+
+
+def fit_all(sample: list[np.ndarray], n: int, threshold: float, recall: float) -> Indexes:
+    """sample: unit vectors of all lengths, of n in all."""
+    by: dict[int, list[np.ndarray]] = {}
+    for u in sample:
+        by.setdefault(len(u), []).append(u)
+    return Indexes({dim: (k, fit(np.stack(us), max(len(us), n * len(us) // len(sample)), threshold, recall)) for k, (dim, us) in enumerate(sorted(by.items()))})
+
+
+def _rows(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat doubles of a list column without nulls, and where each row ends."""
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(col.value_lengths().to_numpy())
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors, scaled by the largest component first."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _entries(vectors: DataFrame, index: Index) -> DataFrame:
-    """(t, key, node, w, keys, v): a row for each vector and table."""
-    shared = vectors.sparkSession.sparkContext.broadcast(index)
-    schema = pa.schema([("node", pa.int64()), ("w", pa.int64()), ("keys", pa.list_(pa.int64())), ("v", pa.list_(pa.float64()))])
+def _coded(vectors: DataFrame, indexes: Indexes) -> DataFrame:
+    """vectors (node, w, v) with code, keys (those of all tables, then those with a bit flipped, as 4 bytes each) and buckets. A bucket's number has the length's slot, the table and the key."""
+    shared = vectors.sparkSession.sparkContext.broadcast(indexes)
+    schema = vectors.select("node", F.lit(b"").alias("code"), F.lit(b"").alias("keys"), F.array(F.lit(0).cast("long")).alias("buckets")).schema
+    arrow = pa.schema([("node", pa.int64()), ("code", pa.binary()), ("keys", pa.binary()), ("buckets", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                u = _unit(b.column(2))
-                k = shared.value.keys(u)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel())) for m in (k, u)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], schema=schema)
-
-    coded = vectors.select("node", "w", "v").mapInArrow(run, "node long, w long, keys array<long>, v array<double>")
-    return coded.select("*", F.posexplode("keys").alias("t", "key"))
-
-
-def _linked(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    return np.nonzero(a @ b.T >= threshold)
-
-
-def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest place that each of n places reaches over links i-j."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        after = label.copy()
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        after = after[after]
-        if (after == label).all():
-            return label
-        label = after
-
-
-def _compare(node: np.ndarray, w: np.ndarray, keys: np.ndarray, v: np.ndarray, left: np.ndarray, t: int, within: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the vectors of one block or of two: nodes, how many vectors each links to that no earlier table has put beside it, and the smallest node it reaches here."""
-    if within:
-        i, j = _linked(v, v, threshold)
-        keep = i < j
-        i, j = i[keep], j[keep]
-    else:
-        p, q = np.flatnonzero(left), np.flatnonzero(~left)
-        i, j = _linked(v[p], v[q], threshold)
-        i, j = p[i], q[j]
-    fresh = ~(keys[i, :t] == keys[j, :t]).any(axis=1)
-    i, j = i[fresh], j[fresh]
-    n = np.bincount(i, w[j], len(node)) + np.bincount(j, w[i], len(node))
-    label = _labels(len(node), i, j)
-    return node, n.astype(np.int64), node[label]
-
-
-def links(vectors: DataFrame, index: Index, threshold: float = 0.9) -> DataFrame:
+            flat, ends = _rows(b.column(1))
+            sizes = np.diff(ends, prepend=0)
+            for dim in np.unique(sizes):
+                at = np.flatnonzero(sizes == dim)
+                slot, index = shared.value.slot(int(dim)), shared.value.of.get(int(dim), (0, None))[1]
+                if index is None or not index.width:
+                    code, keys, buckets = [b""] * len(at), [b""] * len(at), np.full((len(at), 1), slot << 38, np.int64)
+                else:
+                    words, own, flipped = index.coded(_unit(flat[(ends[at] - dim)[:, None] + np.arange(dim)]))
+                    code, keys = [x.tobytes() for x in words], [x.tobytes() for x in np.hstack([own, flipped])]
+                    tables = np.arange(index.tables, dtype=np.int64) << 31 | slot << 38
+                    buckets = np.hstack([tables | own, tables | flipped])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, buckets.size + 1, buckets.shape[1]), pa.int32()), pa.array(buckets.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(code, pa.binary()), pa.array(keys, pa.binary()), lists], schema=arrow)
+
+    return vectors.select("node", "v").mapInArrow(run, schema)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows, group by group."""
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        ids = np.stack([held.column(c).to_numpy() for c in by], 1)
+        cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+        at = 0
+        for c in cuts:
+            yield held.slice(at, c - at)
+            at = c
+        held = held.slice(at)
+    if held is not None:
+        yield held
+
+
+def _words(col: pa.ChunkedArray, kind: type) -> np.ndarray:
+    data = col.to_pylist()
+    return np.frombuffer(b"".join(data), kind).reshape(len(data), -1)
+
+
+def _near(codes: np.ndarray, probe: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of a bucket have another within the Hamming radius; rows that are there by a flipped bit alone don't meet each other."""
+    out, own = np.zeros(len(codes), bool), np.flatnonzero(~probe)
+    for k in range(0, len(own), STRIP):
+        rows = own[k : k + STRIP]
+        hit = np.bitwise_count(codes[rows][:, None] ^ codes[None]).sum(axis=2, dtype=np.int32) <= radius
+        hit[np.arange(len(rows)), rows] = False
+        out[rows] |= hit.any(axis=1)
+        out |= hit.any(axis=0)
+    return out
+
+
+def _filtered(entries: DataFrame, indexes: Indexes) -> DataFrame:
+    """(bucket, a, b, is_left, probe, node) for the rows (bucket, probe, node, code) of buckets of up to BLOCK rows that have another row of the bucket within the Hamming radius."""
+    shared = entries.sparkSession.sparkContext.broadcast(indexes)
+    schema = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("is_left", pa.bool_()), ("probe", pa.bool_()), ("node", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["bucket"]):
+            if g.num_rows > 1:
+                bucket, probe = g.column("bucket")[0].as_py(), g.column("probe").to_numpy()
+                radius = shared.value.radius(bucket)
+                keep = np.ones(g.num_rows, bool) if radius >= 1 << 30 else _near(_words(g.column("code"), np.uint64), probe, radius)
+                if keep.any():
+                    n = int(keep.sum())
+                    zero = pa.array(np.zeros(n, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket)), zero, zero, pa.array(np.ones(n, bool)), pa.array(probe[keep]), pa.array(g.column("node").to_numpy()[keep])], schema=schema)
+
+    sorted_ = entries.select("bucket", "probe", "node", "code").repartition("bucket").sortWithinPartitions("bucket")
+    return sorted_.mapInArrow(run, "bucket long, a long, b long, is_left boolean, probe boolean, node long")
+
+
+def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Brings the classes of i and j together, pair by pair; label has each place's root, the smallest of its class."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _compare(g: pa.Table, radius: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the vectors of one block or of two: nodes, how many vectors each links to that no earlier table, and no smaller bucket of this one, has put beside it, and the smallest place it reaches here."""
+    bucket, within = g.column("bucket")[0].as_py(), g.column("a")[0] == g.column("b")[0]
+    node, w, probe, left = (g.column(c).to_numpy() for c in ("node", "w", "probe", "is_left"))
+    u = _unit(_rows(g.column("v").combine_chunks())[0].reshape(len(node), -1))
+    t, key = bucket >> 31 & 127, bucket & 0x7FFFFFFF
+    codes, keys = _words(g.column("code"), np.uint64), _words(g.column("keys"), np.uint32)
+    own, flip = np.split(keys, 2, axis=1)
+    count, label = np.zeros(len(node), np.int64), np.arange(len(node))
+    both = np.arange(len(node))
+    for rows, others in ((both, both),) if within else ((np.flatnonzero(left), np.flatnonzero(~left)),):
+        for k in range(0, len(rows), STRIP):
+            r = rows[k : k + STRIP]
+            hit = u[r] @ u[others].T >= threshold
+            hit &= ~(probe[r][:, None] & probe[others][None])
+            i, j = np.nonzero(hit)
+            i, j = r[i], others[j]
+            if within:
+                i, j = i[i < j], j[i < j]
+            if keys.shape[1] and len(i):
+                fine = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1, dtype=np.int32) <= radius
+                fine &= ~_retrieved(own[i, :t], flip[i, :t], own[j, :t], flip[j, :t]).any(axis=1)
+                two = (own[i, t] == flip[j, t]) & (flip[i, t] == own[j, t])
+                fine &= ~two | (np.minimum(own[i, t], own[j, t]) == key)
+                i, j = i[fine], j[fine]
+            count += (np.bincount(i, w[j], len(node)) + np.bincount(j, w[i], len(node))).astype(np.int64)
+            _merge(label, i, j)
+    return node, count, node[label]
+
+
+def links(nodes: DataFrame, indexes: Indexes, threshold: float = 0.9) -> DataFrame:
     """(node, n, to): partial counts of links and edges, for vectors (node, w, v) that are distinct.
 
-    Vectors that share a bucket of any table are compared by their cosine in double precision, block by block inside the tasks:
-    counts and a spanning forest leave a task, pairs don't. A pair counts in the first table that has it.
+    Rows of codes meet in the tables' buckets. In a bucket of up to BLOCK rows those without another one within the Hamming radius leave;
+    larger buckets are dealt out in pairs of blocks as they are. Only then do vectors come, to what is left, and are compared by their cosine in double precision inside the
+    tasks: counts and a spanning forest leave a task, pairs don't. A pair counts in the first table and bucket that has it.
     """
-    entries = cut(_entries(vectors, index))
-    sizes = entries.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", rekeyed(F.col("key")).alias("key"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    dealt = entries.join(sizes, ["t", "key"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("t", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") <= F.col("other")).alias("is_left"), "node", "w", "keys", "v")
-    group = ["t", "key", "a", "b"]
+    coded = cut(_coded(nodes, indexes))
+    entries = coded.select("node", "code", F.size("buckets").alias("all"), F.posexplode("buckets").alias("pos", "bucket")).select("node", "code", "bucket", (2 * F.col("pos") >= F.col("all")).alias("probe"))
+    entries = entries.withColumn("probe", F.col("probe") & (F.length("code") > 0))
+    hot = cut(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    n_hot = hot.count()
+    small, found = entries, []
+    if n_hot:
+        side = F.broadcast(hot) if n_hot <= HOT_BUCKETS else hot.select(rekeyed(F.col("bucket")).alias("bucket"), "blocks")
+        marked = entries.join(side, "bucket", "left")
+        small = marked.where("blocks is null")
+        dealt = marked.where("blocks is not null").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        found.append(dealt.select("bucket", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") <= F.col("other")).alias("is_left"), "probe", "node"))
+    met = _filtered(small, indexes)
+    for f in found:
+        met = met.unionByName(f)
+    vectors = nodes.join(coded.select(rekeyed(F.col("node")).alias("node"), "code", "keys"), "node")
+    met = met.join(vectors.select(rekeyed(F.col("node")).alias("node"), "w", "v", "code", "keys"), "node")
+    shared = nodes.sparkSession.sparkContext.broadcast(indexes)
     out = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("to", pa.int64())])
+    group = ["bucket", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def done(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            part = part.combine_chunks()
-            ids = np.stack([part.column(c).to_numpy() for c in group], 1)
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            keys, v = (part.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) for c in ("keys", "v"))
-            node, w, left = (part.column(c).to_numpy() for c in ("node", "w", "is_left"))
-            found = []
-            for lo, hi in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-                t, _, a, b = ids[lo]
-                if hi - lo > 1:
-                    x = _compare(node[lo:hi], w[lo:hi], keys[lo:hi], v[lo:hi], left[lo:hi], int(t), a == b, threshold)
-                    if x[1].any():
-                        found.append([c[x[1] > 0] for c in x])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=out)
-
-        for b in batches:
-            now = pa.Table.from_batches([b])
-            held = now if held is None else pa.concat_tables([held, now])
-            last = [held.column(c)[-1].as_py() for c in group]
-            ids = np.stack([held.column(c).to_numpy() for c in group], 1)
-            open_ = int(np.argmax((ids == last).all(axis=1))) if len(ids) else 0
-            if open_:
-                yield from done(held.slice(0, open_))
-                held = held.slice(open_)
-        if held is not None and held.num_rows:
-            yield from done(held)
+        for g in _groups(batches, group):
+            if g.num_rows > 1:
+                x = _compare(g, shared.value.radius(g.column("bucket")[0].as_py()), threshold)
+                if x[1].any():
+                    yield pa.RecordBatch.from_arrays([pa.array(c[x[1] > 0]) for c in x], schema=out)
 
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "node long, n long, to long")
+    return met.select(*group, "is_left", "probe", "node", "w", "code", "keys", "v").repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "node long, n long, to long")
 
 
 def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.97, sample: int = 20_000) -> DataFrame:
     """(id, n_links, component_id, kept) for each row of vectors.
 
     n_links counts the other rows at a cosine of threshold or more that were found, component_id is the smallest id reachable over such
-    links, kept is whether it is the row's own. All rows are indexed and all buckets compared whole; the rotations are learnt from
-    at most `sample` distinct vectors (those whose contents hash lowest), which bounds what the driver gets and broadcasts. Equal
-    vectors are one node with a weight. Rows whose vector is null, zero, of another length than most vectors have, or holds
+    links, kept is whether it is the row's own. All rows are indexed and all buckets compared whole. The rotations are learnt from
+    at most `sample` distinct vectors (those whose contents hash lowest), which bounds what the driver gets and broadcasts; bits, tables and Hamming radius are
+    what pairs of that sample need to be found at the rate `recall`. Vectors of each length are indexed by themselves and link with
+    each other. Equal vectors are one node with a weight, told apart by 128-bit hash. Rows whose vector is null, empty, zero, or holds
     a null or non-finite component, link with nothing and are their own component. Null ids are ignored in the minimum;
     repeated rows link with each other; an empty table gives no rows; other columns are not read.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("node", F.xxhash64("v"))
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.withColumn("dim", F.when(F.coalesce(fine, F.lit(False)), F.size("v")))
-    dims = rows.where("dim is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    dim = dims.dim if dims else 0
-    ok = F.coalesce(F.col("dim") == dim, F.lit(False))
-    nodes = cut(rows.where(ok).groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("w"), F.first("v").alias("v")))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
+    ok = F.coalesce(fine, F.lit(False))
+    hashed = rows.select("id", "v", F.when(ok, F.xxhash64("v")).alias("h1"), F.when(ok, F.xxhash64(F.lit(1), "v")).alias("h2"))
+    nodes = hashed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("w"), F.first("v").alias("v"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     n = nodes.count()
-    got = nodes.orderBy("node").limit(sample).select("v").toArrow() if n else None
-    index = measured_index(_unit(got.column(0).combine_chunks()) if n else np.zeros((0, dim)), dim, n, threshold, recall)
-    found = cut(links(nodes, index, threshold))
+    got = nodes.orderBy("h1", "h2").limit(sample).select("v").toArrow() if n else None
+    indexes = fit_all([_unit(np.array(v.values, np.float64)[None])[0] for v in got.column(0)] if n else [], n, threshold, recall)
+    found = cut(links(nodes.select("node", "w", "v"), indexes, threshold))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     label = connected_components(found.select("node", "to"), "node", "to").select("node", "component")
-    info = nodes.select("node", "first_id", "w").join(counts, "node", "left").join(label, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    info = nodes.select("node", "h1", "h2", "first_id", "w").join(counts, "node", "left").join(label, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = info.groupBy("root").agg(F.min("first_id").alias("component_id")).select(rekeyed(F.col("root")).alias("root"), "component_id")
-    info = info.join(least, "root").select(rekeyed(F.col("node")).alias("of"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("links"), "component_id")
-    out = rows.select("id", F.when(ok, F.col("node")).alias("node")).join(info, F.col("node") == F.col("of"), "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    info = info.join(least, "root").select(F.col("h1").alias("of1"), F.col("h2").alias("of2"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("links"), "component_id")
+    out = hashed.select("id", "h1", "h2").join(info, (F.col("h1") == F.col("of1")) & (F.col("h2") == F.col("of2")), "left")
+    component = F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 

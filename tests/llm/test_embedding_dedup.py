@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from wayfold.llm import blocks as B
 from wayfold.llm import embedding_dedup as E
 
 
@@ -51,7 +52,7 @@ def assert_close(got, expected, rate=0.9):
 
 @pytest.mark.parametrize("block", [4096, 16])
 def test_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(E, "BLOCK", block)
+    monkeypatch.setattr(B, "BLOCK", block)
     rng = np.random.default_rng(3)
     rows = [(i * 2, rng.normal(size=8).tolist()) for i in range(150)]
     for k in range(5):
@@ -130,5 +131,5 @@ def test_codes_are_balanced_and_pairs_at_the_threshold_meet():
         z -= (z * x).sum(axis=1, keepdims=True) * x
         y = 0.9 * x + np.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1)[:, None]
         words2, own2, flipped2 = index.coded(y)
-        met = E._retrieved(own, flipped, own2, flipped2).any(axis=1) & (np.bitwise_count(words ^ words2).sum(axis=1) <= index.radius)
+        met = B.retrieved(own, flipped, own2, flipped2).any(axis=1) & (np.bitwise_count(words ^ words2).sum(axis=1) <= index.radius)
         assert met.mean() > 0.94

@@ -11,21 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from .common import cut, rekeyed, table
 from .components import connected_components
 
-#: Rows of a bucket that one task compares at a time; larger buckets are split into blocks, and each pair of blocks is a task's work.
-BLOCK = 4096
-#: A shuffled row costs about as much as so many comparisons of codes.
-ROW_COST = 256
-#: Bits of a code at least; what the tables' substrings don't use serves the Hamming test alone.
-CODE_BITS = 128
-#: Buckets above BLOCK rows that are broadcast at most; more are joined by exchange.
-HOT_BUCKETS = 50_000
-#: Rows of a matrix of comparisons that is held at once.
-STRIP = 256
-
-
 @dataclass
 class Index:
     """Codes of a vector: the signs of its centred direction in learnt directions. Table t is keyed by the t-th `width` bits of the code and searched at radius 1, in the direction of the substring's least certain bit. width 0: one bucket for all."""
@@ -39,22 +28,7 @@ class Index:
     def coded(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes as (n, bits / 64) words, keys (n, tables) and the keys with the least certain bit flipped, of unit vectors."""
         x = (unit - self.mean) @ self.directions
-        words = np.packbits(x > 0, axis=1, bitorder="little").view(np.uint64)
-        own, flipped = _keys(x[:, : self.tables * self.width], self.tables, self.width)
-        return words, own, flipped
-
-
-def _keys(x: np.ndarray, tables: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    if not width:
-        return np.zeros((len(x), 0), np.uint32), np.zeros((len(x), 0), np.uint32)
-    parts = x.reshape(len(x), tables, width)
-    own = ((parts > 0) @ (1 << np.arange(width, dtype=np.int64))).astype(np.uint32)
-    return own, own ^ (np.uint32(1) << np.abs(parts).argmin(axis=2).astype(np.uint32))
-
-
-def _retrieved(own_a: np.ndarray, flip_a: np.ndarray, own_b: np.ndarray, flip_b: np.ndarray) -> np.ndarray:
-    """Whether two rows meet, table by table: one's key is the other's, or what the other has with a bit flipped."""
-    return (own_a == own_b) | (own_a == flip_b) | (flip_a == own_b)
+        return B.words(x), *B.keys(x, self.tables, self.width)
 
 
 @dataclass
@@ -107,26 +81,10 @@ def sample_pairs(unit: np.ndarray, threshold: float, most: int = 4096, seed: int
     return pairs
 
 
-def _least_tables(projected: list[tuple[np.ndarray, np.ndarray]], more, width: int, recall: float, most: int) -> int | None:
-    """As many tables of so many bits as find each kind of pairs at this rate; None if `most` don't, or after eight it is plain that they won't. more(bits) has the projections of all kinds on so many directions."""
-    missed = [np.ones(len(a), bool) for a, _ in projected]
-    for t in range(most):
-        worst = 1.0
-        for k, (a, b) in enumerate(more((t + 1) * width)):
-            s = slice(t * width, (t + 1) * width)
-            missed[k] &= ~_retrieved(*_keys(a[:, s], 1, width), *_keys(b[:, s], 1, width))[:, 0]
-            worst = min(worst, 1 - float(missed[k].mean()))
-        if worst >= recall:
-            return t + 1
-        if t == 7 and 1 - (1 - worst) ** (most / 4) < recall:
-            return None
-    return None
-
-
 def fit(unit: np.ndarray, n: int, threshold: float, recall: float, tables: int = 64) -> Index:
-    """The index for n vectors of which unit is a sample. Width and number of tables are those that cost least among those that find sampled pairs at the threshold with probability `recall`, a little above it for what the Hamming radius loses; the radius lets 99.5 % of them pass. Where no index of `tables` tables would compare fewer pairs than there are, all share one bucket."""
+    """The index for n vectors of which unit is a sample: what costs least of what finds sampled pairs at the threshold with probability `recall`. Where no index of `tables` tables would compare fewer pairs than there are, all share one bucket."""
     dim, q = unit.shape[1], Quantiser(unit)
-    whole = Index(q.mean, np.zeros((dim, 64)), 1, 0, 1 << 30)
+    whole = Index(q.mean, np.zeros((dim, 64)), 1, 0, B.ANY)
     if not q.axes.shape[1]:
         return whole
     pairs = sample_pairs(unit, threshold)
@@ -139,22 +97,11 @@ def fit(unit: np.ndarray, n: int, threshold: float, recall: float, tables: int =
             held[:] = [(np.hstack([ha, (a - q.mean) @ d]), np.hstack([hb, (b - q.mean) @ d])) for (ha, hb), (a, b) in zip(held, pairs, strict=True)]
         return held
 
-    best: tuple[float, int, int] | None = None
-    for width in range(min(30, max(4, math.ceil(math.log2(max(n, 2) / 8)))), 3, -1):
-        if best is not None and 1.5 * n / 2**width > best[0]:
-            break
-        t = _least_tables(held, more, width, recall + (1 - recall) / 3, tables)
-        if t is not None:
-            compared = 1.5 * t * n / 2**width
-            cost = 2 * t * ROW_COST + compared
-            if compared < n / 2 and (best is None or cost < best[0]):
-                best = (cost, t, width)
-    if best is None:
+    found = B.plan(n, len(pairs), more, recall, tables)
+    if found is None:
         return whole
-    _, t, width = best
-    bits = max(CODE_BITS, -(-t * width // 64) * 64)
-    far = max(float(np.quantile(((a[:, :bits] > 0) != (b[:, :bits] > 0)).sum(axis=1), 0.995)) for a, b in more(bits))
-    return Index(q.mean, q.directions(bits), t, width, math.ceil(far))
+    t, width, bits, radius = found
+    return Index(q.mean, q.directions(bits), t, width, radius)
 
 
 @dataclass
@@ -167,7 +114,7 @@ class Indexes:
         return self.of[dim][0] if dim in self.of else 1 << 24 | dim
 
     def radius(self, bucket: int) -> int:
-        return next((i.radius for s, i in self.of.values() if s == bucket >> 38), 1 << 30)
+        return next((i.radius for s, i in self.of.values() if s == bucket >> 38), B.ANY)
 
 
 def fit_all(sample: list[np.ndarray], n: int, threshold: float, recall: float) -> Indexes:
@@ -207,43 +154,19 @@ def _coded(vectors: DataFrame, indexes: Indexes) -> DataFrame:
                 else:
                     words, own, flipped = index.coded(_unit(flat[(ends[at] - dim)[:, None] + np.arange(dim)]))
                     code, keys = [x.tobytes() for x in words], [x.tobytes() for x in np.hstack([own, flipped])]
-                    tables = np.arange(index.tables, dtype=np.int64) << 31 | slot << 38
-                    buckets = np.hstack([tables | own, tables | flipped])
+                    buckets = B.buckets(own, flipped, slot)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, buckets.size + 1, buckets.shape[1]), pa.int32()), pa.array(buckets.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(code, pa.binary()), pa.array(keys, pa.binary()), lists], schema=arrow)
 
     return vectors.select("node", "v").mapInArrow(run, schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Sorted rows, group by group."""
-    held: pa.Table | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        ids = np.stack([held.column(c).to_numpy() for c in by], 1)
-        cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-        at = 0
-        for c in cuts:
-            yield held.slice(at, c - at)
-            at = c
-        held = held.slice(at)
-    if held is not None:
-        yield held
-
-
-def _words(col: pa.ChunkedArray, kind: type) -> np.ndarray:
-    data = col.to_pylist()
-    return np.frombuffer(b"".join(data), kind).reshape(len(data), -1)
-
-
 def _near(codes: np.ndarray, probe: np.ndarray, radius: int) -> np.ndarray:
     """Which rows of a bucket have another within the Hamming radius; rows that are there by a flipped bit alone don't meet each other."""
     out, own = np.zeros(len(codes), bool), np.flatnonzero(~probe)
-    for k in range(0, len(own), STRIP):
-        rows = own[k : k + STRIP]
-        hit = np.bitwise_count(codes[rows][:, None] ^ codes[None]).sum(axis=2, dtype=np.int32) <= radius
+    for k in range(0, len(own), B.STRIP):
+        rows = own[k : k + B.STRIP]
+        hit = B.within(codes[rows], codes, radius)
         hit[np.arange(len(rows)), rows] = False
         out[rows] |= hit.any(axis=1)
         out |= hit.any(axis=0)
@@ -251,16 +174,16 @@ def _near(codes: np.ndarray, probe: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _filtered(entries: DataFrame, indexes: Indexes) -> DataFrame:
-    """(bucket, a, b, is_left, probe, node) for the rows (bucket, probe, node, code) of buckets of up to BLOCK rows that have another row of the bucket within the Hamming radius."""
+    """(bucket, a, b, is_left, probe, node) for the rows (bucket, probe, node, code) of buckets of up to blocks.BLOCK rows that have another row of the bucket within the Hamming radius."""
     shared = entries.sparkSession.sparkContext.broadcast(indexes)
     schema = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("is_left", pa.bool_()), ("probe", pa.bool_()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["bucket"]):
+        for g in B.groups(batches, ["bucket"]):
             if g.num_rows > 1:
                 bucket, probe = g.column("bucket")[0].as_py(), g.column("probe").to_numpy()
                 radius = shared.value.radius(bucket)
-                keep = np.ones(g.num_rows, bool) if radius >= 1 << 30 else _near(_words(g.column("code"), np.uint64), probe, radius)
+                keep = np.ones(g.num_rows, bool) if radius >= B.ANY else _near(B.unpacked(g.column("code"), np.uint64), probe, radius)
                 if keep.any():
                     n = int(keep.sum())
                     zero = pa.array(np.zeros(n, np.int64))
@@ -287,13 +210,13 @@ def _compare(g: pa.Table, radius: int, threshold: float) -> tuple[np.ndarray, np
     node, w, probe, left = (g.column(c).to_numpy() for c in ("node", "w", "probe", "is_left"))
     u = _unit(_rows(g.column("v").combine_chunks())[0].reshape(len(node), -1))
     t, key = bucket >> 31 & 127, bucket & 0x7FFFFFFF
-    codes, keys = _words(g.column("code"), np.uint64), _words(g.column("keys"), np.uint32)
+    codes, keys = B.unpacked(g.column("code"), np.uint64), B.unpacked(g.column("keys"), np.uint32)
     own, flip = np.split(keys, 2, axis=1)
     count, label = np.zeros(len(node), np.int64), np.arange(len(node))
     both = np.arange(len(node))
     for rows, others in ((both, both),) if within else ((np.flatnonzero(left), np.flatnonzero(~left)),):
-        for k in range(0, len(rows), STRIP):
-            r = rows[k : k + STRIP]
+        for k in range(0, len(rows), B.STRIP):
+            r = rows[k : k + B.STRIP]
             hit = u[r] @ u[others].T >= threshold
             hit &= ~(probe[r][:, None] & probe[others][None])
             i, j = np.nonzero(hit)
@@ -302,7 +225,7 @@ def _compare(g: pa.Table, radius: int, threshold: float) -> tuple[np.ndarray, np
                 i, j = i[i < j], j[i < j]
             if keys.shape[1] and len(i):
                 fine = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1, dtype=np.int32) <= radius
-                fine &= ~_retrieved(own[i, :t], flip[i, :t], own[j, :t], flip[j, :t]).any(axis=1)
+                fine &= ~B.retrieved(own[i, :t], flip[i, :t], own[j, :t], flip[j, :t]).any(axis=1)
                 two = (own[i, t] == flip[j, t]) & (flip[i, t] == own[j, t])
                 fine &= ~two | (np.minimum(own[i, t], own[j, t]) == key)
                 i, j = i[fine], j[fine]
@@ -314,26 +237,15 @@ def _compare(g: pa.Table, radius: int, threshold: float) -> tuple[np.ndarray, np
 def links(nodes: DataFrame, indexes: Indexes, threshold: float = 0.9) -> DataFrame:
     """(node, n, to): partial counts of links and edges, for vectors (node, w, v) that are distinct.
 
-    Rows of codes meet in the tables' buckets. In a bucket of up to BLOCK rows those without another one within the Hamming radius leave;
+    Rows of codes meet in the tables' buckets. In a bucket of up to blocks.BLOCK rows those without another one within the Hamming radius leave;
     larger buckets are dealt out in pairs of blocks as they are. Only then do vectors come, to what is left, and are compared by their cosine in double precision inside the
     tasks: counts and a spanning forest leave a task, pairs don't. A pair counts in the first table and bucket that has it.
     """
     coded = cut(_coded(nodes, indexes))
     entries = coded.select("node", "code", F.size("buckets").alias("all"), F.posexplode("buckets").alias("pos", "bucket")).select("node", "code", "bucket", (2 * F.col("pos") >= F.col("all")).alias("probe"))
     entries = entries.withColumn("probe", F.col("probe") & (F.length("code") > 0))
-    hot = cut(entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    n_hot = hot.count()
-    small, found = entries, []
-    if n_hot:
-        side = F.broadcast(hot) if n_hot <= HOT_BUCKETS else hot.select(rekeyed(F.col("bucket")).alias("bucket"), "blocks")
-        marked = entries.join(side, "bucket", "left")
-        small = marked.where("blocks is null")
-        dealt = marked.where("blocks is not null").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        found.append(dealt.select("bucket", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") <= F.col("other")).alias("is_left"), "probe", "node"))
-    met = _filtered(small, indexes)
-    for f in found:
-        met = met.unionByName(f)
+    marked = B.marked(entries)
+    met = _filtered(marked.where("blocks is null"), indexes).unionByName(B.dealt(marked.where("blocks is not null")).drop("code"))
     vectors = nodes.join(coded.select(rekeyed(F.col("node")).alias("node"), "code", "keys"), "node")
     met = met.join(vectors.select(rekeyed(F.col("node")).alias("node"), "w", "v", "code", "keys"), "node")
     shared = nodes.sparkSession.sparkContext.broadcast(indexes)
@@ -341,7 +253,7 @@ def links(nodes: DataFrame, indexes: Indexes, threshold: float = 0.9) -> DataFra
     group = ["bucket", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, group):
+        for g in B.groups(batches, group):
             if g.num_rows > 1:
                 x = _compare(g, shared.value.radius(g.column("bucket")[0].as_py()), threshold)
                 if x[1].any():

@@ -53,20 +53,21 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big") if total else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, content, fp): content is Spark's hash of the text (null as empty), fp the fingerprint as a signed long. Whole texts are hashed, in runs of bounded size."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, content: bool = True) -> DataFrame:
+    """(id, content, fp): content is a 128-bit hash of the text (null as empty), or null if not asked for, fp the fingerprint as a signed long. Whole texts are hashed, in runs of bounded size."""
     kind = docs.schema[id_col].dataType
-    schema = pa.schema([("id", to_arrow_type(kind)), ("content", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("id", to_arrow_type(kind)), ("content", pa.string()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((i, c, (f := fingerprint(t, shingle, seed)) - ((f >> 63) << 64)) for b in batches for i, c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (x.as_py() for x in b.column(2)), strict=True))
-        return flushed(rows, schema, lambda r: 24)
+        return flushed(rows, schema, lambda r: 60)
 
-    return docs.select(F.col(id_col).alias("id"), _content(text_col).alias("content"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind.simpleString()}, content long, fp long")
+    return docs.select(F.col(id_col).alias("id"), (_content(text_col) if content else F.lit(None).cast("string")).alias("content"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind.simpleString()}, content string, fp long")
 
 
 def _content(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.concat_ws("-", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text)))
 
 
 def _masks() -> list[int]:
@@ -100,9 +101,9 @@ def close_pairs(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, content: bool = True) -> DataFrame:
     """(id, content, fp, component_id, root) for each row of docs; root is the smallest fingerprint of the row's group."""
-    rows = cut(fingerprints(docs, id_col, text_col, shingle))
+    rows = cut(fingerprints(docs, id_col, text_col, shingle, content=content))
     nodes = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
     labels = connected_components(close_pairs(rows.select("fp").distinct()), "a", "b")
     nodes = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
@@ -119,7 +120,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null and empty texts have the fingerprint zero and are linked as any other; repeated rows are kept; an empty table
     gives no rows; other columns are not read.
     """
-    return grouped(docs, id_col, text_col, shingle).select("id", "fp", "component_id")
+    return grouped(docs, id_col, text_col, shingle, content=False).select("id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -136,8 +137,8 @@ def first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str)
     first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id").agg(F.min("content").alias("content"))
     # one key for the join and for equal rows, so that texts are exchanged once; a null id leaves the hash alone
     key, wanted = unused(docs, "key"), unused(docs, "wanted")
-    keyed = docs.withColumn(key, F.concat_ws(":", F.col(id_col).cast("string"), _content(text_col).cast("string")))
-    chosen = first.select(F.concat_ws(":", F.col("id").cast("string"), F.col("content").cast("string")).alias(wanted))
+    keyed = docs.withColumn(key, F.concat_ws(":", F.col(id_col).cast("string"), _content(text_col)))
+    chosen = first.select(F.concat_ws(":", F.col("id").cast("string"), F.col("content")).alias(wanted))
     return keyed.join(chosen, F.col(key) == F.col(wanted), "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 

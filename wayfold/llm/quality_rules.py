@@ -58,24 +58,26 @@ def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 50, max_share: float = 0.05, min_words: int = 20, min_left: float = 0.5, floor_docs: int | None = None, always_docs: int | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 5, max_share: float = 0.05, always_docs: int = 5000, min_words: int = 20, min_left: float = 0.5, copies: bool = True) -> DataFrame:
     """One row per row of docs: id, content, the base counts, base_failed, removed_words, removed_lines (keys), kept.
 
-    A line with a word is normalised (lower case, runs of ASCII white space as one space) and hashed. Of each host, the distinct
-    documents that hold it are counted; texts that are equal count as one document, so copies alone make no line frequent. A line in
-    more than max_docs of them and more than max_share of the host's is removed from all of the host's documents. A document is
+    A line with a word is normalised (lower case, runs of ASCII white space as one space) and hashed. For each host, the documents (rows)
+    that hold it are counted, copies of a text included; copies=False: texts that are equal count as one document. A line in min_docs or more of them
+    is removed from all of the host's documents if these are more than max_share of the host's or more than always_docs. A document is
     kept if it doesn't fail the base rules and keeps min_words words and min_left of its words.
 
     Null texts count as empty (they fail: no word); a null host is a host; rows that share an id, and rows that repeat as a
     whole, are judged each by its text; an empty table gives no rows; other columns are not read. Groups are summed in part before each exchange; the lines' join with the
-    frequent lines is one that adaptive execution can split when a host or a line has very many rows.
+    frequent lines is one that adaptive execution can split when a host or a line has very many rows. Hashes have 64 bits: a line could only be
+    taken for another one by falling on one of its host's few frequent lines.
     """
-    floor = max_docs if floor_docs is None else floor_docs
-    too_many = (F.col("n") > floor) & (F.col("n") > max_share * F.col("host_docs"))
-    too_many = too_many if always_docs is None else too_many | (F.col("n") > always_docs)
     rows = cut(measures(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()))
-    held = rows.select("host", "content", F.explode(F.array_distinct("line_keys")).alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > min(floor, floor if always_docs is None else always_docs))
-    hosts = rows.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    keys, hosts = rows.select("host", "content", F.explode(F.array_distinct("line_keys")).alias("key")), rows.select("host", "content")
+    if not copies:
+        keys, hosts = keys.distinct(), hosts.distinct()
+    held = keys.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    hosts = hosts.groupBy("host").agg(F.count("*").alias("host_docs"))
+    too_many = (F.col("n") > max_share * F.col("host_docs")) | (F.col("n") > always_docs)
     frequent = held.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(too_many).select(F.col("host").alias("h"), rekeyed(F.col("key")).alias("k"))
     lines = rows.select("row", "host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l")).select("row", "host", F.col("l.line_keys").alias("key"), F.col("l.line_words").alias("n"))
     gone = lines.join(frequent, (F.col("key") == F.col("k")) & F.col("host").eqNullSafe(F.col("h")))
@@ -112,13 +114,13 @@ ORACLES = {
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM d),
 l AS (
-  SELECT doc_id, source, text, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+  SELECT doc_id, source, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
   FROM (SELECT doc_id, source, text, unnest(ls) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
 freq AS (
-  SELECT source, norm FROM l JOIN (SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY source) h USING (source)
-  GROUP BY source, norm, host_docs HAVING count(DISTINCT text) > 50 AND count(DISTINCT text) > 0.05 * host_docs
+  SELECT source, norm FROM l JOIN (SELECT source, count(*) AS host_docs FROM d GROUP BY source) h USING (source)
+  GROUP BY source, norm, host_docs HAVING count(DISTINCT doc_id) >= 5 AND (count(DISTINCT doc_id) > 0.05 * host_docs OR count(DISTINCT doc_id) > 5000)
 ),
 gone AS (SELECT doc_id, sum(n)::BIGINT AS removed_words FROM l JOIN freq USING (source, norm) GROUP BY doc_id),
 g AS (

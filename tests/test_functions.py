@@ -92,3 +92,98 @@ def test_tracks():
     assert t.frame(None, []) is None and not t.tracks  # missed four times
     again = Tracks(state=t.state())
     assert again.frame((13.0, 80.0, 20.0, 60.0), [])[0] == 2
+
+
+def matrix_filter(drive):
+    """The published filter over place, depth and speed of place as one five-state matrix filter, with the same life of tracks, in plain numpy."""
+    import numpy as np
+
+    from wayfold.config import Tracking
+
+    s = Tracking()
+    move, see = np.eye(5), np.eye(3, 5)
+    move[0, 3] = move[1, 4] = 1.0
+    start = np.diag([4.5e-5**2, 4.5e-5**2, 8.0**2, 5e-7**2, 5e-7**2])
+    drift = np.diag([3e-7**2, 3e-7**2, 0.1**2, 1e-8**2, 1e-8**2])
+    noise = np.diag([3.5e-5**2, 3.5e-5**2, 6.0**2])
+    tracks, next_id, out = [], 1, []
+    for frame, seen in drive:
+        usable = [] if not seen or seen[0][3] < s.gate else [seen[0], *(d for d in seen[1:] if d[3] >= s.min_update)]
+        for t in tracks:
+            t["x"], t["P"] = move @ t["x"], move @ t["P"] @ move.T + drift
+            t["age"], t["missed"] = t["age"] + 1, t["missed"] + 1
+        taken = set()
+        if tracks and usable:
+            cost = [[metres(t["x"][0], t["x"][1], d[0], d[1]) for d in usable] for t in tracks]
+            for r, c in assigned(cost).items():
+                if cost[r][c] > s.reach_m:
+                    continue
+                taken.add(c)
+                lat, lon, depth, points = usable[c]
+                if points < s.min_update:
+                    continue
+                t, scale = tracks[r], max(0.4, min(2.5, 100 / max(points, 10.0)))
+                gain = t["P"] @ see.T @ np.linalg.inv(see @ t["P"] @ see.T + noise * scale)
+                t["x"] = t["x"] + gain @ (np.array([lat, lon, depth]) - see @ t["x"])
+                t["P"] = (np.eye(5) - gain @ see) @ t["P"]
+                t["hits"], t["missed"], t["points"] = t["hits"] + 1, 0, [*t["points"], points][-5:]
+        for c, (lat, lon, depth, points) in enumerate(usable):
+            if c not in taken and points >= s.min_start:
+                tracks.append({"id": next_id, "x": np.array([lat, lon, depth, 0, 0]), "P": start.copy(), "hits": 1, "missed": 0, "age": 0, "points": [points]})
+                next_id += 1
+        tracks = [t for t in tracks if t["missed"] <= s.max_misses]
+        if not usable:
+            continue
+        lat, lon = usable[0][:2]
+        gap = lambda t: metres(t["x"][0], t["x"][1], lat, lon)  # noqa: E731, B023
+        sure = [t for t in tracks if t["hits"] >= s.min_hits]
+        shown = sure or sorted((t for t in tracks if gap(t) <= s.cap_m), key=gap)[:1]
+        if not shown:
+            continue
+        t = max(shown, key=lambda t: 10 * t["hits"] + sum(t["points"]) / len(t["points"]) - 0.1 * gap(t))
+        at = (lat, lon) if gap(t) > s.cap_m else tuple(t["x"][:2])
+        out.append((frame, t["id"], *at, t["x"][2], t["hits"], t["age"], not sure))
+    return out
+
+
+def test_tracks_are_those_of_a_matrix_filter(spark):
+    from wayfold.operators import match, track
+    from wayfold.plans import views as V
+
+    d = "/root/testdata/sf0.001"
+    f = track.frame_candidates(V.frames(spark, d), match.ranked(match.scored_candidates(V.frames(spark, d), V.buildings(spark, d)), 4))
+    # the table's drives are thin; one more goes back and forth past a few places, with pauses
+    rng = random.Random(6)
+    more = []
+    for k in range(900):
+        if k % 97 < 6 or rng.random() < 0.1:
+            more.append((10**6, k, None))
+        else:
+            at = 12.9 + abs(k % 120 - 60) * 2e-5
+            more.append((10**6, k, [(r, at + rng.gauss(0, 2e-5) + r * 1e-4, 80.2 + rng.gauss(0, 2e-5), 20 + rng.gauss(0, 3), rng.uniform(30, 90)) for r in range(1, rng.randrange(2, 5))]))
+    f = f.unionByName(spark.createDataFrame(more, f.schema))
+    drives = {}
+    for r in f.collect():
+        drives.setdefault(r.drive_id, []).append((r.frame_id, [(s["lat"], s["lon"], s["depth"], s["score"]) for s in r.seen or []]))
+    expected = sorted((drive, *row) for drive, rows in drives.items() for row in matrix_filter(sorted(rows, key=lambda x: x[0])))
+    got = sorted((r.drive_id, r.frame_id, r.track_id, r.stable_lat, r.stable_lon, r.stable_depth, r.track_hits, r.track_age, r.provisional) for r in track.stabilised(f).collect())
+    assert len(got) == len(expected) > 500 and max(r[2] for r in got) > 20
+    for a, b in zip(got, expected, strict=True):
+        assert (*a[:3], *a[6:]) == (*b[:3], *b[6:])
+        assert abs(a[3] - b[3]) < 1e-9 and abs(a[4] - b[4]) < 1e-9 and abs(a[5] - b[5]) < 1e-6
+
+
+def test_times(spark):
+    rows = spark.createDataFrame([("2024-05-03T07:08:09",), ("no time",), (None,)], "t string")
+    got = rows.select(basic.time_label(F.col("t")).alias("l"), basic.iso_text(F.col("t").try_cast("timestamp")).alias("i")).collect()
+    assert [tuple(r) for r in got] == [("03 May 2024  07:08", "2024-05-03T07:08:09"), ("no time", None), (None, None)]
+
+
+def test_numbers(spark):
+    got = spark.createDataFrame([("1 -2.5,+3. .5e1;x7E-1y 8", )], "w string").select(polygon.number_pairs(F.col("w")).alias("p")).first().p
+    assert [(p.lon, p.lat) for p in got] == [(1.0, -2.5), (3.0, 5.0), (0.7, 8.0)]
+
+
+def test_change(spark):
+    rows = spark.createDataFrame([(10.0, 5.0), (10.0, 15.0), (0.0, 1.0), (None, 1.0)], "a double, b double")
+    assert [r.t for r in rows.select(score.change_text(F.col("a"), F.col("b")).alias("t")).collect()] == ["50% better", "50% worse", None, None]

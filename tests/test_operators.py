@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wayfold.config import CURATED_FRAMES
 from wayfold.functions import geo
-from wayfold.operators import detect, lidar, localize, match, report, select, timeline, track
+from wayfold.operators import calibrate, detect, lidar, localize, match, report, select, timeline, track
 from wayfold.operators.track import metres
 from wayfold.sources import pcap, sinks, tables
 from wayfold.streaming import events, tracker
@@ -181,3 +182,121 @@ def test_event_streams_equal_batch(spark, tmp_path):
 
 def test_map_address(spark):
     assert spark.range(1).select(geo.map_url(F.lit(12.5), F.lit(80.25)).alias("u")).first().u.endswith("12.50000000,80.25000000")
+
+
+def one_pass(rows):
+    heads, expected = [], {}
+    for i, lat, lon in rows:
+        lead = next((h for h in heads if metres(lat, lon, h[1], h[2]) <= 18), None)
+        if lead is None:
+            heads.append(lead := (i, lat, lon))
+        expected[i] = lead[0]
+    return expected
+
+
+@pytest.mark.parametrize(("tile", "halo"), [(64, 8), (2, 3), (3, 2.5)])
+def test_leader_clusters_over_tiles(spark, monkeypatch, tile, halo):
+    """A gapless city, gone through by a drive that crosses tiles back and forth and by places in no order."""
+    monkeypatch.setattr(select, "TILE", tile)
+    monkeypatch.setattr(select, "HALO", halo)
+    rng = random.Random(7)
+    rows = [(i, 12.94 + abs(i % 40 - 20) * 9e-5, 80.23 + i * 3e-5 % 6e-4) for i in range(150)] + [(150 + i, -12.94 + rng.uniform(0, 1.2e-3), 80.23 + rng.uniform(0, 1.2e-3)) for i in range(250)]
+    df = spark.createDataFrame([(*r, 1) for r in rows] + [(900, None, 1.0, 1)], "frame_id long, b_lat double, b_lon double, status int").repartition(4)
+    got = {r.frame_id: r.cluster for r in select.leader_clusters(df.drop("status")).collect()}
+    assert got.pop(900) is None and got == one_pass(rows)
+    two = df.drop("status").withColumn("drive", F.when(F.col("frame_id") % 2 == 0, F.lit("a")))
+    got = {r.frame_id: r.cluster for r in select.leader_clusters(two, within="drive").where("b_lat is not null").collect()}
+    assert got == one_pass([r for r in rows if r[0] % 2 == 0]) | one_pass([r for r in rows if r[0] % 2])
+
+
+def test_leader_clusters_on_the_table(spark):
+    from wayfold.plans import views as V
+
+    m = match.best_matches(V.frames(spark, SF), V.buildings(spark, SF)).select("frame_id", "b_lat", "b_lon")
+    rows = sorted(map(tuple, m.collect()))
+    assert {r.frame_id: r.cluster for r in select.leader_clusters(m).collect()} == one_pass(rows)
+
+
+def test_joins_between_stages(spark):
+    t = spark.createDataFrame([(1, 12.9, 80.2, 90.0, 20.0, 12.91, 80.21, 12.9101, 80.2101), (2, 12.9, 80.2, 0.0, 9.0, 12.92, 80.2, 0.0, None), (3, 12.9, 80.2, 0.0, 9.0, 1.0, 1.0, 1.0, 1.0)], "frame_id long, ego_lat double, ego_lon double, heading_deg double, depth_m double, target_lat double, target_lon double, raw_target_lat double, raw_target_lon double")
+    boxes = spark.createDataFrame([(1, 100.0, 1060.0, 3840), (2, 0.0, 9.0, 0), (9, 1.0, 2.0, 3840)], "frame_id long, x1 double, x2 double, img_w int")
+    assert sorted(tuple(r) for r in localize.seen_from(t, boxes).collect()) == [(1, 12.9, 80.2, 90.0, 20.0, 0.25), (2, 12.9, 80.2, 0.0, 9.0, 0.0)]
+    m = spark.createDataFrame([(1, 12.911, 80.211, 80.0, 3.0, 9.0), (2, 12.92, 80.2, 40.0, 3.0, 9.0), (4, 1.0, 1.0, 90.0, 3.0, 9.0)], "frame_id long, b_lat double, b_lon double, score double, angle_off_deg double, dist_m double")
+    got = {r.frame_id: r for r in calibrate.records(m, t, 40.0, 0.001, 0.002).collect()}
+    assert set(got) == {1, 2} and got[1].raw_lat == 12.9101 and got[2].raw_lat == pytest.approx(12.919) and got[2].raw_lon == pytest.approx(80.198) and got[1].dlat == pytest.approx(0.0009)
+    assert set(r.frame_id for r in calibrate.records(m, t, 41.0).collect()) == {1}
+    whole = localize.raw_targets(t, zero_is_missing=False).orderBy("frame_id").collect()
+    assert whole[1].raw_lat == 0.0 and whole[1].raw_lon == 80.2
+    c = {r.frame_id: r for r in report.gps_comparison(m, t).collect()}
+    assert set(c) == {1, 2} and c[2].error_est_to_gob_m == 0.0 and c[1].vehicle_gps.heading_deg == 90.0 and c[1].gob_match_gps.confidence is None and c[1].estimated_gps.gmaps.endswith("12.91000000,80.21000000")
+
+
+def test_small_pieces(spark, tmp_path):
+    for n in (3, 12):
+        (tmp_path / f"frame_{n:06d}.jpg").write_bytes(b"picture %d" % n)
+    (tmp_path / "frame_x.jpg").write_bytes(b"")
+    images = tables.read_images(spark, str(tmp_path))
+    assert sorted((r.frame_id, bytes(r.content)) for r in images.collect()) == [(3, b"picture 3"), (12, b"picture 12")]
+    assert [r.frame_id for r in tables.missing(spark.createDataFrame([(3,), (4,)], "frame_id long"), images).collect()] == [4]
+    assert [r.frame_id for r in tables.only_selected(images, spark.createDataFrame([(12,), (12,)], "frame_id long")).collect()] == [12]
+    drawn = sinks.draw(images.selectExpr("frame_id", "length(content) AS n"), lambda r: b"%d" % r.n).collect()
+    assert sorted((r.frame_id, bytes(r.picture)) for r in drawn) == [(3, b"9"), (12, b"10")]
+    rows = spark.createDataFrame([(7, 1.5, 12.9, 80.2, 10.0)], "frame_id long, timestamp double, latitude double, longitude double, heading_deg double")
+    n = timeline.nested_manifest(rows, "/img/", lidar=("a.pcap", "b.pcap")).first()
+    assert n.camera_data.path == "/img/frame_000007.jpg" and n.lidar_data.l2 == "b.pcap" and n.ego_pose.heading_deg == 10.0
+    filled = select.filled(spark.createDataFrame([(1, None, None, None)], "frame_id long, angle_off_deg double, dist_m double, confidence double")).first()
+    assert (filled.angle_off_deg, filled.dist_m, filled.confidence) == (99.0, 999.0, 0.0)
+    thin = lidar.thinned(spark.range(10_000).toDF("n"), 100, F.col("n"))
+    assert 50 < thin.count() < 200 and lidar.thinned(spark.range(5).toDF("n"), 100, F.col("n")).count() == 5
+    dash = spark.createDataFrame([(76, 50.0), (77, 60.0)], "frame_id long, quality_score double")
+    cal = spark.createDataFrame([(76, 2.0, True)], "frame_id long, calibrated_error_m double, is_inlier boolean")
+    assert [tuple(r) for r in report.dashboard(dash, cal, CURATED_FRAMES).collect()] == [(76, 50.0, 2.0, True)]
+
+
+def test_depths_of_boxes(spark):
+    boxes = spark.createDataFrame([(1, 100.0, 90.0, 119.0, 110.0), (2, 100.0, 90.0, 119.0, 110.0)], "frame_id long, x1 double, y1 double, x2 double, y2 double")
+    seen = spark.createDataFrame([(100.0 + i, 100.0, 10.0 + i) for i in range(20)], "u double, v double, depth double")
+    got = {r.frame_id: (r.median_depth, r.depth_pts) for r in lidar.depths(boxes, spark.createDataFrame([(1, 7.5, 30)], "frame_id long, depth double, n long"), seen).collect()}
+    assert got == {1: (7.5, 30), 2: (pytest.approx(np.percentile([18, 19, 20, 21], 35)), 4)}
+
+
+def test_matches_of_a_stream(spark, tmp_path):
+    from wayfold.plans import views as V
+
+    f, b = V.frames(spark, SF).where("frame_id < 60").withColumn("ts", F.col("ts").cast("timestamp")), V.buildings(spark, SF)
+    f.coalesce(1).write.parquet(str(tmp_path / "f"))
+    stream = lambda: spark.readStream.schema(f.schema).parquet(str(tmp_path / "f"))
+    q = events.matched_stream(stream(), b).select("frame_id", "building_id", "score").writeStream.format("memory").queryName("matched").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("matched").collect())) == sorted(map(tuple, match.scored_candidates(f, b).select("frame_id", "building_id", "score").collect()))
+    q = events.write_matches(stream(), b, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).select("frame_id", "building_id", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, match.best_matches(f, b).select("frame_id", "building_id", "score").collect()))
+
+
+def test_the_package_ships_itself(tmp_path):
+    """A driver in another folder, without PYTHONPATH: workers get the package from it."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    code = f"""
+import sys
+sys.path.append({root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from wayfold.shared import ship
+ship(spark)
+from wayfold.operators import track
+f = spark.createDataFrame([(1, k, [(1, 12.9, 80.2, 20.0, 60.0)]) for k in range(5)], "drive_id long, frame_id long, seen array<struct<rank:int,lat:double,lon:double,depth:double,score:double>>")
+assert track.stabilised(f).count() == 5
+from wayfold.sources import pcap
+open({str(tmp_path / "a.pcap")!r}, "wb").close()
+assert pcap.read_points(spark, {str(tmp_path / "a.pcap")!r}).count() == 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, cwd=tmp_path, env=env)

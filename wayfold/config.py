@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 EARTH_RADIUS_M = 6_371_000.0
 METRES_PER_DEGREE = 111_320.0
+# The reference latitude, the curated frames and the frames' timing.
 #: The latitude at which flat-earth shifts take a degree of longitude.
 REFERENCE_LAT = 12.945
 CURATED_FRAMES = (76, 151, 226, 276, 401, 626, 1826, 3351)
@@ -47,6 +48,7 @@ SECOND_TO_FIRST = (
 )
 
 
+# How candidates are sought and scored.
 @dataclass(frozen=True)
 class Matching:
     radius_m: float = 150.0
@@ -59,6 +61,7 @@ class Matching:
     decay_m: float = 5.0
 
 
+# When tracks begin, go on and end.
 @dataclass(frozen=True)
 class Tracking:
     gate: float = 45.0
@@ -71,6 +74,7 @@ class Tracking:
     candidates: int = 4
 
 
+# The offsets that calibration tries, and when it stops.
 @dataclass(frozen=True)
 class Grid:
     """Offsets to try: the along axis is the outer one."""

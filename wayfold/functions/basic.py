@@ -23,6 +23,16 @@ def mod(x: Column, n: float) -> Column:
     return F.pmod(x, F.lit(float(n)))
 
 
+def iso_text(time: Column) -> Column:
+    """A timestamp as ISO 8601 text, to the second."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def time_label(text: Column) -> Column:
+    """ISO 8601 text as people read it (day, month, year, hour, minute); what isn't a time stays as it is."""
+    return F.coalesce(F.date_format(text.try_cast("timestamp"), "dd MMM yyyy  HH:mm"), text)
+
+
 def round_exact(x: Column, digits: int) -> Column:
     """x rounded by its exact binary value, ties to even: what Python's round(x, digits) gives for |x| * 10**digits < 2**52.
 

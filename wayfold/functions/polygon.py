@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .basic import let
 from .geo import geodesic_m, haversine_m
 
 POINTS = "array<struct<lon:double,lat:double>>"
-NUMBER = r"([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)"
+_DIGITS = "[0-9]+"
+#: A sign or none, digits with a fraction or a fraction alone, an exponent or none.
+NUMBER = rf"([+-]?(?:{_DIGITS}(?:\.[0-9]*)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)"
 
 
 def _none() -> Column:
@@ -56,15 +58,33 @@ def geometry_status(wkt: Column) -> Column:
 
 def vertex_mean(points: Column) -> Column:
     """struct(lon, lat): the mean of all vertices, a closing one included; null without any."""
-    total = F.aggregate(points, F.struct(F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat")), lambda a, p: F.struct((a.lon + p.lon).alias("lon"), (a.lat + p.lat).alias("lat")))
-    return F.when(F.size(points) > 0, let(total, lambda t: F.struct((t.lon / F.size(points)).alias("lon"), (t.lat / F.size(points)).alias("lat"))))
+
+    def mean(ps: Column) -> Column:
+        total = F.aggregate(ps, F.struct(F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat")), lambda a, p: F.struct((a.lon + p.lon).alias("lon"), (a.lat + p.lat).alias("lat")))
+        return F.when(F.size(ps) > 0, let(total, lambda t: F.struct((t.lon / F.size(ps)).alias("lon"), (t.lat / F.size(ps)).alias("lat"))))
+
+    return let(points, mean)
+
+
+def with_outlines(rows: DataFrame, scrape: bool = True) -> DataFrame:
+    """rows with points, parsed from geometry unless they are there already: an outline that is parsed before a join is parsed once for each building."""
+    return rows if "points" in rows.columns else rows.withColumn("points", polygon_points(F.col("geometry"), scrape))
+
+
+def _placed(points: Column, lat: Column, lon: Column, body) -> Column:
+    """body of struct(points, lat, lon), each computed once: what a lambda inside refers to is else computed anew for every vertex."""
+    return let(F.struct(points.alias("points"), lat.alias("lat"), lon.alias("lon")), body)
 
 
 def contains(points: Column, lat: Column, lon: Column) -> Column:
     """Even-odd rule, strict."""
-    before = lambda i: F.get(points, F.when(i == 0, F.size(points) - 1).otherwise(i - 1))
-    edges = F.transform(points, lambda p, i: F.struct(p.alias("p"), before(i).alias("q")))
-    crossed = F.filter(edges, lambda e: ((e.p.lat > lat) != (e.q.lat > lat)) & (lon < (e.q.lon - e.p.lon) * (lat - e.p.lat) / F.nullif(e.q.lat - e.p.lat, F.lit(0.0)) + e.p.lon))
+    return _placed(points, lat, lon, _contains)
+
+
+def _contains(k: Column) -> Column:
+    before = lambda i: F.get(k.points, F.when(i == 0, F.size(k.points) - 1).otherwise(i - 1))
+    edges = F.transform(k.points, lambda p, i: F.struct(p.alias("p"), before(i).alias("q")))
+    crossed = F.filter(edges, lambda e: ((e.p.lat > k.lat) != (e.q.lat > k.lat)) & (k.lon < (e.q.lon - e.p.lon) * (k.lat - e.p.lat) / F.nullif(e.q.lat - e.p.lat, F.lit(0.0)) + e.p.lon))
     return F.coalesce(F.size(crossed) % 2 == 1, F.lit(False))
 
 
@@ -81,11 +101,19 @@ def segment_distance_m(lat: Column, lon: Column, a: Column, b: Column) -> Column
 
 def edge_error_m(lat: Column, lon: Column, points: Column) -> Column:
     """0 inside; else the distance to the nearest segment; null with fewer than three vertices. The ring isn't closed if its points don't close it."""
-    segments = F.transform(F.slice(points, 1, F.size(points) - 1), lambda p, i: segment_distance_m(lat, lon, p, F.get(points, i + 1)))
-    return F.when(F.size(points) >= 3, F.when(contains(points, lat, lon), 0.0).otherwise(F.array_min(segments)))
+
+    def error(k: Column) -> Column:
+        segments = F.transform(F.slice(k.points, 1, F.size(k.points) - 1), lambda p, i: segment_distance_m(k.lat, k.lon, p, F.get(k.points, i + 1)))
+        return F.when(F.size(k.points) >= 3, F.when(_contains(k), 0.0).otherwise(F.array_min(segments)))
+
+    return _placed(points, lat, lon, error)
 
 
 def longest_side_m(points: Column) -> Column:
     """The longest geodesic between vertices that follow each other; null with fewer than two."""
-    sides = F.transform(F.slice(points, 1, F.size(points) - 1), lambda p, i: geodesic_m(p.lat, p.lon, F.get(points, i + 1).lat, F.get(points, i + 1).lon))
-    return F.when(F.size(points) >= 2, F.array_max(sides))
+
+    def longest(ps: Column) -> Column:
+        sides = F.transform(F.slice(ps, 1, F.size(ps) - 1), lambda p, i: let(F.get(ps, i + 1), lambda q: geodesic_m(p.lat, p.lon, q.lat, q.lon)))
+        return F.when(F.size(ps) >= 2, F.array_max(sides))
+
+    return let(points, longest)

@@ -75,6 +75,7 @@ def improvement_pct(raw: Column, corrected: Column) -> Column:
     return F.coalesce(100 * (raw - corrected) / F.nullif(raw, F.lit(0.0)), F.lit(0.0))
 
 
+# The thresholds of labels and chips above, and the phrases below with theirs.
 def rationale(score: Column, off: Column, dist: Column, confidence: Column, sightings: Column, q: Column, error: Column, method: Column) -> Column:
     """Why a sighting was selected, in phrases parted by semicolons."""
     n = lambda fmt, x: F.format_string(fmt, x.cast("double"))

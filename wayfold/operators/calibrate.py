@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 from ..config import METRES_PER_DEGREE, REFERENCE_LAT, Grid
 from ..functions.basic import let
 from ..functions.geo import cell_key, haversine_m, shifted
-from ..functions.polygon import edge_error_m, polygon_points
+from ..functions.polygon import edge_error_m, with_outlines
 from ..functions.score import accuracy_label, improvement_pct
+from .localize import raw_targets
+
+
+def records(matches: DataFrame, targets: DataFrame, min_score: float = 0.0, lat_offset: float = 0.0, lon_offset: float = 0.0) -> DataFrame:
+    """What calibration starts from: matches of min_score or more whose frame has a target, with raw_lat, raw_lon, and dlat, dlon from there to the building. A missing score counts as 0."""
+    t = raw_targets(targets, lat_offset, lon_offset).select("frame_id", "raw_lat", "raw_lon")
+    r = matches.where(F.coalesce("score", F.lit(0.0)) >= min_score).join(t, "frame_id")
+    return r.withColumns({"dlat": F.col("b_lat") - F.col("raw_lat"), "dlon": F.col("b_lon") - F.col("raw_lon")})
 
 
 def per_building(records: DataFrame) -> DataFrame:
@@ -28,7 +36,7 @@ def mean_offsets(records: DataFrame) -> DataFrame:
 
 def _error(lat: Column, lon: Column) -> Column:
     """To the outline, to the centroid where a record has no geometry; an outline that can't be used counts as 999 m."""
-    edge = F.round(edge_error_m(lat, lon, polygon_points(F.col("geometry"))), 2)
+    edge = F.round(edge_error_m(lat, lon, F.col("points")), 2)
     return F.when(F.coalesce(F.col("geometry"), F.lit("")) == "", F.round(haversine_m(lat, lon, F.col("b_lat"), F.col("b_lon")), 2)).otherwise(F.coalesce(edge, F.lit(999.0)))
 
 
@@ -36,8 +44,10 @@ def evaluated(records: DataFrame, offsets: DataFrame) -> DataFrame:
     """records (raw_lat, raw_lon, …) with the error before and after the one row of offsets, the improvement and a label."""
     r = records.join(F.broadcast(offsets.select("avg_dlat", "avg_dlon")))  # one row
     r = r.withColumns({"corrected_lat": F.col("raw_lat") + F.col("avg_dlat"), "corrected_lon": F.col("raw_lon") + F.col("avg_dlon")}).drop("avg_dlat", "avg_dlon")
+    parsed, r = "points" in r.columns, with_outlines(r)
     r = r.withColumns({"raw_error_m": _error(F.col("raw_lat"), F.col("raw_lon")), "corrected_error_m": _error(F.col("corrected_lat"), F.col("corrected_lon"))})
-    return r.withColumns({"improvement_m": F.round(F.col("raw_error_m") - F.col("corrected_error_m"), 2), "accuracy_label": accuracy_label(F.col("corrected_error_m"))})
+    r = r.withColumns({"improvement_m": F.round(F.col("raw_error_m") - F.col("corrected_error_m"), 2), "accuracy_label": accuracy_label(F.col("corrected_error_m"))})
+    return r if parsed else r.drop("points")
 
 
 def evaluation_summary(results: DataFrame) -> DataFrame:
@@ -75,8 +85,9 @@ def offset_error(along: Column, cross: Column) -> Column:
 
 
 def grid_errors(records: DataFrame, g: Grid = Grid()) -> DataFrame:
-    """(cell, along, cross, frame_id, err). records: frame_id, lat, lon, heading, depth, b_lat, b_lon, geometry."""
-    r = records.select("frame_id", "lat", "lon", "heading", "depth", "b_lat", "b_lon", polygon_points(F.col("geometry"), scrape=False).alias("points"))
+    """(cell, along, cross, frame_id, err). records: frame_id, lat, lon, heading, depth, b_lat, b_lon, geometry or points (the parsed outline)."""
+    r = records.select("frame_id", "lat", "lon", "heading", "depth", "b_lat", "b_lon", *(c for c in ("geometry", "points") if c in records.columns))
+    r = with_outlines(r, scrape=False).drop("geometry")
     return _spread(r, g).select("cell", "along", "cross", "frame_id", offset_error(F.col("along"), F.col("cross")).alias("err"))
 
 
@@ -99,7 +110,7 @@ def running_best(scores: DataFrame, g: Grid = Grid(), stop_early: bool = True) -
 
 def inlier_breakdown(records: DataFrame, along: float, cross: float, g: Grid = Grid()) -> DataFrame:
     """(frame_id, calibrated_error_m, is_inlier, is_polygon_hit, threshold_m, group_median_m) at one pair of offsets."""
-    e = records.withColumn("points", polygon_points(F.col("geometry"), scrape=False)).select("frame_id", offset_error(F.lit(along), F.lit(cross)).alias("err"))
+    e = with_outlines(records, scrape=False).select("frame_id", offset_error(F.lit(along), F.lit(cross)).alias("err"))
     med = e.agg(F.percentile("err", 0.5).alias("med"))
     thr = F.greatest(g.outlier_scale * F.col("med"), F.lit(g.floor_m))
     return e.join(F.broadcast(med)).select("frame_id", F.round("err", 3).alias("calibrated_error_m"), (F.col("err") <= thr).alias("is_inlier"), (F.col("err") == 0).alias("is_polygon_hit"), F.round(thr, 2).alias("threshold_m"), F.round("med", 3).alias("group_median_m"))

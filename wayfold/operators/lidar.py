@@ -80,6 +80,5 @@ def depths(boxes: DataFrame, from_mask: DataFrame, seen: DataFrame, key: str = "
 
 def thinned(points: DataFrame, most: int, order: Column) -> DataFrame:
     """About `most` of the points for drawing: every k-th by a hash of their identity."""
-    n = points.count()
-    k = max(1, n // most)
-    return points.where(F.pmod(F.xxhash64(order), F.lit(k)) == 0)
+    k = points.agg(F.greatest(F.lit(1), F.expr(f"count(*) div {most}")).alias("_k"))
+    return points.join(F.broadcast(k)).where(F.pmod(F.xxhash64(order), F.col("_k")) == 0).drop("_k")  # one row

@@ -17,6 +17,13 @@ def targets(poses: DataFrame, depths: DataFrame, lat_offset: float = 0.0, lon_of
     return j.withColumn("gmaps", map_url(F.col("target_lat"), F.col("target_lon")))
 
 
+def seen_from(targets: DataFrame, boxes: DataFrame) -> DataFrame:
+    """What matching starts from: targets' rows (ego_lat, ego_lon, heading_deg, depth_m) of frames that have a box (frame_id, x1, x2, img_w), as lat, lon, heading, depth and frac, the share of the image's width that the box takes (0 for an image without width)."""
+    b = boxes.select("frame_id", F.coalesce(F.when(F.col("img_w") > 0, (F.col("x2") - F.col("x1")) / F.col("img_w")), F.lit(0.0)).alias("frac"))
+    t = targets.select("frame_id", F.col("ego_lat").alias("lat"), F.col("ego_lon").alias("lon"), F.col("heading_deg").alias("heading"), F.col("depth_m").alias("depth"))
+    return t.join(b, "frame_id")
+
+
 def raw_targets(rows: DataFrame, lat_offset: float = 0.0, lon_offset: float = 0.0, zero_is_missing: bool = True) -> DataFrame:
     """rows with raw_lat, raw_lon: the raw target where it is there (and not 0, unless told otherwise), else the target without the offset."""
     pick = lambda raw, t, o: F.coalesce(F.nullif(F.col(raw), F.lit(0.0)) if zero_is_missing else F.col(raw), F.col(t) - o)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import METRES_PER_DEGREE
-from ..functions.geo import cell_key, haversine_m
+from ..functions.geo import cell_key, haversine_m, map_url
 
 
 def unique_best(matches: DataFrame) -> DataFrame:
@@ -52,6 +52,21 @@ def sightings(matches: DataFrame, depth: str | None = None) -> DataFrame:
     return numbered(g.drop("_k"), "first_frame", "track_id").withColumn("track_id", F.col("track_id").cast("string"))
 
 
+def gps_comparison(matches: DataFrame, targets: DataFrame) -> DataFrame:
+    """A record for each matched frame that has a target (ego_lat, ego_lon, heading_deg, target_lat, target_lon, depth_m): where the vehicle was, what was estimated, the building that matched, and the metres between the last two. error_stats of them is the summary."""
+    given = lambda c: c if c in matches.columns else F.lit(None).cast("double").alias(c)
+    t = targets.select("frame_id", "ego_lat", "ego_lon", "heading_deg", "target_lat", "target_lon", "depth_m")
+    j = matches.select("frame_id", "b_lat", "b_lon", "score", "angle_off_deg", "dist_m", *map(given, ("confidence", "footprint_w_m", "score_angle", "score_prox", "score_width", "score_depth"))).join(t, "frame_id")
+    c = F.col
+    return j.select(
+        "frame_id",
+        F.struct(c("ego_lat").alias("lat"), c("ego_lon").alias("lon"), "heading_deg").alias("vehicle_gps"),
+        F.struct(c("target_lat").alias("lat"), c("target_lon").alias("lon"), "depth_m", map_url(c("target_lat"), c("target_lon")).alias("gmaps")).alias("estimated_gps"),
+        F.struct(c("b_lat").alias("lat"), c("b_lon").alias("lon"), "score", "angle_off_deg", "dist_m", "confidence", "footprint_w_m", "score_angle", "score_prox", "score_width", "score_depth", map_url(c("b_lat"), c("b_lon")).alias("gmaps")).alias("gob_match_gps"),
+        F.round(haversine_m(c("target_lat"), c("target_lon"), c("b_lat"), c("b_lon")), 3).alias("error_est_to_gob_m"),
+    )
+
+
 def error_stats(errors: DataFrame, err: str = "err", frame: str = "frame_id") -> DataFrame:
     """One row over errors in metres (rounded to 3 places first): mean, median, extremes, deviation, best and worst frame, and shares under 15, 30 and 50 m."""
     e = errors.select(frame, F.round(err, 3).alias("e"))

@@ -48,11 +48,11 @@ def frame_time(frame_id: Column, first: Column, spec: Frames = Frames()) -> Colu
     return first + (frame_id - spec.start) / spec.fps
 
 
-def manifest(frame_ids: DataFrame, samples: DataFrame, spec: Frames = Frames(), by: str = "drive_id") -> DataFrame:
-    """(drive, frame_id, timestamp, latitude, longitude, heading_deg): the pose of each frame. samples: drive, t, lat, lon, yaw."""
+def manifest(frame_ids: DataFrame, samples: DataFrame, spec: Frames = Frames(), by: str = "drive_id", tie: str | None = None, bucket_s: float = 60.0) -> DataFrame:
+    """(drive, frame_id, timestamp, latitude, longitude, heading_deg): the pose of each frame. samples: drive, t, lat, lon, yaw; tie orders those of one time."""
     starts = samples.groupBy(by).agg(F.min("t").alias("_first"))
     f = frame_ids.join(starts, by).withColumn("t", frame_time(F.col("frame_id"), F.col("_first"), spec)).drop("_first")
-    p = interpolated(f, unwrapped(samples, "yaw", "heading", by), ("lat", "lon", "heading"), by)
+    p = interpolated(f, unwrapped(samples, "yaw", "heading", by, ("t", tie) if tie else ("t",)), ("lat", "lon", "heading"), by, tie=tie, bucket_s=bucket_s)
     return p.select(by, "frame_id", F.col("t").alias("timestamp"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), mod(F.col("heading"), 360).alias("heading_deg"))
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import EARTH_RADIUS_M, Tracking
@@ -146,13 +147,37 @@ def seen_in(frame: object) -> list[tuple[float, float, float, float]]:
     return [(d["lat"], d["lon"], d["depth"], d["score"]) for d in frame] if frame is not None else []
 
 
-def stabilised(frames: DataFrame, spec: Tracking = Tracking()) -> DataFrame:
-    """ROWS with a map address for frame_candidates' rows. A drive is a task's work: its frames are gone through in order, and a track's life is counted in frames."""
+def _stretches(frames: DataFrame, spec: Tracking) -> DataFrame:
+    """frames with _stretch: a number that grows where a usable frame follows so many others that all tracks have ended."""
+    w = W.partitionBy("drive_id").orderBy("frame_id")
+    usable = F.coalesce(F.get("seen", 0).score >= spec.gate, F.lit(False))
+    f = frames.withColumn("_n", F.row_number().over(w)).withColumn("_used", F.when(usable, F.col("_n")))
+    last = F.max("_used").over(w.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.col("_used").isNotNull() & F.coalesce(F.col("_n") - last - 1 > spec.max_misses, F.lit(True))
+    return f.withColumn("_stretch", F.sum(fresh.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_n", "_used")
 
-    def drive(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_id", kind="stable")
-        id_ = int(rows["drive_id"].iloc[0])
-        out = followed(Tracks(spec), ((int(f), seen_in(s)) for f, s in zip(rows["frame_id"], rows["seen"], strict=True)), id_)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")])
 
-    return frames.groupBy("drive_id").applyInPandas(drive, ROWS).withColumn("gmaps", map_url(F.col("stable_lat"), F.col("stable_lon")))
+def stabilised(frames: DataFrame, spec: Tracking = Tracking()) -> DataFrame:
+    """ROWS with a map address for frame_candidates' rows. A track's life is counted in a drive's frames, in order. A drive is cut where all tracks have ended; each stretch is gone through by a task as its rows come, sorted, so no drive is held; tracks of later stretches are numbered on."""
+    schema = f"{ROWS}, _stretch long, _begun long"
+    arrow = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tracks = None, None
+        end = lambda: [(at[0], None, *[None] * 12, at[1], tracks.next_id - 1)] if at else []
+        for b in batches:
+            out: list[tuple] = []
+            for drive, frame, seen, stretch in zip(*(b.column(c).to_pylist() for c in ("drive_id", "frame_id", "seen", "_stretch")), strict=True):
+                if (drive, stretch) != at:
+                    out += end()
+                    at, tracks = (drive, stretch), Tracks(spec)
+                out += [(*r, stretch, None) for r in followed(tracks, [(frame, seen_in(seen))], drive)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow, strict=True)] if out else [pa.array([], f.type) for f in arrow], schema=arrow)
+        if at:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*end()), arrow, strict=True)], schema=arrow)
+
+    rows = _stretches(frames, spec).select("drive_id", "frame_id", "seen", F.col("_stretch").cast("long").alias("_stretch"))
+    out = rows.repartition("drive_id", "_stretch").sortWithinPartitions("drive_id", "_stretch", "frame_id").mapInArrow(run, schema)
+    before = F.sum("_begun").over(W.partitionBy("drive_id").orderBy("_stretch").rangeBetween(W.unboundedPreceding, -1))
+    out = out.withColumn("track_id", F.col("track_id") + F.coalesce(before, F.lit(0))).where("frame_id is not null").drop("_stretch", "_begun")
+    return out.withColumn("gmaps", map_url(F.col("stable_lat"), F.col("stable_lon")))

@@ -30,6 +30,11 @@ def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return V.frames(spark, d), V.buildings(spark, d)
 
 
+def _outlined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Frames, and buildings with their outlines parsed, once for each."""
+    return V.frames(spark, d), polygon.with_outlines(V.buildings(spark, d)).drop("geometry")
+
+
 def r2(*names: str):
     return [F.round(n, 2).alias(n) for n in names]
 
@@ -86,7 +91,17 @@ def wkt_vertices(spark: SparkSession, d: str) -> DataFrame:
     return b.select("building_id", F.size("p").alias("n"), F.round(c.lon, 6).alias("c_lon"), F.round(c.lat, 6).alias("c_lat"), polygon.geometry_status(F.col("geometry")).alias("status"))
 
 
-@query()
+_CORNERS = {k: f"({'y' if k[0] == 'a' else 'x'} {k[1]} half) / 1e6::DOUBLE" for k in ("a-", "a+", "o-", "o+")}
+
+
+def _side(a: str, o: str, a2: str, o2: str) -> str:
+    return S.geodesic(*(_CORNERS[k] for k in (a, o, a2, o2)))
+
+
+@query(
+    "SELECT building_id, round(greatest(" + ", ".join(_side(*c) for c in (("a-", "o-", "a-", "o+"), ("a-", "o+", "a+", "o+"), ("a+", "o+", "a+", "o-"), ("a+", "o-", "a-", "o-"))) + "), 2) AS footprint_w_m "
+    "FROM (SELECT p_partkey AS building_id, 12940000 + (p_partkey * 4001) % 10007 + (p_partkey // 2000) * 20000 AS y, 80230000 + (p_partkey * 9001) % 10009 AS x, 20 + p_size AS half FROM part)"
+)
 def longest_side(spark: SparkSession, d: str) -> DataFrame:
     return V.buildings(spark, d).select("building_id", F.round(polygon.longest_side_m(polygon.number_pairs(F.col("geometry"))), 2).alias("footprint_w_m"))
 
@@ -95,16 +110,16 @@ def longest_side(spark: SparkSession, d: str) -> DataFrame:
     S.chain("near") + "SELECT frame_id, count(*) FILTER (WHERE round((lat - b_lat) * 1e6) >= -half AND round((lat - b_lat) * 1e6) < half AND round((lon - b_lon) * 1e6) >= -half AND round((lon - b_lon) * 1e6) < half) AS inside FROM near GROUP BY frame_id"
 )
 def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
-    f, b = _both(spark, d)
-    near = match.radius_join(f, b.withColumn("points", polygon.polygon_points(F.col("geometry"))).drop("geometry"))
+    f, b = _outlined(spark, d)
+    near = match.radius_join(f, b)
     return near.groupBy("frame_id").agg(F.count_if(polygon.contains(F.col("points"), F.col("lat"), F.col("lon"))).alias("inside"))
 
 
 @query(S.chain("shifts") + f"SELECT frame_id, round(t_lat, 6) AS t_lat, round(t_lon, 6) AS t_lon, round({S.square_error('t_lat', 't_lon')}, 2) AS error_m, {S.label(f'round({S.square_error("t_lat", "t_lon")}, 2)')} AS label FROM shifts")
 def edge_error(spark: SparkSession, d: str) -> DataFrame:
-    m = match.best_matches(*_both(spark, d))
+    m = match.best_matches(*_outlined(spark, d))
     s = m.withColumn("t", geo.shifted(F.col("lat"), F.col("lon"), F.col("heading"), F.col("depth"), F.lit(0.0), F.lit(0.0)))
-    e = s.withColumn("error_m", F.round(polygon.edge_error_m(F.col("t.lat"), F.col("t.lon"), polygon.polygon_points(F.col("geometry"))), 2))
+    e = s.withColumn("error_m", F.round(polygon.edge_error_m(F.col("t.lat"), F.col("t.lon"), F.col("points")), 2))
     return e.select("frame_id", F.round("t.lat", 6).alias("t_lat"), F.round("t.lon", 6).alias("t_lon"), "error_m", score.accuracy_label(F.col("error_m")).alias("label"))
 
 
@@ -123,7 +138,10 @@ def ray_correction(spark: SparkSession, d: str) -> DataFrame:
     return V.frames(spark, d).select("frame_id", p.alias("p")).select("frame_id", F.round("p.lat", 6).alias("c_lat"), F.round("p.lon", 6).alias("c_lon"))
 
 
-@query()
+@query(
+    f"WITH {V.FRAMES}, t AS (SELECT frame_id, depth AS depth_m, {S.destination('lat', 'lon', 'heading', 'depth')} AS p FROM frames) "
+    "SELECT frame_id, depth_m, round(p.lat, 8) AS target_lat, round(p.lon, 8) AS target_lon, 'https://www.google.com/maps/search/?api=1&query=' || printf('%.8f', p.lat) || ',' || printf('%.8f', p.lon) AS gmaps FROM t"
+)
 def target_points(spark: SparkSession, d: str) -> DataFrame:
     poses = V.frames(spark, d).selectExpr("frame_id", "lat AS latitude", "lon AS longitude", "heading AS heading_deg")
     return localize.targets(poses, V.frames(spark, d).selectExpr("frame_id", "depth AS median_depth")).select("frame_id", "depth_m", F.round("target_lat", 8).alias("target_lat"), F.round("target_lon", 8).alias("target_lon"), "gmaps")
@@ -153,6 +171,23 @@ def pose_interpolate(spark: SparkSession, d: str) -> DataFrame:
     return p.select("frame_id", "drive_id", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), F.round("heading", 2).alias("heading"))
 
 
+@query(
+    S.IMU_UNWRAPPED
+    + """, u AS (SELECT drive_id, t, arg_min(lat, event_id) AS lat, arg_min(lon, event_id) AS lon, arg_min(heading, event_id) AS heading FROM unwrapped GROUP BY drive_id, t),
+seg AS (SELECT drive_id, t AS t0, lead(t) OVER w AS t1, lat AS a0, lead(lat) OVER w AS a1, lon AS o0, lead(lon) OVER w AS o1, heading AS h0, lead(heading) OVER w AS h1,
+  row_number() OVER w AS k, count(*) OVER (PARTITION BY drive_id) AS n FROM u WINDOW w AS (PARTITION BY drive_id ORDER BY t)),
+f AS (SELECT o_orderkey AS frame_id, o_orderkey % 100 AS drive_id, first + (o_orderkey - 1) / 30.0::DOUBLE AS t FROM orders JOIN (SELECT drive_id, min(t) AS first FROM imu GROUP BY drive_id) i ON i.drive_id = o_orderkey % 100),
+p AS (SELECT frame_id, f.drive_id, t, (t - t0) / (t1 - t0) AS x, s.* FROM f JOIN seg s ON f.drive_id = s.drive_id AND t1 IS NOT NULL AND (t >= t0 OR k = 1) AND (t < t1 OR k = n - 1))
+SELECT drive_id, frame_id, round(t, 3) AS "timestamp", round(a0 + (a1 - a0) * x, 5) AS latitude, round(o0 + (o1 - o0) * x, 5) AS longitude, round("""
+    + S.mod360("h0 + (h1 - h0) * x")
+    + """, 2) AS heading_deg FROM p"""
+)
+def frame_manifest(spark: SparkSession, d: str) -> DataFrame:
+    f = V.table(spark, d, "orders").selectExpr("o_orderkey AS frame_id", "o_orderkey % 100 AS drive_id")
+    m = timeline.manifest(f, V.imu(spark, d), tie="event_id", bucket_s=3600.0)
+    return m.select("drive_id", "frame_id", F.round("timestamp", 3).alias("timestamp"), F.round("latitude", 5).alias("latitude"), F.round("longitude", 5).alias("longitude"), *r2("heading_deg"))
+
+
 # --- aggregations
 
 
@@ -185,7 +220,8 @@ _ERR = f"err AS (SELECT frame_id, building_id, b_lat, b_lon, t_lat, t_lon, round
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     """Best matches with a flat-earth target as raw_lat, raw_lon."""
-    m = match.best_matches(*_both(spark, d)).withColumn("t", geo.shifted(F.col("lat"), F.col("lon"), F.col("heading"), F.col("depth"), F.lit(0.0), F.lit(0.0)))
+    f, b = _both(spark, d)
+    m = match.best_matches(f, polygon.with_outlines(b)).withColumn("t", geo.shifted(F.col("lat"), F.col("lon"), F.col("heading"), F.col("depth"), F.lit(0.0), F.lit(0.0)))
     return m.withColumns({"raw_lat": F.col("t.lat"), "raw_lon": F.col("t.lon")}).drop("t")
 
 
@@ -198,6 +234,18 @@ def error_stats(spark: SparkSession, d: str) -> DataFrame:
     return report.error_stats(_targets(spark, d).withColumn("err", geo.haversine_m(F.col("raw_lat"), F.col("raw_lon"), F.col("b_lat"), F.col("b_lon"))))
 
 
+@query(
+    S.chain("shifts")
+    + f"SELECT frame_id, lat AS vehicle_lat, lon AS vehicle_lon, round(t_lat, 6) AS estimated_lat, round(t_lon, 6) AS estimated_lon, depth AS depth_m, b_lat, b_lon, score, angle_off_deg, dist_m, printf('%.8f', b_lat) || ',' || printf('%.8f', b_lon) AS place, round({S.haversine('t_lat', 't_lon', 'b_lat', 'b_lon')}, 3) AS error_m FROM shifts"
+)
+def gps_comparison(spark: SparkSession, d: str) -> DataFrame:
+    t = _targets(spark, d)
+    targets = t.selectExpr("frame_id", "lat AS ego_lat", "lon AS ego_lon", "heading AS heading_deg", "raw_lat AS target_lat", "raw_lon AS target_lon", "depth AS depth_m")
+    r = report.gps_comparison(t, targets)
+    at = ("vehicle_gps.lat AS vehicle_lat", "vehicle_gps.lon AS vehicle_lon", "round(estimated_gps.lat, 6) AS estimated_lat", "round(estimated_gps.lon, 6) AS estimated_lon", "estimated_gps.depth_m", "gob_match_gps.lat AS b_lat", "gob_match_gps.lon AS b_lon")
+    return r.selectExpr("frame_id", *at, "gob_match_gps.score", "gob_match_gps.angle_off_deg", "gob_match_gps.dist_m", "substring_index(gob_match_gps.gmaps, '=', -1) AS place", "error_est_to_gob_m AS error_m")
+
+
 @query(
     S.chain("shifts")
     + "SELECT count(*) AS n, round(avg(b_lat - t_lat), 8) AS avg_dlat, round(avg(b_lon - t_lon), 8) AS avg_dlon, round(stddev_samp(b_lat - t_lat), 8) AS std_dlat, round(stddev_samp(b_lon - t_lon), 8) AS std_dlon, round(avg(b_lat - t_lat) * 111320, 2) AS lat_m, round(avg(b_lon - t_lon) * 111320 * cos(radians(12.945::DOUBLE)), 2) AS lon_m FROM shifts WHERE score >= 40"
@@ -292,9 +340,15 @@ def select_top(spark: SparkSession, d: str) -> DataFrame:
     return select.select_best(_sightings(spark, d), top_n=50).select("frame_id", "building_id", "quality_score", "score")
 
 
-@query(S.chain("best") + "SELECT building_id, round(sum(b_lat * greatest(score, 1)) / sum(greatest(score, 1)), 6) AS w_lat, round(sum(b_lon * greatest(score, 1)) / sum(greatest(score, 1)), 6) AS w_lon, 'weighted_mean' AS method FROM best GROUP BY building_id")
+@query(
+    S.chain("best")
+    + """, w AS (SELECT building_id, any_value(b_lat) AS b_lat, any_value(b_lon) AS b_lon, any_value(half) AS half, sum(b_lat * greatest(score, 1)) / sum(greatest(score, 1)) AS w_lat, sum(b_lon * greatest(score, 1)) / sum(greatest(score, 1)) AS w_lon FROM best GROUP BY building_id)
+SELECT building_id, round(CASE WHEN building_id % 3 = 0 THEN w_lat ELSE (b_lat * 1e6 * 5 - half) / 5e6 END, 6) AS w_lat, round(CASE WHEN building_id % 3 = 0 THEN w_lon ELSE (b_lon * 1e6 * 5 - half) / 5e6 END, 6) AS w_lon,
+  CASE WHEN building_id % 3 = 0 THEN 'weighted_mean' ELSE 'polygon_centroid' END AS method FROM w"""
+)
 def weighted_centroid(spark: SparkSession, d: str) -> DataFrame:
-    s = select.smoothed_places(_sightings(spark, d).withColumn("geometry", F.lit("")))
+    """Every third building counts as one without an outline, so that both ways are gone."""
+    s = select.smoothed_places(_sightings(spark, d).withColumn("geometry", F.when(F.col("building_id") % 3 == 0, "").otherwise(F.col("geometry"))))
     return s.select(F.col("cluster").alias("building_id"), F.round("smooth_lat", 6).alias("w_lat"), F.round("smooth_lon", 6).alias("w_lon"), F.col("smoothing_method").alias("method"))
 
 
@@ -305,27 +359,36 @@ def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    _QUALITY + " SELECT count(*) AS buildings, round(avg(quality_score), 6) AS mean_quality, round(avg(score), 6) AS mean_match FROM qq WHERE frame_id IN (SELECT frame_id FROM qq QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY quality_score DESC, frame_id) = 1)"
+    _QUALITY
+    + f""", top AS (SELECT * FROM qq QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY quality_score DESC, frame_id) = 1 AND quality_score >= 30),
+e AS (SELECT frame_id, {S.square_error("t_lat", "t_lon")} AS err, score FROM ({S.SHIFTS}))
+SELECT count(*) AS buildings, round(avg(quality_score), 6) AS mean_quality, round(avg(top.score), 6) AS mean_match, round(avg(round(err, 2)), 6) AS mean_raw_error_m,
+  round(avg(CASE WHEN e.score >= 75 THEN round(err, 3) END), 6) AS mean_calibrated_error_m FROM top JOIN e USING (frame_id)"""
 )
 def kpis(spark: SparkSession, d: str) -> DataFrame:
-    top = select.clustered_quality(_sightings(spark, d)).where("cluster_rank = 1")
-    k = report.kpis(top.withColumns({"error_m": F.lit(None).cast("double"), "calibrated_error_m": F.lit(None).cast("double")}))
-    return k.select("buildings", F.round("mean_quality", 6).alias("mean_quality"), F.round("mean_match", 6).alias("mean_match"))
+    """Of the selected buildings. Records of 75 points or more stand for the curated frames, which alone have a calibrated error."""
+    t = _targets(spark, d)
+    targets = t.selectExpr("frame_id", "lat AS ego_lat", "lon AS ego_lon", "raw_lat AS target_lat", "raw_lon AS target_lon", "heading AS heading_deg")
+    s = select.select_best(_sightings(spark, d).drop("lat", "lon", "heading"), targets)
+    k = report.kpis(report.dashboard(s, calibrate.inlier_breakdown(t.where("score >= 75"), 0.0, 0.0)))
+    return k.select("buildings", *(F.round(c, 6).alias(c) for c in ("mean_quality", "mean_match", "mean_raw_error_m", "mean_calibrated_error_m")))
 
 
 # --- calibration
 
 
-_GRID = Grid(along_n=6, along_step=5.0, cross_n=6, cross_step=2.0)
+_GRID = Grid()
 
 
 def _curated(spark: SparkSession, d: str) -> DataFrame:
-    m = match.best_matches(*_both(spark, d))
+    """Records of 75 points or more stand for the curated frames."""
+    f, b = _both(spark, d)
+    m = match.best_matches(f, polygon.with_outlines(b, scrape=False))
     return m.where("score >= 75").withColumn("depth", F.col("depth") - 25)
 
 
 _GRID_SQL = S.chain("best") + f""", rec AS (SELECT b.frame_id, f.lat, f.lon, f.heading, f.depth - 25 AS depth, b_lat, b_lon, half FROM best b JOIN frames f USING (frame_id) WHERE score >= 75),
-cells AS (SELECT range AS cell, 25 + (range // 6) * 5.0::DOUBLE AS along, -6 + (range % 6) * 2.0::DOUBLE AS cross_m FROM range(36)),
+cells AS (SELECT range AS cell, 25 + (range // 60) * 0.5::DOUBLE AS along, -6 + (range % 60) * 0.2::DOUBLE AS cross_m FROM range(3600)),
 s AS (SELECT *, greatest(1.0::DOUBLE, depth + along) AS dd FROM rec, cells),
 h AS (SELECT *, radians(heading + degrees(atan2(cross_m, dd))) AS h FROM s),
 t AS (SELECT *, lat + dd * cos(h) / 111320 AS t_lat, lon + dd * sin(h) / (111320 * cos(radians(12.945::DOUBLE))) AS t_lon FROM h),
@@ -341,24 +404,15 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("cell").cast("long").alias("cell"), "along", F.round("cross", 1).alias("cross_m"), F.round("mean", 3).alias("mean"), F.round("median", 3).alias("median"), "inside")
 
 
-@query(_GRID_SQL + "SELECT cell, round(mean, 3) AS mean, inside, 35::BIGINT AS stopped_at FROM g ORDER BY g.mean, cell LIMIT 1")
+@query(
+    _GRID_SQL + """, r AS (SELECT *, min({'mean': mean, 'cell': cell, 'med': med, 'inside': inside}) OVER (ORDER BY cell) AS b FROM g),
+z AS (SELECT coalesce(min(cell) FILTER (b.mean < 3 AND b.med < 3), max(cell)) AS stopped_at FROM r)
+SELECT b.cell AS cell, round(b.mean, 3) AS mean, b.inside AS inside, stopped_at, b.mean < 3 AND b.med < 3 AS met FROM r JOIN z ON cell = stopped_at"""
+)
 def grid_running_best(spark: SparkSession, d: str) -> DataFrame:
+    """The sequential search over all offsets, with its early stop."""
     g = calibrate.grid_scores(calibrate.grid_errors(_curated(spark, d), _GRID), _GRID)
-    return calibrate.running_best(g, _GRID, stop_early=False).select(F.col("cell").cast("long").alias("cell"), F.round("mean", 3).alias("mean"), "inside", F.col("stopped_at").cast("long").alias("stopped_at"))
-
-
-@query()
-def grid_search_full(spark: SparkSession, d: str) -> DataFrame:
-    """All 3,600 offsets of the reference; grid_search has the 36 of its SQL."""
-    g = calibrate.grid_scores(calibrate.grid_errors(_curated(spark, d)))
-    return g.select(F.col("cell").cast("long").alias("cell"), "along", F.round("cross", 1).alias("cross_m"), F.round("mean", 3).alias("mean"), F.round("median", 3).alias("median"), "inside")
-
-
-@query()
-def grid_running_best_full(spark: SparkSession, d: str) -> DataFrame:
-    """As the reference searches: all 3,600 offsets in order, and its early stop."""
-    g = calibrate.grid_scores(calibrate.grid_errors(_curated(spark, d)))
-    return calibrate.running_best(g).select(F.col("cell").cast("long").alias("cell"), F.round("mean", 3).alias("mean"), "inside", F.col("stopped_at").cast("long").alias("stopped_at"), "met")
+    return calibrate.running_best(g, _GRID).select(F.col("cell").cast("long").alias("cell"), F.round("mean", 3).alias("mean"), "inside", F.col("stopped_at").cast("long").alias("stopped_at"), "met")
 
 
 @query(
@@ -366,7 +420,8 @@ def grid_running_best_full(spark: SparkSession, d: str) -> DataFrame:
     "SELECT frame_id, round(err, 3) AS calibrated_error_m, err <= thr AS is_inlier, err = 0 AS is_polygon_hit, round(thr, 2) AS threshold_m, round(med, 3) AS group_median_m FROM e, m"
 )
 def inlier_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.inlier_breakdown(match.best_matches(*_both(spark, d)).where("score >= 75"), 0.0, 0.0)
+    f, b = _both(spark, d)
+    return calibrate.inlier_breakdown(match.best_matches(f, polygon.with_outlines(b, scrape=False)).where("score >= 75"), 0.0, 0.0)
 
 
 # --- tracking and streams

@@ -77,3 +77,61 @@ PROJECTED = f"""WITH {V.POINTS}, cam AS (SELECT tile, n, {_row(_C.from_lidar, 0)
 uv AS (SELECT tile, n, {_C.fx}::DOUBLE * cx / cz + {_C.cx} AS u, {_C.fy}::DOUBLE * cy / cz + {_C.cy} AS v, cz AS depth FROM cam WHERE cz > 1.5 AND cz < 80 AND abs(cx) < 50 AND cy > -1.5 AND cy < 12),
 seen AS (SELECT * FROM uv WHERE u >= 0 AND u < {_C.width} AND v >= 0 AND v < {_C.height})
 """
+
+
+# Geodesics on WGS-84 by Vincenty's series, with as many rounds as the column functions take.
+MAJOR, FLAT = 6378137.0, "(1 / 298.257223563::DOUBLE)"
+MINOR = f"({MAJOR}::DOUBLE * (1 - {FLAT}))"
+_U2 = f"({MAJOR}::DOUBLE * {MAJOR}::DOUBLE - {MINOR} * {MINOR}) / ({MINOR} * {MINOR})"
+
+
+def bound(name: str, value: str, body: str) -> str:
+    """body with name standing for value, computed once."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def repeated(name: str, start: str, times: int, step: str) -> str:
+    """step of name applied to start so many times."""
+    return f"list_reduce([{start}] || list_transform(range({times}), lambda zero: 0.0::DOUBLE), lambda {name}, other: {step})"
+
+
+def _series(u: str) -> tuple[str, str]:
+    return f"(1 + {u} / 16384 * (4096 + {u} * (-768 + {u} * (320 - 175 * {u}))))", f"({u} / 1024 * (256 + {u} * (-128 + {u} * (74 - 47 * {u}))))"
+
+
+def _arc(b: str, s: str, c: str, m: str) -> str:
+    return f"({b} * {s} * ({m} + {b} / 4 * ({c} * (-1 + 2 * {m} * {m}) - {b} / 6 * {m} * (-3 + 4 * {s} * {s}) * (-3 + 4 * {m} * {m}))))"
+
+
+def geodesic(a: str, b: str, c: str, d: str) -> str:
+    """Metres from (a, b) to (c, d)."""
+    u = lambda x: f"atan((1 - {FLAT}) * tan(radians({x})))"
+
+    def shape(lam: str, body: str) -> str:
+        x, y = f"(cos(k.q) * sin({lam}))", f"(cos(k.p) * sin(k.q) - sin(k.p) * cos(k.q) * cos({lam}))"
+        arc = f"{{'s': sqrt({x} * {x} + {y} * {y}), 'c': sin(k.p) * sin(k.q) + cos(k.p) * cos(k.q) * cos({lam})}}"
+        sa = f"CASE WHEN r.s = 0 THEN 0.0::DOUBLE ELSE cos(k.p) * cos(k.q) * sin({lam}) / r.s END"
+        m = "CASE WHEN 1 - sa * sa <= 1e-15::DOUBLE THEN 0.0::DOUBLE ELSE r.c - 2 * sin(k.p) * sin(k.q) / (1 - sa * sa) END"
+        return bound("r", arc, bound("sa", sa, bound("z", f"{{'s': r.s, 'c': r.c, 'a': sa, 'k': 1 - sa * sa, 'm': {m}}}", body)))
+
+    f = f"({FLAT} / 16 * z.k * (4 + {FLAT} * (4 - 3 * z.k)))"
+    step = shape("lam", bound("f", f, f"k.l + (1 - f) * {FLAT} * z.a * (atan2(z.s, z.c) + f * z.s * (z.m + f * z.c * (-1 + 2 * z.m * z.m)))"))
+    big, small = _series("w")
+    metres = bound("w", f"z.k * {_U2}", bound("b", small, f"{MINOR} * {big} * (atan2(z.s, z.c) - {_arc('b', 'z.s', 'z.c', 'z.m')})"))
+    return bound("k", f"{{'p': {u(a)}, 'q': {u(c)}, 'l': radians(({d}) - ({b}))}}", bound("last", repeated("lam", "k.l", 12, step), shape("last", metres)))
+
+
+def destination(lat: str, lon: str, bearing: str, metres: str) -> str:
+    """{'lat', 'lon'} so many metres along the geodesic that leaves at a bearing."""
+    big, small = _series("w")
+    start = f"{{'u': atan((1 - {FLAT}) * tan(radians({lat}))), 'al': radians({bearing})}}"
+    more = "{'u': j.u, 'al': j.al, 's1': atan2(tan(j.u), cos(j.al)), 'sa': cos(j.u) * sin(j.al)}"
+    scaled = bound("w", f"(1 - h.sa * h.sa) * {_U2}", f"{{'u': h.u, 'al': h.al, 's1': h.s1, 'sa': h.sa, 's0': ({metres})::DOUBLE / ({MINOR} * {big}), 'b': {small}}}")
+    step = bound("m", "cos(2 * k.s1 + s)", "k.s0 + " + _arc("k.b", "sin(s)", "cos(s)", "m"))
+    x = "(sin(k.u) * sin(s) - cos(k.u) * cos(s) * cos(k.al))"
+    to_lat = f"atan2(sin(k.u) * cos(s) + cos(k.u) * sin(s) * cos(k.al), (1 - {FLAT}) * sqrt(k.sa * k.sa + {x} * {x}))"
+    lam = "atan2(sin(s) * sin(k.al), cos(k.u) * cos(s) - sin(k.u) * sin(s) * cos(k.al))"
+    f = f"({FLAT} / 16 * (1 - k.sa * k.sa) * (4 + {FLAT} * (4 - 3 * (1 - k.sa * k.sa))))"
+    turn = bound("f", f, bound("m", "cos(2 * k.s1 + s)", f"{lam} - (1 - f) * {FLAT} * k.sa * (s + f * sin(s) * (m + f * cos(s) * (-1 + 2 * m * m)))"))
+    point = f"{{'lat': degrees({to_lat}), 'lon': ({lon}) + degrees({turn})}}"
+    return bound("j", start, bound("h", more, bound("k", scaled, bound("s", repeated("s", "k.s0", 8, step), point))))

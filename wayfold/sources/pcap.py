@@ -67,6 +67,7 @@ class PcapReader(DataSourceReader):
         self.path, self.sensor = options["path"], options.get("sensor", "")
 
     def _store(self) -> tuple[fs.FileSystem, str]:
+        """Captures are opened by pyarrow, so schemes that only Hadoop knows aren't."""
         uri = self.path
         if uri.startswith("file:/") and not uri.startswith("file://"):
             uri = "file://" + uri[5:]

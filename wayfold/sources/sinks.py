@@ -33,7 +33,7 @@ def write_report(lines: DataFrame, path: str, title: str) -> None:
 
 
 def draw(rows: DataFrame, render: Callable[[pd.Series], bytes], key: str = "frame_id") -> DataFrame:
-    """(key, picture) made by a user's function from each row, in tasks; save it with write.parquet or a binary sink."""
+    """(key, picture) made by a user's function from each row, one after the other, in tasks; save it with write.parquet or a binary sink."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

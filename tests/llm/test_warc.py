@@ -2,8 +2,12 @@ import base64
 import gzip
 import hashlib
 import io
+import os
 import random
+import subprocess
+import sys
 import tracemalloc
+from pathlib import Path
 
 import pytest
 
@@ -58,6 +62,46 @@ def test_round_trip(spark, tmp_path, chunk):
     assert R.read_archives(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_writes_add_up_and_attempts_count_once(spark, tmp_path):
+    pages = lambda ids: spark.createDataFrame([(i, "u", f"page {i}") for i in ids], "page_id long, url string, html string").repartition(2)
+    read = lambda: sorted(int(r.record_id[9:]) for r in R.read_archives(spark, f"{tmp_path}/a").collect())
+    R.write_archives(R.records(pages([1, 2])), f"{tmp_path}/a")
+    R.write_archives(R.records(pages([3])), f"{tmp_path}/a")
+    assert read() == [1, 2, 3]
+    stray = next(x for x in (tmp_path / "a").iterdir() if x.name.endswith(".warc.gz"))
+    (tmp_path / "a" / "000000-attempt.warc.gz").write_bytes(stray.read_bytes())  # what a failed attempt leaves
+    (tmp_path / "a" / "_MANIFEST-x.json.part").write_text("[")
+    assert read() == [1, 2, 3]
+    spark.dataSource.register(R.WarcDataSource)
+    R.records(pages([9])).write.format("wayfold_warc").mode("overwrite").save(f"{tmp_path}/a")
+    assert read() == [9]
+
+
+def test_a_failed_task_that_runs_again(tmp_path):
+    """In a session of its own, as retries need one that allows them."""
+    code = f'''
+import os
+from pyspark.sql import SparkSession, functions as F
+from wayfold.llm import warc as R
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+@F.udf("string")
+def once(x):
+    mark = "{tmp_path}/failed"
+    if x == "page 7" and not os.path.exists(mark):
+        open(mark, "w").close()
+        raise ValueError("the first attempt")
+    return x
+pages = spark.range(20).coalesce(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), "id").alias("html"))
+recs = R.records(pages)
+R.write_archives(recs.withColumn("payload", once(F.col("payload").cast("string")).cast("binary")), "{tmp_path}/a")
+got = sorted(int(r.record_id[9:]) for r in R.read_archives(spark, "{tmp_path}/a").collect())
+assert got == list(range(20)) and os.path.exists("{tmp_path}/failed"), got
+'''
+    root = str(Path(__file__).resolve().parents[2])
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, env=os.environ | {"PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable}, cwd=root)
+
+
 def record(payload, plain=False, digest=None, cut=0):
     head, http = R.header("response", "urn:page:1", "http://a", digest or hashlib.sha1(payload).hexdigest(), len(payload), None, "2020-01-01T00:00:00Z")
     data = head + http + payload + b"\r\n\r\n"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import shared_dir, table
+from .common import scratch, table
 
 CHUNKS = "record_id string, chunk_no long, data binary, bytes_so_far long, digest_so_far string, is_last boolean, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long"
 _ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
@@ -29,6 +29,7 @@ HEADER = 1 << 20
 
 
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
+    """Archives are opened by pyarrow, so schemes that only Hadoop knows aren't."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
@@ -48,15 +49,23 @@ def header(kind: str, record_id: str, uri: str | None, digest: str, length: int,
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items() if v is not None) + "\r\n").encode(), http
 
 
+MANIFEST = "_MANIFEST-"
+
+
+def _manifests(store: fs.FileSystem, path: str) -> list[str]:
+    return sorted(i.path for i in store.get_file_info(fs.FileSelector(path)) if i.base_name.startswith(MANIFEST) and i.base_name.endswith(".json"))
+
+
 class _Message(WriterCommitMessage):
     def __init__(self, files: list[str]):
         self.files = files
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files of its own, a gzip member for each record; a record's payload goes through the compressor in slices of Arrow's buffer. The folder's manifest, written when all tasks are done, names the files that count: what failed or doubled attempts left doesn't."""
+    """Each task writes files of its own, a gzip member for each record; a record's payload goes through the compressor in slices of Arrow's buffer. A manifest, written when all tasks are done, names the files of a write that count: what failed or doubled attempts left doesn't. A folder has one for each write; an overwriting one removes those before it."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.overwrite = overwrite
         self.path, self.date = options["path"], options.get("date", "1970-01-01T00:00:00Z")
         self.chunk, self.roll = int(options.get("chunkbytes", 1 << 18)), int(options.get("filebytes", 64 << 20))
 
@@ -87,8 +96,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[_Message | None]) -> None:
         store, path = _at(self.path)
         store.create_dir(path, recursive=True)
-        with store.open_output_stream(f"{path}/_MANIFEST.json") as f:
+        before = _manifests(store, path)
+        name = f"{path}/{MANIFEST}{uuid.uuid4().hex}.json"
+        with store.open_output_stream(f"{name}.part") as f:
             f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
+        store.move(f"{name}.part", name)
+        for x in before if self.overwrite else ():
+            store.delete_file(x)
 
     def abort(self, messages: list[_Message | None]) -> None:
         store, path = _at(self.path)
@@ -193,8 +207,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[_File]:
         store, path = _at(self.path)
-        with store.open_input_stream(f"{path}/_MANIFEST.json") as f:
-            return [_File(x) for x in json.loads(f.read())] or [_File("")]
+        files = []
+        for x in _manifests(store, path):
+            with store.open_input_stream(x) as f:
+                files += json.loads(f.read())
+        return [_File(x) for x in files] or [_File("")]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -230,7 +247,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 1000) -> DataFrame:
@@ -238,19 +255,20 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Of rows with equal payloads of min_bytes or more, those with the largest id are responses and the others revisit them (a null id is
     the smallest; rows that share the largest id are all responses). Null payloads are empty; a null url has no target; an empty table
-    gives no records; other columns are not read. Payloads are equal if SHA-1 and length are.
+    gives no records; other columns are not read. Payloads are equal if SHA-256 and length are; SHA-1 is the digest that is written.
     """
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("target_uri"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    p = p.withColumn("payload_digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    last = p.where(F.col("n") >= min_bytes).groupBy("payload_digest", "n").agg(F.max("id").alias("last"), F.count("*").alias("c")).where("c > 1")
-    last = last.select(F.concat("payload_digest", F.lit("")).alias("d"), F.col("n").alias("of"), "last")
-    j = p.join(last, (F.col("payload_digest") == F.col("d")) & (F.col("n") == F.col("of")), "left")
+    p = p.withColumns({"payload_digest": F.sha1("payload"), "same": F.sha2("payload", 256), "n": F.octet_length("payload")})
+    last = p.where(F.col("n") >= min_bytes).groupBy("same", "n").agg(F.max("id").alias("last"), F.count("*").alias("c")).where("c > 1")
+    last = last.select(F.concat("same", F.lit("")).alias("d"), F.col("n").alias("of"), "last")
+    j = p.join(last, (F.col("same") == F.col("d")) & (F.col("n") == F.col("of")), "left")
     again = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     return j.select(urn("id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", F.when(again, urn("last")).alias("refers_to"), "payload_digest", "payload")
 
 
 def write_archives(recs: DataFrame, path: str, **options: object) -> None:
+    """Adds the records to the folder's."""
     recs.sparkSession.dataSource.register(WarcDataSource)
     recs.write.format("wayfold_warc").options(**options).mode("append").save(path)
 
@@ -262,7 +280,7 @@ def read_archives(spark: SparkSession, path: str, chunk_bytes: int = 1 << 18) ->
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_archives(records(table(spark, sf_dir, "pages")), path)
     ends = read_archives(spark, path).where("is_last")
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")

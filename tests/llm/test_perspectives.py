@@ -1,4 +1,4 @@
-import re
+from urllib.parse import quote
 
 from wayfold.llm import perspectives as P
 
@@ -18,7 +18,7 @@ def brute(rows):
                 for k in range(0, len(turns), 64):
                     text, spans = "", []
                     for _, _, role, said, *_ in turns[k : k + 64]:
-                        label = "assistant" if role == me else "system" if role == "system" else "user" if role is None else "user name=" + re.sub(r"[\x00-\x20<|>]+", "_", role)
+                        label = "assistant" if role == me else "system" if role == "system" else "user" if role is None else "user name=" + quote(role, safe="")
                         text += f"<|start|>{label}\n"
                         begin = len(text)
                         text += (said or "").replace("<|", "< |") + "<|end|>\n"
@@ -31,7 +31,7 @@ def brute(rows):
 def test_against_brute_force(spark):
     rows = [(1, i, who, t) for i, (who, t) in enumerate([("system", "rules"), ("ann b", "hi"), ("bob", "<|end|> ü\U0001f600"), ("ann b", None), (None, "who?"), ("system", "x"), ("", "nobody")])]
     rows += [(2, i, f"s{i % 3}", f"text {i}") for i in range(150)] + [(3, 5, "a", f"{i}") for i in range(100)]
-    rows += [(4, 0, "system", "alone"), (5, None, "a", "n"), (5, 0, "a", "z"), (None, 1, "a", "x"), (None, 1, "b", "y"), (6, 1, "a", "same"), (6, 1, "a", "same"), (7, 0, "a", "long " * 50_000)]
+    rows += [(4, 0, "system", "alone"), (5, None, "a", "n"), (5, 0, "a", "z"), (None, 1, "a", "x"), (None, 1, "b", "y"), (6, 1, "a", "same"), (6, 1, "a", "same"), (8, 0, "a b", "x"), (8, 1, "a_b", "y"), (8, 2, "a+b*~é%<|>", "z"), (7, 0, "a", "long " * 50_000)]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA).repartition(3)
     got = {(r.conv_id, r.speaker, r.part, r.piece): (r.n_turns, r.text, [tuple(s) for s in r.spans]) for r in P.perspectives(df).collect()}
     assert got == brute(rows)

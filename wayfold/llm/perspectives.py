@@ -14,7 +14,7 @@ SYSTEM = "system"
 
 
 def _head(role: Column, me: Column) -> Column:
-    name = F.regexp_replace(role, r"[\x00-\x20<|>]+", "_")
+    name = F.replace(F.replace(F.replace(F.url_encode(role), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     label = F.when(role == me, F.lit("assistant")).when(role == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user"), F.coalesce(F.concat(F.lit(" name="), name), F.lit(""))))
     return F.concat(F.lit("<|start|>"), label, F.lit("\n"))
 
@@ -40,7 +40,7 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     Participants are a conversation's speakers (role) but for "system", which stays what it is in every rendering. A turn is
     `<|start|>label`, a line end, its text, `<|end|>` and a line end; the label is assistant for the participant, `user name=...` for the
-    others, user for a null speaker. `<|` in a text becomes `< |`, so texts hold no markers. spans has begin and end, in
+    others (percent-encoded, so that different speakers have different names), user for a null speaker. `<|` in a text becomes `< |`, so texts hold no markers. spans has begin and end, in
     code points of text, of what is to be learnt: the participant's own texts with their end markers.
 
     A dialogue's rows, in the order of part and piece, make it up: a part has the turns of PART turn numbers, a piece PART turns
@@ -79,7 +79,7 @@ s AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE role IS
 v AS (
   SELECT r.conv_id, speaker, part, rank // 64 AS piece, rank, body, coalesce(role = speaker, false) AS own,
     '<|start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' WHEN role IS NULL THEN 'user'
-      ELSE 'user name=' || regexp_replace(role, '[\x00-\x20<|>]+', '_', 'g') END || chr(10) AS head
+      ELSE 'user name=' || url_encode(role) END || chr(10) AS head
   FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id
 ), p AS (
   SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY rank) AS upto FROM v

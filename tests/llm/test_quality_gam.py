@@ -19,6 +19,31 @@ def test_tables_learn_curves_and_pairs():
     assert ((alone.score(x[3000:]) > 0.5) == y[3000:]).mean() < 0.7
 
 
+def test_score_is_the_sum_of_the_tables():
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.random((300, 5)), np.zeros((2, 5)), np.ones((2, 5)) * 9])
+    m = G.fit(x[:250], ((x[:250, 0] > 0.4) ^ (x[:250, 1] > 0.6)).astype(float))
+    plain = []
+    for row in x:
+        total = m.intercept
+        for f in range(5):
+            total += m.tables[f][sum(e <= row[f] for e in m.edges[f])]
+        for (a, b), t in zip(m.pairs, m.pair_tables, strict=True):
+            total += t[sum(e <= row[a] for e in m.pair_edges[a])][sum(e <= row[b] for e in m.pair_edges[b])]
+        plain.append(1 / (1 + np.exp(-total)))
+    assert m.pairs and np.allclose(m.score(x), plain)
+
+
+def test_rows_that_share_an_id_count_once(spark):
+    docs = spark.createDataFrame([(i, ("good word here. " if i % 2 else "### $$$ %%% ") * 9) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] * 2, "doc_id long, quality int")
+    more = docs.unionByName(docs).unionByName(docs)
+    a, b = G.train(docs, labels), G.train(more, labels)
+    assert a.intercept == b.intercept and all((x == y).all() for x, y in zip(a.tables, b.tables, strict=True))
+    long = spark.createDataFrame([(1, "word " * 2_000_000)], "doc_id long, text string")
+    assert 0 <= G.score(long, a).first().score <= 1
+
+
 def test_trees():
     g, h = np.array([1.0, 1, -5, -5, 9, 9]), np.full(6, 100.0)
     t = G._tree(g, h, 3)

@@ -24,7 +24,7 @@ _NOT_SYMBOL = bytes(b for b in range(256) if b not in _SYMBOLS)
 
 
 def features(text: bytes | None) -> list[float]:
-    """Numbers about a whole UTF-8 text, shares except for the first two; all 0 for a text without words. Words are counted in runs of bounded size."""
+    """Numbers about a whole UTF-8 text, shares except for the first two; all 0 for a text without words. Words are counted in runs of bounded size; the distinct words and triples of one text are held, as numbers but for the words."""
     text = text or b""
     counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     n = bytes_ = twice = with_symbol = all_upper = triples = 0
@@ -198,11 +198,12 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> Model:
-    """Fits on labelled rows of docs that are not held out: at most max_rows of the labels, those whose ids hash lowest, so which these are doesn't depend on order or partitions. That bounds what is broadcast, collected and fitted. Null labels and null ids are left out."""
-    use = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("double").alias("y")).where("l_id is not null and y is not null").where(~held_out(F.col("l_id")))
+    """Fits on labelled rows of docs that are not held out: at most max_rows of the labels, those whose ids hash lowest, so which these are doesn't depend on order or partitions. That bounds what is broadcast, collected and fitted. Null labels and null ids are left out; of rows that share an id, the text with the lowest hash counts, once for each of the id's labels."""
+    use = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("double").alias("y")).where("l_id is not null and y is not null").where(~held_out(F.col("l_id"))).distinct()
     use = use.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(use), F.col("id") == F.col("l_id"))
-    got = _mapped(rows, ["id", "y"], "array<double>", "x", lambda x: list(x)).orderBy("id", "y", "x").limit(2 * max_rows).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(use), F.col("id") == F.col("l_id"))  # max_rows at most
+    measured = _mapped(rows, ["id", "y", "h"], "array<double>", "x", lambda x: list(x))
+    got = sorted(measured.groupBy("id", "y").agg(F.min_by("x", "h").alias("x")).collect(), key=lambda r: (str(r.id), r.y))
     return fit(np.array([r.x for r in got]).reshape(len(got), len(FEATURES)), np.array([r.y for r in got]))
 
 

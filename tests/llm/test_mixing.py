@@ -56,6 +56,21 @@ def test_mix(spark):
         taken[s] += t
     for s, t in expected.items():
         assert abs(taken[s] - t) <= 2 * 16, (s, taken[s], t)
+    # what each document gives, counted anew word by word from the slots
+    times = Counter((x["rank"], x["block"]) for x in slots.collect())
+    parts = p.collect()
+    assert all(x.times == times[x["rank"], x.block] for x in parts)
+    again, places = Counter(), {}
+    for i, rank, start, n in {(x.id, x["rank"], x.start, x["size"]) for x in parts}:
+        again[i, n] += sum(times[rank, w // 16] for w in range(start, start + n))
+        places.setdefault(rank, []).append((start, start + n))
+    for spans in places.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+    got = Counter()
+    for i, n, _, _, t in a:
+        got[i, n] += t
+    assert +got == +again
     per_slot = slots.groupBy("shard", "slot").count()
     assert per_slot.where("count > 1").count() == 0
     assert slots.groupBy("rank", "block").count().agg(F.max("count")).first()[0] <= 2
@@ -90,6 +105,23 @@ def test_mixed_documents_with_shared_ids(spark):
     assert M.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_many_sources_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(M, "SMALL", 10)
+    monkeypatch.setattr(M, "BUCKETS", 3)
+    docs = spark.createDataFrame([(i, "w " * (130 if i % 50 == 0 else 70), f"s{i % 300}", 7) for i in range(900)], "doc_id long, text string, source string, block int")
+    r, p, slots = M.mix(docs, block=8)
+    total = sum(x.taken for x in M.taken_words(r, p).collect())
+    assert abs(total - 1.5 * sum(x["size"] for x in r.collect())) < 8 * 300
+    quotas = {x["rank"]: x.quota for x in M.source_plan(r.select("source", "size"), block=8).collect()}
+    assert Counter(x["rank"] for x in slots.collect()) == quotas
+
+
+def test_a_very_long_text_and_one_id_for_all(spark):
+    docs = spark.createDataFrame([(None, "w " * 300_000, "a"), *((None, "v " * (k % 40), "b") for k in range(3000))], "doc_id long, text string, source string")
+    out = M.taken_words(*M.mix(docs)[:2]).collect()
+    assert len(out) == 3001 and all(0 <= x.taken <= 2 * x["size"] for x in out) and any(x["size"] == 300_000 and x.taken > 0 for x in out)
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 64, 1000):
         df = spark.range(n).select(M.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(n)).alias("p"))

@@ -35,11 +35,21 @@ def source_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     return s.select("source", "rank", "source_size", "target", blocks.alias("n_blocks"), quota.alias("quota"))
 
 
+#: Rows of the tables with one row for each source that are broadcast at most.
+SMALL = 50_000
+#: Buckets whose sums are added up in one task.
+BUCKETS = 4096
+
+
 def running_before(df: DataFrame, key: str, bucket: str, order: list[str], value: str, out: str) -> DataFrame:
-    """df with out: the sum of value over the rows of the same key before this one, by bucket and then by order. First over the sums of the buckets, then in each bucket, so no task has all of a key's rows."""
-    totals = df.groupBy(key, bucket).agg(F.sum(value).alias("_sum"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy(key).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    inside = F.coalesce(F.sum(value).over(W.partitionBy(key, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    """df with out: the sum of value over the rows of the same key before this one, by bucket (a long) and then by order. First over the sums of groups of BUCKETS buckets, then over those of a group's buckets, then in each bucket, so no task has all of a key's rows or buckets."""
+    ahead = lambda v, *by: F.coalesce(F.sum(v).over(by[0].rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = df.groupBy(key, bucket).agg(F.sum(value).alias("_sum")).withColumn("_group", F.expr(f"{bucket} div {BUCKETS}"))
+    groups = totals.groupBy(key, "_group").agg(F.sum("_sum").alias("_gsum"))
+    groups = groups.select(key, "_group", ahead("_gsum", W.partitionBy(key).orderBy("_group")).alias("_upper"))
+    totals = totals.withColumn("_lower", ahead("_sum", W.partitionBy(key, "_group").orderBy(bucket)))
+    before = totals.join(groups, [key, "_group"]).select(key, bucket, (F.col("_lower") + F.col("_upper")).alias("_before"))
+    inside = ahead(value, W.partitionBy(key, bucket).orderBy(*order))
     return df.withColumn("_inside", inside).join(before, [key, bucket]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
@@ -56,7 +66,7 @@ def permuted(i: Column, n: Column, *key: Column, rounds: int = 16) -> Column:
 def pack(rows: DataFrame, block: int, rows_per_bucket: int = 4096) -> DataFrame:
     """rows (id, rank, size > 0, apart if there) with start: the place of a document's first word in its source's sequence of words. The sequence is cut every `block` words."""
     buckets = max(1, -(-rows.count() // rows_per_bucket))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id", *(c for c in ("size", "apart") if c in rows.columns)), F.lit(buckets)).cast("long"))
     return running_before(dealt, "rank", "bucket", ["id", *(c for c in ("size", "apart") if c in dealt.columns)], "size", "start").drop("bucket")
 
 
@@ -72,21 +82,21 @@ def draw_slots(plan: DataFrame, seed: int = SEED, slots_per_shard: int = 8192, s
     """(shard, slot, rank, block): the block of which source fills each slot of the output.
 
     The output has as many slots as the quotas sum to, slots_per_shard to a shard. Each slot draws its source with probability
-    quota / slots, so a shard's source counts are multinomial. The j-th slot of a source takes block permuted(j mod n_blocks), by a permutation
+    quota / slots (a number below the sum of quotas, looked up in bins of that range, about two sources to a bin), so a shard's source counts are multinomial. The j-th slot of a source takes block permuted(j mod n_blocks), by a permutation
     of its own for each pass over the source; slots drawn beyond a source's quota go, in order, to the sources that were drawn too
     seldom, so that every quota is met exactly and no block is taken more often than passes allow. Hashes of the slot number
     are all the randomness: reruns agree.
     """
     spark = plan.sparkSession
-    n_slots = plan.agg(F.sum("quota")).first()[0] or 0
+    n_slots, n_sources = plan.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
+    small = F.broadcast if n_sources <= SMALL else lambda df: df
     tasks = max(spark.sparkContext.defaultParallelism, -(-n_slots // slots_per_task))
-    recipe = plan.where("quota > 0").agg(F.sort_array(F.collect_list(F.struct("rank", "quota", "n_blocks"))).alias("sources"))
-    total = F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + s.quota)
-    upto = F.transform("sources", lambda _, k: F.aggregate(F.slice("sources", F.lit(1), k + 1), F.lit(0).cast("long"), lambda a, s: a + s.quota))
-    recipe = recipe.select("sources", total.alias("slots"), upto.alias("upto"))
-    slots = spark.range(0, n_slots, 1, tasks).select(F.expr(f"id div {slots_per_shard}").alias("shard"), F.col("id").alias("slot")).join(F.broadcast(recipe))  # one row
-    drawn = let(F.pmod(F.xxhash64(F.lit(seed), "slot"), F.col("slots")), lambda u: F.get("sources", F.size(F.filter("upto", lambda c: c <= u))))
-    drawn = slots.select("shard", "slot", drawn.alias("s")).select("shard", "slot", "s.rank", "s.quota", F.lit(1).cast("long").alias("one"))
+    spans = plan.where("quota > 0").withColumn("upto", F.sum("quota").over(W.orderBy("rank"))).withColumn("from", F.col("upto") - F.col("quota"))
+    size = max(1, n_slots // max(64, n_sources))
+    spans = spans.select("rank", "quota", "from", "upto", F.explode(F.sequence(F.expr(f"from div {size}"), F.expr(f"(upto - 1) div {size}"))).alias("bin"))
+    slots = spark.range(0, n_slots, 1, tasks).select(F.expr(f"id div {slots_per_shard}").alias("shard"), F.col("id").alias("slot"))
+    slots = slots.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "slot"), F.lit(max(1, n_slots)).cast("long"))).withColumn("bin", F.expr(f"u div {size}"))
+    drawn = slots.join(small(spans), "bin").where("u >= from and u < upto").select("shard", "slot", "rank", "quota", F.lit(1).cast("long").alias("one"))
     numbered = cut(running_before(drawn, "rank", "shard", ["slot"], "one", "j").select("shard", "slot", "rank", "j", F.col("j") >= F.col("quota"), "one").toDF("shard", "slot", "rank", "j", "over", "one"))
     over = running_before(numbered.where("over").withColumn("all", F.lit(0)), "all", "shard", ["slot"], "one", "o").select("shard", "slot", "o")
     counts = plan.where("quota > 0").select("rank", "quota").join(numbered.groupBy("rank").agg(F.count("*").alias("got")), "rank", "left")
@@ -94,7 +104,7 @@ def draw_slots(plan: DataFrame, seed: int = SEED, slots_per_shard: int = 8192, s
     short = counts.withColumn("lack", lack).withColumn("before", F.coalesce(F.sum("lack").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where("lack > 0")
     short = short.select("rank", "got", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lack") - 1)).alias("x"))
     refilled = over.join(short.select("rank", (F.col("before") + F.col("x")).alias("o"), (F.coalesce("got", F.lit(0)) + F.col("x")).alias("j")), "o").select("shard", "slot", "rank", "j")
-    filled = numbered.where("not over").select("shard", "slot", "rank", "j").unionByName(refilled).join(plan.select("rank", "n_blocks"), "rank").repartition(tasks, "slot")
+    filled = numbered.where("not over").select("shard", "slot", "rank", "j").unionByName(refilled).join(small(plan.select("rank", "n_blocks")), "rank").repartition(tasks, "slot")
     turn = F.expr("j div n_blocks")
     return filled.select("shard", "slot", "rank", permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("rank"), turn).alias("block"))
 
@@ -108,13 +118,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null and empty texts have size 0 and no parts; sources without words get no slots; a null source is the last source; null and
     repeated ids are rows as any other (their order in a source's sequence is by id and size; equal rows are interchangeable; apart
     names a column that tells rows of one id apart, which rows and parts then have as `apart`); an
-    empty table gives no rows. Other columns are not read. One row per source goes through a single task, as do the shard
-    sums of a source, one for each 8192 slots; nothing else does.
+    empty table gives no rows. Other columns are not read. Blocks are what is taken, so a source's words come near its target to half a block, and a source
+    smaller than a block is taken 0, 1 or 2 times as a whole. One row per source goes through a single task; nothing else does.
     """
     more = [] if apart is None else [F.col(apart).alias("apart")]
     base = cut(docs.select(F.col(id_col).alias("id"), *more, F.col(source_col).cast("string").alias("source"), F.coalesce(F.size(words(F.col(text_col))), F.lit(0)).cast("long").alias("size")).withColumn("size", F.greatest("size", F.lit(0).cast("long"))))
     plan = cut(source_plan(base, weights, share, most, block))
     named = plan.select(F.col("source").alias("s"), "rank", "source_size", "target")
+    named = F.broadcast(named) if named.count() <= SMALL else named
     rows = base.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     slots = cut(draw_slots(plan, seed))
     takes = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))

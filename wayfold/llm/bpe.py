@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cached_property
 from pathlib import Path
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -18,11 +20,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Remembered, table
 
-NEVER = 1 << 60
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 300_000
-#: Transitions that a worker's table holds at once.
-TABLE = 250_000
+#: Transition rows that a worker's table holds at once, a bit for each token.
+TABLE = 6000
 
 
 def byte_symbols() -> list[str]:
@@ -38,64 +39,56 @@ class Automaton:
     It begins with one state that loops on every base symbol. The gadget of a merge (u, v), applied in order of priority: with q the
     state that u leads to, a copy of q without the transition on v becomes what u leads to, and the new token uv leads, from
     wherever u could be read, to where v led from q. A token always leads to one state, so a state is a copy's parent and the token it
-    lacks: states form a tree, state k + 1 is made by merge k, and numbers of entry and exit in a walk of that tree tell ancestors.
-    Transitions are looked up in that tree once and then read from a table.
+    lacks: state k + 1 is made by merge k. Every later token that v was the left part of is lacking too, as v couldn't be read when it was made.
+
+    The table has a row for each state, of bits for the tokens that can be read there. Tokens are numbered so that those a gadget takes
+    away have consecutive numbers: each is followed by all that have grown out of it to the right, in the order in which they were made. Rows are
+    compiled when a state is first reached; there are 49,152 by 49,152 bits in all.
     """
 
     def __init__(self, base: list[int], merges: list[tuple[int, int, int]]):
-        leads = dict.fromkeys(base, 0)
-        children: list[list[int]] = [[] for _ in range(len(merges) + 1)]
-        self.rule = {(u, v): k for k, (u, v, _) in enumerate(merges)}
-        self.made = {uv: k for k, (_, _, uv) in enumerate(merges)}
-        self.parts = {uv: (u, v) for u, v, uv in merges}
+        leads, self.parent = dict.fromkeys(base, 0), [0] * (len(merges) + 1)
+        grown: dict[int, list[tuple[int, int]]] = {}
         for k, (u, v, uv) in enumerate(merges):
             q, r = leads[u], leads[v]
-            children[q].append(k + 1)
+            self.parent[k + 1] = q
             leads[u] = k + 1
             leads[uv] = r
+            grown.setdefault(u, []).append((k, uv))
         self.leads = leads
-        self.entry, self.exit = [0] * len(children), [0] * len(children)
-        walk, at = [(0, False)], 0
-        while walk:
-            s, done = walk.pop()
-            if done:
-                self.exit[s] = at
-            else:
-                self.entry[s] = at = at + 1
-                walk += [(s, True), *((c, False) for c in children[s])]
-        self.table: dict[int, bool] = {}
-
-    def _tails(self, token: int) -> list[int]:
-        out = [token]
-        while token in self.parts:
-            token = self.parts[token][1]
-            out.append(token)
-        return out
-
-    def _heads(self, token: int) -> list[tuple[int, int]]:
-        """A token, and what it was made from at its left end, each with the merge by which it was taken up."""
-        out = [(token, NEVER)]
-        while token in self.parts:
-            out.append((self.parts[token][0], self.made[token]))
-            token = self.parts[token][0]
-        return out
-
-    def follows(self, last: int, token: int) -> bool:
-        """Whether the state that `last` leads to has a transition on token: no ancestor of it lacks the token, or lacked what the token begins with when that was taken up."""
-        known = self.table.get(last << 32 | token)
-        if known is None:
-            state = self.leads[last]
-            tails = self._tails(last)
-            known = True
-            for head, until in self._heads(token):
-                for tail in tails:
-                    k = self.rule.get((tail, head))
-                    if k is not None and k <= until and self.entry[k + 1] <= self.entry[state] <= self.exit[k + 1]:
-                        known = False
-            if len(self.table) >= TABLE:
-                self.table.clear()
-            self.table[last << 32 | token] = known
-        return known
+        self.number: dict[int, int] = {}
+        end: dict[int, int] = {}
+        for root in base:
+            walk = [(root, False)]
+            while walk:
+                t, done = walk.pop()
+                if done:
+                    end[t] = len(self.number)
+                else:
+                    self.number[t] = len(self.number)
+                    walk += [(t, True), *((uv, False) for _, uv in reversed(grown.get(t, ())))]
+        # what state k + 1 lacks more than its parent: the token itself, and a run of numbers
+        self.lacks = []
+        for k, (_, v, _) in enumerate(merges):
+            later = grown.get(v, ())
+            first = bisect_left(later, (k, -1))
+            self.lacks.append((self.number[v], self.number[later[first][1]] if first < len(later) else end[v], end[v]))
+        self.rows: dict[int, bytes] = {}
+
+    def row(self, state: int) -> bytes:
+        """The bits of the tokens that can be read in a state."""
+        found = self.rows.get(state)
+        if found is None:
+            can, s = np.ones(len(self.number), bool), state
+            while s:
+                token, first, end = self.lacks[s - 1]
+                can[token] = False
+                can[first:end] = False
+                s = self.parent[s]
+            if len(self.rows) >= TABLE:
+                self.rows.clear()
+            found = self.rows[state] = np.packbits(can, bitorder="little").tobytes()
+        return found
 
 
 #: The pattern for which text of Latin letters, without other digits than 0-9 and without separator controls, has an equivalent in terms of ranges, which is quicker.
@@ -137,12 +130,16 @@ class Tokenizer:
         return {s[: len(s) - len(self.end)]: i for s, i in self.vocab.items() if s.endswith(self.end)}
 
     @cached_property
-    def reach(self) -> dict[str, int]:
-        """The length of the longest token that begins with these four symbols."""
-        out: dict[str, int] = {}
-        for s in [*self.inner, *self.final]:
-            if len(s) > 3:
-                out[s[:4]] = max(out.get(s[:4], 4), len(s))
+    def longest(self) -> int:
+        return max(map(len, self.final), default=1)
+
+    @cached_property
+    def spelled(self) -> ahocorasick.Automaton:
+        """The automaton over symbols that tells, at each place of a word, which tokens end there: their lengths, ids and numbers."""
+        out = ahocorasick.Automaton()
+        for s, i in self.inner.items():
+            out.add_word(s, (len(s), i, self.automaton.number[i]))
+        out.make_automaton()
         return out
 
     @cached_property
@@ -152,34 +149,39 @@ class Tokenizer:
     def word(self, word: str) -> bytes:
         """Ids, four bytes each, of a word that the pattern has split off: the path that the automaton accepts.
 
-        From the state of the last token, the longest next token that has a transition is read first. A place from which no path leads on
-        is dead, and the token before it gives way to a shorter one: a prefix has one path only, so a dead place stays dead.
+        The word is walked forward once, through the automaton of spellings. What comes before a place has one path only, so each place has
+        one last token, or none: that which ends there and can be read, by the table, in the state of the place where it begins.
         """
         text = "".join(map(self.symbols.__getitem__, word.encode()))
-        n, inner, final, follows = len(text), self.inner.get, self.final.get, self.automaton.follows
-        dead, out, sizes = bytearray(n + 1), [], []
-        reach = self.reach.get
-        at, size = 0, min(reach(text[:4], 3), n)
-        while at < n:
-            while size:
-                stop = at + size
-                if not dead[stop]:
-                    token = final(text[at:]) if stop == n else inner(text[at:stop])
-                    if token is not None and (not out or follows(out[-1], token)):
-                        break
-                size -= 1
-            if size:
-                out.append(token)
-                sizes.append(size)
-                at = stop
-                size = min(reach(text[at : at + 4], 3), n - at)
-            else:
-                dead[at] = 1
-                out.pop()
-                size = sizes.pop()
-                at -= size
-                size -= 1
-        return np.array(out, "<u4").tobytes()
+        final = self.final.get
+        if (whole := final(text)) is not None:  # one arc from the first state, which lacks nothing
+            return np.array([whole], "<u4").tobytes()
+        n, number, leads, row = len(text), self.automaton.number, self.automaton.leads, self.automaton.row
+        last: list[int | None] = [None] * (n + 1)
+        begins, rows = [0] * (n + 1), [None] * (n + 1)
+        for before, (size, token, k) in self.spelled.iter(text[:-1]):
+            stop = before + 1
+            if last[stop] is not None:
+                continue
+            if at := stop - size:
+                if (bits := rows[at]) is None:
+                    if last[at] is None:
+                        continue
+                    bits = rows[at] = row(leads[last[at]])
+                if not bits[k >> 3] >> (k & 7) & 1:
+                    continue
+            last[stop], begins[stop] = token, at
+        for at in range(max(1, n - self.longest), n):
+            if last[at] is not None and (token := final(text[at:])) is not None:
+                bits, k = rows[at] or row(leads[last[at]]), number[token]
+                if bits[k >> 3] >> (k & 7) & 1:
+                    last[n], begins[n] = token, at
+                    break
+        out, stop = [], n
+        while stop:
+            out.append(last[stop])
+            stop = begins[stop]
+        return np.array(out[::-1], "<u4").tobytes()
 
     def words(self, text: str) -> list[str]:
         """The words of a text; all white space only parts them."""

@@ -85,10 +85,30 @@ def offset_error(along: Column, cross: Column) -> Column:
 
 
 def grid_errors(records: DataFrame, g: Grid = Grid()) -> DataFrame:
-    """(cell, along, cross, frame_id, err). records: frame_id, lat, lon, heading, depth, b_lat, b_lon, geometry or points (the parsed outline)."""
-    r = records.select("frame_id", "lat", "lon", "heading", "depth", "b_lat", "b_lon", *(c for c in ("geometry", "points") if c in records.columns))
-    r = with_outlines(r, scrape=False).drop("geometry")
-    return _spread(r, g).select("cell", "along", "cross", "frame_id", offset_error(F.col("along"), F.col("cross")).alias("err"))
+    """(cell, along, cross, frame_id, err). records, one for each frame: frame_id, lat, lon, heading, depth, b_lat, b_lon, geometry or points (the parsed outline).
+
+    The error of offset_error, but with a row for each edge of an outline: what is computed for all offsets then stays in generated code, and an error is
+    the least of its edges' distances, or 0 where an odd number of them is crossed.
+    """
+    place = ["frame_id", "lat", "lon", "heading", "depth", "b_lat", "b_lon"]
+    r = with_outlines(records.select(*place, *(c for c in ("geometry", "points") if c in records.columns)), scrape=False)
+    before = lambda i: F.get("points", F.when(i == 0, F.size("points") - 1).otherwise(i - 1))
+    edge = lambda p, i: F.struct(p.alias("p"), before(i).alias("q"), (i > 0).alias("side"))
+    r = r.select(*place, F.when(F.size("points") >= 3, F.transform("points", edge)).alias("edges"))
+    c = F.col
+    s = _spread(r, g).withColumn("_d", F.greatest(F.lit(1.0), c("depth") + c("along")))
+    s = s.withColumn("_h", F.radians(c("heading") + F.degrees(F.atan2(c("cross"), c("_d")))))
+    per_lon = METRES_PER_DEGREE * F.cos(F.radians(F.lit(REFERENCE_LAT)))
+    s = s.withColumns({"_y": c("lat") + c("_d") * F.cos("_h") / METRES_PER_DEGREE, "_x": c("lon") + c("_d") * F.sin("_h") / per_lon})
+    e = s.select("cell", "along", "cross", "frame_id", "b_lat", "b_lon", "_y", "_x", F.explode_outer("edges").alias("e")).select("*", *(F.col(f"e.{k}.{v}").alias(f"{k}_{v}") for k in "pq" for v in ("lat", "lon")), "e.side")
+    dx, dy = c("p_lon") - c("q_lon"), c("p_lat") - c("q_lat")
+    square = dx * dx + dy * dy
+    e = e.withColumn("_k", F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c("_x") - c("q_lon")) * dx + (c("_y") - c("q_lat")) * dy) / F.nullif(square, F.lit(0.0))))))
+    side = F.when(c("side"), haversine_m(c("_y"), c("_x"), c("q_lat") + c("_k") * dy, c("q_lon") + c("_k") * dx))
+    crossed = ((c("p_lat") > c("_y")) != (c("q_lat") > c("_y"))) & (c("_x") < (c("q_lon") - c("p_lon")) * (c("_y") - c("p_lat")) / F.nullif(c("q_lat") - c("p_lat"), F.lit(0.0)) + c("p_lon"))
+    # an outline's rows leave the explosion one after the other, so most of them meet before the exchange
+    found = e.groupBy("cell", "along", "cross", "frame_id").agg(F.min(side).alias("_side"), F.count_if(crossed).alias("_n"), F.min(haversine_m(c("_y"), c("_x"), c("b_lat"), c("b_lon"))).alias("_centre"))
+    return found.select("cell", "along", "cross", "frame_id", F.when(c("_n") % 2 == 1, 0.0).otherwise(F.coalesce("_side", "_centre")).alias("err"))
 
 
 def grid_scores(errors: DataFrame, g: Grid = Grid()) -> DataFrame:

@@ -352,7 +352,15 @@ def weighted_centroid(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("cluster").alias("building_id"), F.round("smooth_lat", 6).alias("w_lat"), F.round("smooth_lon", 6).alias("w_lon"), F.col("smoothing_method").alias("method"))
 
 
-@query()
+@query(
+    S.chain("best").replace("WITH", "WITH RECURSIVE", 1)
+    + f""", o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY f, b_lat, b_lon) AS k FROM (SELECT b_lat, b_lon, min(frame_id) AS f FROM best GROUP BY b_lat, b_lon)),
+r AS (SELECT k, [{{'f': f, 'a': b_lat, 'o': b_lon}}] AS heads FROM o WHERE k = 1
+  UNION ALL SELECT o.k, CASE WHEN len(list_filter(heads, lambda h: {S.haversine("o.b_lat", "o.b_lon", "h.a", "h.o")} <= 18)) > 0 THEN heads ELSE list_append(heads, {{'f': f, 'a': b_lat, 'o': b_lon}}) END FROM r JOIN o ON o.k = r.k + 1),
+h AS (SELECT unnest(heads, recursive := true) FROM (SELECT heads FROM r ORDER BY k DESC LIMIT 1)),
+c AS (SELECT b_lat, b_lon, min(h.f) AS cluster FROM o JOIN h ON abs(b_lat - a) < 0.001 AND {S.haversine("b_lat", "b_lon", "a", "o")} <= 18 GROUP BY b_lat, b_lon)
+SELECT cluster, count(*) AS sightings, count(DISTINCT building_id) AS buildings FROM best JOIN c USING (b_lat, b_lon) GROUP BY cluster"""
+)
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     c = select.leader_clusters(match.best_matches(*_both(spark, d)), 18.0)
     return c.groupBy("cluster").agg(F.count("*").alias("sightings"), F.countDistinct("building_id").alias("buildings"))

@@ -133,7 +133,7 @@ def test_report_and_numbers(spark):
     assert [r.unique_count for r in report.running_unique(m).orderBy("frame_id").collect()] == [1, 2, 3, 4] + [5] * 46
     s = report.error_stats(m).first()
     assert (s.best_frame_id, s.worst_frame_id, s.median_error_m, s.pct_under_30m) == (0, 49, 34.5, 40.0)
-    got = report.numbered(spark.range(0, 5000, 7).toDF("k"), "k", "n", rows_per_bucket=13).orderBy("k").collect()
+    got = report.numbered(spark.range(0, 5000, 7).toDF("k").unionByName(spark.createDataFrame([(10**15,)], "k long")), "k", "n", ranges=13).orderBy("k").collect()
     assert [r.n for r in got] == list(range(len(got)))
     assert report.unique_best(m.limit(0)).count() == 0
 

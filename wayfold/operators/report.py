@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import METRES_PER_DEGREE
 from ..functions.geo import cell_key, haversine_m, map_url
+from ..shared import cut
 
 
 def unique_best(matches: DataFrame) -> DataFrame:
@@ -17,17 +18,13 @@ def unique_best(matches: DataFrame) -> DataFrame:
     return numbered(g.select("first_frame", "_b.*"), "first_frame", "n").withColumn("id", F.concat(F.lit("gob_"), F.col("n").cast("string"))).drop("n")
 
 
-def numbered(df: DataFrame, order: str, out: str, rows_per_bucket: int = 10_000) -> DataFrame:
-    """df with its rows numbered from 0 in an order that has no ties: ranges of the order are counted first, so each task numbers a range, not all rows."""
-    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).first()
-    if not ends.n:
-        return df.withColumn(out, F.lit(0).cast("long"))
-    size = max(1, -(-(ends.hi - ends.lo + 1) * rows_per_bucket // ends.n))
-    d = df.withColumn("_bucket", F.expr(f"({order} - {ends.lo}) div {size}"))
+def numbered(df: DataFrame, order: str, out: str, ranges: int | None = None) -> DataFrame:
+    """df with its rows numbered from 0 in an order that has no ties. Rows are dealt into ranges of the order that hold about as many each, whatever its values; ranges are counted, and each task numbers one, not all rows. df is computed once, to the shared folder."""
+    d = cut((df.repartitionByRange(ranges, order) if ranges else df.repartitionByRange(order)).withColumn("_bucket", F.spark_partition_id()))
     counts = d.groupBy("_bucket").agg(F.count("*").alias("_c"))
-    before = counts.select("_bucket", (F.sum("_c").over(W.orderBy("_bucket")) - F.col("_c")).alias("_before"))
+    before = counts.select("_bucket", (F.sum("_c").over(W.orderBy("_bucket")) - F.col("_c")).alias("_before"))  # as many rows as ranges
     rank = F.row_number().over(W.partitionBy("_bucket").orderBy(order)) - 1
-    return d.join(before, "_bucket").withColumn(out, (F.col("_before") + rank).cast("long")).drop("_bucket", "_before")
+    return d.join(F.broadcast(before), "_bucket").withColumn(out, (F.col("_before") + rank).cast("long")).drop("_bucket", "_before")
 
 
 def running_unique(matches: DataFrame) -> DataFrame:

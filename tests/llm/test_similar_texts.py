@@ -47,9 +47,9 @@ def test_recall_against_brute_force(spark):
     assert D.similar_groups(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("stars", "crowded", "block"), [(0, 8, 4096), (1, 0, 4096), (2, 1, 16)])
-def test_crowded_and_large_buckets(spark, monkeypatch, stars, crowded, block):
-    monkeypatch.setattr(D, "STARS", stars)
+@pytest.mark.parametrize(("rounds", "crowded", "block"), [(0, (0, 0), 4096), (8, (1, 1), 16), (3, (1, 0), 4096)])
+def test_crowded_and_large_buckets(spark, monkeypatch, rounds, crowded, block):
+    monkeypatch.setattr(D, "ROUNDS", rounds)
     monkeypatch.setattr(D, "CROWDED", crowded)
     monkeypatch.setattr(B, "BLOCK", block)
     test_recall_against_brute_force(spark)

@@ -124,7 +124,7 @@ def _twice_filter(keys: DataFrame, blocks: int) -> DataFrame:
     return partial.repartition("block").sortWithinPartitions("block").mapInArrow(meet, _FILTER_ROWS)
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per_key: int = 8, max_filter_bytes: int = 32 << 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_per_key: int = 8, max_filter_bytes: int = 128 << 20) -> DataFrame:
     """(id, drop): for each id of docs (id, text) that loses lines, the 16-byte hashes of those lines.
 
     A key of at least min_chars code points that min_docs rows or more hold is dropped except from the largest id holding it

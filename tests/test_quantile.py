@@ -1,0 +1,110 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wayfold.operators import quantile as Q
+
+PROBS = {"lo": 0.0, "p5": 0.05, "p35": 0.35, "med": 0.5, "p95": 0.95, "hi": 1.0}
+SHAPES = {
+    "even": lambda r, n: [r.random() for _ in range(n)],
+    "ties": lambda r, n: [float(r.randrange(3)) for _ in range(n)],
+    "one": lambda r, n: [7.0] * n,
+    "half": lambda r, n: [1.0 if k % 2 else r.random() * 2 for k in range(n)],
+    "steep": lambda r, n: [10.0 ** r.uniform(-300, 300) * r.choice([-1, 1]) for _ in range(n)],
+    "near": lambda r, n: [1 + r.randrange(1000) * 2.0**-52 for _ in range(n)],
+    "sorted": lambda r, n: [float(k) for k in range(n)],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_large_groups_equal_numpy(spark, shape):
+    xs = SHAPES[shape](random.Random(4), 20_001)
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,)] * 5, "v double").repartition(7)
+    got = Q.percentiles(df, "v", PROBS, most=50).first()
+    assert got.n == len(xs)
+    for c, p in PROBS.items():
+        want = float(np.percentile(np.array(xs), 100 * p))
+        assert got[c] == pytest.approx(want, rel=1e-12, abs=0), c
+    assert got == Q.percentiles(df, "v", PROBS, most=10**6).first()
+
+
+def test_groups_of_all_sizes(spark):
+    rng = random.Random(8)
+    groups = {None: 3000, "a": 1, "b": 2, "c": 50, "d": 51, "e": 9000, "f": 0}
+    rows = [(k, 1, round(rng.gauss(0, 3), rng.choice([0, 1, 6])), "x") for k, n in groups.items() for _ in range(n)] + [("f", 1, None, "x")] * 3
+    df = spark.createDataFrame(rows, "k string, j int, v double, _x string").repartition(5)
+    got = {r.k: r for r in Q.percentiles(df, F.col("v") * 2, PROBS, by=("k", "j"), count="many", most=50).collect()}
+    assert set(got) == set(groups)
+    for k, n in groups.items():
+        xs = [2 * r[2] for r in rows if r[0] == k and r[2] is not None]
+        assert got[k].many == n and got[k].j == 1
+        for c, p in PROBS.items():
+            assert got[k][c] is None if not n else got[k][c] == pytest.approx(float(np.percentile(xs, 100 * p)), rel=1e-12, abs=1e-15)
+
+
+def test_odd_values_and_empty_tables(spark):
+    xs = [math.nan] * 30 + [math.inf] * 30 + [-math.inf] * 30 + [0.0, -0.0] * 20 + [1.5] * 31
+    df = spark.createDataFrame([(x,) for x in random.Random(1).sample(xs, len(xs))], "v double")
+    got, plain = (Q.percentiles(df, "v", {"a": 0.1, "b": 0.5, "c": 0.65, "d": 0.99}, most=m).first() for m in (3, 1000))
+    assert str(got) == str(plain) and got.a == -math.inf and got.b == 1.5 and got.c == math.inf and math.isnan(got.d)
+    none = Q.percentiles(df.limit(0), "v", {"a": 0.5}).collect()
+    assert [tuple(r) for r in none] == [(None, 0)]
+    assert Q.percentiles(df.limit(0), "v", {"a": 0.5}, by=("v",)).count() == 0
+
+
+def test_a_sketch_that_is_wrong_costs_a_round_only(spark, monkeypatch):
+    """Cuts that lie beside the rank are found out by counting."""
+    monkeypatch.setattr(Q.F, "percentile_approx", lambda c, ps, a: F.array(*(F.lit(float(x)) for x in np.linspace(5000, 6000, len(ps)))))
+    monkeypatch.setattr(Q, "CUTS", 10)
+    df = spark.range(20_000).select(F.col("id").cast("double").alias("v"))
+    got = Q.percentiles(df, "v", {"a": 0.1, "b": 0.9, "c": 0.275}, most=15_000).first()
+    assert (got.a, got.b, got.c) == tuple(float(np.percentile(np.arange(20_000), p)) for p in (10, 90, 27.5))
+
+
+def test_approximate(spark):
+    df = spark.range(100_000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 2).alias("k"))
+    got = {r.k: r for r in Q.percentiles(df, "v", {"a": 0.25, "b": 0.5}, by=("k",), approximate=1000).collect()}
+    assert set(got) == {0, 1} and all(abs(r.a - 25_000) < 300 and abs(r.b - 50_000) < 300 and r.n == 50_000 for r in got.values())
+
+
+def test_no_task_holds_a_large_group(spark):
+    """What a task sorts is bounded by `most`, as the sizes of what is collected show."""
+    held = []
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
+    real = Q.cut
+
+    def spied(d):
+        out = real(d)
+        if "_left" in out.columns:
+            held.extend(r._left for r in out.collect())
+        return out
+
+    Q.cut = spied
+    try:
+        Q.percentiles(df, "v", {"p": 0.9}, most=100).first()
+    finally:
+        Q.cut = real
+    assert held[0] == 30_000 and min(held) < 300
+
+
+def test_checkpoints_go_when_the_application_ends(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+from wayfold.operators.quantile import percentiles
+assert percentiles(spark.range(5000).selectExpr("double(id) AS v"), "v", {{"m": 0.5}}, most=50).first().m == 2499.5
+import os
+print(sum(len(f) for _, _, f in os.walk({str(tmp_path / "shared")!r})))
+"""
+    root = str(Path(__file__).resolve().parents[1])
+    out = subprocess.run([sys.executable, "-c", code], check=True, timeout=300, cwd=root, capture_output=True, text=True, env=os.environ | {"PYSPARK_PYTHON": sys.executable})
+    assert int(out.stdout.split()[-1]) > 0
+    assert not [f for _, _, files in os.walk(tmp_path / "shared") for f in files]

@@ -11,7 +11,9 @@ from ..functions.basic import let
 from ..functions.geo import cell_key, haversine_m, shifted
 from ..functions.polygon import edge_error_m, with_outlines
 from ..functions.score import accuracy_label, improvement_pct
+from ..shared import cut
 from .localize import raw_targets
+from .quantile import percentiles
 
 
 def records(matches: DataFrame, targets: DataFrame, min_score: float = 0.0, lat_offset: float = 0.0, lon_offset: float = 0.0) -> DataFrame:
@@ -112,10 +114,13 @@ def grid_errors(records: DataFrame, g: Grid = Grid()) -> DataFrame:
 
 
 def grid_scores(errors: DataFrame, g: Grid = Grid()) -> DataFrame:
-    """(cell, along, cross, mean, median, inside) of each cell's inliers: errors up to twice the median, floor_m at least."""
-    med = errors.groupBy("cell").agg(F.greatest(g.outlier_scale * F.percentile("err", 0.5), F.lit(g.floor_m)).alias("thr"))
-    inl = errors.join(med, "cell").where(F.col("err") <= F.col("thr"))
-    return inl.groupBy("cell", "along", "cross").agg(F.avg("err").alias("mean"), F.percentile("err", 0.5).alias("median"), F.count_if(F.col("err") == 0).alias("inside"))
+    """(cell, along, cross, mean, median, inside) of each cell's inliers: errors up to twice the median, floor_m at least. A cell's errors may be those of a whole table: none is gathered in a task."""
+    e = cut(errors.select("cell", "along", "cross", "err"))
+    med = percentiles(e, "err", {"med": 0.5}, by=("cell",), written=True).select("cell", F.greatest(g.outlier_scale * F.col("med"), F.lit(g.floor_m)).alias("thr"))
+    inl = cut(e.join(med, "cell").where(F.col("err") <= F.col("thr")))
+    mid = percentiles(inl, "err", {"median": 0.5}, by=("cell",), written=True).select("cell", "median")
+    of = inl.groupBy("cell", "along", "cross").agg(F.avg("err").alias("mean"), F.count_if(F.col("err") == 0).alias("inside"))
+    return of.join(mid, "cell").select("cell", "along", "cross", "mean", "median", "inside")
 
 
 def running_best(scores: DataFrame, g: Grid = Grid(), stop_early: bool = True) -> DataFrame:
@@ -130,7 +135,7 @@ def running_best(scores: DataFrame, g: Grid = Grid(), stop_early: bool = True) -
 
 def inlier_breakdown(records: DataFrame, along: float, cross: float, g: Grid = Grid()) -> DataFrame:
     """(frame_id, calibrated_error_m, is_inlier, is_polygon_hit, threshold_m, group_median_m) at one pair of offsets."""
-    e = with_outlines(records, scrape=False).select("frame_id", offset_error(F.lit(along), F.lit(cross)).alias("err"))
-    med = e.agg(F.percentile("err", 0.5).alias("med"))
+    e = cut(with_outlines(records, scrape=False).select("frame_id", offset_error(F.lit(along), F.lit(cross)).alias("err")))
+    med = percentiles(e, "err", {"med": 0.5}, written=True).select("med")
     thr = F.greatest(g.outlier_scale * F.col("med"), F.lit(g.floor_m))
     return e.join(F.broadcast(med)).select("frame_id", F.round("err", 3).alias("calibrated_error_m"), (F.col("err") <= thr).alias("is_inlier"), (F.col("err") == 0).alias("is_polygon_hit"), F.round(thr, 2).alias("threshold_m"), F.round("med", 3).alias("group_median_m"))

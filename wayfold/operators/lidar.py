@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SECOND_TO_FIRST, Camera
+from ..shared import cut
+from .quantile import percentiles
 
 
 def transformed(points: DataFrame, matrix: tuple[tuple[float, ...], ...] = SECOND_TO_FIRST) -> DataFrame:
@@ -41,21 +43,18 @@ def in_mask(seen: DataFrame, runs: DataFrame, camera: Camera = Camera()) -> Data
 
 
 def mask_depth(covered: DataFrame, key: str = "frame_id") -> DataFrame:
-    """(key, depth, n): the 35th percentile of what lies between the 5th and 95th, and how many that is. Fewer than 5 points, or 3 after trimming, give no row.
-
-    Percentiles are of counted values: depths are counted per group first, so a group is the size of its distinct depths.
-    """
-    counted = covered.groupBy(key, "depth").agg(F.count("*").alias("c"))
-    cuts = counted.groupBy(key).agg(F.percentile("depth", F.array(F.lit(0.05), F.lit(0.95)), F.col("c")).alias("p"), F.sum("c").alias("n")).where("n >= 5")
-    trimmed = counted.join(cuts.select(key, "p"), key).where(F.col("depth").between(F.col("p")[0], F.col("p")[1]))
-    return trimmed.groupBy(key).agg(F.percentile("depth", 0.35, F.col("c")).alias("depth"), F.sum("c").alias("n")).where("n >= 3")
+    """(key, depth, n): the 35th percentile of what lies between the 5th and 95th, and how many that is. Fewer than 5 points, or 3 after trimming, give no row. Groups may be of any size."""
+    points = cut(covered.select(key, "depth").where("depth IS NOT NULL"))
+    cuts = percentiles(points, "depth", {"_lo": 0.05, "_hi": 0.95}, by=(key,), written=True).where("n >= 5").drop("n")
+    trimmed = points.join(cuts, key).where(F.col("depth").between(F.col("_lo"), F.col("_hi")))
+    return percentiles(trimmed, "depth", {"depth": 0.35}, by=(key,)).where("n >= 3")
 
 
 def box_depth(boxes: DataFrame, seen: DataFrame, key: str = "frame_id", bucket_px: int = 64) -> DataFrame:
     """(key, depth, n) when a mask is too sparse. boxes: key, x1, y1, x2, y2; seen: the projected cloud (u, v, depth), the same for all.
 
     The centre strip's 35th percentile if more than 3 points lie in it, else the box's, else the 40th of all (n is 0 then), else 25 m. Depths
-    outside 2 to 80 m don't count. Boxes meet points by columns of pixels; the cloud's own percentile is taken once.
+    outside 2 to 80 m don't count. Boxes meet points by columns of pixels; the cloud's own percentile is taken once. No task holds a cloud, nor all of a box's points.
     """
     cloud = seen.where("depth > 2 AND depth < 80").select("u", "v", "depth").withColumn("_k", F.floor(F.col("u") / bucket_px).cast("long"))
     wide = boxes.select(key, "x1", "y1", "x2", "y2").where("x2 >= x1").withColumn("_k", F.explode(F.sequence(F.floor(F.col("x1") / bucket_px).cast("long"), F.floor(F.col("x2") / bucket_px).cast("long"))))
@@ -63,9 +62,10 @@ def box_depth(boxes: DataFrame, seen: DataFrame, key: str = "frame_id", bucket_p
     inside = wide.join(cloud, "_k").where(u.between(F.col("x1"), F.col("x2")) & v.between(F.col("y1"), F.col("y2")))
     cx, cy, sw, sh = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, (F.col("x2") - F.col("x1")) * 0.10, (F.col("y2") - F.col("y1")) * 0.30
     strip = F.when(u.between(cx - sw, cx + sw) & v.between(cy - sh, cy + sh), F.col("depth"))
-    g = inside.groupBy(key).agg(F.percentile(strip, 0.35).alias("_s"), F.count(strip).alias("_sn"), F.percentile("depth", 0.35).alias("_b"), F.count("depth").alias("_bn"))
-    rest = cloud.agg(F.percentile("depth", 0.4).alias("_a"))
-    g = boxes.select(key).join(g, key, "left").join(F.broadcast(rest))  # one row
+    inside = cut(inside.select(key, "depth", strip.alias("_strip")))
+    strips, whole = percentiles(inside, "_strip", {"_s": 0.35}, by=(key,), count="_sn", written=True), percentiles(inside, "depth", {"_b": 0.35}, by=(key,), count="_bn", written=True)
+    rest = percentiles(cloud, "depth", {"_a": 0.4}).select("_a")
+    g = boxes.select(key).join(strips, key, "left").join(whole, key, "left").join(F.broadcast(rest))  # one row
     depth = F.when(F.col("_sn") > 3, F.col("_s")).when(F.col("_bn") > 3, F.col("_b")).otherwise(F.coalesce("_a", F.lit(25.0)))
     return g.select(key, depth.alias("depth"), F.when(F.col("_sn") > 3, F.col("_sn")).when(F.col("_bn") > 3, F.col("_bn")).otherwise(0).cast("long").alias("n"))
 

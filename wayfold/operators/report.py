@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import METRES_PER_DEGREE
 from ..functions.geo import cell_key, haversine_m, map_url
 from ..shared import cut
+from .quantile import percentiles
 
 
 def unique_best(matches: DataFrame) -> DataFrame:
@@ -66,13 +67,15 @@ def gps_comparison(matches: DataFrame, targets: DataFrame) -> DataFrame:
 
 def error_stats(errors: DataFrame, err: str = "err", frame: str = "frame_id") -> DataFrame:
     """One row over errors in metres (rounded to 3 places first): mean, median, extremes, deviation, best and worst frame, and shares under 15, 30 and 50 m."""
-    e = errors.select(frame, F.round(err, 3).alias("e"))
+    e = cut(errors.select(frame, F.round(err, 3).alias("e")))
     under = lambda m: F.round(100 * F.avg((F.col("e") < m).cast("int")), 1).alias(f"pct_under_{m}m")
     r3 = lambda c, n: F.round(c, 3).alias(n)
-    return e.agg(
-        F.count("*").alias("frames_processed"), r3(F.avg("e"), "avg_error_m"), r3(F.percentile("e", 0.5), "median_error_m"), r3(F.min("e"), "min_error_m"), r3(F.max("e"), "max_error_m"),
+    median = percentiles(e, "e", {"median_error_m": 0.5}, written=True).select(r3("median_error_m", "median_error_m"))
+    rest = e.agg(
+        F.count("*").alias("frames_processed"), r3(F.avg("e"), "avg_error_m"), r3(F.min("e"), "min_error_m"), r3(F.max("e"), "max_error_m"),
         r3(F.coalesce(F.stddev_samp("e"), F.lit(0.0)), "stdev_error_m"), F.min(F.struct("e", frame))[frame].alias("best_frame_id"), F.max(F.struct(F.col("e"), -F.col(frame))).getField("col2").alias("_w"), *(under(m) for m in (15, 30, 50)),
-    ).withColumn("worst_frame_id", -F.col("_w")).drop("_w")
+    )
+    return rest.withColumn("worst_frame_id", -F.col("_w")).drop("_w").join(F.broadcast(median))  # one row each
 
 
 def track_summary(rows: DataFrame, total: bool = True) -> DataFrame:

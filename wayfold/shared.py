@@ -10,17 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
-        return found
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs). The application's own checkpoints in it go when the application ends."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if sc.getCheckpointDir() is None:
+        if not found and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-"))
-    return spark.sparkContext.getCheckpointDir()
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="wayfold-"))
+    if sc.applicationId not in _LEAVING:
+        _LEAVING.add(sc.applicationId)
+        store, at = _stored(spark, sc.getCheckpointDir())  # a folder that Spark has made for this application alone
+        store.deleteOnExit(at)
+    return found or sc.getCheckpointDir()
+
+
+_LEAVING: set[str] = set()
+
+
+def _stored(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system and path of a place."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,6 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free(*done: DataFrame) -> None:
+    """Deletes what cut has written for these, which nothing that is still to be computed reads."""
+    for df in done:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            store, at = _stored(df.sparkSession, file.get())
+            store.delete(at, True)
+
+
 _SHIPPED: set[str] = set()
 
 

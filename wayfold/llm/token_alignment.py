@@ -20,7 +20,7 @@ from .common import cut, flushed, rekeyed, scratch, table
 #: Transitions that a worker remembers at most.
 REMEMBERED = 500_000
 #: Parts of texts whose alignment a worker remembers at most.
-KNOWN = 200_000
+KNOWN = 400_000
 #: Spaces that part a text: after what isn't a space, before what isn't white space. The space belongs to what follows.
 PARTS = re.compile(r"(?<=[^ ]) (?=\S)")
 #: Id pairs whose counts are broadcast at most, at some 60 bytes each; more are joined by exchange.
@@ -42,10 +42,10 @@ class Transducer:
         self.numbers: dict[tuple[bool, bytes], int] = {(False, b""): 0}
         self.names: list[tuple[bool, bytes]] = [(False, b"")]
         self.a_ahead = [False]
-        self.rows: list[dict[int, int]] = [{}]
+        self.rows = [_Row(self, 0)]
         self.count = 0
 
-    def _made(self, state: int, token: int) -> int:
+    def made(self, state: int, token: int) -> int:
         """The state that a token leads to."""
         a_ahead, rest = self.names[state]
         text = self.sides[a_ahead][token]  # of the other side
@@ -62,33 +62,48 @@ class Transducer:
             found = self.numbers[after] = len(self.names)
             self.names.append(after)
             self.a_ahead.append(after[0])
-            self.rows.append({})
-        self.rows[state][token] = found
+            self.rows.append(_Row(self, found))
         self.count += 1
         return found
 
     def groups(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-        """How many tokens of each side the text has up to the end of each group. Tokens without bytes belong to the group that is open when their side is read."""
+        """How many tokens of each side the text has up to the end of each group. No token is without bytes."""
         if self.count > self.most:
             self._fresh()
         rows, a_ahead = self.rows, self.a_ahead
-        i = j = state = 0
+        closed = rows[0]
+        i = j = 0
+        n = len(a)
         ends_a, ends_b = [], []
-        while i < len(a) or state:
-            if a_ahead[state]:
-                token = b[j]
-                j += 1
-            else:
-                token = a[i]
-                i += 1
-            after = rows[state].get(token)
-            state = self._made(state, token) if after is None else after
-            if not state:
-                ends_a.append(i)
-                ends_b.append(j)
+        while i < n:
+            state = closed[a[i]]
+            i += 1
+            while state:
+                if a_ahead[state]:
+                    state = rows[state][b[j]]
+                    j += 1
+                else:
+                    state = rows[state][a[i]]
+                    i += 1
+            ends_a.append(i)
+            ends_b.append(j)
         return ends_a, ends_b
 
 
+class _Row(dict):
+    """The transitions from a state, by token; worked out when first asked for."""
+
+    __slots__ = ("owner", "state")
+
+    def __init__(self, owner: Transducer, state: int):
+        super().__init__()
+        self.owner, self.state = owner, state
+
+    def __missing__(self, token: int) -> int:
+        found = self[token] = self.owner.made(self.state, token)
+        return found
+
+
 class Known:
     """What make gives for parts of texts, those of a text that are new at once. Those of two generations are remembered, `most` in all; long ones are not."""
 
@@ -99,14 +114,12 @@ class Known:
         found: dict[str, tuple | bool] = dict.fromkeys(parts)
         young, old, new = self.young, self.old, []
         for p in found:
-            r = young.get(p)
-            if r is None:
-                r = old.get(p)
-                if r is None:
-                    new.append(p)
-                    continue
-                young[p] = r
-            found[p] = r
+            if p in young:
+                found[p] = young[p]
+            elif p in old:
+                found[p] = young[p] = old[p]
+            else:
+                new.append(p)
         if new:
             for p, r in zip(new, self.make(new), strict=True):
                 found[p] = r

@@ -8,31 +8,50 @@ from pyspark.sql import functions as F
 
 from ..config import Frames
 from ..functions.basic import mod
+from . import scan
 
 
-def unwrapped(samples: DataFrame, value: str, out: str, by: str = "drive_id", order: tuple[str, ...] = ("t",)) -> DataFrame:
-    """samples with out: value in degrees without jumps. A step of 180 or more is corrected by whole turns; a step of exactly half a turn keeps its direction."""
-    w = W.partitionBy(by).orderBy(*order)
-    step = F.col(value) - F.lag(value).over(w)
+def _turned(step: Column) -> Column:
+    """What is to be added from a step on so that it has no jump."""
     wrapped = mod(step + 180, 360) - 180
     wrapped = F.when((wrapped == -180) & (step > 0), 180.0).otherwise(wrapped)
-    fix = F.coalesce(F.when(F.abs(step) < 180, 0.0).otherwise(wrapped - step), F.lit(0.0))
-    return samples.withColumn("_fix", fix).withColumn(out, F.col(value) + F.sum("_fix").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_fix")
+    return F.coalesce(F.when(F.abs(step) < 180, 0.0).otherwise(wrapped - step), F.lit(0.0))
 
 
-def segments(samples: DataFrame, values: tuple[str, ...], by: str = "drive_id", t: str = "t", tie: str | None = None) -> DataFrame:
-    """Between each sample and the next: t0, t1 and each value's v0 and v1, and whether the segment is the last. Of samples at one time the first (by tie) counts."""
+def unwrapped(samples: DataFrame, value: str, out: str, by: str = "drive_id", order: tuple[str, ...] = ("t",), ranges: int | None = None) -> DataFrame:
+    """samples with out: value in degrees without jumps. A step of 180 or more is corrected by whole turns; a step of exactly half a turn keeps its direction.
+
+    A drive may be of any length: each piece of it is unwrapped alone, and the corrections before it, and the step into it, come from the pieces' totals. Null values have no step; rows of one time
+    follow in any way but for further columns in order. samples are computed once, to the shared folder.
+    """
+    p = scan.pieces(samples, by, order, ranges)
+    w = scan.inside(by)
+    p = p.withColumn("_fix", F.sum(_turned(F.col(value) - F.lag(value).over(w))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    t = scan.totals(p, by, _first=scan.first(value), _last=scan.last(value), _sum=scan.last("_fix"))
+    a = scan.along(by)
+    t = t.withColumn("_into", _turned(F.col("_first") - F.lag("_last").over(a)))
+    t = t.withColumn("_carry", F.sum(F.col("_into") + F.coalesce(F.lag("_sum").over(a), F.lit(0.0))).over(a.rowsBetween(W.unboundedPreceding, 0)))
+    return scan.carried(p, t, by, "_carry").withColumn(out, F.col(value) + F.col("_carry") + F.col("_fix")).drop("_fix", "_carry", scan.PIECE, scan.PLACE)
+
+
+def segments(samples: DataFrame, values: tuple[str, ...], by: str = "drive_id", t: str = "t", tie: str | None = None, ranges: int | None = None) -> DataFrame:
+    """Between each sample and the next: t0, t1 and each value's v0 and v1, and whether the segment is the last. Of samples at one time the first (by tie) counts. The last sample of a piece of a drive finds the next one in the pieces' totals."""
     firsts = samples.groupBy(by, t).agg(*(F.min_by(v, F.coalesce(F.col(tie), F.lit(0)) if tie else F.lit(0)).alias(v) for v in values))
-    w = W.partitionBy(by).orderBy(t)
-    nexts = [F.lead(c).over(w).alias(f"{c}_1") for c in (t, *values)]
-    return firsts.select(by, F.col(t).alias("t0"), *(F.col(v).alias(f"{v}_0") for v in values), *nexts, F.lead(t, 2).over(w).isNull().alias("last")).withColumnRenamed(f"{t}_1", "t1").where("t1 is not null")
+    p = scan.pieces(firsts.withColumn("_row", F.struct(t, *values)).select(by, t, "_row"), by, (t,), ranges)
+    ends = scan.totals(p, by, _head=scan.first("_row"), _until=F.max(t))
+    a = scan.along(by)
+    ends = ends.select(by, scan.PIECE, F.lead("_head").over(a).alias("_over"), F.max("_until").over(a.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_until"))
+    n = scan.carried(p.withColumn("_next", F.lead("_row").over(scan.inside(by))), ends, by, "_over", "_until")
+    n = n.withColumn("_next", F.coalesce("_next", "_over")).where("_next is not null")
+    nexts = [F.col("_next")[v].alias(f"{v}_1") for v in values]
+    return n.select(by, F.col(t).alias("t0"), *(F.col("_row")[v].alias(f"{v}_0") for v in values), F.col("_next")[t].alias("t1"), *nexts, (F.col("_next")[t] == F.col("_until")).alias("last"))
 
 
 def interpolated(frames: DataFrame, samples: DataFrame, values: tuple[str, ...], by: str = "drive_id", t: str = "t", tie: str | None = None, bucket_s: float = 60.0) -> DataFrame:
     """frames (by, t, …) with each value at the frame's time: linear between the neighbouring samples, and along the first or last segment beyond them.
 
     A range join by buckets of time: a segment lies in the buckets it spans, a frame in one; a frame outside its drive's samples looks into the
-    first or last bucket. Frames of drives with fewer than two samples are left out. No drive is gathered in a task but for the order of its samples.
+    first or last bucket. Frames of drives with fewer than two samples are left out. No drive is gathered in a task.
     """
     s = segments(samples, values, by, t, tie)
     ends = s.groupBy(by).agg(F.min("t0").alias("_from"), F.max("t1").alias("_to"))

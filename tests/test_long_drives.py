@@ -65,3 +65,50 @@ def test_one_long_drive(spark):
         assert got[r.frame_id].lat == pytest.approx(lat[k] + (lat[k + 1] - lat[k]) * x, abs=1e-9)
     m = timeline.manifest(spark.range(1, 200).select(F.lit(7).cast("long").alias("drive_id"), F.col("id").alias("frame_id")), s)
     assert m.count() == 199
+
+
+def a_drive(rng, n, pauses, still=False):
+    """Frames of a vehicle that passes places, seen with noise; still: it stands before one for most of the time."""
+    out = []
+    for k in range(n):
+        at = 12.9 if still and n // 4 < k else 12.9 + k * 4e-6
+        if pauses and k % 83 < 6:
+            out.append((k, None))
+            continue
+        first = 12.9 + round((at - 12.9) / 5e-4) * 5e-4
+        out.append((k, [(r, first + (r - 1) * 5e-4 + rng.gauss(0, 2e-5), 80.2 + rng.gauss(0, 2e-5), 20 + rng.gauss(0, 3), rng.uniform(40, 90)) for r in range(1, rng.randrange(2, 5))]))
+    return out
+
+
+SEEN = "drive_id long, frame_id long, seen array<struct<rank:int,lat:double,lon:double,depth:double,score:double>>"
+
+
+def plainly(drive, frames):
+    from wayfold.operators.track import Tracks, followed
+
+    return followed(Tracks(), [(k, [s[1:] for s in seen or []]) for k, seen in frames], drive)
+
+
+@pytest.mark.parametrize(("warm_up", "ranges"), [(200, 1), (200, 10), (5, 12), (0, 6)])
+def test_a_drive_without_pauses_in_pieces(spark, warm_up, ranges):
+    from wayfold.config import Tracking
+    from wayfold.operators import track
+
+    rng = random.Random(11)
+    drives = {1: a_drive(rng, 3000, False), 2: a_drive(rng, 500, True), 3: a_drive(rng, 1, False), None: a_drive(rng, 700, False), 5: a_drive(rng, 600, False, still=True), 6: [(k, None) for k in range(20)]}
+    df = spark.createDataFrame([(d, k, seen) for d, rows in drives.items() for k, seen in rows], SEEN).repartition(6)
+    got = sorted((tuple(r)[:-1] for r in track.stabilised(df, warm_up=warm_up, ranges=ranges).collect()), key=lambda r: (str(r[0]), r[1]))
+    want = sorted((r for d, rows in drives.items() for r in plainly(d, rows)), key=lambda r: (str(r[0]), r[1]))
+    assert got == want and len({r[2] for r in got if r[0] == 1}) > 10
+    _, rounds = track.pieces_run(df.where("drive_id = 1 OR drive_id = 2"), Tracking(), warm_up, ranges)
+    assert rounds == 1 if ranges == 1 else rounds <= (2 if warm_up == 200 else ranges)
+    assert track.stabilised(df.limit(0), ranges=ranges).count() == 0
+
+
+def test_pieces_share_the_work_of_one_drive(spark):
+    from wayfold.operators import track
+
+    df = spark.createDataFrame([(1, k, seen) for k, seen in a_drive(random.Random(4), 4000, False)], SEEN)
+    done, rounds = track.pieces_run(df, track.Tracking(), 200, 8)
+    n = [r["count"] for r in done.where("frame_id is not null").groupBy("_piece").count().collect()]
+    assert len(n) >= 6 and max(n) <= 3 * sorted(n)[len(n) // 2]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterable, Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..config import EARTH_RADIUS_M, Tracking
 from ..functions.geo import map_url
+from ..shared import cut, free
+from . import scan
 
 # Variances of the start, of each step and of a measurement, for place (degrees), depth (metres) and speed (degrees a frame).
 START_VAR = {"place": (4.5e-5) ** 2, "depth": 8.0**2, "speed": (5e-7) ** 2}
@@ -147,37 +150,105 @@ def seen_in(frame: object) -> list[tuple[float, float, float, float]]:
     return [(d["lat"], d["lon"], d["depth"], d["score"]) for d in frame] if frame is not None else []
 
 
-def _stretches(frames: DataFrame, spec: Tracking) -> DataFrame:
-    """frames with _stretch: a number that grows where a usable frame follows so many others that all tracks have ended."""
-    w = W.partitionBy("drive_id").orderBy("frame_id")
-    usable = F.coalesce(F.get("seen", 0).score >= spec.gate, F.lit(False))
-    f = frames.withColumn("_n", F.row_number().over(w)).withColumn("_used", F.when(usable, F.col("_n")))
-    last = F.max("_used").over(w.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.col("_used").isNotNull() & F.coalesce(F.col("_n") - last - 1 > spec.max_misses, F.lit(True))
-    return f.withColumn("_stretch", F.sum(fresh.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_n", "_used")
+class _Life:
+    """Tracks that are known by where they began (frame, and the how manieth of it): so two runs over the same frames agree on them, whatever either has seen before."""
 
+    def __init__(self, spec: Tracking, state: list | None = None):
+        state = state or []
+        self.born = {k + 1: tuple(t["born"]) for k, t in enumerate(state)}
+        self.tracks = Tracks(spec, {"next_id": len(state) + 1, "tracks": [{**t, "id": k + 1} for k, t in enumerate(state)]})
 
-def stabilised(frames: DataFrame, spec: Tracking = Tracking()) -> DataFrame:
-    """ROWS with a map address for frame_candidates' rows. A track's life is counted in a drive's frames, in order. A drive is cut where all tracks have ended; each stretch is gone through by a task as its rows come, sorted, so no drive is held; tracks of later stretches are numbered on."""
-    schema = f"{ROWS}, _stretch long, _begun long"
-    arrow = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in schema.split(", "))])
+    def state(self) -> str:
+        return json.dumps([{**{k: v for k, v in t.items() if k != "id"}, "born": self.born[t["id"]]} for t in self.tracks.tracks])
+
+    def frame(self, frame: int, seen: list[tuple[float, float, float, float]]) -> tuple[tuple | None, int]:
+        """The frame's report, with where its track began in place of its id, and how many tracks have begun."""
+        before = self.tracks.next_id
+        row = self.tracks.frame(seen[0] if seen else None, seen[1:])
+        fresh = self.tracks.next_id - before
+        self.born.update((before + k, (frame, k)) for k in range(fresh))
+        if len(self.born) > 1000:
+            kept = {t["id"] for t in self.tracks.tracks}
+            self.born = {k: v for k, v in self.born.items() if k in kept}
+        return (None if row is None else (*self.born[row[0]], *row[1:])), fresh
+
+
+_REPORT = "born_frame long, born_k long, stable_lat double, stable_lon double, stable_depth double, track_hits long, track_age long, track_mean_score double, provisional boolean, raw_lat double, raw_lon double, raw_score double, smoothing_delta_m double"
+_RUN = f"drive_id long, _piece int, frame_id long, {_REPORT}, _fresh long, _start string, _end string"
+
+
+def _run(frames: DataFrame, spec: Tracking) -> DataFrame:
+    """_RUN: a row for each frame of a piece that has a report or new tracks, and one without a frame for each piece, with the states that it began and ended with. frames: drive_id, _piece, frame_id, seen, _warm, _given."""
+    arrow = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[t]) for n, t in (c.split() for c in _RUN.split(", "))])
+    nothing = (None,) * len(_REPORT.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tracks = None, None
-        end = lambda: [(at[0], None, *[None] * 12, at[1], tracks.next_id - 1)] if at else []
+        at, life, start = None, None, None
+        end = lambda: [(*at, None, *nothing, 0, life.state() if start is None else start, life.state())] if at else []
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow, strict=True)] if rows else [pa.array([], f.type) for f in arrow], schema=arrow)
         for b in batches:
             out: list[tuple] = []
-            for drive, frame, seen, stretch in zip(*(b.column(c).to_pylist() for c in ("drive_id", "frame_id", "seen", "_stretch")), strict=True):
-                if (drive, stretch) != at:
+            for drive, piece, frame, seen, warm, given in zip(*(b.column(c).to_pylist() for c in ("drive_id", "_piece", "frame_id", "seen", "_warm", "_given")), strict=True):
+                if (drive, piece) != at:
                     out += end()
-                    at, tracks = (drive, stretch), Tracks(spec)
-                out += [(*r, stretch, None) for r in followed(tracks, [(frame, seen_in(seen))], drive)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow, strict=True)] if out else [pa.array([], f.type) for f in arrow], schema=arrow)
+                    at, life, start = (drive, piece), _Life(spec, json.loads(given) if given else None), None
+                if not warm and start is None:
+                    start = life.state()
+                row, fresh = life.frame(frame, seen_in(seen))
+                if not warm and (row is not None or fresh):
+                    out.append((drive, piece, frame, *(row or nothing), fresh, None, None))
+            yield packed(out)
         if at:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*end()), arrow, strict=True)], schema=arrow)
-
-    rows = _stretches(frames, spec).select("drive_id", "frame_id", "seen", F.col("_stretch").cast("long").alias("_stretch"))
-    out = rows.repartition("drive_id", "_stretch").sortWithinPartitions("drive_id", "_stretch", "frame_id").mapInArrow(run, schema)
-    before = F.sum("_begun").over(W.partitionBy("drive_id").orderBy("_stretch").rangeBetween(W.unboundedPreceding, -1))
-    out = out.withColumn("track_id", F.col("track_id") + F.coalesce(before, F.lit(0))).where("frame_id is not null").drop("_stretch", "_begun")
+            yield packed(end())
+
+    return frames.repartition("drive_id", "_piece").sortWithinPartitions("drive_id", "_piece", "frame_id").mapInArrow(run, _RUN)
+
+
+def pieces_run(frames: DataFrame, spec: Tracking, warm_up: int, ranges: int | None) -> tuple[DataFrame, int]:
+    """_run's rows for all pieces of all drives, and the number of rounds: each piece as if its drive had been gone through from the beginning.
+
+    In the first round a piece begins without tracks, warm_up frames before its own. Where the state it so came to isn't that with which the piece before it ended, it is run again from that one, in rounds, until all
+    seams agree. Tracks that began within the warm-up agree to the last bit, so few pieces run again, unless a track lives on through all of it; a drive of such tracks takes a round for each of its pieces.
+    """
+    p = scan.pieces(frames.select("drive_id", "frame_id", "seen"), "drive_id", ("frame_id",), ranges)
+    t = scan.totals(p, "drive_id")
+    a = scan.along("drive_id")
+    t = cut(t.withColumns({"_next": F.lead(scan.PIECE).over(a), "_before": F.lag(scan.PIECE).over(a)}))
+    r = scan.carried(p, t, "drive_id", "_n", "_next")
+    warm = r.where(F.col("_next").isNotNull() & (F.col(scan.PLACE) > F.col("_n") - warm_up)).withColumn(scan.PIECE, F.col("_next"))
+    none = F.lit(None).cast("string")
+    columns = ["drive_id", scan.PIECE, "frame_id", "seen"]
+    done = cut(_run(r.select(*columns, F.lit(False).alias("_warm"), none.alias("_given")).unionByName(warm.select(*columns, F.lit(True).alias("_warm"), none.alias("_given"))), spec))
+    rounds = 1
+    while True:
+        seams = done.where("frame_id IS NULL").select(F.col("drive_id").alias("_d"), F.col(scan.PIECE).alias("_p"), "_start", "_end")
+        here = t.select(F.col("drive_id"), scan.PIECE, "_before")
+        own = here.join(seams.select("_d", "_p", "_start"), here["drive_id"].eqNullSafe(F.col("_d")) & (here[scan.PIECE] == F.col("_p"))).drop("_d", "_p")
+        ends = seams.select("_d", "_p", F.col("_end").alias("_given"))
+        wrong = cut(own.join(ends, own["drive_id"].eqNullSafe(F.col("_d")) & (F.col("_before") == F.col("_p"))).where(F.col("_start") != F.col("_given")).select(F.col("drive_id").alias("_d"), F.col(scan.PIECE).alias("_p"), "_given"))
+        if not wrong.limit(1).count():
+            return done, rounds
+        rounds += 1
+        again = p.join(wrong, p["drive_id"].eqNullSafe(F.col("_d")) & (p[scan.PIECE] == F.col("_p")))
+        new = _run(again.select(*columns, F.lit(False).alias("_warm"), "_given"), spec)
+        keep = done.join(wrong.select("_d", "_p"), done["drive_id"].eqNullSafe(F.col("_d")) & (done[scan.PIECE] == F.col("_p")), "left_anti")
+        before, done = done, cut(keep.unionByName(new))
+        free(before, wrong)
+
+
+def stabilised(frames: DataFrame, spec: Tracking = Tracking(), warm_up: int = 200, ranges: int | None = None) -> DataFrame:
+    """ROWS with a map address for frame_candidates' rows. A track's life is counted in a drive's frames, in order.
+
+    A drive is gone through in pieces by many tasks, with or without pauses in it (pieces_run); tracks are numbered by their beginnings, over the pieces' totals. Frames are computed once, to the shared folder.
+    Frames of a null drive are a drive; a drive has a frame once. An empty table gives no rows.
+    """
+    done, _ = pieces_run(frames, spec, warm_up, ranges)
+    born = done.where("_fresh > 0").select("drive_id", scan.PIECE, "frame_id", "_fresh")
+    inside = F.sum("_fresh").over(W.partitionBy("drive_id", scan.PIECE).orderBy("frame_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("_fresh")
+    sums = born.groupBy("drive_id", scan.PIECE).agg(F.sum("_fresh").alias("_s"))
+    sums = sums.withColumn("_earlier", F.sum("_s").over(scan.along("drive_id")) - F.col("_s"))
+    born = scan.carried(born.withColumn("_k", inside), sums, "drive_id", "_earlier").select(F.col("drive_id").alias("_d"), F.col("frame_id").alias("_f"), (F.col("_earlier") + F.col("_k") + 1).alias("_id"))
+    rows = done.where("born_frame IS NOT NULL")
+    out = rows.join(born, rows["drive_id"].eqNullSafe(F.col("_d")) & (F.col("born_frame") == F.col("_f"))).withColumn("track_id", F.col("_id") + F.col("born_k"))
+    out = out.select(*(c.split()[0] for c in ROWS.split(", ")))
     return out.withColumn("gmaps", map_url(F.col("stable_lat"), F.col("stable_lon")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -87,7 +87,7 @@ def leaves(html: str) -> list[Leaf]:
     held: list[str] = []
     linked = hidden = number = 0
     path: tuple[Element, ...] = ()
-    open_: Counter[str] = Counter()
+    open_: defaultdict[str, int] = defaultdict(int)
 
     def flush() -> None:
         nonlocal linked
@@ -108,7 +108,10 @@ def leaves(html: str) -> list[Leaf]:
         del stack[k:]
 
     def end(of, but) -> None:
-        if not any(open_[t] for t in of):
+        for t in of:
+            if open_[t]:
+                break
+        else:
             return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k].tag in of:
@@ -126,7 +129,7 @@ def leaves(html: str) -> list[Leaf]:
                         continue
                     path = tuple(stack)
                 held.append(text)
-                if any(e.tag == "a" for e in stack[-4:]):
+                if open_["a"]:
                     linked += len(text.strip())
             continue
         if kind == "-":

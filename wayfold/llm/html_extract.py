@@ -24,14 +24,14 @@ EDGES = 5
 _NAMES = re.compile(r"""(?:^|[\s/"'])(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _UNSEEN = re.compile(r"""(?:^|[\s"'])hidden(?:[\s=]|$)|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: Words and signs that a block may have; each is a feature of its own.
+#: Words that a block may have; each kind is a feature of its own.
 _CUES = {
-    "rights": r"©|\bcopyright\b|all rights reserved|\blegal\b|\bimprint\b|\bimpressum\b", "consent": r"\bcookies?\b|\bprivacy\b|\bconsent\b|\baccept\b|\bgdpr\b",
-    "join": r"\bsubscribe\b|\bnewsletter\b|\bsign (?:up|in)\b|\blog ?in\b|\bregister\b|\bpassword\b|\be-?mail\b", "promo": r"\badvert|\bsponsor|\bpromot|\bbuy now\b|\boffer\b|\bdiscount\b",
-    "share": r"\bshare\b|\btweet\b|\bfollow us\b|\bfacebook\b|\btwitter\b", "more": r"\brelated\b|\bread (?:more|next)\b|\bmost read\b|\brecommended\b|\btrending\b|\bpopular\b",
-    "reply": r"\bcomments?\b|\breply\b|\breplies\b|\bposted by\b|\bsays\b|\bago\b", "byline": r"^by \w+|\bmin read\b|\bupdated\b|\bpublished\b",
+    "rights": "© copyright reserved legal imprint impressum", "consent": "cookie cookies privacy consent accept gdpr", "join": "subscribe subscribers newsletter register login password email e-mail",
+    "promo": "advertisement advert sponsored sponsor promoted buy offer discount", "share": "share tweet follow facebook twitter", "more": "related read recommended trending popular", "reply": "comment comments reply replies posted says ago",
+    "byline": "by min updated published",
 }
-_CUE = {k: re.compile(v, re.I) for k, v in _CUES.items()}
+_CUE = {w: k for k, words in _CUES.items() for w in words.split()}
+_BARE = str.maketrans(dict.fromkeys(".,;:!?()[]\"'|»›·•", " "))
 
 
 @lru_cache(maxsize=20_000)
@@ -64,8 +64,9 @@ def features(found: list[Leaf]) -> Iterator[set[str]]:
             out.add(f"of {leaf.path[-1].tag}")
         share = leaf.linked / len(text)
         size = _step(words, (2, 5, 10, 20, 50))
-        out.update((f"size {size}", f"linked {_step(share, (0, 0.3, 0.8))}", f"place {k * 5 // n}", f"ends {text[-1] in '.!?…:;。'}", f"digits {_step(sum(map(str.isdigit, text[:2000])) / min(len(text), 2000), (0, 0.1, 0.4))}"))
-        out.update(f"cue {c} {min(size, 3)}" for c, p in _CUE.items() if p.search(text[:2000]))
+        out.update((f"size {size}", f"linked {_step(share, (0, 0.3, 0.8))}", f"place {k * 5 // n}", f"ends {text[-1] in '.!?…:;。'}", f"digits {_step(sum(map(text.count, '0123456789')) / len(text), (0, 0.1, 0.4))}"))
+        told = _CUE.keys() & set(text.lower().translate(_BARE).split())
+        out.update(f"cue {_CUE[w]} {min(size, 3)}" for w in told)
         if any(x in text for x in "|»›·•"):
             out.add(f"bars {min(size, 3)}")
         yield out

@@ -236,6 +236,32 @@ def pieces_run(frames: DataFrame, spec: Tracking, warm_up: int, ranges: int | No
         free(before, wrong)
 
 
+def _numbered(done: DataFrame) -> DataFrame:
+    """(_d, _f, _id): the number of the first track that began at each frame of a drive where any did, from 1 on, by the pieces' totals."""
+    born = done.where("_fresh > 0").select("drive_id", scan.PIECE, "frame_id", "_fresh")
+    inside = F.sum("_fresh").over(W.partitionBy("drive_id", scan.PIECE).orderBy("frame_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("_fresh")
+    sums = born.groupBy("drive_id", scan.PIECE).agg(F.sum("_fresh").alias("_s"))
+    sums = sums.withColumn("_earlier", F.sum("_s").over(scan.along("drive_id")) - F.col("_s"))
+    return scan.carried(born.withColumn("_k", inside), sums, "drive_id", "_earlier").select(F.col("drive_id").alias("_d"), F.col("frame_id").alias("_f"), (F.col("_earlier") + F.col("_k") + 1).alias("_id"))
+
+
+_STATE = "array<struct<lat:array<double>,lon:array<double>,depth:array<double>,hits:long,misses:long,age:long,scores:array<double>,born:array<long>>>"
+
+
+def final_states(frames: DataFrame, spec: Tracking = Tracking(), warm_up: int = 200, ranges: int | None = None) -> DataFrame:
+    """(drive_id, last, next_id, tracks): how far each drive has come, the number that its next track would get, and its living tracks, from which a stream can go on (streaming.tracker)."""
+    done, _ = pieces_run(frames, spec, warm_up, ranges)
+    begun = done.groupBy("drive_id").agg((F.coalesce(F.sum("_fresh"), F.lit(0)) + 1).alias("next_id"), F.max_by("_end", F.when(F.col("frame_id").isNull(), F.col(scan.PIECE))).alias("_end"))
+    ends = frames.groupBy("drive_id").agg(F.max("frame_id").alias("last")).withColumnRenamed("drive_id", "_drive")
+    b = begun.join(ends, begun["drive_id"].eqNullSafe(F.col("_drive"))).drop("_drive")
+    each = b.select("drive_id", "last", "next_id", F.posexplode_outer(F.from_json("_end", _STATE)).alias("_n", "_t"))
+    n = _numbered(done)
+    each = each.join(n, each["drive_id"].eqNullSafe(F.col("_d")) & (F.col("_t.born")[0] == F.col("_f")), "left")
+    t = F.struct((F.col("_id") + F.col("_t.born")[1]).alias("id"), *(F.col(f"_t.{c}").alias(c) for c in ("lat", "lon", "depth", "hits", "misses", "age", "scores")))
+    g = each.groupBy("drive_id", "last", "next_id").agg(F.sort_array(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_n", t.alias("t"))))).alias("_ts"))
+    return g.select("drive_id", "last", "next_id", F.col("_ts.t").alias("tracks"))
+
+
 def stabilised(frames: DataFrame, spec: Tracking = Tracking(), warm_up: int = 200, ranges: int | None = None) -> DataFrame:
     """ROWS with a map address for frame_candidates' rows. A track's life is counted in a drive's frames, in order.
 
@@ -243,11 +269,7 @@ def stabilised(frames: DataFrame, spec: Tracking = Tracking(), warm_up: int = 20
     Frames of a null drive are a drive; a drive has a frame once. An empty table gives no rows.
     """
     done, _ = pieces_run(frames, spec, warm_up, ranges)
-    born = done.where("_fresh > 0").select("drive_id", scan.PIECE, "frame_id", "_fresh")
-    inside = F.sum("_fresh").over(W.partitionBy("drive_id", scan.PIECE).orderBy("frame_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("_fresh")
-    sums = born.groupBy("drive_id", scan.PIECE).agg(F.sum("_fresh").alias("_s"))
-    sums = sums.withColumn("_earlier", F.sum("_s").over(scan.along("drive_id")) - F.col("_s"))
-    born = scan.carried(born.withColumn("_k", inside), sums, "drive_id", "_earlier").select(F.col("drive_id").alias("_d"), F.col("frame_id").alias("_f"), (F.col("_earlier") + F.col("_k") + 1).alias("_id"))
+    born = _numbered(done)
     rows = done.where("born_frame IS NOT NULL")
     out = rows.join(born, rows["drive_id"].eqNullSafe(F.col("_d")) & (F.col("born_frame") == F.col("_f"))).withColumn("track_id", F.col("_id") + F.col("born_k"))
     out = out.select(*(c.split()[0] for c in ROWS.split(", ")))

@@ -37,6 +37,21 @@ def matched_stream(frames: DataFrame, buildings: DataFrame) -> DataFrame:
     return scored_candidates(frames, buildings)
 
 
+def dashboard_stream(selected: DataFrame, calibrated: DataFrame, late: str = "10 minutes", within: str = "10 minutes", ts: str = "ts") -> DataFrame:
+    """selected with each frame's calibrated error and whether it is an inlier, where one comes within so long before or after it: both are streams (or both tables) with a time.
+
+    A frame without one is given out, with nulls, when the watermark has passed the time in which one could come; until then both sides are held, and no longer. Rows later than the watermark are dropped and counted (late_rows).
+    """
+    c = calibrated.select(F.col("frame_id").alias("_frame"), F.col(ts).alias("_at"), "calibrated_error_m", "is_inlier")
+    near = (F.col("frame_id") == F.col("_frame")) & (F.col("_at") >= F.col(ts) - F.expr(f"INTERVAL {within}")) & (F.col("_at") <= F.col(ts) + F.expr(f"INTERVAL {within}"))
+    return _marked(selected, ts, late).join(_marked(c, "_at", late), near, "left").drop("_frame", "_at")
+
+
+def late_rows(query) -> int:
+    """How many rows a streaming query has dropped because they came later than its watermark, in the triggers that it still remembers."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
 def write_matches(frames: DataFrame, buildings: DataFrame, path: str, checkpoint: str):
     """A query that appends each trigger's best matches; a trigger that is run again writes its own folder again."""
 

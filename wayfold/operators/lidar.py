@@ -33,6 +33,18 @@ def projected(points: DataFrame, camera: Camera = Camera()) -> DataFrame:
     return p.where((F.col("u") >= 0) & (F.col("u") < camera.width) & (F.col("v") >= 0) & (F.col("v") < camera.height)).drop("_x", "_y", "_z")
 
 
+def in_time(points: DataFrame, frames: DataFrame, time_window_s: float, ts: str = "packet_ts", t: str = "t") -> DataFrame:
+    """points with the frame_id of each frame (frame_id, t) in whose time window they were measured: at most half of it from the frame's time, both ends included. A point belongs to as many frames as have it in theirs, or to none.
+
+    A range join by buckets as wide as the window: a frame looks into the two or three that its window touches. Other stages take the whole cloud for every frame; this is an option, for a vehicle that moves. Null times meet nothing.
+    """
+    half = time_window_s / 2
+    bucket = lambda x: F.floor(x / time_window_s).cast("long")
+    f = frames.select("frame_id", F.col(t).alias("_t")).where("_t IS NOT NULL").withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_t") - half) - 1, bucket(F.col("_t") + half) + 1)))
+    p = points.withColumn("_bucket", bucket(F.col(ts)))
+    return p.join(f, "_bucket").where(F.abs(F.col(ts) - F.col("_t")) <= half).drop("_bucket", "_t")
+
+
 def in_mask(seen: DataFrame, runs: DataFrame, camera: Camera = Camera()) -> DataFrame:
     """(frame_id, depth) of the points whose pixel is in a frame's mask. runs: frame_id, row, u_start, u_end (exclusive), as operators.detect.mask_runs gives them, disjoint in a row.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Grid
 from ..functions import geo, polygon, score
-from ..operators import calibrate, lidar, localize, match, report, select, timeline, track
+from ..operators import calibrate, lidar, localize, match, quantile, report, select, timeline, track
 from ..streaming import events as streams
 from . import sql as S
 from . import views as V
@@ -311,6 +311,16 @@ def depth_fallback(spark: SparkSession, d: str) -> DataFrame:
     return lidar.box_depth(boxes, lidar.projected(V.points(spark, d))).select("frame_id", F.round("depth", 3).alias("depth"), "n")
 
 
+@query(
+    S.PROJECTED + """, f AS (SELECT event_id AS frame_id, event_id / 30.0::DOUBLE AS t FROM events)
+SELECT frame_id, count(*) AS n, round(min(depth), 3) AS nearest_m, round(quantile_cont(depth, 0.5), 3) AS median_m FROM f JOIN seen ON abs(tile / 50.0::DOUBLE - t) <= 0.05::DOUBLE GROUP BY frame_id"""
+)
+def frame_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The points that were measured within a tenth of a second around each frame; an order's points have its number as their time."""
+    seen = lidar.projected(V.points(spark, d)).withColumn("packet_ts", F.col("tile") / 50.0)
+    frames = V.table(spark, d, "events").selectExpr("event_id AS frame_id", "event_id / 30D AS t")
+    p = quantile.percentiles(lidar.in_time(seen, frames, 0.1), "depth", {"nearest_m": 0.0, "median_m": 0.5}, by=("frame_id",))
+    return p.select("frame_id", "n", F.round("nearest_m", 3).alias("nearest_m"), F.round("median_m", 3).alias("median_m"))
 
 
 @query(f"WITH {V.POINTS}, f AS (SELECT sensor, CASE WHEN sensor = 2 THEN {S.affine(0)} ELSE x END AS fx, CASE WHEN sensor = 2 THEN {S.affine(2)} ELSE z END AS fz FROM points) SELECT sensor, count(*) AS n, round(avg(fx), 2) AS mean_x, round(avg(fz), 2) AS mean_z FROM f GROUP BY sensor")

@@ -25,23 +25,96 @@ _BLOCK = np.dtype([("mark", "<u2"), ("azimuth", "<u2"), ("returns", _RETURN, (2,
 _PACKET = np.dtype([("blocks", _BLOCK, (BLOCKS,)), ("tail", "u1", (PAYLOAD - BLOCKS * BLOCK,))])
 
 
-def packets(f, step: int = 1 << 20) -> Iterator[tuple[float, bytes]]:
-    """(seconds, payload) of the sensor's packets in an open capture, either byte order, micro- or nanoseconds. A record that the file cuts off ends it."""
-    head = f.read(24)
-    if len(head) < 24:
-        return
-    order, unit = {b"\xd4\xc3\xb2\xa1": ("<", 1e-6), b"\xa1\xb2\xc3\xd4": (">", 1e-6), b"\x4d\x3c\xb2\xa1": ("<", 1e-9), b"\xa1\xb2\x3c\x4d": (">", 1e-9)}[head[:4]]
-    record, held, at = struct.Struct(order + "IIII"), b"", 0
-    while True:
-        while len(held) - at < 16 or len(held) - at < 16 + record.unpack_from(held, at)[2]:
-            more = f.read(step)
-            if not more:
+#: Bytes of a capture that a task reads, and that it reads at a time.
+SPLIT, STEP = 64 << 20, 1 << 20
+#: Bytes that a record may have whatever the file says.
+LONGEST = 262_144
+_FORMATS = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
+_SIZE = HEADERS + PAYLOAD
+_MARKS = struct.pack("<H", MARK)
+
+
+class Capture:
+    """An open capture, either byte order, micro- or nanoseconds, whose packets can be read from any byte on.
+
+    A whole packet of the sensor is known by itself wherever it stands: a record head with a plausible time and the sensor's size, and all blocks' marks. Reading goes from record to record, as their sizes say; but a whole
+    packet within what another record claims to be, and the next whole packet after what is no record at all, are where it goes on. So it meets every whole packet, from wherever it began.
+    """
+
+    def __init__(self, f):
+        self.f, self.held, self.begin = f, b"", 0
+        head = self.at(0, 24)
+        self.empty = len(head) < 24
+        if not self.empty:
+            if head[:4] not in _FORMATS:
+                raise ValueError("no capture that is known: it begins with " + head[:4].hex())
+            order, self.parts = _FORMATS[head[:4]]
+            self.record = struct.Struct(order + "IIII")
+            self.longest = max(LONGEST, struct.unpack_from(order + "I", head, 16)[0] if struct.unpack_from(order + "I", head, 16)[0] < 1 << 24 else 0)
+            self.mark = struct.pack(order + "I", _SIZE)
+
+    def at(self, place: int, n: int) -> bytes:
+        """n bytes from a place on, fewer where the file ends."""
+        k = place - self.begin
+        if k < 0 or k + n > len(self.held):
+            self.f.seek(place)
+            self.held, self.begin, k = self.f.read(max(n, STEP)), place, 0
+        return self.held[k : k + n]
+
+    def head(self, place: int) -> tuple[int, int, int] | None:
+        """(seconds, parts of a second, size) of the record at a place, none where there can be none."""
+        raw = self.at(place, 16)
+        if len(raw) < 16:
+            return None
+        sec, part, size, whole = self.record.unpack(raw)
+        return (sec, part, size) if part < self.parts and size <= min(self.longest, whole) else None
+
+    def is_whole(self, place: int) -> bool:
+        found = self.head(place)
+        if found is None or found[2] != _SIZE:
+            return False
+        raw = self.at(place, 16 + _SIZE)
+        return len(raw) == 16 + _SIZE and all(raw.startswith(_MARKS, 16 + HEADERS + BLOCK * k) for k in range(BLOCKS))
+
+    def next_whole(self, place: int, end: int) -> int | None:
+        """Where the first whole packet begins, from a place on and before the end."""
+        while place < end:
+            raw = self.at(place, min(STEP, end - place + 12))
+            k = raw.find(self.mark, 8)
+            if k >= 0:
+                if place + k - 8 < end and self.is_whole(place + k - 8):
+                    return place + k - 8
+                place += k - 7
+            elif len(raw) < 12:
+                return None
+            else:
+                place += len(raw) - 11
+        return None
+
+    def packets(self, begin: int = 0, end: int | None = None) -> Iterator[tuple[float, bytes]]:
+        """(seconds, payload) of the sensor's packets from the first whole one at or after begin (the file's first record, for 0) to the first whole one at or after end, which isn't read. A record that the file cuts off is none."""
+        if self.empty:
+            return
+        end = 1 << 62 if end is None else end
+        place = 24 if begin <= 24 else self.next_whole(begin, end)
+        while place is not None:
+            if place >= end and self.is_whole(place):
                 return
-            held, at = held[at:] + more, 0
-        sec, frac, size, _ = record.unpack_from(held, at)
-        if size == HEADERS + PAYLOAD:
-            yield sec + frac * unit, held[at + 16 + HEADERS : at + 16 + size]
-        at += 16 + size
+            found = self.head(place)
+            after = place + 1 if found is None else place + 16 + found[2]
+            if found is None or not self.is_whole(place):
+                if found is None and len(self.at(place, 16)) < 16:
+                    return
+                inner = self.next_whole(place + 1, after if found is not None else 1 << 62)
+                if inner is not None or found is None:
+                    place = inner
+                    continue
+            if found[2] == _SIZE:
+                raw = self.at(place + 16 + HEADERS, PAYLOAD)
+                if len(raw) < PAYLOAD:
+                    return
+                yield found[0] + found[1] / self.parts, raw
+            place = after
 
 
 def decoded(payloads: list[bytes], times: list[float], sensor: str) -> pa.RecordBatch:
@@ -55,16 +128,16 @@ def decoded(payloads: list[bytes], times: list[float], sensor: str) -> pa.Record
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
-class _Capture(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Part(InputPartition):
+    def __init__(self, path: str, begin: int = 0, end: int | None = None):
+        self.path, self.begin, self.end = path, begin, end
 
 
 class PcapReader(DataSourceReader):
-    """A partition for each file; packets are decoded a few hundred at a time, so a capture is never held whole."""
+    """A partition for each so many bytes of a file; each packet is read by the one in which it begins, but those that can't be known by themselves by one before. Packets are decoded a few hundred at a time."""
 
     def __init__(self, options: dict):
-        self.path, self.sensor = options["path"], options.get("sensor", "")
+        self.path, self.sensor, self.split = options["path"], options.get("sensor", ""), int(options.get("splitbytes", SPLIT))
 
     def _store(self) -> tuple[fs.FileSystem, str]:
         """Captures are opened by pyarrow, so schemes that only Hadoop knows aren't."""
@@ -73,18 +146,19 @@ class PcapReader(DataSourceReader):
             uri = "file://" + uri[5:]
         return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
-    def partitions(self) -> list[_Capture]:
+    def partitions(self) -> list[_Part]:
         store, path = self._store()
-        if store.get_file_info(path).type == fs.FileType.File:
-            return [_Capture(path)]
-        return [_Capture(i.path) for i in store.get_file_info(fs.FileSelector(path, recursive=True)) if i.type == fs.FileType.File] or [_Capture("")]
+        at = store.get_file_info(path)
+        files = [at] if at.type == fs.FileType.File else [i for i in store.get_file_info(fs.FileSelector(path, recursive=True)) if i.type == fs.FileType.File]
+        parts = [_Part(i.path, k, k + self.split if k + self.split < i.size else None) for i in files for k in range(0, max(i.size, 1), self.split)]
+        return parts or [_Part("")]
 
-    def read(self, partition: _Capture) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        with self._store()[0].open_input_stream(partition.path) as f:
+        with self._store()[0].open_input_file(partition.path) as f:
             held, times = [], []
-            for t, payload in packets(f):
+            for t, payload in Capture(f).packets(partition.begin, partition.end):
                 held.append(payload)
                 times.append(t)
                 if len(held) == 256:
@@ -95,7 +169,7 @@ class PcapReader(DataSourceReader):
 
 
 class PcapDataSource(DataSource):
-    """format("wayfold_pcap"): a file or folder of captures; option sensor names the sensor."""
+    """format("wayfold_pcap"): a file or folder of captures; option sensor names the sensor, splitBytes says how much of a file is a task's."""
 
     @classmethod
     def name(cls) -> str:
@@ -105,9 +179,9 @@ class PcapDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> PcapReader:
-        return PcapReader(dict(self.options))
+        return PcapReader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_points(spark: SparkSession, path: str, sensor: str = "") -> DataFrame:
+def read_points(spark: SparkSession, path: str, sensor: str = "", split_bytes: int = SPLIT) -> DataFrame:
     spark.dataSource.register(PcapDataSource)
-    return spark.read.format("wayfold_pcap").option("sensor", sensor).load(path)
+    return spark.read.format("wayfold_pcap").option("sensor", sensor).option("splitBytes", split_bytes).load(path)

@@ -133,3 +133,15 @@ def test_codes_are_balanced_and_pairs_at_the_threshold_meet():
         words2, own2, flipped2 = index.coded(y)
         met = B.retrieved(own, flipped, own2, flipped2).any(axis=1) & (np.bitwise_count(words ^ words2).sum(axis=1) <= index.radius)
         assert met.mean() > 0.94
+
+
+def test_sample_is_what_hashes_lowest(spark):
+    from pyspark.sql import functions as F
+
+    from wayfold.llm import embedding_dedup as M
+
+    nodes = spark.range(20_000).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), F.array(F.col("id").cast("double")).alias("v")).repartition(50).cache()
+    for sample in (1, 50, 5000, 30_000):
+        want = [r.v for r in nodes.orderBy("h1", "h2").limit(sample).collect()]
+        assert M._lowest(nodes, 20_000, sample).to_pylist() == want
+    assert M._lowest(nodes.limit(0), 0, 10).to_pylist() == []

@@ -10,6 +10,7 @@ import tracemalloc
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayfold.llm import warc as R
 
@@ -134,3 +135,78 @@ def test_memory_of_a_long_record():
 def test_header_digest():
     head, _ = R.header("revisit", "urn:page:1", None, "ab" * 20, 9, "urn:page:2", "d")
     assert base64.b32encode(bytes.fromhex("ab" * 20)) in head and b"Target" not in head and b"Refers-To: <urn:page:2>" in head
+
+
+def other(kind, block, **fields):
+    """A record as others write it."""
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{kind}>", **{k.replace("_", "-"): v for k, v in fields.items() if v is not None}, "Content-Length": str(len(block))}
+    return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+
+def b32(data):
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+HTTP = "application/http; msgtype=response"
+
+
+def crawl():
+    """Records of a real crawl's kinds, and (record_type, payload, payload_bytes) of each."""
+    body = b"<p>" + b"flood " * 300 + b"</p>"
+    parts = b"".join(b"%x;x=1\r\n%s\r\n" % (len(body[k : k + 500]), body[k : k + 500]) for k in range(0, len(body), 500)) + b"0\r\nTrailer: x\r\n\r\n"
+    out = [
+        (other("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"), b"software: x\r\n", 13),
+        (other("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", Content_Type="application/http; msgtype=request", WARC_Target_URI="http://a/"), b"", 0),
+        (other("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + parts, Content_Type=HTTP, WARC_Payload_Digest=b32(body)), body, None),
+        (other("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + parts, Content_Type=HTTP, WARC_Payload_Digest=b32(parts)), body, None),
+        (other("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + body, Content_Type=HTTP, WARC_Payload_Digest=b32(body)), body, len(body)),
+        (other("response", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body, Content_Type=HTTP, WARC_Payload_Digest="sha1:" + hashlib.sha1(body).hexdigest()), body, len(body)),
+        (other("response", b"HTTP/1.0 200 OK\nServer: x\n\n" + body, Content_Type=HTTP), body, len(body)),
+        (other("response", b"HTTP/1.1 200 OK\r\nContent-Length: 9999\r\n\r\n" + body[:100], Content_Type=HTTP, WARC_Payload_Digest=b32(body), WARC_Truncated="length"), body[:100], 100),
+        (other("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 77\r\n\r\n", Content_Type=HTTP, WARC_Refers_To="<urn:page:5>", WARC_Payload_Digest=b32(body)), b"", 77),
+        (other("revisit", b"", Content_Type=HTTP, WARC_Payload_Digest=b32(body)), b"", None),
+        (other("metadata", b"fetchTimeMs: 7\r\n", Content_Type="application/warc-fields", WARC_Payload_Digest="md5:abc"), b"fetchTimeMs: 7\r\n", 16),
+        (other("resource", b"\x00\r\n\r\n\x01", Content_Type="image/png"), b"\x00\r\n\r\n\x01", 6),
+        (other("response", b"no header at all", Content_Type=HTTP), b"no header at all", 16),
+    ]
+    return [(r, r.split(b"WARC-Type: ")[1].split(b"\r\n")[0].decode(), payload, size) for r, payload, size in out]
+
+
+@pytest.mark.parametrize("chunk", [7, 500, 1 << 18])
+def test_records_of_a_crawl(chunk):
+    for plain in (True, False):
+        data = b"".join(r if plain else gzip.compress(r) for r, *_ in crawl())
+        got, held = [], b""
+        for r in R.chunks(io.BytesIO(data), chunk):
+            assert len(r[2]) <= chunk and (r[1] == 0) == (held == b"")
+            held += r[2]
+            assert r[3] == len(held) and r[4] == hashlib.sha1(held).hexdigest()
+            if r[5]:
+                got.append((r[6], held, r[10]))
+                held = b""
+        assert got == [x[1:] for x in crawl()]
+    for bad in (other("response", b"HTTP/1.1 200 OK\r\n\r\nabc", Content_Type=HTTP, WARC_Payload_Digest=b32(b"abd")), b"WARC/1.0\r\nWARC-Type: response\r\n\r\n", other("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\nzz\r\n", Content_Type=HTTP)):
+        with pytest.raises(ValueError):
+            list(R.chunks(io.BytesIO(bad), 10))
+
+
+def test_folders_of_others(spark, tmp_path):
+    (tmp_path / "crawl" / "deep").mkdir(parents=True)
+    (tmp_path / "crawl" / "deep" / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r, *_ in crawl()))
+    (tmp_path / "crawl" / "b.warc").write_bytes(crawl()[8][0])
+    (tmp_path / "crawl" / "notes.txt").write_text("x")
+    got = R.read_archives(spark, f"{tmp_path}/crawl").where("is_last").collect()
+    assert len(got) == len(crawl()) + 1
+    ours = sorted((r.refers_to or "", r.payload_digest) for r in got if r.record_type == "revisit")
+    assert ours[1:] == [("urn:page:5", hashlib.sha1(crawl()[2][2]).hexdigest())] * 2
+    assert R.read_archives(spark, f"{tmp_path}/crawl/b.warc").count() == 1
+    # ours beside them: a manifest tells what counts, unless all are asked for
+    R.write_archives(R.records(spark.createDataFrame([(5, "u", crawl()[2][2].decode())], "page_id long, url string, html string")), f"{tmp_path}/crawl")
+    assert [r.record_id for r in R.read_archives(spark, f"{tmp_path}/crawl").where("is_last").collect()] == ["urn:page:5"]
+    everything = spark.read.format("wayfold_warc").option("allFiles", "true").load(f"{tmp_path}/crawl").where("is_last")
+    assert everything.count() == len(crawl()) + 2
+    revisits = everything.where("record_type = 'revisit'").alias("a").join(everything.where("record_type = 'response'").alias("b"), F.expr("a.refers_to = b.record_id"))
+    assert {r[0] for r in revisits.select("b.digest_so_far").collect()} == {hashlib.sha1(crawl()[2][2]).hexdigest()}
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(Exception, match="no archive"):
+        R.read_archives(spark, f"{tmp_path}/empty").count()

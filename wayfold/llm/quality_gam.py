@@ -200,6 +200,9 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> Model:
     """Fits on labelled rows of docs that are not held out: at most max_rows of the labels, those whose ids hash lowest, so which these are doesn't depend on order or partitions. That bounds what is broadcast, collected and fitted. Null labels and null ids are left out; of rows that share an id, the text with the lowest hash counts, once for each of the id's labels."""
     use = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("double").alias("y")).where("l_id is not null and y is not null").where(~held_out(F.col("l_id"))).distinct()
+    part = (1.1 * max_rows + 10 * max_rows**0.5 + 20) / max(use.count(), 1)
+    if part < 1:  # the lowest hashes are below this, and few more
+        use = use.where(F.xxhash64("l_id") < int(-(2**63) + part * 2**64))
     use = use.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(use), F.col("id") == F.col("l_id"))  # max_rows at most
     measured = _mapped(rows, ["id", "y", "h"], "array<double>", "x", lambda x: list(x))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -152,6 +153,22 @@ class _Inflated:
         del self.held[: k + len(end)]
         return out
 
+    def peek(self, n: int) -> bytes:
+        """The next n bytes, fewer where the file ends; they stay."""
+        while len(self.held) < n and self._more():
+            pass
+        return bytes(self.held[:n])
+
+    def within(self, n: int) -> bytes:
+        """The HTTP header that begins the next n bytes, with the empty line after it; all of them, if they are few and have no such line; none of many."""
+        size = 4096
+        while True:
+            seen = self.peek(min(size, n))
+            m = re.search(rb"\r?\n\r?\n", seen)
+            if m or size >= n or size > HEADER:
+                return self.take(m.end() if m else n if n <= HEADER and seen.startswith((b"HTTP/", b"GET ", b"POST ", b"HEAD ")) else 0)
+            size *= 4
+
     def take(self, n: int) -> bytes:
         while len(self.held) < n:
             if not self._more():
@@ -162,36 +179,93 @@ class _Inflated:
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8", "replace").split("\r\n")
+    lines = re.split(r"\r?\n", head.decode("utf-8", "replace"))
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
+def _declared(value: str) -> str | None:
+    """A declared SHA-1 in hex: files have it in base 32, or in hex; other digests aren't checked."""
+    name, _, text = value.partition(":")
+    if name.lower() != "sha1":
+        return None
+    return base64.b32decode(text.upper()).hex() if len(text) == 32 else text.lower() if len(text) == 40 else None
+
+
+class _Payload:
+    """The payload of a record's block, forward: what is left of it, without the chunks of its transfer where it has such."""
+
+    def __init__(self, src: _Inflated, left: int, chunked: bool):
+        self.src, self.left, self.raw = src, left, hashlib.sha1()
+        self.chunked = chunked and re.match(rb"[0-9a-fA-F]+[ \t]*(;[^\r\n]*)?\r\n", src.peek(min(left, 1000))) is not None
+        self.within = 0
+
+    def _take(self, n: int) -> bytes:
+        data = self.src.take(min(n, self.left))
+        self.left -= len(data)
+        self.raw.update(data)
+        return data
+
+    def take(self, n: int) -> bytes:
+        """n bytes of it, fewer at its end."""
+        if not self.chunked:
+            return self._take(n)
+        out = b""
+        while len(out) < n and self.left:
+            if not self.within:
+                line = b""
+                while not line.endswith(b"\n") and self.left and len(line) < 1000:
+                    line += self._take(1)
+                size = line.split(b";")[0].strip()
+                if size and not re.fullmatch(rb"[0-9a-fA-F]+", size):
+                    raise ValueError("a chunk of a transfer has no size")
+                self.within = int(size or b"0", 16)
+                if size and not self.within:  # the last; what follows are trailers
+                    while self.left:
+                        self._take(self.left if self.left < 1 << 16 else 1 << 16)
+                continue
+            data = self._take(min(n - len(out), self.within))
+            self.within -= len(data)
+            out += data
+        return out
+
+
 def chunks(raw, chunk: int) -> Iterator[tuple]:
-    """Rows of CHUNKS for the records of an open file, in order: a payload of n bytes has max(1, ceil(n / chunk)) of them."""
+    """Rows of CHUNKS for the records of an open file, of any kind and in order: a payload of n bytes has max(1, ceil(n / chunk)) of them.
+
+    The payload is the block, without the HTTP header of such records and the chunks of its transfer. payload_bytes is what the block has, for a revisit what its HTTP header says; null where neither tells.
+    A payload that isn't what a declared SHA-1 says is an error, unless the record says that it was cut short. Files by others that digest a chunked transfer as it is are right, too.
+    """
     src = _Inflated(raw)
     while True:
         head = src.until(b"\r\n\r\n")
         if not head.strip():
             return
         f = _fields(head.lstrip(b"\r\n"))
-        left = int(f["content-length"])
-        http = src.until(b"\r\n\r\n") if "application/http" in f.get("content-type", "") else None
-        if http is not None:
-            left -= len(http) + 4
-        kind, declared = f["warc-type"], f.get("warc-payload-digest", "")
-        declared = base64.b32decode(declared[5:]).hex() if declared.startswith("sha1:") else None
-        total = int(_fields(http)["content-length"]) if http is not None else left
-        same = f["warc-record-id"].strip("<>"), kind, f.get("warc-target-uri"), f["warc-refers-to"].strip("<>") if "warc-refers-to" in f else None, declared, total
-        sha, done, k = hashlib.sha1(), 0, 0
-        while left or not k:
-            data = src.take(min(chunk, left))
-            left -= len(data)
+        for name in ("warc-type", "content-length"):
+            if name not in f:
+                raise ValueError(f"a WARC record without {name}")
+        left, kind = int(f["content-length"]), f["warc-type"]
+        http = src.within(left) if "application/http" in f.get("content-type", "") else None
+        fields = _fields(http) if http is not None else {}
+        left -= len(http) if http is not None else 0
+        declared = _declared(f.get("warc-payload-digest", "")) if "warc-truncated" not in f else None
+        body = _Payload(src, left, "chunked" in fields.get("transfer-encoding", "").lower())
+        told = fields.get("content-length", "")
+        total = (int(told) if told.isdigit() else None) if kind == "revisit" else None if body.chunked else left
+        hexed = _declared(f.get("warc-payload-digest", ""))
+        same = f.get("warc-record-id", "").strip("<>"), kind, f.get("warc-target-uri"), f["warc-refers-to"].strip("<>") if "warc-refers-to" in f else None, hexed, total
+        sha, done, k, data = hashlib.sha1(), 0, 0, body.take(chunk)
+        while True:
+            following = body.take(chunk) if len(data) == chunk else b""
+            last = not following
             done += len(data)
             sha.update(data)
-            if not left and kind != "revisit" and declared and (sha.hexdigest() != declared or done != total):
+            if last and kind != "revisit" and declared and declared not in (sha.hexdigest(), body.raw.hexdigest()):
                 raise ValueError(f"the payload of {same[0]} isn't what its record says")
-            yield same[0], k, data, done, sha.hexdigest(), not left, *same[1:]
-            k += 1
+            yield same[0], k, data, done, sha.hexdigest(), last, *same[1:]
+            if last:
+                break
+            k, data = k + 1, following
         if src.take(4) != b"\r\n\r\n":
             raise ValueError(f"no end after {same[0]}")
 
@@ -204,20 +278,28 @@ class _File(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.chunk = options["path"], int(options.get("chunkbytes", 1 << 18))
+        self.all = options.get("allfiles", "false").lower() == "true"
 
     def partitions(self) -> list[_File]:
+        """The files that the manifests of writes name; where there is none, or allFiles is set, all archives of the folder. None at all is an error, but of a write without records."""
         store, path = _at(self.path)
+        if store.get_file_info(path).type == fs.FileType.File:
+            return [_File(path)]
+        manifests = [] if self.all else _manifests(store, path)
         files = []
-        for x in _manifests(store, path):
+        for x in manifests:
             with store.open_input_stream(x) as f:
-                files += json.loads(f.read())
-        return [_File(x) for x in files] or [_File("")]
+                files += [f"{path}/{n}" for n in json.loads(f.read())]
+        if not manifests:
+            files = [i.path for i in store.get_file_info(fs.FileSelector(path, recursive=True)) if i.base_name.endswith((".warc", ".warc.gz"))]
+            if not files:
+                raise ValueError(f"there is no archive in {self.path}")
+        return [_File(x) for x in sorted(files)] or [_File("")]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        store, path = _at(self.path)
-        with store.open_input_stream(f"{path}/{partition.path}", compression=None) as raw:
+        with _at(self.path)[0].open_input_stream(partition.path, compression=None) as raw:
             rows, size = [], 0
             for row in chunks(raw, self.chunk):
                 rows.append(row)
@@ -234,7 +316,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class WarcDataSource(DataSource):
-    """format("wayfold_warc"): reads a folder written by it as CHUNKS; writes record_id, record_type, target_uri, refers_to, payload_digest and payload."""
+    """format("wayfold_warc"): reads a folder of archives, or one, as CHUNKS; writes record_id, record_type, target_uri, refers_to, payload_digest and payload."""
 
     @classmethod
     def name(cls) -> str:
@@ -274,7 +356,7 @@ def write_archives(recs: DataFrame, path: str, **options: object) -> None:
 
 
 def read_archives(spark: SparkSession, path: str, chunk_bytes: int = 1 << 18) -> DataFrame:
-    """The table of chunks of a folder of archives. A payload is never held whole: each row has chunk_bytes of it at most, with the digest of all bytes so far."""
+    """The table of chunks of a folder of archives, ours or others'. A payload is never held whole: each row has chunk_bytes of it at most, with the digest of all bytes so far."""
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("wayfold_warc").option("chunkBytes", chunk_bytes).load(path)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import METRES_PER_DEGREE, Matching
 from ..functions.geo import angle_diff_deg, bearing_deg, haversine_m
 from ..functions.score import match_terms
+from ..shared import cut
 
 
 def _width(lat: Column, radius_m: float) -> Column:
@@ -21,21 +22,66 @@ def _column(band: Column, lon: Column, radius_m: float) -> Column:
     return F.floor(lon / _width(band * (radius_m / METRES_PER_DEGREE), radius_m)).cast("long")
 
 
+#: Frames that look into a cell, and buildings in it, that one key of the join has at most; what is more is dealt out.
+FRAMES, BUILDINGS = 20_000, 1_000
+#: Crowded cells that are broadcast; more are joined by exchange.
+FEW_CELLS = 10_000
+
+
+def _looks(frames: DataFrame, radius_m: float) -> DataFrame:
+    """frames, once for each cell (_band, _cell) that their bounding box touches, with _lon: their longitude, or what it is on the other side of the antimeridian where the box reaches over it."""
+    step = radius_m / METRES_PER_DEGREE
+    lat, lon, wide = F.col("lat"), F.col("lon"), _width(F.col("lat"), radius_m)
+    over = F.when(lon + wide > 180, F.array(lon, lon - 360)).when(lon - wide < -180, F.array(lon, lon + 360)).otherwise(F.array(lon))
+    f = frames.where(lat.isNotNull() & lon.isNotNull()).withColumn("_lon", F.explode(over))
+    f = f.withColumn("_band", F.explode(F.sequence(F.floor((lat - step) / step), F.floor((lat + step) / step))))
+    return f.withColumn("_cell", F.explode(F.sequence(_column(F.col("_band"), F.col("_lon") - wide, radius_m), _column(F.col("_band"), F.col("_lon") + wide, radius_m))))
+
+
+def crowded(looks: DataFrame, located: DataFrame) -> DataFrame | None:
+    """(_band, _cell, _fs, _bs): into how many parts a cell's frames and buildings are to be dealt, for cells that have too many of either; none if there is no such cell, or if a side is a stream. Written."""
+    if looks.isStreaming or located.isStreaming:
+        return None
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    seen = looks.select("_band", "_cell", one.alias("_f"), none.alias("_b")).unionByName(located.select("_band", "_cell", none.alias("_f"), one.alias("_b")))
+    sums = seen.groupBy("_band", "_cell").agg(F.sum("_f").alias("_f"), F.sum("_b").alias("_b")).where(f"_f > 0 AND _b > 0 AND (_f > {FRAMES} OR _b > {BUILDINGS})")
+    out = cut(sums.select("_band", "_cell", F.ceil(F.col("_f") / FRAMES).alias("_fs"), F.ceil(F.col("_b") / BUILDINGS).alias("_bs")))
+    return out if out.limit(1).count() else None
+
+
+def dealt(looks: DataFrame, located: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _part: in a crowded cell each frame is in one part of the frames and meets each part of the buildings, each building is in one part of theirs and meets each part of the frames; so a pair meets once, and a key has a bounded part of either."""
+    side = F.broadcast(cells) if cells.count() <= FEW_CELLS else cells
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1)) - 1))
+
+    def own(df: DataFrame, n: str) -> Column:
+        """The part of a row, by its plain values, so that it is the same whenever it is computed."""
+        plain = [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]
+        return F.pmod(F.xxhash64(*plain), F.coalesce(F.col(n), F.lit(1)))
+
+    f = looks.join(side, ["_band", "_cell"], "left").withColumn("_mine", own(looks, "_fs")).withColumn("_other", every("_bs"))
+    b = located.join(side, ["_band", "_cell"], "left").withColumn("_mine", own(located, "_bs")).withColumn("_other", every("_fs"))
+    f = f.withColumn("_part", F.struct(F.col("_mine").alias("f"), F.col("_other").alias("b")))
+    b = b.withColumn("_part", F.struct(F.col("_other").alias("f"), F.col("_mine").alias("b")))
+    return tuple(x.drop("_fs", "_bs", "_mine", "_other") for x in (f, b))
+
+
 def radius_join(frames: DataFrame, buildings: DataFrame, radius_m: float = Matching.radius_m) -> DataFrame:
     """All pairs of a frame (lat, lon) and a building (b_lat, b_lon) within the radius, with dist_m.
 
     An equi-join on grid cells: a building is in one cell, a frame looks into the few cells that its bounding box touches, so no pair comes
-    twice and no side is broadcast unless Spark knows it to be small. Both sides are exchanged for this join alone, so
-    adaptive execution can split crowded cells. Rows without coordinates match nothing. Neither the poles nor the antimeridian are
-    bridged.
+    twice and no side is broadcast unless Spark knows it to be small. Cells are counted first; those with too many frames or buildings, even in one place, are dealt out (dealt). Rows
+    without coordinates match nothing. The antimeridian is bridged, for longitudes from -180 to 180; the poles are not. A stream's cells are not counted.
     """
     step = radius_m / METRES_PER_DEGREE
     b = buildings.where(F.col("b_lat").isNotNull() & F.col("b_lon").isNotNull()).withColumn("_band", F.floor(F.col("b_lat") / step).cast("long"))
     b = b.withColumn("_cell", _column(F.col("_band"), F.col("b_lon"), radius_m))
-    lat, lon, wide = F.col("lat"), F.col("lon"), _width(F.col("lat"), radius_m)
-    f = frames.where(lat.isNotNull() & lon.isNotNull()).withColumn("_band", F.explode(F.sequence(F.floor((lat - step) / step), F.floor((lat + step) / step))))
-    f = f.withColumn("_cell", F.explode(F.sequence(_column(F.col("_band"), lon - wide, radius_m), _column(F.col("_band"), lon + wide, radius_m))))
-    near = f.join(b, ["_band", "_cell"]).where((F.abs(F.col("b_lat") - lat) <= step) & (F.abs(F.col("b_lon") - lon) <= wide)).drop("_band", "_cell")
+    f, keys = _looks(frames, radius_m), ["_band", "_cell"]
+    cells = crowded(f, b)
+    if cells is not None:
+        (f, b), keys = dealt(f, b, cells), [*keys, "_part"]
+    lat, lon = F.col("lat"), F.col("lon")
+    near = f.join(b, keys).where((F.abs(F.col("b_lat") - lat) <= step) & (F.abs(F.col("b_lon") - F.col("_lon")) <= _width(lat, radius_m))).drop("_lon", *keys)
     return near.withColumn("dist_m", haversine_m(lat, lon, F.col("b_lat"), F.col("b_lon"))).where(F.col("dist_m") <= radius_m)
 
 

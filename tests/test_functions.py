@@ -79,6 +79,31 @@ def test_assignment_is_the_cheapest(cost):
     assert sum(cost[r][c] for r, c in got.items()) == best
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 4).flatmap(lambda n: st.integers(1, 4).flatmap(lambda m: st.lists(st.lists(st.sampled_from([0.0, 0.1, 0.2, 0.3, 1.0]), min_size=m, max_size=m), min_size=n, max_size=n))))
+def test_assignment_of_equal_costs(cost):
+    """Of all the cheapest matchings, by exact sums, that which gives the first rows the lowest columns."""
+    from fractions import Fraction
+    from itertools import permutations
+
+    n, m = len(cost), len(cost[0])
+    ways = [dict(enumerate(p)) for p in permutations(range(m), n)] if n <= m else [{r: c for c, r in enumerate(p)} for p in permutations(range(n), m)]
+    total = lambda w: sum(Fraction(cost[r][c]) for r, c in w.items())
+    least = min(map(total, ways))
+    assert assigned(cost) == dict(sorted(min((w for w in ways if total(w) == least), key=lambda w: [w.get(r, m) for r in range(n)]).items()))
+
+
+def test_assignment_of_many():
+    import time
+
+    rng = random.Random(2)
+    for n, m in ((30, 30), (60, 20), (5, 200)):
+        began = time.time()
+        got = assigned([[rng.uniform(0, 50) for _ in range(m)] for _ in range(n)])
+        assert len(got) == min(n, m) == len(set(got.values())) and time.time() - began < 1
+    assert assigned([]) == assigned([[]]) == {} and assigned([[float("nan"), 3.0], [1.0, 2.0]]) == {0: 1, 1: 0}
+
+
 def test_tracks():
     t = Tracks()
     assert t.frame((13.0, 80.0, 20.0, 44.9), []) is None and not t.tracks  # below the gate

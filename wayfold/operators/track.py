@@ -42,22 +42,55 @@ def corrected(axis: list[float], z: float, noise: float) -> list[float]:
     return [x + kx * (z - x), v + kv * (z - x), (1 - kx) * pxx, (1 - kx) * pxv, pvv - kv * pxv]
 
 
+def _exact(cost: list[list[float]]) -> list[list[int]]:
+    """The costs as whole numbers in one unit, so that sums don't depend on their order; what isn't a finite number is dearer than all others together."""
+    ratios = [[x.as_integer_ratio() if math.isfinite(x) else None for x in map(float, row)] for row in cost]
+    unit = max((q[1] for row in ratios for q in row if q), default=1)
+    most = 1 + sum(abs(q[0]) * (unit // q[1]) for row in ratios for q in row if q)
+    return [[q[0] * (unit // q[1]) if q else most for q in row] for row in ratios]
+
+
 def assigned(cost: list[list[float]]) -> dict[int, int]:
-    """Row -> column of a matching of as many pairs as the shorter side has, with the least total cost. There are few columns, so sets of used columns are gone through row by row; earlier rows and columns win ties."""
-    if not cost:
+    """Row -> column of a matching of as many pairs as the shorter side has, with the least total cost, by shortest augmenting paths: n² m steps for n rows (or columns, if fewer) and m of the others.
+
+    Of equally cheap ones it is that in which the first row has the lowest column, then the second, and so on; a row without a column comes behind all that have one.
+    """
+    if not cost or not cost[0]:
         return {}
-    columns, need = len(cost[0]), min(len(cost), len(cost[0]))
-    best: dict[int, tuple[float, tuple[tuple[int, int], ...]]] = {0: (0.0, ())}
-    for r, row in enumerate(cost):
-        after = dict(best)
-        for used, (total, pairs) in best.items():
-            for c in range(columns):
-                if not used >> c & 1:
-                    k = used | 1 << c
-                    if k not in after or total + row[c] < after[k][0]:
-                        after[k] = (total + row[c], (*pairs, (r, c)))
-        best = after
-    return dict(min((v for k, v in best.items() if k.bit_count() == need), key=lambda v: v[0])[1])
+    rows, columns = len(cost), len(cost[0])
+    # a pair's cost, and in a far smaller unit how far its row has got towards its first column
+    base = columns + 1
+    far = base ** (rows + 1)
+    grid = [[x * far - (columns - c) * base ** (rows - 1 - r) for c, x in enumerate(row)] for r, row in enumerate(_exact(cost))]
+    flip = rows > columns
+    if flip:
+        grid = [list(c) for c in zip(*grid, strict=True)]
+    n, m = len(grid), len(grid[0])
+    by_row, by_column, of, before = [0] * n, [0] * (m + 1), [-1] * (m + 1), [m] * m
+    for r in range(n):
+        # the cheapest way from row r over matched columns to a free one; column m stands for its beginning
+        of[m], at, reach, done = r, m, [None] * m, [False] * (m + 1)
+        while of[at] >= 0:
+            done[at] = True
+            row, step, to = of[at], None, m
+            for c in range(m):
+                if not done[c]:
+                    x = grid[row][c] - by_row[row] - by_column[c]
+                    if reach[c] is None or x < reach[c]:
+                        reach[c], before[c] = x, at
+                    if step is None or reach[c] < step:
+                        step, to = reach[c], c
+            for c in range(m + 1):
+                if done[c]:
+                    by_row[of[c]] += step
+                    by_column[c] -= step
+                elif c < m and reach[c] is not None:
+                    reach[c] -= step
+            at = to
+        while at != m:
+            of[at], at = of[before[at]], before[at]
+    pairs = ((of[c], c) for c in range(m) if of[c] >= 0)
+    return dict(sorted((c, r) if flip else (r, c) for r, c in pairs))
 
 
 class Tracks:

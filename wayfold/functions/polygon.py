@@ -1,9 +1,15 @@
-"""Polygons as arrays of struct(lon, lat): parsing, containment, distance to the edge, centroids. No Python in any of them."""
+"""Polygons as arrays of struct(lon, lat): parsing, containment, distance to the edge, centroids. No Python in any of them but in Rings."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from .basic import let
 from .geo import geodesic_m, haversine_m
@@ -45,6 +51,54 @@ def polygon_points(wkt: Column, scrape: bool = True) -> Column:
     return F.when(F.coalesce(wkt.rlike(r"(?is)POLYGON\s*\(\("), F.lit(False)), points).otherwise(other)
 
 
+_WKT = re.compile(r"\(|\)|[-+.\d][^(),;]*|[A-Za-z]+")
+
+
+class Rings:
+    """A table function of a WKT text: the vertices of all rings of its polygons, whatever they are nested in; hole is 0 for an outer ring, then 1, 2, … Vertices that don't begin with two numbers are left out; null has none."""
+
+    @staticmethod
+    def analyze(wkt: AnalyzeArgument) -> AnalyzeResult:
+        if wkt.dataType != StringType():
+            raise ValueError("rings are of a text")
+        return AnalyzeResult(StructType([StructField(n, IntegerType()) for n in ("polygon", "hole", "vertex")] + [StructField(n, DoubleType()) for n in ("lon", "lat")]))
+
+    def eval(self, wkt: str | None) -> Iterator[tuple[int, int, int, float, float]]:
+        depth = vertex = 0
+        polygon = hole = -1
+        top = body = None  # the depths around a shape, and within which each of its polygons is
+        for m in _WKT.finditer(wkt or ""):
+            text = m[0]
+            if text == "(":
+                depth += 1
+                if body is not None and depth == body + 1:
+                    polygon, hole = polygon + 1, -1
+                elif body is not None and depth == body + 2:
+                    hole, vertex = hole + 1, 0
+            elif text == ")":
+                depth -= 1
+                if depth == top:
+                    top = body = None
+            elif text.isalpha():
+                name = text.upper()
+                if name in ("POLYGON", "MULTIPOLYGON"):
+                    top, body = depth, depth + (name != "POLYGON")
+                elif name not in ("Z", "M", "ZM") and depth == top:
+                    top = body = None
+            elif body is not None and depth == body + 2:
+                try:
+                    lon, lat, *_ = map(float, text.split())
+                except ValueError:
+                    continue
+                yield polygon, hole, vertex, lon, lat
+                vertex += 1
+
+
+def with_rings(buildings: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """buildings with a row for each vertex of their outlines, holes and further polygons included: polygon, hole, vertex, lon, lat, by a lateral join. Those without an outline have none."""
+    return buildings.lateralJoin(udtf(Rings)(F.col(geometry).outer()))
+
+
 def geometry_status(wkt: Column) -> Column:
     """none, text (no POLYGON in it), multi, holes or simple."""
     return (

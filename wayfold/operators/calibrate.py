@@ -12,6 +12,7 @@ from ..functions.geo import cell_key, haversine_m, shifted
 from ..functions.polygon import edge_error_m, with_outlines
 from ..functions.score import accuracy_label, improvement_pct
 from ..shared import cut
+from ..sources.sinks import nested
 from .localize import raw_targets
 from .quantile import percentiles
 
@@ -139,3 +140,37 @@ def inlier_breakdown(records: DataFrame, along: float, cross: float, g: Grid = G
     med = percentiles(e, "err", {"med": 0.5}, written=True).select("med")
     thr = F.greatest(g.outlier_scale * F.col("med"), F.lit(g.floor_m))
     return e.join(F.broadcast(med)).select("frame_id", F.round("err", 3).alias("calibrated_error_m"), (F.col("err") <= thr).alias("is_inlier"), (F.col("err") == 0).alias("is_polygon_hit"), F.round(thr, 2).alias("threshold_m"), F.round("med", 3).alias("group_median_m"))
+
+
+def offset_record(records: DataFrame, calibrated_on: DataFrame, min_score: float = 0.0, one_per_building: bool = True, most: int = 100_000) -> DataFrame:
+    """One row: calibration, summary and buildings (the records with their errors, by frame), as tools read them from one document. calibrated_on: the records whose mean offsets are applied to all. Both are computed once."""
+    offsets = cut(mean_offsets(calibrated_on))
+    results = cut(evaluated(records, offsets))
+    s, o = evaluation_summary(results), offsets
+    line = lambda name, c: F.format_string(f"{name} = %.6f", c)
+    r2 = lambda c, n, digits=2: F.round(c, digits).alias(n)
+    calibration = F.struct(
+        F.col("n").alias("n_frames_used"), F.col("buildings").alias("n_buildings_covered"), F.lit(min_score).alias("min_score_gate"), F.lit(one_per_building).alias("per_building_dedup"), "avg_dlat", "avg_dlon", "std_dlat", "std_dlon",
+        F.col("lat_m").alias("offset_m_lat"), F.col("lon_m").alias("offset_m_lon"), F.array(line("PROJECTION_LAT_OFFSET", F.col("avg_dlat")), line("PROJECTION_LON_OFFSET", F.col("avg_dlon"))).alias("cfg_lines"),
+    )
+    summary = F.struct(
+        F.col("frames").alias("total_frames"), F.col("buildings").alias("unique_buildings"), r2("raw_avg_m", "raw_avg_error_m"), r2("corrected_avg_m", "corrected_avg_error_m"), r2("per_building_avg_m", "per_building_avg_error_m"),
+        r2(F.col("raw_avg_m") - F.col("corrected_avg_m"), "improvement_m"), r2("improvement_pct", "improvement_pct", 1), "inside", F.col("under_3").alias("sub_3m"), F.col("under_5").alias("excellent_lt5m"), F.col("under_10").alias("good_lt10m"),
+    )
+    head = o.join(F.broadcast(s)).select(calibration.alias("calibration"), summary.alias("summary"))  # one row each
+    rows = results.select("frame_id", "b_lat", "b_lon", "score", "raw_lat", "raw_lon", "corrected_lat", "corrected_lon", "raw_error_m", "corrected_error_m", "improvement_m", "accuracy_label")
+    return nested(head, most, buildings=rows)
+
+
+def grid_record(best: DataFrame, records: DataFrame, g: Grid = Grid(), most: int = 100_000) -> DataFrame:
+    """One row: the offsets that a search has found (the row of running_best), how they do, and each record's error at them (frames), as tools read them from one document."""
+    b = best.first()
+    if b is None:
+        raise ValueError("a search without records has no best offsets")
+    frames = cut(inlier_breakdown(records, b["along"], b["cross"], g))
+    r3 = lambda c, n: F.round(c, 3).alias(n)
+    head = frames.agg(
+        F.lit(round(b["along"], 2)).alias("along_offset_m"), F.lit(round(b["cross"], 2)).alias("cross_offset_m"), r3(F.lit(b["mean"]), "inlier_mean_m"), r3(F.lit(b["median"]), "inlier_median_m"), F.max("threshold_m").alias("inlier_threshold_m"),
+        F.max("group_median_m").alias("group_median_m"), F.lit(b["inside"]).alias("sub3m_hits"), F.count("*").alias("total_frames"), F.count_if("is_inlier").alias("inlier_count"), F.lit(b["met"]).alias("target_achieved"),
+    )
+    return nested(head, most, frames=frames.select("frame_id", "calibrated_error_m", "is_inlier", "is_polygon_hit"))

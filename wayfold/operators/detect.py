@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.resource import ResourceProfile
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,12 +41,37 @@ Detector = Callable[[bytes, tuple[str, ...], float, tuple[int, int, int, int] |
 Segmenter = Callable[[bytes, tuple[float, float, float, float]], np.ndarray | None]
 
 
-def detections(images: DataFrame, load: Callable[[], Detector], passes: tuple[Pass, ...] = PASSES, camera: Camera = Camera()) -> DataFrame:
-    """BOXES of images (frame_id, content). load makes the model, once for each task; later passes run only on images where earlier ones have left no usable box."""
+_MODELS: dict[str, Callable] = {}
+
+
+def once(key: str, load: Callable[[], Callable]) -> Callable:
+    """The model of this key, which a Python worker loads for its first task and keeps; a few of the latest are kept."""
+    if key not in _MODELS:
+        while len(_MODELS) >= 2:
+            del _MODELS[next(iter(_MODELS))]
+        _MODELS[key] = load()
+    return _MODELS[key]
+
+
+def small_batches(spark: SparkSession, most_bytes: int) -> None:
+    """Batches that Python workers get have so many bytes at most, but for a larger single row: ten thousand pictures are not one batch. A setting of the session, lowered and never raised."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))
+    if not 0 < now <= most_bytes:
+        spark.conf.set(name, str(most_bytes))
+
+
+def detections(
+    images: DataFrame, load: Callable[[], Detector], passes: tuple[Pass, ...] = PASSES, camera: Camera = Camera(), key: str | None = None, batch_bytes: int = 64 << 20, profile: ResourceProfile | None = None
+) -> DataFrame:
+    """BOXES of images (frame_id, content). load makes the model, once for each Python worker; a key names it where another job is to find it there. Later passes run only on images where earlier ones have left no usable box.
+    profile: what a task needs (a GPU, say), for clusters that give it."""
     w, h = camera.width, camera.height
+    name = key or uuid.uuid4().hex
+    small_batches(images.sparkSession, batch_bytes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model = once(name, load)
         for b in batches:
             rows = []
             for frame, content in zip(b["frame_id"], b["content"], strict=True):
@@ -58,7 +85,7 @@ def detections(images: DataFrame, load: Callable[[], Detector], passes: tuple[Pa
                         break
             yield pd.DataFrame(rows, columns=["frame_id", "pass", "x1", "y1", "x2", "y2", "conf"])
 
-    return images.select("frame_id", "content").mapInPandas(run, BOXES)
+    return images.select("frame_id", "content").mapInPandas(run, BOXES, profile=profile)
 
 
 def _usable(box: tuple[float, float, float, float], w: int, h: int) -> bool:
@@ -106,12 +133,14 @@ def mask_runs(mask: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(r0.tolist(), a.tolist(), b.tolist(), strict=True))
 
 
-def masks(boxed: DataFrame, load: Callable[[], Segmenter], camera: Camera = Camera()) -> DataFrame:
-    """RUNS of the masks of boxed images (frame_id, content, x1, y1, x2, y2); where the model gives none, the box is filled."""
+def masks(boxed: DataFrame, load: Callable[[], Segmenter], camera: Camera = Camera(), key: str | None = None, batch_bytes: int = 64 << 20, profile: ResourceProfile | None = None) -> DataFrame:
+    """RUNS of the masks of boxed images (frame_id, content, x1, y1, x2, y2); where the model gives none, the box is filled. The model is loaded once for each Python worker, as for detections."""
     h, w = camera.height, camera.width
+    name = key or uuid.uuid4().hex
+    small_batches(boxed.sparkSession, batch_bytes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model = once(name, load)
         for b in batches:
             rows = []
             for r in b.itertuples():
@@ -124,4 +153,4 @@ def masks(boxed: DataFrame, load: Callable[[], Segmenter], camera: Camera = Came
                 rows += [(r.frame_id, *x) for x in runs]
             yield pd.DataFrame(rows, columns=["frame_id", "row", "u_start", "u_end"])
 
-    return boxed.select("frame_id", "content", "x1", "y1", "x2", "y2").mapInPandas(run, RUNS)
+    return boxed.select("frame_id", "content", "x1", "y1", "x2", "y2").mapInPandas(run, RUNS, profile=profile)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import METRES_PER_DEGREE
 from ..functions.geo import cell_key, haversine_m, map_url
 from ..shared import cut
+from ..sources.sinks import nested
 from .quantile import percentiles
 
 
@@ -88,6 +89,16 @@ def track_summary(rows: DataFrame, total: bool = True) -> DataFrame:
     return g
 
 
+def track_record(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """One row over stabilised frames: frames_processed, tracks_confirmed, the means and extremes of all, and per_track, each track's summary with a map address, as tools read them from one document."""
+    t = cut(track_summary(rows))
+    each = t.where("track_id IS NOT NULL")
+    head = t.where("track_id IS NULL").select(F.col("frames").alias("frames_processed"), "mean_smoothing_delta_m", "max_smoothing_delta_m", "mean_raw_score", "min_raw_score", "max_raw_score")
+    head = head.join(F.broadcast(each.agg(F.count("*").alias("tracks_confirmed"))))  # one row each
+    per_track = each.select("track_id", "frames", "mean_lat", "mean_lon", "lat_spread_m", "lon_spread_m", "mean_smoothing_delta_m", "max_smoothing_delta_m", "mean_raw_score", "min_raw_score", map_url(F.col("mean_lat"), F.col("mean_lon")).alias("gmaps"))
+    return nested(head, most, per_track=per_track)
+
+
 def kpis(dashboard: DataFrame) -> DataFrame:
     """One row: buildings, mean quality and match score, mean raw and calibrated error of those that have one."""
     return dashboard.agg(F.count("*").alias("buildings"), F.avg("quality_score").alias("mean_quality"), F.avg("score").alias("mean_match"), F.avg("error_m").alias("mean_raw_error_m"), F.avg("calibrated_error_m").alias("mean_calibrated_error_m"))

@@ -91,6 +91,20 @@ def wkt_vertices(spark: SparkSession, d: str) -> DataFrame:
     return b.select("building_id", F.size("p").alias("n"), F.round(c.lon, 6).alias("c_lon"), F.round(c.lat, 6).alias("c_lat"), polygon.geometry_status(F.col("geometry")).alias("status"))
 
 
+@query(
+    """WITH b AS (SELECT p_partkey AS building_id, 12940000 + (p_partkey * 4001) % 10007 + (p_partkey // 2000) * 20000 AS y, 80230000 + (p_partkey * 9001) % 10009 AS x, 20 + p_size AS half FROM part),
+r AS (SELECT * FROM (VALUES (0, 0, 2, 0), (0, 1, 1, 0), (1, 0, 2, 400)) t(polygon, hole, size, off)), v AS (SELECT * FROM (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1), (4, -1, -1)) t(vertex, dx, dy))
+SELECT building_id, polygon, hole, vertex, round((x + off + dx * (half * size // 2)) / 1e6::DOUBLE, 6) AS lon, round((y + dy * (half * size // 2)) / 1e6::DOUBLE, 6) AS lat FROM b, r, v"""
+)
+def outline_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Each building as two polygons, the first of which has a hole."""
+    ring = lambda off, size: ", ".join(f"format_string('%.6f %.6f', (x + {off} + {dx} * (half * {size} div 2)) / 1e6D, (y + {dy} * (half * {size} div 2)) / 1e6D)" for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)))
+    text = lambda off, size: f"'(', concat_ws(', ', {ring(off, size)}), ')'"
+    b = V.table(spark, d, "part").selectExpr("p_partkey AS building_id", "12940000 + (p_partkey * 4001) % 10007 + (p_partkey div 2000) * 20000 AS y", "80230000 + (p_partkey * 9001) % 10009 AS x", "20 + p_size AS half")
+    b = b.selectExpr("building_id", f"concat('MULTIPOLYGON((', {text(0, 2)}, ', ', {text(0, 1)}, '),(', {text(400, 2)}, '))') AS geometry")
+    return polygon.with_rings(b).select("building_id", "polygon", "hole", "vertex", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
 _CORNERS = {k: f"({'y' if k[0] == 'a' else 'x'} {k[1]} half) / 1e6::DOUBLE" for k in ("a-", "a+", "o-", "o+")}
 
 
@@ -280,6 +294,17 @@ def error_bands(spark: SparkSession, d: str) -> DataFrame:
     return s.select("frames", "buildings", *r2("raw_avg_m", "corrected_avg_m", "per_building_avg_m", "improvement_pct"), *calibrate.BANDS)
 
 
+@query(
+    _EVAL + "SELECT count(*) AS n_frames, (SELECT count(*) FROM cal) AS n_frames_used, (SELECT printf('PROJECTION_LAT_OFFSET = %.6f', dlat) FROM o) AS cfg_line, round(avg(raw_e) - avg(cor_e), 2) AS improvement_m, "
+    "min(frame_id) AS first_frame, arg_min(cor_e, frame_id) AS first_error_m FROM ev"
+)
+def calibration_record(spark: SparkSession, d: str) -> DataFrame:
+    """Out of the one record that other tools read, for the frames of 40 points or more."""
+    r = _targets(spark, d).where("score >= 40")
+    o = calibrate.offset_record(r, calibrate.per_building(r), 40.0, most=10_000_000)
+    return o.selectExpr("CAST(size(buildings) AS BIGINT) AS n_frames", "calibration.n_frames_used", "calibration.cfg_lines[0] AS cfg_line", "summary.improvement_m", "buildings[0].frame_id AS first_frame", "buildings[0].corrected_error_m AS first_error_m")
+
+
 # --- LiDAR
 
 
@@ -462,6 +487,13 @@ def track_summary(spark: SparkSession, d: str) -> DataFrame:
     return t.select("track_id", "frames", *r2("lat_spread_m", "lon_spread_m", "mean_smoothing_delta_m", "max_smoothing_delta_m", "mean_raw_score", "min_raw_score", "max_raw_score"))
 
 
+@query()
+def tracker_record(spark: SparkSession, d: str) -> DataFrame:
+    """Out of the one record that other tools read, of all drives' tracks."""
+    t = report.track_record(_stabilised(spark, d).withColumn("track_id", F.concat_ws("-", "drive_id", "track_id")), most=10_000_000)
+    return t.select("frames_processed", "tracks_confirmed", F.size("per_track").alias("n"), F.round("mean_smoothing_delta_m", 3).alias("mean_smoothing_delta_m"), "max_raw_score")
+
+
 @query(
     f"""WITH {V.FRAMES} SELECT (10 * drive_id)::VARCHAR AS track_id, count(*) AS frames, round(stddev_pop(lat) * 111320, 1) AS lat_spread_m, round(stddev_pop(lon) * 111320 * cos(radians(avg(lat))), 1) AS lon_spread_m, round(avg(depth), 2) AS mean_smoothing_delta_m, max(frac * 100) AS max_raw_score FROM frames GROUP BY ROLLUP (drive_id)"""
 )

@@ -26,6 +26,17 @@ def nested_matches(ranked: DataFrame, most: int) -> DataFrame:
     return g.select("frame_id", F.get("a", 0).c.alias("best_match"), F.transform("a", lambda x: x.c).alias("all_candidates"))
 
 
+def nested(head: DataFrame, most: int = 100_000, **lists: DataFrame) -> DataFrame:
+    """The one row of head with each of these tables as an array of its rows, in the order of its first column: a record for tools that read one JSON document. A table of more than `most` rows is refused: it is to be written as lines (write_json)."""
+    out = head
+    for name, rows in lists.items():
+        if rows.limit(most + 1).count() > most:
+            raise ValueError(f"{name} has more than {most} rows: write them as lines")
+        each = F.array_sort(F.collect_list(F.struct(*rows.columns))).alias(name)
+        out = out.join(F.broadcast(rows.agg(each)))  # one row each
+    return out
+
+
 def write_report(lines: DataFrame, path: str, title: str) -> None:
     """lines (rank, line) as text, in order, in one file: a report for people, of selected rows only."""
     head = lines.sparkSession.createDataFrame([(0, title)], "rank int, line string")

@@ -73,18 +73,61 @@ def radius_join(frames: DataFrame, buildings: DataFrame, radius_m: float = Match
     twice and no side is broadcast unless Spark knows it to be small. Cells are counted first; those with too many frames or buildings, even in one place, are dealt out (dealt). Rows
     without coordinates match nothing. The antimeridian is bridged, for longitudes from -180 to 180; the poles are not. A stream's cells are not counted.
     """
-    step = radius_m / METRES_PER_DEGREE
-    b = buildings.where(F.col("b_lat").isNotNull() & F.col("b_lon").isNotNull()).withColumn("_band", F.floor(F.col("b_lat") / step).cast("long"))
-    b = b.withColumn("_cell", _column(F.col("_band"), F.col("b_lon"), radius_m))
-    f, keys = _looks(frames, radius_m), ["_band", "_cell"]
+    b, f, keys = _located(buildings, radius_m), _looks(frames, radius_m), ["_band", "_cell"]
     cells = crowded(f, b)
     if cells is not None:
         (f, b), keys = dealt(f, b, cells), [*keys, "_part"]
+    return _near(f, b, keys, radius_m)
+
+
+def _located(buildings: DataFrame, radius_m: float) -> DataFrame:
+    """Buildings that have a place, with the cell (_band, _cell) that they are in."""
+    b = buildings.where(F.col("b_lat").isNotNull() & F.col("b_lon").isNotNull()).withColumn("_band", F.floor(F.col("b_lat") / (radius_m / METRES_PER_DEGREE)).cast("long"))
+    return b.withColumn("_cell", _column(F.col("_band"), F.col("b_lon"), radius_m))
+
+
+def _near(f: DataFrame, b: DataFrame, keys: list[str], radius_m: float) -> DataFrame:
+    """Pairs of looks and located buildings that are within the radius."""
     lat, lon = F.col("lat"), F.col("lon")
-    near = f.join(b, keys).where((F.abs(F.col("b_lat") - lat) <= step) & (F.abs(F.col("b_lon") - F.col("_lon")) <= _width(lat, radius_m))).drop("_lon", *keys)
+    box = (F.abs(F.col("b_lat") - lat) <= radius_m / METRES_PER_DEGREE) & (F.abs(F.col("b_lon") - F.col("_lon")) <= _width(lat, radius_m))
+    near = f.join(b, keys).where(box).drop("_lon", "_zone", *keys)
     return near.withColumn("dist_m", haversine_m(lat, lon, F.col("b_lat"), F.col("b_lon"))).where(F.col("dist_m") <= radius_m)
 
 
+#: Zones that a scan is told by name; more are told by the range of their numbers.
+ZONES = 2000
+
+
+def _zone(lat: Column, lon: Column) -> Column:
+    """The degree of latitude and longitude that a place is in."""
+    return (F.floor(lat) * 1000 + F.floor(lon)).cast("int")
+
+
+def store_buildings(buildings: DataFrame, name: str, radius_m: float = Matching.radius_m, buckets: int = 64) -> None:
+    """Writes buildings as a table of the catalog for joins within this radius: a folder for each degree of latitude and longitude, and in it files by the hash of the join's cells, in their order. A table of that name is replaced."""
+    b = _located(buildings, radius_m).withColumn("_zone", _zone(F.col("b_lat"), F.col("b_lon")))
+    out = b.repartition(buckets, "_band", "_cell").write.format("parquet").mode("overwrite").option("wayfold.radius", str(radius_m))
+    out.partitionBy("_zone").bucketBy(buckets, "_band", "_cell").sortBy("_band", "_cell").saveAsTable(name)
+
+
+def radius_join_stored(frames: DataFrame, name: str, radius_m: float = Matching.radius_m) -> DataFrame:
+    """radius_join with a table that store_buildings has written for the same radius: of it only the zones around the frames are read, and it is not exchanged; frames are, to its buckets. frames are gone through once before, for their zones, of which there are at most as many as the globe has degrees."""
+    spark = frames.sparkSession
+    looks = _looks(frames, radius_m)
+    step = radius_m / METRES_PER_DEGREE
+    wide = _width(F.col("lat"), radius_m)
+    corners = [_zone(F.col("lat") + dy * step, F.col("_lon") + dx * wide) for dy in (-1, 1) for dx in (-1, 1)]
+    zones = looks.select(F.explode(F.array(*corners)).alias("z")).distinct()
+    found = sorted(r.z for r in zones.limit(ZONES + 1).collect())
+    b = spark.table(name)
+    if len(found) > ZONES:
+        ends = zones.agg(F.min("z").alias("a"), F.max("z").alias("b")).first()
+        b = b.where(F.col("_zone").between(ends.a, ends.b))
+    else:
+        b = b.where(F.col("_zone").isin(found))
+    return _near(looks, b.hint("merge"), ["_band", "_cell"], radius_m)
+
+
 def _described(pairs: DataFrame) -> DataFrame:
     """pairs with dist_m, bearing_deg and angle_off_deg."""
     at = [F.col(c) for c in ("lat", "lon", "b_lat", "b_lon")]

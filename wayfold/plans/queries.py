@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Grid
-from ..functions import geo, polygon, score
+from ..functions import basic, geo, polygon, score
 from ..operators import calibrate, lidar, localize, match, quantile, report, select, timeline, track
 from ..streaming import events as streams
 from . import sql as S
@@ -161,6 +161,12 @@ def target_points(spark: SparkSession, d: str) -> DataFrame:
     return localize.targets(poses, V.frames(spark, d).selectExpr("frame_id", "depth AS median_depth")).select("frame_id", "depth_m", F.round("target_lat", 8).alias("target_lat"), F.round("target_lon", 8).alias("target_lon"), "gmaps")
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(ts, '%d %b %Y  %H:%M') AS label FROM events")
+def event_times(spark: SparkSession, d: str) -> DataFrame:
+    e = V.table(spark, d, "events").select("event_id", basic.iso_text(F.col("ts")).alias("iso"))
+    return e.select("event_id", "iso", basic.time_label(F.col("iso")).alias("label"))
+
+
 # --- time series
 
 

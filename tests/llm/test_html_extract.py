@@ -58,7 +58,8 @@ def test_viterbi_finds_the_best_of_all():
         found = leaves(labelled_page(page, []))[:9]
         m = _field(rng, sorted({f for fs in X.features(found) for f in fs}))
         best = max(itertools.product((False, True), repeat=len(found)), key=lambda y: _total(m, found, y), default=())
-        assert m.labels(found) == list(best)
+        got = m.labels(found)
+        assert len(got) == len(found) and abs(_total(m, found, got) - _total(m, found, best)) < 1e-9  # others may be as good
 
 
 def test_training_is_the_likelihoods_maximum():

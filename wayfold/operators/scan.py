@@ -21,7 +21,7 @@ def pieces(rows: DataFrame, by: str, order: tuple[str, ...], ranges: int | None
     """rows with _piece and _place, written: rows of a group (by) and a piece follow each other by _place, from 1, and a group's pieces by _piece.
 
     Pieces are ranges of (by, order), so a long group has many, and rows of the same order share one. Their number is that of shuffle partitions, or `ranges`; a piece with rows of many groups is gone through
-    group by group. Nulls come first. Rows that tie in all of order follow in any way, which is then kept.
+    group by group. Nulls come first. Rows that tie in all of order follow in any way, which is then kept. rows are gone through twice; give what is dear to compute written.
     """
     keys = [F.col(c).asc_nulls_first() for c in (by, *order)]
     r = (rows.repartitionByRange(ranges, *keys) if ranges else rows.repartitionByRange(*keys)).withColumn(PIECE, F.spark_partition_id())

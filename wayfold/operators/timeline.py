@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Frames
 from ..functions.basic import mod
+from ..shared import cut
 from . import scan
 
 
@@ -22,7 +23,7 @@ def unwrapped(samples: DataFrame, value: str, out: str, by: str = "drive_id", or
     """samples with out: value in degrees without jumps. A step of 180 or more is corrected by whole turns; a step of exactly half a turn keeps its direction.
 
     A drive may be of any length: each piece of it is unwrapped alone, and the corrections before it, and the step into it, come from the pieces' totals. Null values have no step; rows of one time
-    follow in any way but for further columns in order. samples are computed once, to the shared folder.
+    follow in any way but for further columns in order. samples are gone through twice, for the ranges and for the pieces.
     """
     p = scan.pieces(samples, by, order, ranges)
     w = scan.inside(by)
@@ -37,7 +38,7 @@ def unwrapped(samples: DataFrame, value: str, out: str, by: str = "drive_id", or
 def segments(samples: DataFrame, values: tuple[str, ...], by: str = "drive_id", t: str = "t", tie: str | None = None, ranges: int | None = None) -> DataFrame:
     """Between each sample and the next: t0, t1 and each value's v0 and v1, and whether the segment is the last. Of samples at one time the first (by tie) counts. The last sample of a piece of a drive finds the next one in the pieces' totals."""
     firsts = samples.groupBy(by, t).agg(*(F.min_by(v, F.coalesce(F.col(tie), F.lit(0)) if tie else F.lit(0)).alias(v) for v in values))
-    p = scan.pieces(firsts.withColumn("_row", F.struct(t, *values)).select(by, t, "_row"), by, (t,), ranges)
+    p = scan.pieces(cut(firsts.withColumn("_row", F.struct(t, *values)).select(by, t, "_row")), by, (t,), ranges)
     ends = scan.totals(p, by, _head=scan.first("_row"), _until=F.max(t))
     a = scan.along(by)
     ends = ends.select(by, scan.PIECE, F.lead("_head").over(a).alias("_over"), F.max("_until").over(a.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_until"))

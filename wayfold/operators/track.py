@@ -243,7 +243,7 @@ def pieces_run(frames: DataFrame, spec: Tracking, warm_up: int, ranges: int | No
     In the first round a piece begins without tracks, warm_up frames before its own. Where the state it so came to isn't that with which the piece before it ended, it is run again from that one, in rounds, until all
     seams agree. Tracks that began within the warm-up agree to the last bit, so few pieces run again, unless a track lives on through all of it; a drive of such tracks takes a round for each of its pieces.
     """
-    p = scan.pieces(frames.select("drive_id", "frame_id", "seen"), "drive_id", ("frame_id",), ranges)
+    p = scan.pieces(cut(frames.select("drive_id", "frame_id", "seen")), "drive_id", ("frame_id",), ranges)
     t = scan.totals(p, "drive_id")
     a = scan.along("drive_id")
     t = cut(t.withColumns({"_next": F.lead(scan.PIECE).over(a), "_before": F.lag(scan.PIECE).over(a)}))
@@ -283,6 +283,7 @@ _STATE = "array<struct<lat:array<double>,lon:array<double>,depth:array<double>,h
 
 def final_states(frames: DataFrame, spec: Tracking = Tracking(), warm_up: int = 200, ranges: int | None = None) -> DataFrame:
     """(drive_id, last, next_id, tracks): how far each drive has come, the number that its next track would get, and its living tracks, from which a stream can go on (streaming.tracker)."""
+    frames = cut(frames.select("drive_id", "frame_id", "seen"))
     done, _ = pieces_run(frames, spec, warm_up, ranges)
     begun = done.groupBy("drive_id").agg((F.coalesce(F.sum("_fresh"), F.lit(0)) + 1).alias("next_id"), F.max_by("_end", F.when(F.col("frame_id").isNull(), F.col(scan.PIECE))).alias("_end"))
     ends = frames.groupBy("drive_id").agg(F.max("frame_id").alias("last")).withColumnRenamed("drive_id", "_drive")

@@ -133,15 +133,16 @@ def fill_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _mapped(base, ["text", "h0", "h1", "h2", "h3"], outs, make)
 
 
-def rebuilt(made: DataFrame) -> DataFrame:
-    """made (…, form, output) with restored, the text as UTF-8, from these two columns alone. Null outputs are empty texts."""
-    base = made.withColumn("of", F.coalesce("output", F.lit(b""))).withColumn("as", F.col("form"))
-    return _mapped(base, ["of", "as"], {"restored": "binary"}, lambda texts, forms: ((restored(t, f),) for t, f in zip(texts, forms[0].to_pylist(), strict=True)))
+def rebuilt(made: DataFrame, keep: bool = True) -> DataFrame:
+    """made (…, form, output) with restored, the text as UTF-8, from these two columns alone; keep: with the output, too. Null outputs are empty texts."""
+    base = made.withColumns({"of": F.coalesce("output", F.lit(b"")), "as": F.col("form")})
+    return _mapped(base if keep else base.drop("output"), ["of", "as"], {"restored": "binary"}, lambda texts, forms: ((restored(t, f),) for t, f in zip(texts, forms[0].to_pylist(), strict=True)))
 
 
 def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rebuilt(fill_middle(table(spark, sf_dir, "documents")))
-    return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+    made = fill_middle(table(spark, sf_dir, "documents")).withColumn("output_sha256", F.sha2("output", 256))
+    out = rebuilt(made, keep=False)
+    return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("restored", 256).alias("restored_sha256"))
 
 
 QUERIES = {"op11_fill_middle": op11_fill_middle}

@@ -64,9 +64,8 @@ class DriveTracker(StatefulProcessor):
 
 
 def with_rocksdb(spark: SparkSession) -> SparkSession:
-    """Sets what typed state needs, unless the session has it: state in RocksDB, encoded so that later versions may add fields."""
+    """Has the session keep streams' state in RocksDB, as typed state needs. spark.sql.streaming.stateStore.encodingFormat may be set to avro for a session of such streams alone: later versions may then add fields, but joins of streams don't run with it."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.conf.set("spark.sql.streaming.stateStore.encodingFormat", "avro")
     return spark
 
 

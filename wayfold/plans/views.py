@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df by as many tasks as an exchange has, for what is dear to compute: a small file is read by one or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a frame; each 10,000 of them in an area of their own, so that density doesn't grow with the table."""
     return table(spark, sf_dir, "events").selectExpr(

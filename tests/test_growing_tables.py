@@ -22,3 +22,19 @@ def test_no_side_of_the_match_is_broadcast(spark):
     assert "Broadcast" not in plan(match.best_matches(f, b))
     homes = match._homes(f, 150.0)
     assert homes.count() == f.count()  # so all pairs of a frame are in one task, and exchanged aggregated
+
+
+def spied(monkeypatch, module, name, seen):
+    real = getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+
+
+@pytest.mark.parametrize("name", ["calibration_record", "tracker_record"])
+def test_records_of_tables_are_not_nested_in_a_row(spark, monkeypatch, name):
+    def refused(*a, **k):
+        raise AssertionError("lines in one row")
+
+    for module in (calibrate, report):
+        monkeypatch.setattr(module, "nested", refused)
+    r = Q.QUERIES[name](spark, SF).first()
+    assert r[0] > 100 and r[1] > 10
\ No newline at end of file

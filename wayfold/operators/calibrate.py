@@ -142,8 +142,8 @@ def inlier_breakdown(records: DataFrame, along: float, cross: float, g: Grid = G
     return e.join(F.broadcast(med)).select("frame_id", F.round("err", 3).alias("calibrated_error_m"), (F.col("err") <= thr).alias("is_inlier"), (F.col("err") == 0).alias("is_polygon_hit"), F.round(thr, 2).alias("threshold_m"), F.round("med", 3).alias("group_median_m"))
 
 
-def offset_record(records: DataFrame, calibrated_on: DataFrame, min_score: float = 0.0, one_per_building: bool = True, most: int = 100_000) -> DataFrame:
-    """One row: calibration, summary and buildings (the records with their errors, by frame), as tools read them from one document. calibrated_on: the records whose mean offsets are applied to all. Both are computed once."""
+def offset_parts(records: DataFrame, calibrated_on: DataFrame, min_score: float = 0.0, one_per_building: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The record of offsets for tables of any size: its head, one row with calibration and summary, and its lines, the records with their errors. calibrated_on: the records whose mean offsets are applied to all. Both are computed once."""
     offsets = cut(mean_offsets(calibrated_on))
     results = cut(evaluated(records, offsets))
     s, o = evaluation_summary(results), offsets
@@ -159,6 +159,12 @@ def offset_record(records: DataFrame, calibrated_on: DataFrame, min_score: float
     )
     head = o.join(F.broadcast(s)).select(calibration.alias("calibration"), summary.alias("summary"))  # one row each
     rows = results.select("frame_id", "b_lat", "b_lon", "score", "raw_lat", "raw_lon", "corrected_lat", "corrected_lon", "raw_error_m", "corrected_error_m", "improvement_m", "accuracy_label")
+    return head, rows
+
+
+def offset_record(records: DataFrame, calibrated_on: DataFrame, min_score: float = 0.0, one_per_building: bool = True, most: int = 100_000) -> DataFrame:
+    """offset_parts as one row: calibration, summary and buildings (the lines, by frame), as tools read them from one document."""
+    head, rows = offset_parts(records, calibrated_on, min_score, one_per_building)
     return nested(head, most, buildings=rows)
 
 

@@ -89,13 +89,19 @@ def track_summary(rows: DataFrame, total: bool = True) -> DataFrame:
     return g
 
 
-def track_record(rows: DataFrame, most: int = 100_000) -> DataFrame:
-    """One row over stabilised frames: frames_processed, tracks_confirmed, the means and extremes of all, and per_track, each track's summary with a map address, as tools read them from one document."""
+def track_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The record of tracks for tables of any size: its head, one row over stabilised frames with frames_processed, tracks_confirmed and the means and extremes of all; and its lines, each track's summary with a map address."""
     t = cut(track_summary(rows))
     each = t.where("track_id IS NOT NULL")
     head = t.where("track_id IS NULL").select(F.col("frames").alias("frames_processed"), "mean_smoothing_delta_m", "max_smoothing_delta_m", "mean_raw_score", "min_raw_score", "max_raw_score")
     head = head.join(F.broadcast(each.agg(F.count("*").alias("tracks_confirmed"))))  # one row each
     per_track = each.select("track_id", "frames", "mean_lat", "mean_lon", "lat_spread_m", "lon_spread_m", "mean_smoothing_delta_m", "max_smoothing_delta_m", "mean_raw_score", "min_raw_score", map_url(F.col("mean_lat"), F.col("mean_lon")).alias("gmaps"))
+    return head, per_track
+
+
+def track_record(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """track_parts as one row: the head, and per_track, the lines by track, as tools read them from one document."""
+    head, per_track = track_parts(rows)
     return nested(head, most, per_track=per_track)
 
 

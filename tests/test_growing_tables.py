@@ -44,4 +44,12 @@ def test_records_of_tables_are_not_nested_in_a_row(spark, monkeypatch, name):
 def test_frames_are_matched_once(spark, monkeypatch, name):
     seen = []
     spied(monkeypatch, match, "best_matches", seen)
-    assert Q.QUERIES[name](spark, SF).count() > 0 and len(seen) == 1
\ No newline at end of file
+    assert Q.QUERIES[name](spark, SF).count() > 0 and len(seen) == 1
+
+
+def test_places_are_written_by_their_exact_values(spark):
+    values = [80 + (2 * k + 1) * 5e-9 for k in range(400)] + [-12.345678905, 1e-9, -3.0, 4.5e7]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select(Q.geo.map_url(F.col("x"), F.col("x"), "").alias("t"), Q.basic.round_scaled(F.col("x"), 8).alias("r")).collect()
+    assert [r.t for r in got] == [f"{x:.8f},{x:.8f}" for x in values]
+    away = lambda x: (1 if x >= 0 else -1) * int(abs(x * 1e8) + 0.5) / 1e8
+    assert [r.r for r in got] == [away(x) for x in values]
\ No newline at end of file

@@ -33,6 +33,12 @@ def time_label(text: Column) -> Column:
     return F.coalesce(F.date_format(text.try_cast("timestamp"), "dd MMM yyyy  HH:mm"), text)
 
 
+def round_scaled(x: Column, digits: int) -> Column:
+    """x times a power of ten, rounded to a whole number (ties away from zero), and divided again, all in double precision, as C programs and SQL engines written in it round; Spark's round takes the shortest text of x."""
+    power = float(10**digits)
+    return F.round(x * power) / power
+
+
 def round_exact(x: Column, digits: int) -> Column:
     """x rounded by its exact binary value, ties to even: what Python's round(x, digits) gives for |x| * 10**digits < 2**52.
 

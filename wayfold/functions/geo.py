@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import EARTH_RADIUS_M, METRES_PER_DEGREE, REFERENCE_LAT
-from .basic import iterate, let, mod
+from .basic import iterate, let, mod, round_exact
 
 #: WGS-84.
 MAJOR, FLAT = 6378137.0, 1 / 298.257223563
@@ -110,7 +110,9 @@ def shifted(lat: Column, lon: Column, heading: Column, depth: Column, along: Col
 
 
 def map_url(lat: Column, lon: Column, base: str = "https://www.google.com/maps/search/?api=1&query=") -> Column:
-    return F.concat(F.lit(base), F.format_string("%.8f", lat), F.lit(","), F.format_string("%.8f", lon))
+    """An address with both to 8 places, rounded by their exact binary values: Java's formatter rounds the shortest text of a number, which may be a tie where the number isn't one."""
+    text = lambda x: F.format_string("%.8f", F.when((F.abs(x) < 4e7) & (F.abs(x) >= 1e-8), round_exact(x, 8)).otherwise(x))
+    return F.concat(F.lit(base), text(lat), F.lit(","), text(lon))
 
 
 def cell_key(lat: Column, lon: Column) -> Column:

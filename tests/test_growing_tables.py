@@ -47,6 +47,26 @@ def test_frames_are_matched_once(spark, monkeypatch, name):
     assert Q.QUERIES[name](spark, SF).count() > 0 and len(seen) == 1
 
 
+def test_boxes_gather_the_points_that_count(spark, monkeypatch):
+    rng = random.Random(5)
+    points = [(rng.uniform(0, 300), rng.uniform(0, 200), rng.uniform(1, 90)) for _ in range(3000)]
+    boxes = [(k, x, y, x + rng.choice([0, 4, 30, 90]), y + rng.choice([-5, 3, 40, 80])) for k in range(40) for x, y in [(rng.uniform(-50, 280), rng.uniform(-30, 180))]]
+    seen = []
+    spied(monkeypatch, lidar, "_in_regions", seen)
+    got = {r.frame_id: (r.depth, r.n) for r in lidar.box_depth(spark.createDataFrame(boxes, "frame_id long, x1 double, y1 double, x2 double, y2 double"), spark.createDataFrame(points, "u double, v double, depth double"), bucket_px=16).collect()}
+    used = 0
+    for k, x1, y1, x2, y2 in boxes:
+        box = sorted(d for u, v, d in points if x1 <= u <= x2 and y1 <= v <= y2 and 2 < d < 80)
+        strip = sorted(d for u, v, d in points if abs(u - (x1 + x2) / 2) <= (x2 - x1) * 0.1 and abs(v - (y1 + y2) / 2) <= (y2 - y1) * 0.3 and 2 < d < 80)
+        of = next((s for s in (strip, box) if len(s) > 3), [])
+        used += len(strip) + (len(box) if len(strip) <= 3 else 0)
+        assert got[k][1] == len(of)
+        if of:
+            p = (len(of) - 1) * 0.35
+            assert got[k][0] == pytest.approx(of[int(p)] + (p - int(p)) * (of[min(int(p) + 1, len(of) - 1)] - of[int(p)]))
+    assert sum(s.count() for s in seen) == used
+
+
 def test_places_are_written_by_their_exact_values(spark):
     values = [80 + (2 * k + 1) * 5e-9 for k in range(400)] + [-12.345678905, 1e-9, -3.0, 4.5e7]
     got = spark.createDataFrame([(x,) for x in values], "x double").select(Q.geo.map_url(F.col("x"), F.col("x"), "").alias("t"), Q.basic.round_scaled(F.col("x"), 8).alias("r")).collect()

@@ -62,20 +62,32 @@ def mask_depth(covered: DataFrame, key: str = "frame_id") -> DataFrame:
     return percentiles(trimmed, "depth", {"depth": 0.35}, by=(key,)).where("n >= 3")
 
 
+def _in_regions(regions: DataFrame, cloud: DataFrame, key: str, px: int) -> DataFrame:
+    """(key, depth) of the points within each region (key, _x1, _y1, _x2, _y2; ends included), which meet by tiles of px pixels."""
+    tile = lambda c: F.floor(F.col(c) / px).cast("long")
+    c = cloud.select("u", "v", "depth", tile("u").alias("_ku"), tile("v").alias("_kv"))
+    ends = c.agg(*(f(k).alias(f"{n}{k}") for k in ("_ku", "_kv") for n, f in (("_low", F.min), ("_high", F.max))))
+    r = regions.where("_x2 >= _x1 AND _y2 >= _y1").join(F.broadcast(ends))  # one row
+    for k, one, two in (("_ku", "_x1", "_x2"), ("_kv", "_y1", "_y2")):
+        low, high = F.greatest(tile(one), F.col(f"_low{k}")), F.least(tile(two), F.col(f"_high{k}"))
+        r = r.withColumn(k, F.explode(F.when(low <= high, F.sequence(low, high))))
+    r = r.select(key, "_x1", "_y1", "_x2", "_y2", "_ku", "_kv")
+    return c.join(r.hint("merge"), ["_ku", "_kv"]).where("u BETWEEN _x1 AND _x2 AND v BETWEEN _y1 AND _y2").select(key, "depth")
+
+
 def box_depth(boxes: DataFrame, seen: DataFrame, key: str = "frame_id", bucket_px: int = 64) -> DataFrame:
     """(key, depth, n) when a mask is too sparse. boxes: key, x1, y1, x2, y2; seen: the projected cloud (u, v, depth), the same for all.
 
     The centre strip's 35th percentile if more than 3 points lie in it, else the box's, else the 40th of all (n is 0 then), else 25 m. Depths
-    outside 2 to 80 m don't count. Boxes meet points by columns of pixels; the cloud's own percentile is taken once. No task holds a cloud, nor all of a box's points.
+    outside 2 to 80 m don't count. Regions meet points by tiles of pixels: strips first, and whole boxes only where the strip has too few points, so that
+    what is gathered is the points that count. The cloud's own percentile is taken once. No task holds a cloud, nor all of a box's points.
     """
-    cloud = seen.where("depth > 2 AND depth < 80").select("u", "v", "depth").withColumn("_k", F.floor(F.col("u") / bucket_px).cast("long"))
-    wide = boxes.select(key, "x1", "y1", "x2", "y2").where("x2 >= x1").withColumn("_k", F.explode(F.sequence(F.floor(F.col("x1") / bucket_px).cast("long"), F.floor(F.col("x2") / bucket_px).cast("long"))))
-    u, v = F.col("u"), F.col("v")
-    inside = wide.join(cloud, "_k").where(u.between(F.col("x1"), F.col("x2")) & v.between(F.col("y1"), F.col("y2")))
+    cloud = cut(seen.where("depth > 2 AND depth < 80").select("u", "v", "depth"))
     cx, cy, sw, sh = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, (F.col("x2") - F.col("x1")) * 0.10, (F.col("y2") - F.col("y1")) * 0.30
-    strip = F.when(u.between(cx - sw, cx + sw) & v.between(cy - sh, cy + sh), F.col("depth"))
-    inside = cut(inside.select(key, "depth", strip.alias("_strip")))
-    strips, whole = percentiles(inside, "_strip", {"_s": 0.35}, by=(key,), count="_sn", written=True), percentiles(inside, "depth", {"_b": 0.35}, by=(key,), count="_bn", written=True)
+    middle = boxes.where("x2 >= x1 AND y2 >= y1").select(key, (cx - sw).alias("_x1"), (cy - sh).alias("_y1"), (cx + sw).alias("_x2"), (cy + sh).alias("_y2"))
+    strips = cut(percentiles(cut(_in_regions(middle, cloud, key, bucket_px)), "depth", {"_s": 0.35}, by=(key,), count="_sn", written=True).where("_sn > 3"))
+    sparse = boxes.join(strips.select(key), key, "left_anti").select(key, *(F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")))
+    whole = percentiles(cut(_in_regions(sparse, cloud, key, bucket_px)), "depth", {"_b": 0.35}, by=(key,), count="_bn", written=True)
     rest = percentiles(cloud, "depth", {"_a": 0.4}).select("_a")
     g = boxes.select(key).join(strips, key, "left").join(whole, key, "left").join(F.broadcast(rest))  # one row
     depth = F.when(F.col("_sn") > 3, F.col("_s")).when(F.col("_bn") > 3, F.col("_b")).otherwise(F.coalesce("_a", F.lit(25.0)))

@@ -82,4 +82,8 @@ def test_contained_is_by_the_rule_of_contains(spark):
     frames = spark.createDataFrame([(k, round(rng.uniform(-0.2, 1.2), 2), round(rng.uniform(-0.2, 1.2), 2)) for k in range(300)], "frame_id long, lat double, lon double")
     b = spark.createDataFrame(rows, f"building_id long, points {polygon.POINTS}")
     want = frames.crossJoin(b).groupBy("frame_id").agg(F.count_if(polygon.contains(F.col("points"), F.col("lat"), F.col("lon"))).alias("inside"))
-    assert sorted(polygon.contained(frames.crossJoin(polygon.with_edges(b))).collect()) == sorted(want.collect())
\ No newline at end of file
+    assert sorted(polygon.contained(frames.crossJoin(polygon.with_edges(b))).collect()) == sorted(want.collect())
+
+
+def test_dear_functions_of_a_small_file_go_over_all_tasks(spark):
+    assert Q.QUERIES["longest_side"](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

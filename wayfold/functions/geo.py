@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,13 +30,13 @@ def angle_diff_deg(a: Column, b: Column) -> Column:
     return F.abs(mod(a - b + 180, 360) - 180)
 
 
-def _series(u2: Column) -> tuple[Column, Column]:
+def _series(u2: Column | np.ndarray) -> tuple:
     a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
     b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
     return a, b
 
 
-def _arc_step(b: Column, sin: Column, cos: Column, mid: Column) -> Column:
+def _arc_step(b: Column | np.ndarray, sin: Column | np.ndarray, cos: Column | np.ndarray, mid: Column | np.ndarray) -> Column | np.ndarray:
     return b * sin * (mid + b / 4 * (cos * (-1 + 2 * mid * mid) - b / 6 * mid * (-3 + 4 * sin * sin) * (-3 + 4 * mid * mid)))
 
 
@@ -98,6 +99,35 @@ def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: i
     return let(base, lambda k: let(iterate(k.l, rounds, lambda lam: step(k, lam)), lambda lam: let(shape(k, lam), metres)))
 
 
+def geodesics(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """geodesic_m of whole columns, by the same rounds; a longitude that a round leaves as it is has come to its end."""
+    u = lambda x: np.arctan((1 - FLAT) * np.tan(np.radians(x)))
+    p, q, l = u(lat1), u(lat2), np.radians(lon2 - lon1)  # noqa: E741
+    fixed = np.stack([np.sin(p), np.cos(p), np.sin(q), np.cos(q), l])
+
+    def shape(k: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, ...]:
+        sp, cp, sq, cq, _ = k
+        sin, cos = np.sin(lam), np.cos(lam)
+        x, y = cq * sin, cp * sq - sp * cq * cos
+        ss, cs = np.sqrt(x * x + y * y), sp * sq + cp * cq * cos
+        sa = np.where(ss == 0, 0.0, cp * cq * sin / ss)
+        c2 = 1 - sa * sa
+        return ss, cs, sa, c2, np.where(c2 <= 1e-15, 0.0, cs - 2 * sp * sq / c2)
+
+    with np.errstate(all="ignore"):
+        lam, going = l.copy(), np.arange(len(l))
+        for _ in range(rounds):
+            ss, cs, sa, c2, m = shape(fixed[:, going], lam[going])
+            c = FLAT / 16 * c2 * (4 + FLAT * (4 - 3 * c2))
+            after = l[going] + (1 - c) * FLAT * sa * (np.arctan2(ss, cs) + c * ss * (m + c * cs * (-1 + 2 * m * m)))
+            moved = after != lam[going]
+            lam[going] = after
+            going = going[moved]
+        ss, cs, _, c2, m = shape(fixed, lam)
+        a, b = _series(c2 * (MAJOR**2 - MINOR**2) / MINOR**2)
+        return MINOR * a * (np.arctan2(ss, cs) - _arc_step(b, ss, cs, m))
+
+
 def shifted(lat: Column, lon: Column, heading: Column, depth: Column, along: Column, cross: Column) -> Column:
     """struct(lat, lon) of the target at depth + along ahead (1 m at least) and cross to the right, on a flat earth at REFERENCE_LAT."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Frames
-from ..functions.polygon import longest_side_m, number_pairs
+from ..functions.polygon import longest_side_m
 
 IMU_COLUMNS = {"t_unix": "t", "filter_lla_lat": "lat", "filter_lla_lon": "lon", "yaw_deg": "yaw"}
 
@@ -41,7 +41,7 @@ def as_buildings(raw: DataFrame, min_confidence: float = 0.0) -> DataFrame:
     b = raw.select(id_.alias("building_id"), num("lat").alias("b_lat"), num("lon").alias("b_lon"), num("confidence").alias("confidence"), geometry.alias("geometry")).dropna(subset=["b_lat", "b_lon"])
     if names["confidence"] and min_confidence > 0:
         b = b.withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).where(F.col("confidence") >= min_confidence)
-    return b.withColumn("footprint_w_m", longest_side_m(number_pairs(F.col("geometry"))))
+    return b.withColumn("footprint_w_m", longest_side_m(F.col("geometry")))
 
 
 def read_buildings(spark: SparkSession, path: str, min_confidence: float = 0.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import wayfold.plans.queries as Q
 from wayfold.functions import geo, polygon
+from wayfold.operators import select
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +36,17 @@ def test_sides_are_measured_a_batch_at_once(spark):
     want = {r.k: r.m for r in sides.groupBy("a.k").agg(F.max(m).alias("m")).collect()}
     assert len(want) > 50 and {k for k, x in got.items() if x is not None} == set(want)
     assert all(got[k] == pytest.approx(x, rel=1e-9, abs=1e-6) or math.isnan(got[k]) and math.isnan(x) for k, x in want.items())
+
+
+def test_sightings_are_matched_once_for_clusters(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            computed.add(b.num_rows)
+            yield b
+
+    rows = [(k, 12.9 + (k * 7 % 40) * 1e-4, 80.2 + (k * 3 % 11) * 1e-4) for k in range(300)]
+    df = spark.createDataFrame(rows, "frame_id long, b_lat double, b_lon double")
+    got = select.leader_clusters(df.mapInArrow(counted, df.schema))
+    assert got.count() == 300 and computed.value == 300

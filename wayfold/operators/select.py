@@ -89,13 +89,14 @@ def _streamed(rows: DataFrame, order: list[str], lat: str, lon: str, radius_m: f
 def leader_clusters(records: DataFrame, radius_m: float = 18.0, lat: str = "b_lat", lon: str = "b_lon", order: str = "frame_id", within: str | None = None) -> DataFrame:
     """records with cluster: the smallest `order` of the cluster's places. In order, a record joins the first cluster whose first record is within the radius, or begins one; within: a column whose values are clustered each by itself. Rows without a place have no cluster.
 
-    A place that was seen before always joins the same cluster, so only distinct places count, by their first record. Tasks go through
+    records are computed once, to the shared folder. A place that was seen before always joins the same cluster, so only distinct places count, by their first record. Tasks go through
     the places of tiles, and of a margin around them, in order, holding the firsts and what is open. A place near an earlier open one of
     the margin, whose own tile may see more, stays open until the next round, which starts from what is known. So there are as many rounds as
     the order goes back and forth between tiles in steps of less than the radius; each decides the earliest open place at least, and the result is that
     of one pass.
     """
     keys = [within] if within else []
+    records = cut(records)
     places = records.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(*keys, lat, lon).agg(F.min(order).alias("_first"))
     places = cut(places)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import wayfold.plans.queries as Q
 from wayfold.functions import geo, polygon
-from wayfold.operators import select
+from wayfold.operators import select, track
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +50,23 @@ def test_sightings_are_matched_once_for_clusters(spark):
     df = spark.createDataFrame(rows, "frame_id long, b_lat double, b_lon double")
     got = select.leader_clusters(df.mapInArrow(counted, df.schema))
     assert got.count() == 300 and computed.value == 300
+
+
+def test_detections_out_of_reach_are_not_assigned(monkeypatch):
+    class Plain(track.Tracks):
+        def _meets(self, seen):
+            return bool(self.tracks and seen)
+
+    calls = []
+    real = track.assigned
+    monkeypatch.setattr(track, "assigned", lambda cost: calls.append(cost) or real(cost))
+    far = [(k, [(12.9 + 0.01 * (k % 5), 80.2 + 0.01 * j, 20.0, 60.0 - j) for j in range(4)]) for k in range(40)]
+    assert all(r[2:] for r in track.followed(track.Tracks(), far, 1)) and not [c for c in calls if min(map(min, c)) > 18]
+
+    rng = random.Random(7)
+    for spread in (3e-5, 3e-4, 1e-3):
+        some = lambda: [(-35 + rng.gauss(0, spread), 80 + rng.gauss(0, spread), rng.uniform(5, 50), rng.uniform(30, 90)) for _ in range(rng.randint(0, 4))]
+        frames = [(k, sorted(some(), key=lambda d: -d[3])) for k in range(150)]
+        calls.clear()
+        assert track.followed(track.Tracks(), frames, 1) == track.followed(Plain(), frames, 1)
+        assert calls

@@ -121,6 +121,12 @@ class Tracks:
         t["hits"] += 1
         t["misses"] = 0
 
+    def _meets(self, seen: list[tuple[float, float, float, float]]) -> bool:
+        """Whether any detection is within reach of a track: else no assignment, whatever it is, deals one to any. Two places are as far apart as their latitudes at least."""
+        reach = self.spec.reach_m
+        band = 1.001 * reach / math.radians(EARTH_RADIUS_M)
+        return any(abs(t["lat"][0] - d[0]) <= band and metres(t["lat"][0], t["lon"][0], d[0], d[1]) <= reach for t in self.tracks for d in seen)
+
     def step(self, seen: list[tuple[float, float, float, float]]) -> list[dict]:
         """A frame goes by: detections (lat, lon, depth, score) are dealt to tracks, others begin tracks, tracks missed too often end. What has enough hits is returned."""
         s = self.spec
@@ -129,7 +135,7 @@ class Tracks:
             t["age"] += 1
             t["misses"] += 1
         taken = set()
-        if self.tracks and seen:
+        if self._meets(seen):
             cost = [[metres(t["lat"][0], t["lon"][0], d[0], d[1]) for d in seen] for t in self.tracks]
             for r, c in assigned(cost).items():
                 if cost[r][c] <= s.reach_m:
@@ -153,7 +159,7 @@ class Tracks:
         gap = lambda t: metres(t["lat"][0], t["lon"][0], lat, lon)
         provisional = not found
         if provisional:
-            found = sorted(self.tracks, key=gap)[:1]
+            found = [min(self.tracks, key=gap)] if self.tracks else []
             if not found or gap(found[0]) > s.cap_m:
                 return None
         mean = lambda t: sum(t["scores"]) / len(t["scores"])
@@ -179,6 +185,17 @@ def frame_candidates(spine: DataFrame, candidates: DataFrame, most: int = Tracki
     return spine.select("drive_id", "frame_id").join(c, "frame_id", "left")
 
 
+def _seen_of(frames: pa.ListArray) -> Iterator[list[tuple[float, float, float, float]]]:
+    """seen_in of each frame of a column; values without nulls are taken as numbers at once."""
+    values = lambda a: a.to_pylist() if a.null_count else a.to_numpy(zero_copy_only=False).tolist()
+    at = frames.flatten()
+    rows = list(zip(*(values(at.field(c)) for c in ("lat", "lon", "depth", "score")), strict=True))
+    begin = 0
+    for n in frames.value_lengths().to_pylist():
+        yield rows[begin : begin + (n or 0)]
+        begin += n or 0
+
+
 def seen_in(frame: object) -> list[tuple[float, float, float, float]]:
     return [(d["lat"], d["lon"], d["depth"], d["score"]) for d in frame] if frame is not None else []
 
@@ -221,13 +238,13 @@ def _run(frames: DataFrame, spec: Tracking) -> DataFrame:
         packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow, strict=True)] if rows else [pa.array([], f.type) for f in arrow], schema=arrow)
         for b in batches:
             out: list[tuple] = []
-            for drive, piece, frame, seen, warm, given in zip(*(b.column(c).to_pylist() for c in ("drive_id", "_piece", "frame_id", "seen", "_warm", "_given")), strict=True):
+            for drive, piece, frame, warm, given, seen in zip(*(b.column(c).to_pylist() for c in ("drive_id", "_piece", "frame_id", "_warm", "_given")), _seen_of(b.column("seen")), strict=True):
                 if (drive, piece) != at:
                     out += end()
                     at, life, start = (drive, piece), _Life(spec, json.loads(given) if given else None), None
                 if not warm and start is None:
                     start = life.state()
-                row, fresh = life.frame(frame, seen_in(seen))
+                row, fresh = life.frame(frame, seen)
                 if not warm and (row is not None or fresh):
                     out.append((drive, piece, frame, *(row or nothing), fresh, None, None))
             yield packed(out)

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import wayfold.plans.queries as Q
+from wayfold.config import Grid
 from wayfold.functions import geo, polygon
-from wayfold.operators import select, track
+from wayfold.operators import calibrate, select, track
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +71,27 @@ def test_detections_out_of_reach_are_not_assigned(monkeypatch):
         calls.clear()
         assert track.followed(track.Tracks(), frames, 1) == track.followed(Plain(), frames, 1)
         assert calls
+
+
+def test_errors_of_a_grid_leave_their_task_finished(spark):
+    rng = random.Random(4)
+    spot = lambda: (80.0 + rng.gauss(0, 4e-4), 12.9 + rng.gauss(0, 4e-4))
+    rows = []
+    for k in range(40):
+        points = [spot() for _ in range([0, 2, 3, 5, 9][k % 5])]
+        x, y = spot()
+        rows.append([k, y, x, rng.uniform(0, 360), rng.uniform(-10, 30), *spot()[::-1], points if k % 10 else None])
+    rows[2][3] = rows[3][4] = rows[4][1] = rows[5][5] = rows[6][5] = None
+    records = spark.createDataFrame([tuple(r) for r in rows], f"frame_id long, lat double, lon double, heading double, depth double, b_lat double, b_lon double, points {polygon.POINTS}")
+    g = Grid(along_start=3.0, along_step=7.0, along_n=6, cross_start=-5.0, cross_step=2.0, cross_n=6)
+    e = calibrate.grid_errors(records, g)
+    assert "Aggregate" not in plan(e)  # before, a row for each edge was aggregated, and each error exchanged
+    r = records.join(calibrate.grid(spark, g))
+    want = {(x.cell, x.frame_id): x for x in r.select("cell", "frame_id", "along", "cross", calibrate.offset_error(F.col("along"), F.col("cross")).alias("err")).collect()}
+    got = e.collect()
+    assert len(got) == len(want) == 40 * 36
+    assert sum(x.err == 0 for x in got) > 20
+    for x in got:
+        w = want[x.cell, x.frame_id]
+        assert (x.along, x.cross) == (w.along, w.cross)
+        assert x.err == pytest.approx(w.err, abs=1e-6)

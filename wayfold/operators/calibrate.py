@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import METRES_PER_DEGREE, REFERENCE_LAT, Grid
+from ..config import EARTH_RADIUS_M, METRES_PER_DEGREE, REFERENCE_LAT, Grid
 from ..functions.basic import let
 from ..functions.geo import cell_key, haversine_m, shifted
 from ..functions.polygon import edge_error_m, with_outlines
@@ -74,11 +80,10 @@ def grid(spark: SparkSession, g: Grid = Grid()) -> DataFrame:
     return spark.range(g.along_n * g.cross_n).select(F.col("id").alias("cell"), (g.along_start + i * g.along_step).alias("along"), (g.cross_start + j * g.cross_step).alias("cross"))
 
 
-def _spread(records: DataFrame, g: Grid) -> DataFrame:
-    """Each record with each offset: the grid is a fixed list, made in place for each row."""
-    cells = F.explode(F.sequence(F.lit(0), F.lit(g.along_n * g.cross_n - 1)))
-    r = records.withColumn("cell", cells)
-    return r.withColumns({"along": g.along_start + F.expr(f"cell div {g.cross_n}") * g.along_step, "cross": g.cross_start + (F.col("cell") % g.cross_n) * g.cross_step})
+def _offsets(cell: Column | np.ndarray, g: Grid) -> tuple:
+    """along and cross of a cell; made of whole numbers, so no step drifts."""
+    j = cell % g.cross_n
+    return g.along_start + (cell - j) / g.cross_n * g.along_step, g.cross_start + j * g.cross_step
 
 
 def offset_error(along: Column, cross: Column) -> Column:
@@ -87,40 +92,78 @@ def offset_error(along: Column, cross: Column) -> Column:
     return let(p, lambda t: F.coalesce(edge_error_m(t.lat, t.lon, F.col("points")), haversine_m(t.lat, t.lon, F.col("b_lat"), F.col("b_lon"))))
 
 
+#: Errors that a batch of a task holds for each edge of its longest outline.
+BATCH = 100_000
+
+
 def grid_errors(records: DataFrame, g: Grid = Grid()) -> DataFrame:
     """(cell, along, cross, frame_id, err). records, one for each frame: frame_id, lat, lon, heading, depth, b_lat, b_lon, geometry or points (the parsed outline).
 
-    The error of offset_error, but with a row for each edge of an outline: what is computed for all offsets then stays in generated code, and an error is
-    the least of its edges' distances, or 0 where an odd number of them is crossed.
+    The error of offset_error, for all offsets of a few records at once: a record is dealt to one task, and its errors leave that finished, so nothing but records is exchanged.
     """
-    place = ["frame_id", "lat", "lon", "heading", "depth", "b_lat", "b_lon"]
-    r = with_outlines(records.select(*place, *(c for c in ("geometry", "points") if c in records.columns)), scrape=False)
-    before = lambda i: F.get("points", F.when(i == 0, F.size("points") - 1).otherwise(i - 1))
-    edge = lambda p, i: F.struct(p.alias("p"), before(i).alias("q"), (i > 0).alias("side"))
-    r = r.select(*place, F.when(F.size("points") >= 3, F.transform("points", edge)).alias("edges"))
-    c = F.col
-    s = _spread(r, g).withColumn("_d", F.greatest(F.lit(1.0), c("depth") + c("along")))
-    s = s.withColumn("_h", F.radians(c("heading") + F.degrees(F.atan2(c("cross"), c("_d")))))
-    per_lon = METRES_PER_DEGREE * F.cos(F.radians(F.lit(REFERENCE_LAT)))
-    s = s.withColumns({"_y": c("lat") + c("_d") * F.cos("_h") / METRES_PER_DEGREE, "_x": c("lon") + c("_d") * F.sin("_h") / per_lon})
-    e = s.select("cell", "along", "cross", "frame_id", "b_lat", "b_lon", "_y", "_x", F.explode_outer("edges").alias("e")).select("*", *(F.col(f"e.{k}.{v}").alias(f"{k}_{v}") for k in "pq" for v in ("lat", "lon")), "e.side")
-    dx, dy = c("p_lon") - c("q_lon"), c("p_lat") - c("q_lat")
-    square = dx * dx + dy * dy
-    e = e.withColumn("_k", F.when(square == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c("_x") - c("q_lon")) * dx + (c("_y") - c("q_lat")) * dy) / F.nullif(square, F.lit(0.0))))))
-    side = F.when(c("side"), haversine_m(c("_y"), c("_x"), c("q_lat") + c("_k") * dy, c("q_lon") + c("_k") * dx))
-    crossed = ((c("p_lat") > c("_y")) != (c("q_lat") > c("_y"))) & (c("_x") < (c("q_lon") - c("p_lon")) * (c("_y") - c("p_lat")) / F.nullif(c("q_lat") - c("p_lat"), F.lit(0.0)) + c("p_lon"))
-    # an outline's rows leave the explosion one after the other, so most of them meet before the exchange
-    found = e.groupBy("cell", "along", "cross", "frame_id").agg(F.min(side).alias("_side"), F.count_if(crossed).alias("_n"), F.min(haversine_m(c("_y"), c("_x"), c("b_lat"), c("b_lon"))).alias("_centre"))
-    return found.select("cell", "along", "cross", "frame_id", F.when(c("_n") % 2 == 1, 0.0).otherwise(F.coalesce("_side", "_centre")).alias("err"))
+    place = ["lat", "lon", "heading", "depth", "b_lat", "b_lon"]
+    r = with_outlines(records.select("frame_id", *place, *(c for c in ("geometry", "points") if c in records.columns)), scrape=False)
+    r = r.select("frame_id", *(F.col(c).cast("double").alias(c) for c in place), "points")
+    r = r.repartition(int(r.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame_id")  # a few records are much work
+    cells = np.arange(g.along_n * g.cross_n, dtype=np.int32)
+    along, cross = _offsets(cells, g)
+    most = max(1, BATCH // len(cells))
+    names = ["cell", "along", "cross", "frame_id", "err"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, most):
+                b = whole.slice(k, most)
+                n = b.num_rows
+                err = _grid_error(b, along, cross)
+                again = [pa.array(np.tile(x, n)) for x in (cells, along, cross)]
+                yield pa.RecordBatch.from_arrays([*again, b.column("frame_id").take(pa.array(np.repeat(np.arange(n), len(cells)))), pa.array(err.ravel())], names)
+
+    kind = dict(r.dtypes)["frame_id"]
+    return r.mapInArrow(run, f"cell int, along double, cross double, frame_id {kind}, err double")
+
+
+def _grid_error(b: pa.RecordBatch, along: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """offset_error of each record (a row) at each offset (a column)."""
+    known = lambda x, none=np.nan: pc.fill_null(x, none).to_numpy(zero_copy_only=False)
+    lat, lon, heading, depth, b_lat, b_lon = (known(b.column(c), -np.inf if c == "depth" else np.nan)[:, None] for c in ("lat", "lon", "heading", "depth", "b_lat", "b_lon"))
+
+    def distance(y1: np.ndarray, x1: np.ndarray, y2: np.ndarray, x2: np.ndarray) -> np.ndarray:
+        rad = np.radians
+        a = np.sin(rad(y2 - y1) / 2) ** 2 + np.cos(rad(y1)) * np.cos(rad(y2)) * np.sin(rad(x2 - x1) / 2) ** 2
+        return 2 * EARTH_RADIUS_M * np.arcsin(np.fmin(1.0, np.sqrt(a)))  # what isn't known is on the other side of the earth, as in haversine_m
+
+    with np.errstate(all="ignore"):
+        d = np.maximum(1.0, depth + along)
+        h = np.radians(heading + np.degrees(np.arctan2(cross, d)))
+        y, x = lat + d * np.cos(h) / METRES_PER_DEGREE, lon + d * np.sin(h) / (METRES_PER_DEGREE * math.cos(math.radians(REFERENCE_LAT)))
+        points = b.column("points")
+        size, at = known(pc.list_value_length(points), 0), points.flatten()
+        ends, p_lon, p_lat = np.cumsum(size), known(at.field("lon")), known(at.field("lat"))
+        err = distance(y, x, b_lat, b_lon)
+        side, odd = np.full(err.shape, np.inf), np.zeros(err.shape, bool)
+        for i in range(size.max(initial=0)):
+            of = np.flatnonzero((size > i) & (size >= 3))
+            p = (ends - size)[of] + i
+            q = np.where(i > 0, p - 1, ends[of] - 1)
+            py, px, qy, qx, ty, tx = *(v[:, None] for v in (p_lat[p], p_lon[p], p_lat[q], p_lon[q])), y[of], x[of]
+            dx, dy = px - qx, py - qy
+            odd[of] ^= ((py > ty) != (qy > ty)) & (tx < (qx - px) * (ty - py) / (qy - py) + px)
+            if i:
+                square = dx * dx + dy * dy
+                k = np.where(square == 0, 0.0, np.maximum(0.0, np.minimum(1.0, ((tx - qx) * dx + (ty - qy) * dy) / square)))
+                side[of] = np.fmin(side[of], distance(ty, tx, qy + k * dy, qx + k * dx))
+        return np.where(odd, 0.0, np.where(size[:, None] >= 3, side, err))
 
 
 def grid_scores(errors: DataFrame, g: Grid = Grid()) -> DataFrame:
     """(cell, along, cross, mean, median, inside) of each cell's inliers: errors up to twice the median, floor_m at least. A cell's errors may be those of a whole table: none is gathered in a task."""
-    e = cut(errors.select("cell", "along", "cross", "err"))
+    e = cut(errors.select("cell", "err"))
     med = percentiles(e, "err", {"med": 0.5}, by=("cell",), written=True).select("cell", F.greatest(g.outlier_scale * F.col("med"), F.lit(g.floor_m)).alias("thr"))
     inl = cut(e.join(med, "cell").where(F.col("err") <= F.col("thr")))
     mid = percentiles(inl, "err", {"median": 0.5}, by=("cell",), written=True).select("cell", "median")
-    of = inl.groupBy("cell", "along", "cross").agg(F.avg("err").alias("mean"), F.count_if(F.col("err") == 0).alias("inside"))
+    of = inl.groupBy("cell").agg(F.avg("err").alias("mean"), F.count_if(F.col("err") == 0).alias("inside"))
+    of = of.withColumns(dict(zip(("along", "cross"), _offsets(F.col("cell"), g), strict=True)))
     return of.join(mid, "cell").select("cell", "along", "cross", "mean", "median", "inside")
 
 

@@ -1,12 +1,15 @@
 import math
 import random
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wayfold.functions import basic, geo, polygon, score
 from wayfold.operators.track import Tracks, assigned, metres
+from wayfold.plans import queries as Q
+from wayfold.plans import sql as S
 
 
 def test_distances_and_bearings(spark):
@@ -32,6 +35,28 @@ def test_geodesics(spark):
     assert abs(one.e - math.pi * 6378137 / 180) < 1e-3 and abs(one.q - 10_001_965.729) < 1e-2
 
 
+def test_destinations_are_those_of_sql_to_the_last_bit(spark):
+    rng = random.Random(6)
+    rows = [(rng.uniform(-70, 70), rng.uniform(-179, 179), rng.uniform(0, 360), rng.uniform(0, 80)) for _ in range(2000)]
+    got = spark.createDataFrame(rows, "lat double, lon double, heading double, depth double").select(geo.destination(*(F.col(c) for c in ("lat", "lon", "heading", "depth"))).alias("p")).select("p.*").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id INT, lat DOUBLE, lon DOUBLE, heading DOUBLE, depth DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?)", [(k, *r) for k, r in enumerate(rows)])
+    want = con.execute(f"SELECT p.lat, p.lon FROM (SELECT id, {S.destination('lat', 'lon', 'heading', 'depth')} AS p FROM t) ORDER BY id").fetchall()
+    assert [tuple(r) for r in got] == want
+    odd = [(None, 1.0, 2.0, 3.0), (1.0, None, 2.0, 3.0), (1.0, 2.0, 3.0, None), (1.0, 2.0, math.inf, 3.0)]
+    got = spark.createDataFrame(odd, "a double, b double, c double, d double").select(geo.destination(*(F.col(c) for c in "abcd")).alias("p")).select("p.*").collect()
+    assert [tuple(map(str, r)) for r in got] == [("None", "None"), (str(got[1].lat), "None"), ("None", "None"), ("nan", "nan")] and got[1].lat > 1
+
+
+def test_targets_next_to_a_tie_are_those_of_sql(spark, tmp_path):
+    spark.sql("SELECT 3119909L AS event_id, 1L AS user_id, current_timestamp() AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    r = Q.QUERIES["target_points"](spark, str(tmp_path)).first()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert [tuple(r)] == con.execute(Q.ORACLES["target_points"]).fetchall()
+
+
 def test_rounding_is_pythons(spark):
     rng = random.Random(4)
     xs = [2.675, 0.125, 0.375, -2.5, 1.005, 0.0, -0.125] + [round(rng.uniform(-99, 99), 3) for _ in range(3000)]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,41 +34,52 @@ def angle_diff_deg(a: Column, b: Column) -> Column:
     return F.abs(mod(a - b + 180, 360) - 180)
 
 
-def _series(u2: Column | np.ndarray) -> tuple:
+def _series(u2: Column | np.ndarray | float) -> tuple:
     a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
     b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
     return a, b
 
 
-def _arc_step(b: Column | np.ndarray, sin: Column | np.ndarray, cos: Column | np.ndarray, mid: Column | np.ndarray) -> Column | np.ndarray:
+def _arc_step(b: Column | np.ndarray | float, sin: Column | np.ndarray | float, cos: Column | np.ndarray | float, mid: Column | np.ndarray | float) -> Column | np.ndarray | float:
     return b * sin * (mid + b / 4 * (cos * (-1 + 2 * mid * mid) - b / 6 * mid * (-3 + 4 * sin * sin) * (-3 + 4 * mid * mid)))
 
 
+def _ahead(lat: float | None, bearing: float | None, metres: float | None, rounds: int) -> tuple[float | None, float | None]:
+    """Latitude, and degrees of longitude to go, where the geodesic ends."""
+    if lat is None or bearing is None or metres is None:
+        return None, None
+    if not (math.isfinite(lat) and math.isfinite(bearing) and math.isfinite(metres)):
+        return math.nan, math.nan
+    sin, cos, atan2 = math.sin, math.cos, math.atan2
+    u, al = math.atan((1 - FLAT) * math.tan(math.radians(lat))), math.radians(bearing)
+    su, cu, ca = sin(u), cos(u), cos(al)
+    s1, sa = atan2(math.tan(u), ca), cu * sin(al)
+    c2 = 1 - sa * sa
+    a, b = _series(c2 * (MAJOR**2 - MINOR**2) / MINOR**2)
+    s = s0 = metres / (MINOR * a)
+    for _ in range(rounds):
+        s = s0 + _arc_step(b, sin(s), cos(s), cos(2 * s1 + s))
+    ss, cs, m = sin(s), cos(s), cos(2 * s1 + s)
+    x = su * ss - cu * cs * ca
+    lam = atan2(ss * sin(al), cu * cs - su * ss * ca)
+    c = FLAT / 16 * c2 * (4 + FLAT * (4 - 3 * c2))
+    turn = lam - (1 - c) * FLAT * sa * (s + c * ss * (m + c * cs * (-1 + 2 * m * m)))
+    return math.degrees(atan2(su * cs + cu * ss * ca, (1 - FLAT) * math.sqrt(sa * sa + x * x))), math.degrees(turn)
+
+
 def destination(lat: Column, lon: Column, bearing: Column, metres: Column, rounds: int = 8) -> Column:
-    """struct(lat, lon) of the point so many metres along the WGS-84 geodesic that leaves at a bearing (Vincenty, fixed rounds)."""
-    u1 = F.atan((1 - FLAT) * F.tan(F.radians(lat)))
-    al = F.radians(bearing)
-    start = F.struct(u1.alias("u"), al.alias("al"), F.atan2(F.tan(u1), F.cos(al)).alias("s1"), (F.cos(u1) * F.sin(al)).alias("sa"), metres.cast("double").alias("s"), lon.alias("lon"))
-
-    def with_series(k: Column) -> Column:
-        a, b = _series((1 - k.sa * k.sa) * (MAJOR**2 - MINOR**2) / MINOR**2)
-        return F.struct(*(k[c].alias(c) for c in ("u", "al", "s1", "sa", "lon")), (k.s / (MINOR * a)).alias("s0"), b.alias("b"))
-
-    def arc(k: Column) -> Column:
-        return iterate(k.s0, rounds, lambda s: k.s0 + let(F.cos(2 * k.s1 + s), lambda m: _arc_step(k.b, F.sin(s), F.cos(s), m)))
-
-    def point(k: Column, s: Column) -> Column:
-        su, cu, ss, cs, ca = F.sin(k.u), F.cos(k.u), F.sin(s), F.cos(s), F.cos(k.al)
-        x = su * ss - cu * cs * ca
-        lat2 = F.atan2(su * cs + cu * ss * ca, (1 - FLAT) * F.sqrt(k.sa * k.sa + x * x))
-        lam = F.atan2(ss * F.sin(k.al), cu * cs - su * ss * ca)
-        c2 = 1 - k.sa * k.sa
-        c = FLAT / 16 * c2 * (4 + FLAT * (4 - 3 * c2))
-        m = F.cos(2 * k.s1 + s)
-        d = lam - (1 - c) * FLAT * k.sa * (s + c * ss * (m + c * cs * (-1 + 2 * m * m)))
-        return F.struct(F.degrees(lat2).alias("lat"), (k.lon + F.degrees(d)).alias("lon"))
-
-    return let(let(start, with_series), lambda k: let(arc(k), lambda s: point(k, s)))
+    """struct(lat, lon) of the point so many metres along the WGS-84 geodesic that leaves at a bearing (Vincenty, fixed rounds).
+
+    By C's sines and tangents, as engines written in C take them, number by number: Java's, and numpy's on some machines, differ from them in the last bit, and next to a tie that decides the last place of a rounded result.
+    """
+
+    @F.arrow_udf("lat double, lon double")
+    def places(lat: pa.Array, lon: pa.Array, bearing: pa.Array, metres: pa.Array) -> pa.Array:
+        ends = [_ahead(*r, rounds) for r in zip(*(x.to_pylist() for x in (lat, bearing, metres)), strict=True)]
+        there, turn = (pa.array([e[k] for e in ends], pa.float64()) for k in (0, 1))
+        return pa.StructArray.from_arrays([there, pc.add(lon, turn)], ["lat", "lon"])
+
+    return places(*(c.cast("double") for c in (lat, lon, bearing, metres)))
 
 
 def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: int = 12) -> Column:

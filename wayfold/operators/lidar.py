@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SECOND_TO_FIRST, Camera
 from ..shared import cut
-from .quantile import percentiles
+from .quantile import met_percentile, percentiles
 
 
 def transformed(points: DataFrame, matrix: tuple[tuple[float, ...], ...] = SECOND_TO_FIRST) -> DataFrame:
@@ -62,33 +62,49 @@ def mask_depth(covered: DataFrame, key: str = "frame_id") -> DataFrame:
     return percentiles(trimmed, "depth", {"depth": 0.35}, by=(key,)).where("n >= 3")
 
 
-def _in_regions(regions: DataFrame, cloud: DataFrame, key: str, px: int) -> DataFrame:
-    """(key, depth) of the points within each region (key, _x1, _y1, _x2, _y2; ends included), which meet by tiles of px pixels."""
+def _meeting(regions: DataFrame, cloud: DataFrame, px: int) -> DataFrame:
+    """regions (_x1, _y1, _x2, _y2; ends included, and what else they have) with depth and n of the cloud's points within each, which meet by tiles of px pixels."""
     tile = lambda c: F.floor(F.col(c) / px).cast("long")
-    c = cloud.select("u", "v", "depth", tile("u").alias("_ku"), tile("v").alias("_kv"))
-    ends = c.agg(*(f(k).alias(f"{n}{k}") for k in ("_ku", "_kv") for n, f in (("_low", F.min), ("_high", F.max))))
+    c = cloud.select("u", "v", "depth", "n", tile("u").alias("_ku"), tile("v").alias("_kv"))
+    ends = c.agg(*(f(k).alias(f"{n}{k}") for k in ("_ku", "_kv") for n, f in (("_from", F.min), ("_to", F.max))))
     r = regions.where("_x2 >= _x1 AND _y2 >= _y1").join(F.broadcast(ends))  # one row
     for k, one, two in (("_ku", "_x1", "_x2"), ("_kv", "_y1", "_y2")):
-        low, high = F.greatest(tile(one), F.col(f"_low{k}")), F.least(tile(two), F.col(f"_high{k}"))
-        r = r.withColumn(k, F.explode(F.when(low <= high, F.sequence(low, high))))
-    r = r.select(key, "_x1", "_y1", "_x2", "_y2", "_ku", "_kv")
-    return c.join(r.hint("merge"), ["_ku", "_kv"]).where("u BETWEEN _x1 AND _x2 AND v BETWEEN _y1 AND _y2").select(key, "depth")
+        first, last = F.greatest(tile(one), F.col(f"_from{k}")), F.least(tile(two), F.col(f"_to{k}"))
+        r = r.withColumn(k, F.explode(F.when(first <= last, F.sequence(first, last))))
+    r = r.drop(*(f"{n}{k}" for k in ("_ku", "_kv") for n in ("_from", "_to")))
+    return c.join(r.hint("merge"), ["_ku", "_kv"]).where("u BETWEEN _x1 AND _x2 AND v BETWEEN _y1 AND _y2").drop("_ku", "_kv", "u", "v", "_x1", "_y1", "_x2", "_y2")
+
+
+def _in_regions(regions: DataFrame, cloud: DataFrame, key: str, px: int) -> DataFrame:
+    """(key, depth, n) of the points within each region."""
+    return _meeting(regions, cloud, px).select(key, "depth", "n")
+
+
+#: Depths that count where there is no mask.
+NEAR_M, FAR_M = 2.0, 80.0
 
 
 def box_depth(boxes: DataFrame, seen: DataFrame, key: str = "frame_id", bucket_px: int = 64) -> DataFrame:
     """(key, depth, n) when a mask is too sparse. boxes: key, x1, y1, x2, y2; seen: the projected cloud (u, v, depth), the same for all.
 
     The centre strip's 35th percentile if more than 3 points lie in it, else the box's, else the 40th of all (n is 0 then), else 25 m. Depths
-    outside 2 to 80 m don't count. Regions meet points by tiles of pixels: strips first, and whole boxes only where the strip has too few points, so that
-    what is gathered is the points that count. The cloud's own percentile is taken once. No task holds a cloud, nor all of a box's points.
+    outside 2 to 80 m don't count. Regions meet points by tiles of pixels: strips first, and whole boxes only where the strip has too few points. Pairs of a region and a point are counted where
+    they are made and neither written nor exchanged (met_percentile), so disk grows with the boxes and with the cloud, not with both. Points that are the same are one, with their number. No task holds a cloud, nor all of a box's points.
     """
-    cloud = cut(seen.where("depth > 2 AND depth < 80").select("u", "v", "depth"))
+    cloud = cut(seen.where((F.col("depth") > NEAR_M) & (F.col("depth") < FAR_M)).groupBy("u", "v", "depth").agg(F.count("*").alias("n")))
+    named = lambda df: df.withColumnsRenamed({"depth": "value", "n": "times"})
+
+    def within(regions: DataFrame, x: str, n: str) -> DataFrame:
+        met = named(_in_regions(regions, cloud, key, bucket_px))
+        return met_percentile(regions, met, lambda r: named(_meeting(r, cloud, bucket_px)), key, 0.35, NEAR_M, FAR_M).select(key, F.col("x").alias(x), F.col("n").alias(n))
+
     cx, cy, sw, sh = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, (F.col("x2") - F.col("x1")) * 0.10, (F.col("y2") - F.col("y1")) * 0.30
     middle = boxes.where("x2 >= x1 AND y2 >= y1").select(key, (cx - sw).alias("_x1"), (cy - sh).alias("_y1"), (cx + sw).alias("_x2"), (cy + sh).alias("_y2"))
-    strips = cut(percentiles(cut(_in_regions(middle, cloud, key, bucket_px)), "depth", {"_s": 0.35}, by=(key,), count="_sn", written=True).where("_sn > 3"))
-    sparse = boxes.join(strips.select(key), key, "left_anti").select(key, *(F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")))
-    whole = percentiles(cut(_in_regions(sparse, cloud, key, bucket_px)), "depth", {"_b": 0.35}, by=(key,), count="_bn", written=True)
-    rest = percentiles(cloud, "depth", {"_a": 0.4}).select("_a")
+    strips = within(middle, "_s", "_sn").where("_sn > 3")
+    sparse = cut(boxes.join(strips.select(key), key, "left_anti").select(key, *(F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2"))))
+    whole = within(sparse, "_b", "_bn")
+    every, one = lambda r: named(cloud).join(F.broadcast(r)), seen.sparkSession.range(1)
+    rest = met_percentile(one, every(one), every, "id", 0.4, NEAR_M, FAR_M).agg(F.max("x").alias("_a"))
     g = boxes.select(key).join(strips, key, "left").join(whole, key, "left").join(F.broadcast(rest))  # one row
     depth = F.when(F.col("_sn") > 3, F.col("_s")).when(F.col("_bn") > 3, F.col("_b")).otherwise(F.coalesce("_a", F.lit(25.0)))
     return g.select(key, depth.alias("depth"), F.when(F.col("_sn") > 3, F.col("_sn")).when(F.col("_bn") > 3, F.col("_bn")).otherwise(0).cast("long").alias("n"))

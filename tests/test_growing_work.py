@@ -2,14 +2,16 @@
 
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 import wayfold.plans.queries as Q
 from wayfold.config import Grid
-from wayfold.functions import geo, polygon
-from wayfold.operators import calibrate, select, track
+from wayfold.functions import geo, polygon, score
+from wayfold.operators import calibrate, match, quantile, select, track
+from wayfold.plans import views as V
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,3 +97,54 @@ def test_errors_of_a_grid_leave_their_task_finished(spark):
         w = want[x.cell, x.frame_id]
         assert (x.along, x.cross) == (w.along, w.cross)
         assert x.err == pytest.approx(w.err, abs=1e-6)
+
+
+def test_errors_of_a_grid_are_counted_where_they_are(spark, monkeypatch):
+    rng = random.Random(6)
+    spot = lambda: (80.0 + rng.gauss(0, 2e-4), 12.9 + rng.gauss(0, 2e-4))
+    rows = []
+    for k in range(500):
+        points = [spot() for _ in range([0, 2, 3, 5, 9][k % 5])]
+        x, y = spot()
+        rows.append([k, y, x, rng.uniform(0, 360), rng.uniform(-10, 30), *spot()[::-1], points if k % 10 else None])
+    rows[2][3] = rows[3][4] = rows[4][1] = rows[5][5] = None
+    rows += [[1000 + k, *rows[7][1:]] for k in range(100)]  # ties
+    records = spark.createDataFrame([tuple(r) for r in rows], f"frame_id long, lat double, lon double, heading double, depth double, b_lat double, b_lon double, points {polygon.POINTS}")
+    g = Grid(along_start=3.0, along_step=7.0, along_n=2, cross_start=-5.0, cross_step=4.0, cross_n=2)
+    written = []
+    with monkeypatch.context() as m:
+        m.setattr(Q, "_GRID", g)
+        m.setattr(Q, "_curated", lambda spark, d: records)
+        for module in (calibrate, quantile):
+            m.setattr(module, "cut", lambda df, real=module.cut: written.append(real(df)) or written[-1])
+        got = {r.cell: r for r in Q.grid_search(spark, "").collect()}
+    assert max(w.count() for w in written) <= 600  # of 2,400 errors; before, each was written
+    e = {}
+    for r in records.join(calibrate.grid(spark, g)).select("cell", "along", "cross", calibrate.offset_error(F.col("along"), F.col("cross")).alias("err")).collect():
+        e.setdefault(r.cell, []).append(r.err)
+    assert set(got) == set(e)
+    for cell, errors in e.items():
+        inliers = [x for x in errors if x <= max(2 * statistics.median(errors), 4.5)]
+        assert (got[cell].mean, got[cell]["median"]) == (pytest.approx(statistics.fmean(inliers), abs=6e-4), pytest.approx(statistics.median(inliers), abs=6e-4))
+        assert got[cell].inside == inliers.count(0) > 0
+    plain = calibrate.grid_scores(calibrate.grid_errors(records, g), g).orderBy("cell").collect()
+    for a, b in zip(plain, calibrate.grid_totals(records, g).orderBy("cell").collect(), strict=True):
+        assert (a.cell, a.along, a.cross, a["median"], a.inside) == (b.cell, b.along, b.cross, b["median"], b.inside) and a["mean"] == pytest.approx(b["mean"], rel=1e-12)
+    assert calibrate.grid_totals(records.limit(0), g).count() == 0
+
+
+def test_pairs_that_cannot_reach_a_score_are_left(spark, monkeypatch):
+    f, b = V.frames(spark, SF), V.buildings(spark, SF)
+    f = f.withColumn("depth", F.expr("CASE frame_id % 9 WHEN 0 THEN NULL WHEN 1 THEN -depth ELSE depth END"))
+    best = match.best_matches(f, b).drop("n_candidates").cache()
+    real, seen = match.cone_candidates, []
+    monkeypatch.setattr(match, "cone_candidates", lambda *a: seen.append(real(*a)) or seen[-1])
+    for least in (50.0, 60.0, 75.0):
+        got = match.best_matches(f, b, min_score=least)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, best.where(F.col("score") >= least).collect()), key=str) != []
+    assert seen[-1].count() < real(f, b).count() / 10
+    rng = random.Random(3)
+    rows = [(rng.uniform(0, 35), rng.choice([0.0, rng.uniform(0, 150)]), rng.choice([None, 0.0, rng.uniform(0, 40)]), rng.uniform(0, 1), rng.choice([None, -1.0, 0.0, rng.uniform(1, 80)])) for _ in range(2000)]
+    r = spark.createDataFrame(rows, "off double, dist double, width double, frac double, depth double")
+    t = r.select(score.match_terms(*(F.col(c) for c in r.columns)).alias("t"), score.match_bound(F.col("dist"), F.col("depth")).alias("most"))
+    assert t.where("t.angle + t.prox + t.width + t.depth > most + 1e-9").count() == 0

@@ -13,15 +13,28 @@ def _falloff(off: Column, cone: float) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.pow(off / cone, 1.6))
 
 
+def _proximity(dist: Column, m: Matching) -> Column:
+    return m.proximity_max * F.exp(-dist / m.decay_m)
+
+
+def _agreement(dist: Column, depth: Column, m: Matching) -> Column:
+    return F.coalesce(F.when(depth > 0, m.depth_max * F.exp(-F.abs(dist - depth) / 15)), F.lit(0.0))
+
+
+def match_bound(dist: Column, depth: Column, m: Matching = Matching()) -> Column:
+    """What the terms of match_terms come to at most at a distance, whatever angle and width are."""
+    return m.angle_max + m.width_max + _proximity(dist, m) + _agreement(dist, depth, m)
+
+
 def match_terms(off: Column, dist: Column, width: Column, frac: Column, depth: Column, m: Matching = Matching(), camera: Camera = Camera()) -> Column:
     """struct(angle, prox, width, depth), unrounded: how well a building fits what was seen. A missing or zero footprint, distance or depth gives 0."""
     expected = 2 * F.degrees(F.atan2(width / 2, dist)) / camera.hfov_deg
     fits = let(expected, lambda e: F.when(e > 0, m.width_max * F.least(frac, e) / F.greatest(frac, e)))
     return F.struct(
         (m.angle_max * _falloff(off, m.cone_deg)).alias("angle"),
-        (m.proximity_max * F.exp(-dist / m.decay_m)).alias("prox"),
+        _proximity(dist, m).alias("prox"),
         F.coalesce(F.when((width > 0) & (dist > 0), fits), F.lit(0.0)).alias("width"),
-        F.coalesce(F.when(depth > 0, m.depth_max * F.exp(-F.abs(dist - depth) / 15)), F.lit(0.0)).alias("depth"),
+        _agreement(dist, depth, m).alias("depth"),
     )
 
 

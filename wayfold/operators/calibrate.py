@@ -20,7 +20,7 @@ from ..functions.score import accuracy_label, improvement_pct
 from ..shared import cut
 from ..sources.sinks import nested
 from .localize import raw_targets
-from .quantile import percentiles
+from .quantile import SLICES, counted_percentile, percentiles
 
 
 def records(matches: DataFrame, targets: DataFrame, min_score: float = 0.0, lat_offset: float = 0.0, lon_offset: float = 0.0) -> DataFrame:
@@ -96,15 +96,20 @@ def offset_error(along: Column, cross: Column) -> Column:
 BATCH = 100_000
 
 
+def _spread(records: DataFrame) -> DataFrame:
+    """What grid errors are computed of, dealt to all tasks: a few records are much work."""
+    place = ["lat", "lon", "heading", "depth", "b_lat", "b_lon"]
+    r = records.select("frame_id", *place, *(c for c in ("geometry", "points") if c in records.columns))
+    r = r.repartition(int(r.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame_id")
+    return with_outlines(r, scrape=False).select("frame_id", *(F.col(c).cast("double").alias(c) for c in place), "points")
+
+
 def grid_errors(records: DataFrame, g: Grid = Grid()) -> DataFrame:
     """(cell, along, cross, frame_id, err). records, one for each frame: frame_id, lat, lon, heading, depth, b_lat, b_lon, geometry or points (the parsed outline).
 
     The error of offset_error, for all offsets of a few records at once: a record is dealt to one task, and its errors leave that finished, so nothing but records is exchanged.
     """
-    place = ["lat", "lon", "heading", "depth", "b_lat", "b_lon"]
-    r = with_outlines(records.select("frame_id", *place, *(c for c in ("geometry", "points") if c in records.columns)), scrape=False)
-    r = r.select("frame_id", *(F.col(c).cast("double").alias(c) for c in place), "points")
-    r = r.repartition(int(r.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame_id")  # a few records are much work
+    r = _spread(records)
     cells = np.arange(g.along_n * g.cross_n, dtype=np.int32)
     along, cross = _offsets(cells, g)
     most = max(1, BATCH // len(cells))
@@ -128,22 +133,27 @@ def _grid_error(b: pa.RecordBatch, along: np.ndarray, cross: np.ndarray) -> np.n
     known = lambda x, none=np.nan: pc.fill_null(x, none).to_numpy(zero_copy_only=False)
     lat, lon, heading, depth, b_lat, b_lon = (known(b.column(c), -np.inf if c == "depth" else np.nan)[:, None] for c in ("lat", "lon", "heading", "depth", "b_lat", "b_lon"))
 
-    def distance(y1: np.ndarray, x1: np.ndarray, y2: np.ndarray, x2: np.ndarray) -> np.ndarray:
-        rad = np.radians
-        a = np.sin(rad(y2 - y1) / 2) ** 2 + np.cos(rad(y1)) * np.cos(rad(y2)) * np.sin(rad(x2 - x1) / 2) ** 2
-        return 2 * EARTH_RADIUS_M * np.arcsin(np.fmin(1.0, np.sqrt(a)))  # what isn't known is on the other side of the earth, as in haversine_m
+    rad = np.radians
+    far = lambda a: 2 * EARTH_RADIUS_M * np.arcsin(np.fmin(1.0, np.sqrt(a)))  # noqa: E731  what isn't known is on the other side of the earth, as in haversine_m
 
     with np.errstate(all="ignore"):
         d = np.maximum(1.0, depth + along)
         h = np.radians(heading + np.degrees(np.arctan2(cross, d)))
         y, x = lat + d * np.cos(h) / METRES_PER_DEGREE, lon + d * np.sin(h) / (METRES_PER_DEGREE * math.cos(math.radians(REFERENCE_LAT)))
+        level = np.cos(rad(y))
+
+        def arc(y1: np.ndarray, x1: np.ndarray, level: np.ndarray, y2: np.ndarray, x2: np.ndarray) -> np.ndarray:
+            """The square of the sine of half the angle between two places, by which distances are ordered; level: the cosine of y1."""
+            return np.sin(rad(y2 - y1) / 2) ** 2 + level * np.cos(rad(y2)) * np.sin(rad(x2 - x1) / 2) ** 2
+
         points = b.column("points")
         size, at = known(pc.list_value_length(points), 0), points.flatten()
         ends, p_lon, p_lat = np.cumsum(size), known(at.field("lon")), known(at.field("lat"))
-        err = distance(y, x, b_lat, b_lon)
-        side, odd = np.full(err.shape, np.inf), np.zeros(err.shape, bool)
+        least, odd = np.full(y.shape, np.nan), np.zeros(y.shape, bool)
+        none = size < 3
+        least[none] = arc(y[none], x[none], level[none], b_lat[none], b_lon[none])
         for i in range(size.max(initial=0)):
-            of = np.flatnonzero((size > i) & (size >= 3))
+            of = np.flatnonzero((size > i) & ~none)
             p = (ends - size)[of] + i
             q = np.where(i > 0, p - 1, ends[of] - 1)
             py, px, qy, qx, ty, tx = *(v[:, None] for v in (p_lat[p], p_lon[p], p_lat[q], p_lon[q])), y[of], x[of]
@@ -152,8 +162,68 @@ def _grid_error(b: pa.RecordBatch, along: np.ndarray, cross: np.ndarray) -> np.n
             if i:
                 square = dx * dx + dy * dy
                 k = np.where(square == 0, 0.0, np.maximum(0.0, np.minimum(1.0, ((tx - qx) * dx + (ty - qy) * dy) / square)))
-                side[of] = np.fmin(side[of], distance(ty, tx, qy + k * dy, qx + k * dx))
-        return np.where(odd, 0.0, np.where(size[:, None] >= 3, side, err))
+                least[of] = np.fmin(least[of], arc(ty, tx, level[of], qy + k * dy, qx + k * dx))
+        return np.where(odd, 0.0, far(least))
+
+
+def _grid_counts(records: DataFrame, g: Grid, left: DataFrame | None = None, limits: np.ndarray | None = None) -> DataFrame:
+    """The slices of cells' errors as counted_percentile wants them, and of each the sum (_sum) and how many are 0 (_zero). records: those of _spread, written; left: the cells and bounds to count in; limits: the greatest error that counts in each cell.
+
+    Errors are computed, and counted, in the task of their records: at the end it gives no more rows than there are slices of cells, however many records it had.
+    """
+    cells = np.arange(g.along_n * g.cross_n)
+    low, high, last = np.zeros(len(cells)), limits, np.zeros(len(cells), bool)
+    if left is not None:
+        rows = left.select("cell", "_low", "_high", "_last").collect()  # as many rows as the grid has cells
+        cells = np.array([r.cell for r in rows])
+        low, high, last = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+    top = None if limits is None else limits[cells]
+    along, cross = _offsets(cells, g)
+    most, usual = max(1, BATCH // len(cells)), 4 * g.floor_m
+    names = ["cell", "_at", "_n", "_least", "_most", "_sum", "_zero"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, zero, total = (np.zeros(len(cells) * SLICES, t) for t in (np.int64, np.int64, float))
+        ends = np.full((2, len(n)), np.inf)  # the greatest with a minus
+        for whole in batches:
+            for k in range(0, whole.num_rows, most):
+                err = _grid_error(whole.slice(k, most), along, cross)
+                counts = np.ones(err.shape, bool) if high is None else (err >= low) & (err <= high)
+                if top is not None:
+                    counts &= err <= top
+                of, e = np.broadcast_to(np.arange(len(cells)), err.shape)[counts], err[counts]
+                one = last[of]
+                if one.any():
+                    v, w = e[one], of[one]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cells[w], v, np.ones(len(v), np.int64), v, v, v, (v == 0).astype(np.int64))], names)
+                    of, e = of[~one], e[~one]
+                share = e / (e + usual) if high is None else (e - low[of]) / (high[of] - low[of])
+                at = of * SLICES + np.minimum(share * SLICES, SLICES - 1).astype(np.int64)
+                np.add.at(n, at, 1)
+                np.add.at(zero, at, e == 0)
+                np.add.at(total, at, e)
+                np.minimum.at(ends[0], at, e)
+                np.minimum.at(ends[1], at, -e)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cells[at // SLICES], (at % SLICES).astype(float), n[at], ends[0][at], -ends[1][at], total[at], zero[at])], names)
+
+    r = records.mapInArrow(run, "cell long, _at double, _n long, _least double, _most double, _sum double, _zero long")
+    sums = (F.sum(c).alias(c) for c in ("_n", "_sum", "_zero"))
+    return r.groupBy("cell", "_at").agg(*sums, F.min("_least").alias("_least"), F.max("_most").alias("_most")).withColumn("_rows", F.col("_n"))
+
+
+def grid_totals(records: DataFrame, g: Grid = Grid()) -> DataFrame:
+    """grid_scores of grid_errors of records, without a row for each error: in each round errors are computed again and counted in their tasks, and neither written nor exchanged. Records are computed once."""
+    r = cut(_spread(records))
+    med = counted_percentile(lambda left: _grid_counts(r, g, left), "cell", 0.5)
+    limits = np.full(g.along_n * g.cross_n, -1.0)
+    for cell, x in med.select("cell", "x").collect():  # as many rows as the grid has cells
+        limits[cell] = max(g.outlier_scale * x, g.floor_m)
+    first = cut(_grid_counts(r, g, limits=limits))
+    mid = counted_percentile(lambda left: first if left is None else _grid_counts(r, g, left, limits), "cell", 0.5).select("cell", F.col("x").alias("median"))
+    of = first.groupBy("cell").agg((F.sum("_sum") / F.sum("_n")).alias("mean"), F.sum("_zero").alias("inside"))
+    of = of.withColumns(dict(zip(("along", "cross"), _offsets(F.col("cell"), g), strict=True)))
+    return of.join(mid, "cell").select("cell", "along", "cross", "mean", "median", "inside")
 
 
 def grid_scores(errors: DataFrame, g: Grid = Grid()) -> DataFrame:

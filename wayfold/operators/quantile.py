@@ -16,7 +16,7 @@ MOST = 100_000
 CUTS, ACCURACY = 500, 5000
 #: Rows of brackets that are broadcast; more are joined by exchange.
 FEW = 10_000
-#: Slices that a round of met_percentile cuts what is left of a group into; and rows of one that the next round takes value by value.
+#: Slices that a round of counted_percentile cuts what is left of a group into; and rows of one that the next round takes value by value.
 SLICES, LAST = 64, 256
 
 
@@ -129,17 +129,33 @@ def percentiles(df: DataFrame, value: str | Column, probs: dict[str, float], by:
 def met_percentile(groups: DataFrame, met: DataFrame, meet: Callable[[DataFrame], DataFrame], key: str, p: float, low: float, high: float) -> DataFrame:
     """(key, x, n): the percentile p, as F.percentile gives it, of the values that a join gives each group, where these are too many to be written or exchanged, and how many they are. Groups without values have no row.
 
-    met: the join's rows (key, value, times): a value from low to high, and how often it counts; meet: the same join for some of groups, whose rows have further columns that it must keep. Rows are counted where the join makes them,
-    by slices of what is left of their group (one at first, between low and high): all that is exchanged is a slice's count, least and greatest value. The counts tell which slice holds the ranks on both
-    sides of the percentile. If these are its ends they are known, else a round goes on within it. A slice with few rows is taken value by value, so two rounds do where a group has a few thousand rows. A round needs the join again.
+    met: the join's rows (key, value, times): a value from low to high, and how often it counts; meet: the same join for some of groups, whose rows have further columns that it must keep. Rows are counted where the join makes them:
+    all that is exchanged is a slice's counts and ends (counted_percentile). A slice with few rows is taken value by value, so two rounds do where a group has a few thousand rows. A round needs the join again.
     """
-    bounds = [F.lit(low).alias("_low"), F.lit(high).alias("_high"), F.lit(False).alias("_last")]
-    rows, state = met.select(key, "value", "times", *bounds), None
-    found: list[DataFrame] = []
-    while True:
+
+    def counted(left: DataFrame | None) -> DataFrame:
+        if left is None:
+            rows = met.select(key, "value", "times", F.lit(low).alias("_low"), F.lit(high).alias("_high"), F.lit(False).alias("_last"))
+        else:
+            rows = meet(groups.join(left, key)).where(F.col("value").between(F.col("_low"), F.col("_high")))
         part = F.floor((F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low")) * SLICES)
         at = F.when(F.col("_last"), F.col("value")).otherwise(F.least(part, F.lit(SLICES - 1)).cast("double"))
-        c = rows.groupBy(key, at.alias("_at")).agg(F.sum("times").alias("_n"), F.count("*").alias("_rows"), F.min("value").alias("_least"), F.max("value").alias("_most"))
+        return rows.groupBy(key, at.alias("_at")).agg(F.sum("times").alias("_n"), F.count("*").alias("_rows"), F.min("value").alias("_least"), F.max("value").alias("_most"))
+
+    return counted_percentile(counted, key, p)
+
+
+def counted_percentile(counted: Callable[[DataFrame | None], DataFrame], key: str, p: float) -> DataFrame:
+    """(key, x, n): the percentile p, as F.percentile gives it, of groups' values, and how many there are, by counts alone.
+
+    counted: (key, _at, _n, _rows, _least, _most): for each slice of a group's values, by its place in their order, the number of values and of rows, and the least and the greatest value; of all groups if it is given none,
+    else of those of a table (key, _low, _high, _last): of their values from _low to _high, in SLICES slices of the same width or, if _last, value by value. The counts tell which slice holds the ranks on both
+    sides of the percentile. If these are its ends they are known, else a round goes on within it.
+    """
+    left = state = None
+    found: list[DataFrame] = []
+    while True:
+        c = counted(left)
         c = c.withColumns({"_below": F.lit(0).cast("long"), "_all": F.sum("_n").over(W.partitionBy(key))}) if state is None else c.join(state, key)
         c = c.withColumn("_end", F.col("_below") + F.sum("_n").over(W.partitionBy(key).orderBy("_at"))).withColumn("_begin", F.col("_end") - F.col("_n"))
         place = (F.col("_all") - 1) * F.lit(float(p))
@@ -149,17 +165,15 @@ def met_percentile(groups: DataFrame, met: DataFrame, meet: Callable[[DataFrame]
             return F.max(F.when(rank == F.col("_begin"), F.col("_least")).when((rank == F.col("_end") - 1) | ((rank > F.col("_begin")) & (rank < F.col("_end")) & (F.col("_least") == F.col("_most"))), F.col("_most")))
 
         inside = (F.floor(place) >= F.col("_begin")) & (F.floor(place) < F.col("_end"))
-        g = c.groupBy(key, "_all").agg(ranked(F.floor(place)).alias("_a"), ranked(F.ceil(place)).alias("_b"), F.max(F.when(inside, F.struct("_least", "_most", "_begin", "_rows"))).alias("_in"))
-        g = cut(g)
+        g = cut(c.groupBy(key, "_all").agg(ranked(F.floor(place)).alias("_a"), ranked(F.ceil(place)).alias("_b"), F.max(F.when(inside, F.struct("_least", "_most", "_begin", "_rows"))).alias("_in")))
         a, b = F.col("_a"), F.col("_b")
         x = F.when(a == b, a).otherwise((F.ceil(place) - place) * a + (place - F.floor(place)) * b)
         found.append(g.where(a.isNotNull() & b.isNotNull()).select(key, x.alias("x"), F.col("_all").alias("n")))
-        left = g.where(a.isNull() | b.isNull())
-        if not left.limit(1).count():
+        open_ = g.where(a.isNull() | b.isNull())
+        if not open_.limit(1).count():
             break
-        state = left.select(key, F.col("_in._begin").alias("_below"), "_all")
-        narrowed = left.select(key, F.col("_in._least").alias("_low"), F.col("_in._most").alias("_high"), (F.col("_in._rows") <= LAST).alias("_last"))
-        rows = meet(groups.join(narrowed, key)).where(F.col("value").between(F.col("_low"), F.col("_high")))
+        state = open_.select(key, F.col("_in._begin").alias("_below"), "_all")
+        left = open_.select(key, F.col("_in._least").alias("_low"), F.col("_in._most").alias("_high"), (F.col("_in._rows") <= LAST).alias("_last"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import wayfold.plans.queries as Q
-from wayfold.config import Grid
+from wayfold.config import Camera, Grid
 from wayfold.functions import geo, polygon, score
-from wayfold.operators import calibrate, match, quantile, select, track
+from wayfold.operators import calibrate, lidar, match, quantile, select, track
 from wayfold.plans import views as V
 
 SF = "/root/testdata/sf0.001"
@@ -148,3 +148,23 @@ def test_pairs_that_cannot_reach_a_score_are_left(spark, monkeypatch):
     r = spark.createDataFrame(rows, "off double, dist double, width double, frac double, depth double")
     t = r.select(score.match_terms(*(F.col(c) for c in r.columns)).alias("t"), score.match_bound(F.col("dist"), F.col("depth")).alias("most"))
     assert t.where("t.angle + t.prox + t.width + t.depth > most + 1e-9").count() == 0
+
+
+def test_points_are_projected_once(spark):
+    points = V.points(spark, SF)
+    seen = lidar.projected(points)
+    camera = Camera()
+    assert plan(seen).count(str(camera.from_lidar[2][0])) <= 2  # before, each condition had the whole expression
+    assert seen.columns == [*points.columns, "u", "v", "depth"]
+    got = {(r.tile, r.n): (r.u, r.v, r.depth) for r in seen.collect()}
+    want = {}
+    for r in points.collect():
+        x, y, z = (m[0] * r.x + m[1] * r.y + m[2] * r.z + m[3] for m in camera.from_lidar)
+        if 1.5 < z < 80 and abs(x) < 50 and -1.5 < y < 12:
+            u, v = camera.fx * x / z + camera.cx, camera.fy * y / z + camera.cy
+            if 0 <= u < camera.width and 0 <= v < camera.height:
+                want[r.tile, r.n] = u, v, z
+    assert got == want and 0 < len(got) < points.count()
+    behind = spark.createDataFrame([(0.0, 0.0, 0.0), (5.0, 0.0, 0.0)], "x double, y double, z double").withColumn("depth", F.lit(1.0))
+    flat = Camera(from_lidar=((0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 0.0, 0.0)))
+    assert [(r.x, r.depth) for r in lidar.projected(behind, flat).collect()] == [(5.0, 5.0)]  # nothing is divided by a depth of 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once for each row, however many filters and columns use them later: they come from a generator of one row, through which Spark moves no filter. Moved below plain columns, a filter repeats
+    their expressions, and code that has grown too long for the JVM to compile is interpreted."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+
+
 def iterate(start: Column, times: int, step: Callable[[Column], Column]) -> Column:
     """step applied to start so many times, without an expression that doubles at each."""
     return F.aggregate(F.sequence(F.lit(1), F.lit(times)), start, lambda x, _: step(x))

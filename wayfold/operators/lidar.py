@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SECOND_TO_FIRST, Camera
+from ..functions.basic import with_once
 from ..shared import cut
 from .quantile import met_percentile, percentiles
 
@@ -27,9 +28,9 @@ def fused(first: DataFrame | None, second: DataFrame | None) -> DataFrame | None
 def projected(points: DataFrame, camera: Camera = Camera()) -> DataFrame:
     """points with u, v (pixels) and depth for those in view: in the frustum before the division, in the image after it."""
     row = lambda r: r[0] * F.col("x") + r[1] * F.col("y") + r[2] * F.col("z") + r[3]
-    p = points.withColumns({f"_{c}": row(r) for c, r in zip("xyz", camera.from_lidar, strict=True)})
+    p = with_once(points, {f"_{c}": row(r) for c, r in zip("xyz", camera.from_lidar, strict=True)})
     p = p.where("_z > 1.5 AND _z < 80 AND abs(_x) < 50 AND _y > -1.5 AND _y < 12")
-    p = p.withColumns({"u": camera.fx * F.col("_x") / F.col("_z") + camera.cx, "v": camera.fy * F.col("_y") / F.col("_z") + camera.cy, "depth": F.col("_z")})
+    p = with_once(p, {"u": camera.fx * F.col("_x") / F.col("_z") + camera.cx, "v": camera.fy * F.col("_y") / F.col("_z") + camera.cy, "depth": F.col("_z")})
     return p.where((F.col("u") >= 0) & (F.col("u") < camera.width) & (F.col("v") >= 0) & (F.col("v") < camera.height)).drop("_x", "_y", "_z")
 
 
